@@ -1,11 +1,13 @@
 """The queries of this folder by name, and DuckDB SQL for those that SQL can express."""
 
 from tidemark.llm.decontaminate import OP9_SQL, op9_decontaminate
+from tidemark.llm.packing import op10_pack
 from tidemark.llm.tokens import op8_token_counts
 
 QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
+    "op10_pack": op10_pack,
 }
 SQL = {
     "op9_decontaminate": OP9_SQL,
