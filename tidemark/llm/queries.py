@@ -2,12 +2,16 @@
 
 from tidemark.llm.decontaminate import OP9_SQL, op9_decontaminate
 from tidemark.llm.packing import op10_pack
+from tidemark.llm.quality_model import op2_quality_model
 from tidemark.llm.quality_rules import OP6_SQL, op6_quality_rules
+from tidemark.llm.simhash import op5_simhash
 from tidemark.llm.tokens import op8_token_counts
 from tidemark.llm.urls import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
+    "op2_quality_model": op2_quality_model,
+    "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
     "op8_token_counts": op8_token_counts,
     "op9_decontaminate": op9_decontaminate,
