@@ -5,12 +5,14 @@ from tidemark.llm.packing import op10_pack
 from tidemark.llm.quality_model import op2_quality_model
 from tidemark.llm.quality_rules import OP6_SQL, op6_quality_rules
 from tidemark.llm.simhash import op5_simhash
+from tidemark.llm.substrings import OP4_SQL, op4_substring_dedup
 from tidemark.llm.tokens import op8_token_counts
 from tidemark.llm.urls import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_model": op2_quality_model,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_simhash": op5_simhash,
     "op6_quality_rules": op6_quality_rules,
     "op8_token_counts": op8_token_counts,
@@ -19,6 +21,7 @@ QUERIES = {
 }
 SQL = {
     "op1_url_filter": OP1_SQL,
+    "op4_substring_dedup": OP4_SQL,
     "op6_quality_rules": OP6_SQL,
     "op9_decontaminate": OP9_SQL,
 }
