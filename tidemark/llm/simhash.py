@@ -109,5 +109,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs without those that a row before them in the same component stands for; columns stay as they are.
+
+    docs must be read in one order each time, as files are. Rows are told apart by their place, so null and repeated
+    doc_ids do no harm; of repeated rows one stays.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    found = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"), shingle, radius)
+    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_row"))
+    return numbered.join(stay, "_row", "left_semi").select(*docs.columns)
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
