@@ -172,9 +172,13 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
             frames.append([])
         elif down:
             frames.append(completions(left, capacity, min(allowed, capacity - max(left)))[::-1] if allowed >= 0 else [])
-        if frames[-1]:
-            filling = _take(left, frames[-1].pop())
-            waste = capacity - sum(x * n for x, n in filling[0])
+        if frames[-1] and allowed >= 0:
+            lengths = frames[-1].pop()
+            waste = capacity - sum(lengths)
+            down = waste <= allowed  # else the bound has come down since the filling was listed
+            if not down:
+                continue
+            filling = _take(left, lengths)
             if waste * filling[1] > allowed:  # as many times as the bound allows
                 for x, n in filling[0]:
                     left[x] = left.get(x, 0) + n * (filling[1] - allowed // waste)

@@ -16,6 +16,7 @@ import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import accumulate
+from struct import pack
 
 import pyarrow as pa
 import regex
@@ -26,7 +27,7 @@ from tidemark.llm.common import read, sliced
 #: The vocabulary's own pattern (a fixed value of the public byte-level BPE).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks remembered by a worker; later ones are worked out each time, so memory stays bounded.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 
 
 def byte_symbols() -> dict[str, int]:
@@ -255,51 +256,49 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            self.specials = [x["content"] for x in json.load(f)["added_tokens"]]
         self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        return [pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        known = self.known
-        split = [None if any(s in t for s in self.specials) or not t else t.split(" ") for t in texts]
-        new: dict[str, bytes] = {}
-        odd = set()
-        for k, chunks in enumerate(split):
-            if chunks is None:
+        """Ids of whole texts; what is not remembered is encoded in one call for all texts."""
+        known, heads = self.known, self.heads
+        new: dict[str, bytes] = {}  # by the chunk with its space, or a text's first chunk without one
+        odd, open_ = [], []
+        out: list = [b""] * len(texts)
+        for k, text in enumerate(texts):
+            if not text:
                 continue
-            first = chunks[0]
-            if not first or first[0].isspace() or first[-1].isspace():
-                odd.add(k)
-                continue
-            for chunk in chunks[1:]:
-                if chunk not in known and chunk not in new:
-                    if not chunk or chunk[0].isspace() or chunk[-1].isspace():
-                        odd.add(k)
-                        break
-                    new[chunk] = b""
+            chunks = text.split(" ")
+            found = list(map(known.get, chunks))
+            found[0] = heads.get(chunks[0])
+            out[k] = found
+            if None in found:
+                missing = [i for i, raw in enumerate(found) if raw is None]
+                names = [" " + chunks[i] if i else chunks[0] for i in missing]
+                if not all(c and not c[0].isspace() and not c[-1].isspace() for c in map(chunks.__getitem__, missing)):
+                    odd.append(k)
+                    continue
+                new.update(dict.fromkeys(names, b""))
+                open_.append((k, missing, names))
+        # Special strings hold no white space, so that a chunk has them whole.
         order = list(new)
-        for chunk, raw in zip(order, self._encode([" " + c for c in order]) if order else [], strict=True):
-            new[chunk] = raw
-        for chunk in order[: max(0, REMEMBERED - len(known))]:
-            if len(chunk) < 100:
-                known[chunk] = new[chunk]
-        firsts = [c[0] for k, c in enumerate(split) if c is not None and k not in odd]
-        first_ids = iter(self._encode(firsts) if firsts else [])
-        out = []
-        for k, chunks in enumerate(split):
-            if not texts[k]:
-                out.append(b"")
-            elif chunks is None or k in odd:
-                out.append(self._encode([texts[k]])[0])
-            else:
-                head, chunks[0] = next(first_ids), ""
-                out.append(head + b"".join([known.get(c) or new[c] for c in chunks[1:]]))
-        return out
+        for name, raw in zip(order, self._encode(order) if order else [], strict=True):
+            new[name] = raw
+            if len(name) < 100:
+                if name[0] != " ":
+                    if len(heads) < REMEMBERED // 10:
+                        heads[name] = raw
+                elif len(known) < REMEMBERED:
+                    known[name[1:]] = raw
+        for k, missing, names in open_:
+            for i, name in zip(missing, names, strict=True):
+                out[k][i] = new[name]
+        for k, raw in zip(odd, self._encode([texts[k] for k in odd]) if odd else [], strict=True):
+            out[k] = [raw]
+        return [raw if isinstance(raw, bytes) else b"".join(raw) for raw in out]
 
 
 @lru_cache(maxsize=2)
