@@ -109,15 +109,77 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs without those that a row before them in the same component stands for; columns stay as they are.
+#: For whole-document similarity: 256 bits from three-word shingles to look up, 256 bits from five-word shingles to
+#: verify. Texts that share 0.8 of their five-word shingles differ in 0.151 of the latter bits (39) on the average.
+WORDS, LOOKUP, VERIFY, FAR = 4, 3, 5, 42
 
-    docs must be read in one order each time, as files are. Rows are told apart by their place, so null and repeated
-    doc_ids do no harm; of repeated rows one stays.
+
+def sketch(text: bytes | None, shingle: int, words: int = WORDS) -> list[int]:
+    """SimHash of 64 * words bits as signed longs: the hash of a shingle is stretched by mixing it with constants."""
+    tokens = (text or b"").lower().split()
+    n = len(tokens)
+    if not n:
+        return [0] * words
+    k = min(shingle, n)
+    joined = b" ".join(tokens)
+    size = np.fromiter(map(len, tokens), np.int64, n)
+    ends = np.cumsum(size + 1) - 1
+    starts = (ends - size)[: n - k + 1].tolist()
+    hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64)
+    out = []
+    for w in range(words):
+        x = hashes + np.uint64(w * 0x9E3779B97F4A7C15 % 2**64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = x ^ (x >> np.uint64(27))
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(x), 65536):
+            ones += np.unpackbits(x[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(x), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def similar_groups(docs: DataFrame) -> DataFrame:
+    """id, root of groups of rows (column _row) whose texts are alike: ids are the least rows of equal texts' sketches.
+
+    Multi-index hashing over eight segments of 32 bits, each with its ball of radius 1. A look-up fetches the least id
+    filed under the place, so a group of n gives a number of links in proportion to n; complete distances over the
+    verifying bits confirm them. Pairs of at most 15 differing bits are always looked up; more distant ones are found
+    with a chance that falls with the distance (at a similarity of 0.9 about nine in ten, at 0.8 one in two).
+    """
+    names = [f"i{k}" for k in range(WORDS)] + [f"c{k}" for k in range(WORDS)]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            rows = [sketch(t, LOOKUP) + sketch(t, VERIFY) for t in utf8(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], ["_row", *names])
+
+    prints = docs.select("_row", "text").mapInArrow(run, ", ".join(f"{c} long" for c in ["_row", *names]))
+    classes = materialize(prints.groupBy(*names).agg(F.min("_row").alias("id")), "classes")
+    pieces = [(F.lit(WORDS * 2 - 1 - k).cast("long") * (1 << SEGMENT_BITS)).bitwiseOR(segment(F.col(f"i{k // 2}"), k % 2)) for k in range(2 * WORDS)]
+    table = classes.select("id", F.explode(F.array(*pieces)).alias("place")).groupBy("place").agg(F.min("id").alias("rep"))
+    flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << i for i in range(SEGMENT_BITS)))])
+    ball = F.flatten(F.transform(F.array(*pieces), lambda p: F.transform(flips, lambda x: p.bitwiseXOR(x))))
+    probes = classes.select("id", F.explode(ball).alias("place"))
+    pairs = probes.join(materialize(table, "table"), "place").where(F.col("rep") < F.col("id")).select("id", "rep").distinct()
+    checks = [f"c{k}" for k in range(WORDS)]
+    left = classes.select("id", *checks)
+    right = classes.select(F.col("id").alias("rep"), *[F.col(c).alias(f"r{c}") for c in checks])
+    distance = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"r{c}"))) for c in checks), F.lit(0))
+    near = materialize(pairs.join(left, "id").join(right, "rep").where(distance <= FAR).select(F.col("id").alias("a"), F.col("rep").alias("b")), "links")
+    labels = components(near)
+    return classes.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs without those that an earlier row of their group stands for; columns stay as they are.
+
+    Groups are those of similar_groups: five-word shingles, a similarity of 0.8 or more. docs must be read in one order
+    each time, as files are. Rows are told apart by their place, so null and repeated doc_ids do no harm; of repeated
+    rows, and of texts without words, one stays.
     """
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    found = near_duplicates(numbered.select(F.col("_row").alias("doc_id"), "text"), shingle, radius)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_row"))
+    groups = similar_groups(numbered)
+    stay = groups.where(F.col("id") == F.col("root")).select(F.col("id").alias("_row"))
     return numbered.join(stay, "_row", "left_semi").select(*docs.columns)
 
 
