@@ -19,12 +19,22 @@ def digits(text: Column) -> Column:
     return F.when(trimmed.rlike("^-?[0-9]+$"), trimmed).otherwise(F.lit("0"))
 
 
+def padded(text: Column) -> Column:
+    """Sign and 90 digits. Kept as a column of its own, a number is parsed once for all its limbs."""
+    number = digits(text)
+    sign = F.when(F.startswith(number, F.lit("-")), F.lit("-")).otherwise(F.lit("+"))
+    return F.concat(sign, F.lpad(F.ltrim(F.translate(number, "-", "")), LIMBS * DIGITS, "0"))
+
+
+def split(number: Column) -> list[Column]:
+    """Signed limbs of a padded number, the lowest first."""
+    sign = F.when(F.startswith(number, F.lit("-")), F.lit(-1)).otherwise(F.lit(1)).cast("long")
+    return [(F.substring(number, DIGITS * (LIMBS - 1 - k) + 2, DIGITS).cast("long") * sign).cast(WIDE) for k in range(LIMBS)]
+
+
 def limbs(text: Column) -> list[Column]:
     """Signed limbs, the lowest first."""
-    number = digits(text)
-    sign = F.when(F.startswith(number, F.lit("-")), F.lit(-1)).otherwise(F.lit(1)).cast(WIDE)
-    padded = F.lpad(F.ltrim(F.translate(number, "-", "")), LIMBS * DIGITS, "0")
-    return [(F.substring(padded, DIGITS * (LIMBS - 1 - k) + 1, DIGITS).cast(WIDE) * sign).cast(WIDE) for k in range(LIMBS)]
+    return split(padded(text))
 
 
 def plus(a: list[Column], b: list[Column]) -> list[Column]:

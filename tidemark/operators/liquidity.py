@@ -18,15 +18,16 @@ def liquidity_windows(events: DataFrame, minutes: int = 60) -> DataFrame:
     """
     window = F.window("event_time", f"{minutes} minutes")
     rows = events.where(F.col("eventType").isin("Mint", "Burn", "Transfer")).withColumn("window", window)
+    rows = rows.withColumns({f"_{c}": bigint.padded(F.col(c)) for c in ("amount0", "amount1", "value")})
     is_kind = lambda kind: F.col("eventType") == kind
     either = is_kind("Mint") | is_kind("Burn")
     symbol = lambda k: F.min(F.when(either & S.not_blank(F.col(f"token{k}Symbol")).isNotNull(), F.struct("seq", F.col(f"token{k}Symbol").alias("v")))).alias(f"symbol{k}")
-    amount = lambda k, kind: bigint.sums(bigint.limbs(F.col(f"amount{k}")), is_kind(kind)).alias(f"{kind}{k}")
+    amount = lambda k, kind: bigint.sums(bigint.split(F.col(f"_amount{k}")), is_kind(kind)).alias(f"{kind}{k}")
     keys = ["window", "pairAddress"]
     per_tx = rows.groupBy(*keys, "transactionHash").agg(
         F.count_if(is_kind("Mint")).alias("mints"), F.count_if(is_kind("Burn")).alias("burns"), F.count_if(is_kind("Transfer")).alias("transfers"),
         amount(0, "Mint"), amount(1, "Mint"), amount(0, "Burn"), amount(1, "Burn"),
-        bigint.sums(bigint.limbs(F.col("value")), is_kind("Transfer")).alias("moved"), symbol(0), symbol(1),
+        bigint.sums(bigint.split(F.col("_value")), is_kind("Transfer")).alias("moved"), symbol(0), symbol(1),
     )
     total = lambda c, where=None: bigint.sums(bigint.of_struct(c), where)
     per_window = per_tx.groupBy(*keys).agg(

@@ -24,7 +24,7 @@ def _order() -> Column:
 
 
 def _volume(k: int) -> list[Column]:
-    return bigint.plus(bigint.limbs(F.col(f"amount{k}In")), bigint.limbs(F.col(f"amount{k}Out")))
+    return bigint.plus(bigint.split(F.col(f"_amount{k}In")), bigint.split(F.col(f"_amount{k}Out")))
 
 
 def partials(swaps: DataFrame, window: Column, *more: Column) -> DataFrame:
@@ -32,6 +32,7 @@ def partials(swaps: DataFrame, window: Column, *more: Column) -> DataFrame:
     vol0 = (bigint.to_double(F.col("amount0In")) + bigint.to_double(F.col("amount0Out"))).alias("vol0")
     sender, recipient = S.address(F.col("sender")), S.address(F.col("recipient"))
     rows = swaps.withColumn("window", window).withColumn("vol0", vol0).withColumn("_order", _order())
+    rows = rows.withColumns({f"_{c}": bigint.padded(F.col(c)) for c in ("amount0In", "amount1In", "amount0Out", "amount1Out", "gasPrice")})
     # Without a USD value a swap counts by its token0 volume; the seed (0, no address) wins against none of it.
     by_volume = bigint.sort_key(_volume(0))
     rows = rows.withColumn("_rank", F.when(F.col("volumeUSD").isNotNull(), F.struct(F.lit(1).alias("p"), F.col("volumeUSD").alias("u"), F.lit("").alias("v"), (-F.col("seq")).alias("s"))).when(F.col("vol0") > 0, F.struct(F.lit(0).alias("p"), F.lit(0.0).alias("u"), by_volume.alias("v"), (-F.col("seq")).alias("s"))))
@@ -51,7 +52,7 @@ def partials(swaps: DataFrame, window: Column, *more: Column) -> DataFrame:
         F.sum("volumeUSD").alias("usd"),
         F.count("*").alias("swaps"),
         F.sum("gasUsed").alias("gas"),
-        bigint.sums(bigint.limbs(F.col("gasPrice"))).alias("gasPrice"),
+        bigint.sums(bigint.split(F.col("_gasPrice"))).alias("gasPrice"),
         F.sum((sender == recipient).cast("int")).alias("arbitrage"),
         F.max(F.when(F.col("_rank").isNotNull(), F.col("_largest"))).alias("largest"),
         *more,
