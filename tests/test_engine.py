@@ -63,6 +63,11 @@ def test_average_price_is_weighted_by_volume(spark):
     assert one(trading.trading_windows(events(spark, swap(price=9.0, amount0In="0")))).twap == 9.0  # without volume, the close
 
 
+def test_the_record_of_an_empty_window(spark):
+    row = one(trading.empty_window(spark, "p", 0, 300_000))
+    assert (row.windowId, row.twap, row.swapCount, row.volumeUSD, row.averageGasPrice, row.repeatedTraders) == ("p:0:300000", 0.0, 0, None, "0", [])
+
+
 def test_prices_follow_time_then_log_then_arrival(spark):
     same = [swap(price=p, logIndex=0) for p in (100.0, 150.0, 80.0, 120.0)]
     row = one(trading.trading_windows(events(spark, *same)))

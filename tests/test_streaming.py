@@ -71,6 +71,14 @@ def test_finality_gate(spark, tmp_path):
     assert jobs.finality_gate(stream, 0) is stream
 
 
+def test_copies_go_only_if_asked(spark, tmp_path):
+    df = events(spark, swap(eventId="a"), swap(eventId="a"), swap(eventId="b"))
+    assert jobs.without_copies(df).count() == 2
+    stream = jobs.with_lateness(jobs.read_files(spark, _written(df, tmp_path), df.schema))
+    drained(jobs.start_append(jobs.without_copies(stream), str(tmp_path / "out"), str(tmp_path / "c"), availableNow=True))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
 def _written(df, tmp_path):
     path = str(tmp_path / "in")
     df.coalesce(1).write.parquet(path)

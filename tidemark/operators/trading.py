@@ -6,11 +6,12 @@ per window that holds it. Traders are counted over (window, pool, trader), which
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import bigint
 from tidemark.functions import scalars as S
+from tidemark.schemas import TRADING
 
 KEYS = ["window", "pairAddress"]
 
@@ -128,6 +129,15 @@ def trading_windows(events: DataFrame, minutes: int = 5) -> DataFrame:
     return result.join(active, KEYS).drop("window")
 
 
+def empty_window(spark: SparkSession, pair: str, start: int, end: int) -> DataFrame:
+    """The record of a window without swaps, bounds in milliseconds; grouped plans never make one."""
+    text = {"windowId": f"{pair}:{start}:{end}", "pairAddress": pair, "totalVolume0": "0", "totalVolume1": "0", "largestSwapValue": "0", "largestSwapAddress": "", "averageGasPrice": "0"}
+    zero = {"long": 0, "int": 0, "double": 0.0}
+    row = {f.name: text.get(f.name, zero.get(f.dataType.simpleString().replace("bigint", "long"))) for f in TRADING.fields if f.name != "processedAt"}
+    row |= {"windowStart": start, "windowEnd": end, "volumeUSD": None, "repeatedTraders": []}
+    return spark.createDataFrame([tuple(row.values())], TRADING[:-1])
+
+
 def market_trends(events: DataFrame, minutes: int = 30, slide: int = 5) -> DataFrame:
     """One row per pool and sliding window that has swaps: average price, change in percent and its class."""
     swaps, pane = swaps_of(events), F.window("event_time", f"{slide} minutes")

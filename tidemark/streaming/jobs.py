@@ -34,6 +34,11 @@ def with_lateness(events: DataFrame, seconds: int = 60) -> DataFrame:
     return events.withWatermark("event_time", f"{seconds} seconds")
 
 
+def without_copies(events: DataFrame) -> DataFrame:
+    """Opt-in: one event of each eventId, on streams within the watermark. No plan does this by itself."""
+    return events.dropDuplicatesWithinWatermark(["eventId"]) if events.isStreaming else events.dropDuplicates(["eventId"])
+
+
 def _counted(state_and_traders: DataFrame) -> DataFrame:
     every = F.flatten("_traders")
     distinct = F.array_distinct(every)
