@@ -7,8 +7,9 @@ shards there are. A shard builds an FM-index of its stretches (Burrows-Wheeler t
 bits with rank directories) and runs backward search for all its stretches side by side. The matching statistics it
 gets (how long a match ends at a place that occurs at least twice) are reported as intervals of repeated windows.
 
-Markers found more than HOT times (mass copies, very common passages) would overfill a shard. Their windows are counted
-by 128-bit hashes instead, which a partial aggregate shrinks before the shuffle; that is exact for any group size.
+Stretches of equal content go to the shuffle once per task, so copies cost no index space. Markers found more than HOT
+times would still overfill a shard with contents that differ only at their ends. Their windows are counted by 128-bit
+hashes instead, which a partial aggregate shrinks before the shuffle; that is exact for any group size.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from tidemark.llm.common import materialize, read, sliced, utf8
 WINDOW = 35
 #: Words of the runs whose least hash is a window's marker.
 GRAM = 8
-#: Stretches of one marker that a shard takes; the windows of more common markers are counted by hash.
-HOT = 1000
+#: Places of one marker that a shard takes, a million words or so; the windows of more common markers are counted by hash.
+HOT = 20_000
 #: Words of a shard, about.
 SHARD_WORDS = 400_000
 #: Longest pattern that an index answers; suffixes are sorted by so many words.
@@ -205,54 +206,79 @@ def _spots(docs: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, window: int, shards: int) -> DataFrame:
-    """_row, start, size (windows) of repeated windows; texts: _row, text, spots."""
+    """_row, start, a, n: runs of n repeated windows from start + a on, as two arrays; texts: _row, text, spots."""
 
-    def cold(batches):
+    def wanted(batch, hot: bool):
+        for row, text, spots in zip(batch.column("_row").to_pylist(), utf8(batch, "text"), batch.column("spots").to_pylist(), strict=True):
+            mine = [s for s in spots if s["hot"] == hot]
+            if mine:
+                yield row, text.split(), mine
+
+    def content(split, spot):
+        words = b" ".join(split[spot["start"] : spot["start"] + spot["size"] + window - 1])
+        return xxhash.xxh3_128_digest(words), words
+
+    def places(batches):
+        for batch in sliced(batches, "text"):
+            rows, start, key = [], [], []
+            for row, split, spots in wanted(batch, False):
+                for s in spots:
+                    rows.append(row)
+                    start.append(s["start"])
+                    key.append(content(split, s)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(start, pa.int32()), pa.array(key, pa.binary())], ["_row", "start", "key"])
+
+    def contents(batches):
+        """Each content once per task with its words, and once without if it comes again: copies stay out of the shuffle."""
+        seen: dict[bytes, bool] = {}
         for batch in sliced(batches, "text"):
-            rows, start, marker, words = [], [], [], []
-            for row, text, spots in zip(batch.column("_row").to_pylist(), utf8(batch, "text"), batch.column("spots").to_pylist(), strict=True):
-                split = text.split()
+            marker, key, words = [], [], []
+            for _, split, spots in wanted(batch, False):
                 for s in spots:
-                    if not s["hot"]:
-                        rows.append(row)
-                        start.append(s["start"])
-                        marker.append(s["marker"])
-                        words.append(b" ".join(split[s["start"] : s["start"] + s["size"] + window - 1]))
-            for at in range(0, len(rows), 20_000):
-                part = slice(at, at + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[part], pa.int64()), pa.array(start[part], pa.int32()), pa.array(marker[part], pa.int64()), pa.array(words[part], pa.binary())], ["_row", "start", "marker", "words"])
+                    k, w = content(split, s)
+                    again = seen.get(k)
+                    if again:
+                        continue
+                    seen[k] = again is not None
+                    marker.append(s["marker"])
+                    key.append(k)
+                    words.append(w if again is None else None)
+            yield pa.RecordBatch.from_arrays([pa.array(marker, pa.int64()), pa.array(key, pa.binary()), pa.array(words, pa.binary())], ["marker", "key", "words"])
 
     def search(table: pa.Table) -> pa.Table:
-        rows, start = table.column("_row").to_numpy(), table.column("start").to_numpy()
-        out = [[], [], []]
-        for row, s, flags in zip(rows.tolist(), start.tolist(), repeated_windows([w.split() for w in table.column("words").to_pylist()], window), strict=True):
-            a, n = runs(flags)
-            out[0].append(np.full(len(a), row, np.int64))
-            out[1].append((a + s).astype(np.int32))
-            out[2].append(n.astype(np.int32))
-        return pa.table([pa.array(np.concatenate(c)) for c in out], ["_row", "start", "size"])
+        found: dict[bytes, list] = {}
+        for k, w in zip(table.column("key").to_pylist(), table.column("words").to_pylist(), strict=True):
+            held = found.setdefault(k, [None, 0])
+            held[0] = held[0] or w
+            held[1] += 1
+        keys, first, size = [], [], []
+        flagged = repeated_windows([w.split() for w, _ in found.values()], window)
+        for (k, (_, times)), flags in zip(found.items(), flagged, strict=True):
+            a, n = runs(flags if times < 2 else np.ones(len(flags), bool))
+            if len(a):
+                keys.append(k)
+                first.append(a)
+                size.append(n)
+        return pa.table([pa.array(keys, pa.binary()), pa.array(first, pa.list_(pa.int32())), pa.array(size, pa.list_(pa.int32()))], ["key", "a", "n"])
 
     def hot(batches):
         for batch in sliced(batches, "text"):
             out = [[], [], [], []]
-            for row, text, spots in zip(batch.column("_row").to_pylist(), utf8(batch, "text"), batch.column("spots").to_pylist(), strict=True):
-                wanted = [(s["start"], s["size"]) for s in spots if s["hot"]]
-                if not wanted:
-                    continue
-                x = word_hashes(text.split())
+            for row, split, spots in wanted(batch, True):
+                x = word_hashes(split)
                 a, b = grams(x, window, 0xD1342543DE82EF95), grams(x, window, 0xAF251AF3B0F025B5)
-                at = np.concatenate([np.arange(s, s + n) for s, n in wanted])
+                at = np.concatenate([np.arange(s["start"], s["start"] + s["size"]) for s in spots])
                 for c, values in zip(out, (np.full(len(at), row, np.int64), at.astype(np.int32), a[at].view(np.int64), b[at].view(np.int64)), strict=True):
                     c.append(values)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["_row", "start", "w1", "w2"])
 
-    schema = "_row long, start int, size int"
-    segments = texts.mapInArrow(cold, "_row long, start int, marker long, words binary").withColumn("shard", F.pmod("marker", F.lit(shards)))
-    spans = segments.groupBy("shard").applyInArrow(search, schema)
+    sharded = texts.mapInArrow(contents, "marker long, key binary, words binary").withColumn("shard", F.pmod("marker", F.lit(shards)))
+    known = sharded.groupBy("shard").applyInArrow(search, "key binary, a array<int>, n array<int>")
+    spans = texts.mapInArrow(places, "_row long, start int, key binary").join(known, "key").select("_row", "start", "a", "n")
     windows = materialize(texts.mapInArrow(hot, "_row long, start int, w1 long, w2 long"), "windows")
-    twice = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1").select("w1", "w2"), "twice")
-    return spans.unionByName(windows.join(twice, ["w1", "w2"]).select("_row", "start", F.lit(1).alias("size")))
+    twice = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2"), "twice")
+    return spans.unionByName(windows.join(twice, ["w1", "w2"]).select("_row", "start", F.array(F.lit(0)).alias("a"), F.array(F.lit(1)).alias("n")))
 
 
 def removal(words: list[bytes], spans: list[dict] | None, window: int) -> list[bytes]:
@@ -261,8 +287,9 @@ def removal(words: list[bytes], spans: list[dict] | None, window: int) -> list[b
         return words
     depth = np.zeros(len(words) + 1, np.int64)
     for s in spans:
-        depth[s["start"]] += 1
-        depth[s["start"] + s["size"] + window - 1] -= 1
+        for a, n in zip(s["a"], s["n"], strict=True):
+            depth[s["start"] + a] += 1
+            depth[s["start"] + a + n + window - 1] -= 1
     return [w for w, d in zip(words, np.cumsum(depth[:-1]).tolist(), strict=True) if not d]
 
 
@@ -300,7 +327,7 @@ def _removed(docs: DataFrame, window: int, keep_all: bool) -> DataFrame:
     joined = materialize(_split_text(numbered.join(listed, "_row", "left"), names, schema, digest, keep_all), "texts")
     found = materialize(joined.where("spots is not null").select("_row", "text", "spots"), "found") if keep_all else joined.where("spots is not null").select("_row", "text", "spots")
     total = found.select(F.explode("spots").alias("s")).where("not s.hot").agg(F.sum(F.col("s.size") + window - 1)).first()[0] or 0
-    spans = repeated_spans(found, window, max(1, -(-total // SHARD_WORDS))).groupBy("_row").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    spans = repeated_spans(found, window, max(1, -(-total // SHARD_WORDS))).groupBy("_row").agg(F.collect_list(F.struct("start", "a", "n")).alias("spans"))
     done = joined.where("spots is null").select(*names, "_words", "_kept", "_sha")
     some = joined.where("spots is not null").select("_row", *names).join(spans, "_row", "left").mapInArrow(cut, schema)
     return done.unionByName(some)
