@@ -196,6 +196,21 @@ def test_url_rules(spark):
 PAGE = '<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a>Home</a></ul></nav><!-- no --><main class="with-sidebar"><h1>A &amp; B</h1><p>One <b>t</b>wo\n three&nbsp;four.</p><div class="ad">buy</div><form><input>Name</form><p>Five<br>six</p><section id="comments"><p>nice post, many words, really very many words</p></section></main><div class="cookie-notice">We use</div><script>x("</p>")</script><footer>c</footer></body></html>'
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p class='notice'>Note<p>One two three<p>Four</article>", "One two three\nFour"),
+        ("<nav>Menu<article><p>One two<div class=ad>Buy</article><div>Tail text</div>", "One two"),
+        ("<div class='sidebar-right'><article><p>Main text here</article></div><div class=comments><article>nice one</article></div>", "Main text here"),
+        ("<div class='site-header'>Site name here</div><article><header><h1>T</h1></header><p>Text of it</p></article>", "T\nText of it"),
+        ("<div class='post-header has-sidebar'><h1>Title</h1></div><p>Some text &#8212; and more.</p>", "Title\nSome text \u2014 and more."),
+        ("<ul class='breadcrumbs'><li>a<li>b</ul><table><tr><td>One</td><td>two words</td></tr></table><div id='comments'><p>hi there you</p></div>", "One\ntwo words"),
+    ],
+)
+def test_pages_that_are_not_tidy(page, want):
+    assert html.main_text(page, {}) == want
+
+
 def test_main_text(spark):
     pages = spark.createDataFrame([(k, "u", t) for k, t in enumerate([PAGE, None, "", "plain &lt;text&gt;", PAGE, "<p>unclosed <b>words", "<div>" * 2000 + "deep" + "</div>" * 10])], "page_id long, url string, html string")
     got = {r.page_id: (r.text, r.n_chars) for r in html.extract(pages).collect()}

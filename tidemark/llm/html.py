@@ -34,7 +34,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 ASIDE = frozenset("nav footer aside form button dialog menu head".split())
 CONTENT = frozenset(["article", "main"])
 #: Words of class, id and role values that mark elements without content.
-MARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus reply replies share sharing social related recommended newsletter subscribe subscription signup footer pagination contentinfo complementary search widget".split())
+MARKS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar menu nav navbar navigation breadcrumb breadcrumbs comment comments disqus reply replies share sharing social related recommended newsletter subscribe subscription signup footer pagination contentinfo complementary search widget masthead topbar toolbar login skip".split())
+#: Class and id values of page headers, which count outside the content only.
+HEADERS = frozenset("header site-header page-header main-header top-header global-header header-top header-main".split())
 #: Names that speak of what an element has beside it, such as with-sidebar.
 ABOUT = frozenset(["with", "has", "no", "without"])
 WORDS = re.compile(r"[a-z]+")
@@ -60,6 +62,8 @@ def is_aside(name: str, attributes: str, inside: int) -> bool:
         return False
     for m in NAMED.finditer(attributes):
         for token in (m[2] or m[3] or m[4] or "").lower().split():
+            if token.replace("_", "-") in HEADERS and not inside:
+                return True
             words = WORDS.findall(token)
             if words and words[0] not in ABOUT and (words[0] in MARKS or words[-1] in MARKS):
                 return True
@@ -68,13 +72,16 @@ def is_aside(name: str, attributes: str, inside: int) -> bool:
 
 def marked(page: str) -> list[tuple[str, str, bool, int]]:
     """(kind, value, is aside, depth of content elements) per token."""
-    out, skip, depth, inside = [], "", 0, 0
+    out, skip, depth, inside, seen = [], "", 0, 0, False
     for kind, value, attributes in tokens(page):
         if kind == "open":
             if value in CONTENT:
                 inside += 1
-                if skip in ASIDE or skip == "header":
-                    skip = ""  # an element left open ends here at the latest
+                if skip in ASIDE or skip == "header" or not seen:
+                    skip = ""  # an element left open, or one around the whole layout, ends here at the latest
+                seen = True
+            if skip == "p" and value in BLOCKS:
+                skip = ""  # paragraphs do not nest: a block ends one
             if skip:
                 depth += value == skip
             elif value not in VOID and is_aside(value, attributes, inside):
@@ -83,6 +90,8 @@ def marked(page: str) -> list[tuple[str, str, bool, int]]:
         if kind == "close":
             if value in CONTENT and inside:
                 inside -= 1
+                if value != skip and not inside:
+                    skip = ""  # what was left open inside the content ends with it
             if skip and value == skip:
                 depth -= 1
                 if not depth:
