@@ -166,7 +166,10 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     right = classes.select(F.col("id").alias("rep"), *[F.col(c).alias(f"r{c}") for c in checks])
     distance = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"r{c}"))) for c in checks), F.lit(0))
     near = materialize(pairs.join(left, "id").join(right, "rep").where(distance <= FAR).select(F.col("id").alias("a"), F.col("rep").alias("b")), "links")
-    labels = components(near)
+    # A row's links to several ids become links of these to the least: the same groups, and few different links.
+    least = near.groupBy("a").agg(F.min("b").alias("least"))
+    stars = near.join(least, "a").where(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
+    labels = components(least.select("a", F.col("least").alias("b")).unionByName(stars).distinct())
     return classes.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
 
 
