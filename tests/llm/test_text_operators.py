@@ -136,7 +136,7 @@ def test_contamination(files, spark):
     assert rows_of(decontaminate.contamination(files, bench)) == sorted(want, key=str)
     assert rows_of(decontaminate.contamination(files, bench, block_bytes=200)) == sorted(want, key=str)
     kept = decontaminate.contamination(files, bench, keep_columns=True)
-    assert kept.columns == [*files.columns, "contaminated"] and kept.where("contaminated").count() == sum(x[-1] for x in want)
+    assert kept.columns == [*files.columns, "_contaminated"] and kept.where("_contaminated").count() == sum(x[-1] for x in want)
     assert decontaminate.contamination(files, bench.limit(0)).where("contaminated or n_items > 0").count() == 0
 
 

@@ -206,10 +206,10 @@ def _spots(docs: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, window: int, shards: int) -> DataFrame:
-    """_row, start, a, n: runs of n repeated windows from start + a on, as two arrays; texts: _row, text, spots."""
+    """_row, start, a, n: runs of n repeated windows from start + a on, as two arrays; texts: _row, text, _spots."""
 
     def wanted(batch, hot: bool):
-        for row, text, spots in zip(batch.column("_row").to_pylist(), utf8(batch, "text"), batch.column("spots").to_pylist(), strict=True):
+        for row, text, spots in zip(batch.column("_row").to_pylist(), utf8(batch, "text"), batch.column("_spots").to_pylist(), strict=True):
             mine = [s for s in spots if s["hot"] == hot]
             if mine:
                 yield row, text.split(), mine
@@ -298,7 +298,7 @@ def _removed(docs: DataFrame, window: int, keep_all: bool) -> DataFrame:
     names = docs.columns
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     # Spans depend on the text alone, and rows keep their numbers as long as docs is read in one order, as files are.
-    listed = _spots(numbered, window).groupBy("_row").agg(F.collect_list(F.struct("start", "size", "marker", "hot")).alias("spots"))
+    listed = _spots(numbered, window).groupBy("_row").agg(F.collect_list(F.struct("start", "size", "marker", "hot")).alias("_spots"))
     shape = "_words long, _kept long, _sha string"
 
     def digest(batch, spans, rest):
@@ -314,22 +314,18 @@ def _removed(docs: DataFrame, window: int, keep_all: bool) -> DataFrame:
         columns = [pa.array(left, pa.binary()).cast(pa.string()) if c == "text" and keep_all else pa.nulls(len(left), pa.string()) if c == "text" else batch.column(c) for c in rest]
         return pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_kept, pa.int64()), pa.array(sha, pa.string())], [*rest, "_words", "_kept", "_sha"])
 
-    def plain(batches):
-        for batch in sliced(batches, "text"):
-            yield digest(batch, [None] * batch.num_rows, names)
-
     def cut(batches):
         for batch in sliced(batches, "text"):
-            yield digest(batch, batch.column("spans").to_pylist(), names)
+            yield digest(batch, batch.column("_spans").to_pylist(), names)
 
     base = docs.select(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in names])
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields] + [shape])
     joined = materialize(_split_text(numbered.join(listed, "_row", "left"), names, schema, digest, keep_all), "texts")
-    found = materialize(joined.where("spots is not null").select("_row", "text", "spots"), "found") if keep_all else joined.where("spots is not null").select("_row", "text", "spots")
-    total = found.select(F.explode("spots").alias("s")).where("not s.hot").agg(F.sum(F.col("s.size") + window - 1)).first()[0] or 0
-    spans = repeated_spans(found, window, max(1, -(-total // SHARD_WORDS))).groupBy("_row").agg(F.collect_list(F.struct("start", "a", "n")).alias("spans"))
-    done = joined.where("spots is null").select(*names, "_words", "_kept", "_sha")
-    some = joined.where("spots is not null").select("_row", *names).join(spans, "_row", "left").mapInArrow(cut, schema)
+    found = materialize(joined.where("_spots is not null").select("_row", "text", "_spots"), "found") if keep_all else joined.where("_spots is not null").select("_row", "text", "_spots")
+    total = found.select(F.explode("_spots").alias("s")).where("not s.hot").agg(F.sum(F.col("s.size") + window - 1)).first()[0] or 0
+    spans = repeated_spans(found, window, max(1, -(-total // SHARD_WORDS))).groupBy("_row").agg(F.collect_list(F.struct("start", "a", "n")).alias("_spans"))
+    done = joined.where("_spots is null").select(*names, "_words", "_kept", "_sha")
+    some = joined.where("_spots is not null").select("_row", *names).join(spans, "_row", "left").mapInArrow(cut, schema)
     return done.unionByName(some)
 
 
@@ -338,13 +334,13 @@ def _split_text(joined: DataFrame, names: list[str], schema: str, digest, keep_a
 
     def run(batches):
         for batch in sliced(batches, "text"):
-            spots = batch.column("spots").to_pylist()
+            spots = batch.column("_spots").to_pylist()
             done = digest(batch, [None] * batch.num_rows, names)
             text = batch.column("text") if keep_all else pa.array([t if s else None for t, s in zip(utf8(batch, "text"), spots, strict=True)], pa.binary()).cast(pa.string())
             columns = [text if c == "text" else done.column(c) for c in done.schema.names]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column("_row"), batch.column("spots")], [*done.schema.names, "_row", "spots"])
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("_row"), batch.column("_spots")], [*done.schema.names, "_row", "_spots"])
 
-    return joined.mapInArrow(run, schema + ", _row long, spots array<struct<start:int,size:int,marker:bigint,hot:boolean>>")
+    return joined.mapInArrow(run, schema + ", _row long, _spots array<struct<start:int,size:int,marker:bigint,hot:boolean>>")
 
 
 def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
