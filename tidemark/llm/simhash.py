@@ -109,9 +109,57 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For whole-document similarity: 256 bits from three-word shingles to look up, 256 bits from five-word shingles to
-#: verify. Texts that share 0.8 of their five-word shingles differ in 0.151 of the latter bits (39) on the average.
-WORDS, LOOKUP, VERIFY, FAR = 4, 3, 5, 42
+#: For whole-document similarity: words of a shingle, and the least share (of 10) of all shingles of two rows that both have.
+GRAM, ALIKE = 5, 8
+
+
+def shingles(text: bytes | None) -> np.ndarray:
+    """The sorted, different hashes of the five-word shingles of a text (of all its words if they are fewer)."""
+    tokens = (text or b"").lower().split()
+    n = len(tokens)
+    if not n:
+        return np.zeros(0, np.int64)
+    k = min(GRAM, n)
+    joined = b" ".join(tokens)
+    size = np.fromiter(map(len, tokens), np.int64, n)
+    ends = np.cumsum(size + 1) - 1
+    starts = (ends - size)[: n - k + 1].tolist()
+    hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64)
+    return np.unique(hashes.view(np.int64))
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets share ALIKE tenths of their union or more."""
+    if 10 * min(len(x), len(y)) < ALIKE * max(len(x), len(y)):
+        return False
+    both = np.concatenate((x, y))
+    both.sort(kind="stable")
+    shared = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 10 * shared >= ALIKE * (len(both) - shared)
+
+
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs a, b of rows of docs (column _row) whose sets of shingles are alike; only rows of pairs are fetched."""
+    pairs = materialize(pairs.select("a", "b"), "pairs")
+    wanted = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array([shingles(t).tobytes() for t in utf8(batch, "text")], pa.binary())], ["_row", "s"])
+
+    sets = materialize(docs.select("_row", "text").join(wanted, "_row", "left_semi").mapInArrow(cut, "_row long, s binary"), "sets")
+
+    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)
+            yield batch.select(["a", "b"]).filter(pa.array([alike(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) for x, y in sets], pa.bool_()))
+
+    of = lambda end: sets.select(F.col("_row").alias(end), F.col("s").alias(f"s{end}"))
+    return materialize(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "links")
+
+
+#: 256 bits from three-word shingles to look up.
+WORDS, LOOKUP = 4, 3
 
 
 def sketch(text: bytes | None, shingle: int, words: int = WORDS) -> list[int]:
@@ -139,33 +187,31 @@ def sketch(text: bytes | None, shingle: int, words: int = WORDS) -> list[int]:
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
-    """id, root of groups of rows (column _row) whose texts are alike: ids are the least rows of equal texts' sketches.
+    """id, root of groups of rows (column _row) whose texts are alike: ids are the least rows of equal sets of shingles.
 
     Multi-index hashing over eight segments of 32 bits, each with its ball of radius 1. A look-up fetches the least id
-    filed under the place, so a group of n gives a number of links in proportion to n; complete distances over the
-    verifying bits confirm them. Pairs of at most 15 differing bits are always looked up; more distant ones are found
+    filed under the place, so a group of n gives a number of links in proportion to n; the exact similarity of the
+    five-word shingles confirms them. Pairs of at most 15 differing bits are always looked up; more distant ones are found
     with a chance that falls with the distance (at a similarity of 0.9 about nine in ten, at 0.8 one in two).
     """
-    names = [f"i{k}" for k in range(WORDS)] + [f"c{k}" for k in range(WORDS)]
+    names = [f"i{k}" for k in range(WORDS)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            rows = [sketch(t, LOOKUP) + sketch(t, VERIFY) for t in utf8(batch, "text")]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))], ["_row", *names])
+            texts = utf8(batch, "text")
+            rows = [sketch(t, LOOKUP) for t in texts]
+            digests = [xxhash.xxh3_128_digest(shingles(t).tobytes()) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array(digests, pa.binary())], ["_row", *names, "digest"])
 
-    prints = docs.select("_row", "text").mapInArrow(run, ", ".join(f"{c} long" for c in ["_row", *names]))
-    classes = materialize(prints.groupBy(*names).agg(F.min("_row").alias("id")), "classes")
+    prints = docs.select("_row", "text").mapInArrow(run, ", ".join(f"{c} long" for c in ["_row", *names]) + ", digest binary")
+    classes = materialize(prints.groupBy(*names, "digest").agg(F.min("_row").alias("id")), "classes")
     pieces = [(F.lit(WORDS * 2 - 1 - k).cast("long") * (1 << SEGMENT_BITS)).bitwiseOR(segment(F.col(f"i{k // 2}"), k % 2)) for k in range(2 * WORDS)]
     table = classes.select("id", F.explode(F.array(*pieces)).alias("place")).groupBy("place").agg(F.min("id").alias("rep"))
     flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << i for i in range(SEGMENT_BITS)))])
     ball = F.flatten(F.transform(F.array(*pieces), lambda p: F.transform(flips, lambda x: p.bitwiseXOR(x))))
     probes = classes.select("id", F.explode(ball).alias("place"))
     pairs = probes.join(materialize(table, "table"), "place").where(F.col("rep") < F.col("id")).select("id", "rep").distinct()
-    checks = [f"c{k}" for k in range(WORDS)]
-    left = classes.select("id", *checks)
-    right = classes.select(F.col("id").alias("rep"), *[F.col(c).alias(f"r{c}") for c in checks])
-    distance = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"r{c}"))) for c in checks), F.lit(0))
-    near = materialize(pairs.join(left, "id").join(right, "rep").where(distance <= FAR).select(F.col("id").alias("a"), F.col("rep").alias("b")), "links")
+    near = verified(pairs.select(F.col("id").alias("a"), F.col("rep").alias("b")), docs)
     # A row's links to several ids become links of these to the least: the same groups, and few different links.
     least = near.groupBy("a").agg(F.min("b").alias("least"))
     stars = near.join(least, "a").where(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
