@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 from tidemark.llm import simhash
 
 WORDS = [f"w{k}" for k in range(5000)]
@@ -50,3 +52,23 @@ def test_a_template_family_below_the_threshold_stays_whole(spark, tmp_path):
     texts = family(r, 60, 240, 40)  # pairwise 236 of 316 shingles: 0.747
     assert 0.7 < similarity(shingles(texts[0]), shingles(texts[1])) < 0.8
     assert kept(spark, texts, tmp_path / "d") == set(range(60))
+
+
+def test_block_edits_down_to_the_threshold_are_all_found(spark, tmp_path):
+    r = random.Random(2)
+    texts = []
+    for _ in range(60):
+        w = words(400, r)
+        texts += [w, [*w[:170], *words(r.randrange(15, 42), r), *w[200:]], [*w, *words(r.randrange(40, 110), r)]]
+    want = wanted(texts)
+    assert kept(spark, texts, tmp_path / "d") == want and 60 <= len(want) < 120
+
+
+@pytest.mark.parametrize("own", [70, 130])
+def test_pairs_inside_a_family_are_found_behind_its_least_row(spark, tmp_path, own):
+    r = random.Random(3)
+    texts = family(r, 120, 240, own)
+    for k in range(0, 40, 2):  # planted pairs; the rest of the family is below the threshold
+        texts[k + 1] = [*texts[k][:-12], *words(12, r)]
+    want = wanted(texts)
+    assert kept(spark, texts, tmp_path / "d") == want and len(want) == 100

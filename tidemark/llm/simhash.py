@@ -110,7 +110,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 #: For whole-document similarity: words of a shingle, and the least share (of 10) of all shingles of two rows that both have.
-GRAM, ALIKE = 5, 8
+WORDS, ALIKE = 5, 8
+#: Shingles in at least OFTEN of about SAMPLE rows come last in the order of shingles; OFTEN_MOST of them at most. These
+#: numbers decide how much is compared, never what is found.
+SAMPLE, OFTEN, OFTEN_MOST = 20_000, 8, 500_000
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -119,7 +122,7 @@ def shingles(text: bytes | None) -> np.ndarray:
     n = len(tokens)
     if not n:
         return np.zeros(0, np.int64)
-    k = min(GRAM, n)
+    k = min(WORDS, n)
     joined = b" ".join(tokens)
     size = np.fromiter(map(len, tokens), np.int64, n)
     ends = np.cumsum(size + 1) - 1
@@ -158,65 +161,66 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return materialize(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "links")
 
 
-#: 256 bits from three-word shingles to look up.
-WORDS, LOOKUP = 4, 3
+def frequent(docs: DataFrame) -> np.ndarray:
+    """Frequent shingles of a sample of docs, rarest first; their number is bounded."""
+    n = docs.count()
+    some = docs.where(F.pmod(F.xxhash64("_row"), F.lit(max(1, n // SAMPLE))) == 0)
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            found = [shingles(t) for t in utf8(batch, "text")]
+            place, times = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(times)], ["place", "n"])
 
-def sketch(text: bytes | None, shingle: int, words: int = WORDS) -> list[int]:
-    """SimHash of 64 * words bits as signed longs: the hash of a shingle is stretched by mixing it with constants."""
-    tokens = (text or b"").lower().split()
-    n = len(tokens)
-    if not n:
-        return [0] * words
-    k = min(shingle, n)
-    joined = b" ".join(tokens)
-    size = np.fromiter(map(len, tokens), np.int64, n)
-    ends = np.cumsum(size + 1) - 1
-    starts = (ends - size)[: n - k + 1].tolist()
-    hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64)
-    out = []
-    for w in range(words):
-        x = hashes + np.uint64(w * 0x9E3779B97F4A7C15 % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = x ^ (x >> np.uint64(27))
-        ones = np.zeros(64, np.int64)
-        for at in range(0, len(x), 65536):
-            ones += np.unpackbits(x[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(x), bitorder="little").view("<i8")[0]))
-    return out
+    counts = some.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+    rows = counts.where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "place").limit(OFTEN_MOST).toArrow()
+    return rows.column("place").to_numpy()[::-1].copy()
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
-    """id, root of groups of rows (column _row) whose texts are alike: ids are the least rows of equal sets of shingles.
+    """id, root of groups of rows (column _row) that are linked: rows with the same set of shingles are one id, the least.
 
-    Multi-index hashing over eight segments of 32 bits, each with its ball of radius 1. A look-up fetches the least id
-    filed under the place, so a group of n gives a number of links in proportion to n; the exact similarity of the
-    five-word shingles confirms them. Pairs of at most 15 differing bits are always looked up; more distant ones are found
-    with a chance that falls with the distance (at a similarity of 0.9 about nine in ten, at 0.8 one in two).
+    A link is a pair whose exact similarity is 0.8 or more. Pairs to compare come from a prefix filter, which misses none:
+    of two alike sets of x and y shingles in one common order, the first shared one has at least 0.8 / 1.8 * (x + y) shared
+    ones from it on, so it is among the first fifth of both. Frequent shingles come last in the order, so that common
+    lines and templates bring nothing together that its other words keep apart.
     """
-    names = [f"i{k}" for k in range(WORDS)]
+    spark = docs.sparkSession
+    often = frequent(docs)
+    order = np.argsort(often, kind="stable")
+    held = spark.sparkContext.broadcast((often[order], order))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, ranks = held.value
         for batch in sliced(batches, "text"):
-            texts = utf8(batch, "text")
-            rows = [sketch(t, LOOKUP) for t in texts]
-            digests = [xxhash.xxh3_128_digest(shingles(t).tobytes()) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), pa.array(digests, pa.binary())], ["_row", *names, "digest"])
-
-    prints = docs.select("_row", "text").mapInArrow(run, ", ".join(f"{c} long" for c in ["_row", *names]) + ", digest binary")
-    classes = materialize(prints.groupBy(*names, "digest").agg(F.min("_row").alias("id")), "classes")
-    pieces = [(F.lit(WORDS * 2 - 1 - k).cast("long") * (1 << SEGMENT_BITS)).bitwiseOR(segment(F.col(f"i{k // 2}"), k % 2)) for k in range(2 * WORDS)]
-    table = classes.select("id", F.explode(F.array(*pieces)).alias("place")).groupBy("place").agg(F.min("id").alias("rep"))
-    flips = F.array(*[F.lit(x).cast("long") for x in (0, *(1 << i for i in range(SEGMENT_BITS)))])
-    ball = F.flatten(F.transform(F.array(*pieces), lambda p: F.transform(flips, lambda x: p.bitwiseXOR(x))))
-    probes = classes.select("id", F.explode(ball).alias("place"))
-    pairs = probes.join(materialize(table, "table"), "place").where(F.col("rep") < F.col("id")).select("id", "rep").distinct()
-    near = verified(pairs.select(F.col("id").alias("a"), F.col("rep").alias("b")), docs)
+            digests, sizes, firsts = [], [], []
+            for text in utf8(batch, "text"):
+                s = shingles(text)
+                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
+                sizes.append(len(s))
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    s = s[np.argsort(np.where(known[at] == s, ranks[at], -1), kind="stable")]
+                firsts.append(s[: len(s) - -(-ALIKE * len(s) // 10) + 1])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["_row", "digest", "size", "first"])
+
+    prints = materialize(docs.select("_row", "text").mapInArrow(run, "_row long, digest binary, size long, first array<long>"), "prints")
+    classes = materialize(prints.groupBy("digest", "size").agg(F.min("_row").alias("id")).select("id"), "classes")
+    firsts = prints.withColumnRenamed("_row", "id").join(classes, "id", "left_semi")
+    places = firsts.select("id", "size", F.posexplode("first").alias("at", "place"))
+    shared = materialize(places.groupBy("place").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("place", "rep"), "shared")
+    met = materialize(places.join(shared, "place"), "met")
+    near = verified(met.where(F.col("rep") < F.col("id")).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), docs)
+    return rooted(classes, near)
+
+
+def rooted(classes: DataFrame, near: DataFrame) -> DataFrame:
+    """id, root: the least id that links a > b or a < b lead to, for every id of classes."""
     # A row's links to several ids become links of these to the least: the same groups, and few different links.
     least = near.groupBy("a").agg(F.min("b").alias("least"))
     stars = near.join(least, "a").where(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
     labels = components(least.select("a", F.col("least").alias("b")).unionByName(stars).distinct())
-    return classes.select("id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root"))
+    return materialize(classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")), "rooted")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
