@@ -72,3 +72,14 @@ def test_pairs_inside_a_family_are_found_behind_its_least_row(spark, tmp_path, o
         texts[k + 1] = [*texts[k][:-12], *words(12, r)]
     want = wanted(texts)
     assert kept(spark, texts, tmp_path / "d") == want and len(want) == 100
+
+
+def test_strangers_and_chains_in_a_large_group(spark, tmp_path):
+    r = random.Random(4)
+    base, texts = words(300, r), []
+    for _ in range(150):
+        w = list(base)
+        for _ in range(r.randrange(0, 16)):
+            w[r.randrange(300)] = r.choice(WORDS)
+        texts.append(w)
+    assert kept(spark, texts, tmp_path / "d") == wanted(texts)

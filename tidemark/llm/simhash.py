@@ -113,7 +113,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 WORDS, ALIKE = 5, 8
 #: Shingles in at least OFTEN of about SAMPLE rows come last in the order of shingles; OFTEN_MOST of them at most. These
 #: numbers decide how much is compared, never what is found.
-SAMPLE, OFTEN, OFTEN_MOST = 20_000, 8, 500_000
+SAMPLE, OFTEN, OFTEN_MOST = 4_000, 4, 500_000
+#: Places that one task step looks through, about.
+PART = 250_000
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -131,14 +133,10 @@ def shingles(text: bytes | None) -> np.ndarray:
     return np.unique(hashes.view(np.int64))
 
 
-def alike(x: np.ndarray, y: np.ndarray) -> bool:
-    """Whether two sorted sets share ALIKE tenths of their union or more."""
-    if 10 * min(len(x), len(y)) < ALIKE * max(len(x), len(y)):
-        return False
-    both = np.concatenate((x, y))
-    both.sort(kind="stable")
-    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-    return 10 * shared >= ALIKE * (len(both) - shared)
+def alike(x: Column, y: Column) -> Column:
+    """Whether two sets share ALIKE tenths of their union or more."""
+    shared = F.size(F.array_intersect(x, y))
+    return shared * (10 + ALIKE) >= (F.size(x) + F.size(y)) * ALIKE
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -148,17 +146,12 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array([shingles(t).tobytes() for t in utf8(batch, "text")], pa.binary())], ["_row", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array([shingles(t) for t in utf8(batch, "text")], pa.list_(pa.int64()))], ["_row", "s"])
 
-    sets = materialize(docs.select("_row", "text").join(wanted, "_row", "left_semi").mapInArrow(cut, "_row long, s binary"), "sets")
-
-    def check(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist(), strict=True)
-            yield batch.select(["a", "b"]).filter(pa.array([alike(np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)) for x, y in sets], pa.bool_()))
+    sets = materialize(docs.select("_row", "text").join(wanted, "_row", "left_semi").mapInArrow(cut, "_row long, s array<long>"), "sets")
 
     of = lambda end: sets.select(F.col("_row").alias(end), F.col("s").alias(f"s{end}"))
-    return materialize(pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "links")
+    return materialize(pairs.join(of("a"), "a").join(of("b"), "b").where(alike(F.col("sa"), F.col("sb"))).select("a", "b"), "links")
 
 
 def frequent(docs: DataFrame) -> np.ndarray:
@@ -186,32 +179,100 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     lines and templates bring nothing together that its other words keep apart.
     """
     spark = docs.sparkSession
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "text"):
+            sets = [shingles(t) for t in utf8(batch, "text")]
+            columns = [batch.column("_row"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(map(len, sets), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["_row", "digest", "size"])
+
+    prints = materialize(docs.select("_row", "text").mapInArrow(run, "_row long, digest binary, size long"), "prints")
+    classes = materialize(prints.groupBy("digest").agg(F.min("_row").alias("id")).select("id"), "classes")
+    met = meetings(docs, prints.agg(F.sum("size")).first()[0] or 0).join(classes, "id", "left_semi")
+    met = materialize(met, "met")
+    least = met.groupBy("place").agg(F.min(F.struct("id", "size", "at")).alias("rep"), F.count("*").alias("n")).where("n > 1").select("place", "rep")
+    votes = met.join(least, "place").where((F.col("rep.id") < F.col("id")) & possible("size", "at", "rep.size", "rep.at")).groupBy("id", F.col("rep.id").alias("rep")).agg(F.count("*").alias("n"))
+    # One comparison for each row to begin with: the least of those that it meets at half as many places as any or more.
+    votes = materialize(votes, "votes")
+    most = votes.groupBy("id").agg(F.max("n").alias("most"))
+    first = votes.join(most, "id").where("2 * n >= most").groupBy("id").agg(F.min("rep").alias("rep"))
+    near = verified(first.select(F.col("id").alias("a"), F.col("rep").alias("b")), docs)
+    near = near.unionByName(verified(apart(met, rooted(classes, near)), docs))
+    return rooted(classes, near)
+
+
+def meetings(docs: DataFrame, total: int) -> DataFrame:
+    """id, size, at, place: the first shingles of rows of docs that other rows have among their first ones too.
+
+    Places go to the tasks in blocks of bytes, cut by their hashes; total is the number of all shingles.
+    """
+    spark = docs.sparkSession
     often = frequent(docs)
     order = np.argsort(often, kind="stable")
     held = spark.sparkContext.broadcast((often[order], order))
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total * (10 - ALIKE) // 10 // PART)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks = held.value
         for batch in sliced(batches, "text"):
-            digests, sizes, firsts = [], [], []
+            rows = batch.column("_row").to_numpy()
+            firsts, sizes = [], []
             for text in utf8(batch, "text"):
                 s = shingles(text)
-                digests.append(xxhash.xxh3_128_digest(s.tobytes()))
                 sizes.append(len(s))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.argsort(np.where(known[at] == s, ranks[at], -1), kind="stable")]
                 firsts.append(s[: len(s) - -(-ALIKE * len(s) // 10) + 1])
-            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))], ["_row", "digest", "size", "first"])
-
-    prints = materialize(docs.select("_row", "text").mapInArrow(run, "_row long, digest binary, size long, first array<long>"), "prints")
-    classes = materialize(prints.groupBy("digest", "size").agg(F.min("_row").alias("id")).select("id"), "classes")
-    firsts = prints.withColumnRenamed("_row", "id").join(classes, "id", "left_semi")
-    places = firsts.select("id", "size", F.posexplode("first").alias("at", "place"))
-    shared = materialize(places.groupBy("place").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("place", "rep"), "shared")
-    met = materialize(places.join(shared, "place"), "met")
-    near = verified(met.where(F.col("rep") < F.col("id")).select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), docs)
-    return rooted(classes, near)
+            n = np.array([len(f) for f in firsts])
+            place = np.concatenate(firsts)
+            at = np.concatenate([np.arange(k, dtype="<u4") for k in n])
+            base = int(rows.min())
+            who, size = np.repeat((rows - base).astype("<u4"), n), np.repeat(np.array(sizes, "<u4"), n)
+            part = (place.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+            by = np.argsort(part, kind="stable")
+            ids, begin = np.unique(part[by], return_index=True)
+            ends = [*begin[1:].tolist(), len(by)]
+            pick = lambda x: pa.array([x[by[a:b]].tobytes() for a, b in zip(begin.tolist(), ends, strict=True)], pa.binary())  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([base] * len(ids), pa.int64()), *map(pick, (place, who, size, at))], ["part", "base", "place", "who", "size", "at"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        whole = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
+        place = whole("place", "<i8")
+        n = [len(x) // 8 for x in table.column("place").to_pylist()]
+        row = whole("who", "<u4").astype("<i8") + np.repeat(table.column("base").to_numpy(), n)
+        _, which, times = np.unique(place, return_inverse=True, return_counts=True)
+        some = times[which] > 1
+        return pa.table([pa.array(x[some].astype("<i8")) for x in (row, whole("size", "<u4"), whole("at", "<u4"), place)], ["id", "size", "at", "place"])
+
+    blocks = docs.select("_row", "text").mapInArrow(cut, "part long, base long, place binary, who binary, size binary, at binary")
+    return blocks.groupBy("part").applyInArrow(meet, "id long, size long, at long, place long")
+
+
+def possible(size_x: str, at_x: str, size_y: str, at_y: str) -> Column:
+    """Whether sets that share a place at these positions can be alike, if it is the first place that they share."""
+    sx, ax, sy, ay = map(F.col, (size_x, at_x, size_y, at_y))
+    return (F.least(sx - ax, sy - ay) * (10 + ALIKE) >= (sx + sy) * ALIKE) & (F.least(sx, sy) * 10 >= F.greatest(sx, sy) * ALIKE)
+
+
+def apart(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs a < b of ids that share a place, can be alike by their sizes and positions, and are in different groups.
+
+    Of each place, the rows outside its largest group meet all rows of other groups; the rows of that group do not meet
+    each other, so a large group of copies brings as many pairs as there are strangers among it.
+    """
+    rows = met.join(groups, "id")
+    mixed = rows.groupBy("place").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("place")
+    rows = materialize(rows.join(mixed, "place"), "mixed")
+    counts = rows.groupBy("place", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("place").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    rows = materialize(rows.join(main, "place"), "mixed")
+    x, y = (rows.select("place", *[F.col(c).alias(f"{c}_{end}") for c in ("id", "size", "at", "root", "main")]) for end in "xy")
+    minor = x.where("root_x <> main_x")
+    can = possible("size_x", "at_x", "size_y", "at_y")
+    once = (F.col("root_y") == F.col("main_y")) | (F.col("id_x") < F.col("id_y"))
+    pairs = minor.join(y, "place").where((F.col("root_x") != F.col("root_y")) & once & can)
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
 
 
 def rooted(classes: DataFrame, near: DataFrame) -> DataFrame:
