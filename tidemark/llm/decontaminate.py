@@ -119,11 +119,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words).
 
     keep_columns returns the columns of docs and `_contaminated` instead, for filtering. Null and empty texts have no
-    words and are clean; items without words and items whose id is null are never found; repeated rows come out once
-    each; a repeated item_id counts once. With an empty benchmark all is clean. Other columns are passed by.
+    words and are clean; items without words are never found; items whose id is null are found with keep_columns, which
+    names no items, and left out without it, as in the SQL; repeated rows come out once each; a repeated item_id counts once. With an empty benchmark all is clean. Other columns are passed by.
     """
     spark = docs.sparkSession
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("item_id is not null and text is not null")
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
+    bench = bench.fillna("", "item_id") if keep_columns else bench.where("item_id is not null")
     size = bench.agg(F.sum(F.length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     names = docs.columns
