@@ -166,7 +166,7 @@ def learn_weights(pages: DataFrame, max_pages: int = MAX_PAGES) -> dict[str, flo
         yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in total], pa.string()), pa.array([i for _, i in total], pa.bool_()), pa.array(list(total.values()), pa.int64())], ["name", "inside", "n"])
 
     chosen = labelled.withColumn("_h", F.xxhash64("page_id", "html")).join(F.broadcast(some.distinct()), "_h", "left_semi").select("html")
-    counts = chosen.mapInArrow(run, "name string, inside boolean, n long").groupBy("name", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "name", "inside").limit(1000).collect()
+    counts = chosen.mapInArrow(run, "name string, inside boolean, n long").groupBy("name", "inside").agg(F.sum("n").alias("n")).collect()  # names of at most max_pages pages
     return weights_from({(r["name"], r["inside"]): r["n"] for r in counts})
 
 
