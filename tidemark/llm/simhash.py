@@ -1,12 +1,17 @@
 """SimHash near-duplicates by multi-index hashing, and connected components of the links.
 
 Fingerprints are compared once per distinct value, so copies cost nothing. A fingerprint of 64 bits has two segments of
-32; of two fingerprints at 3 or fewer differing bits, one segment differs in at most one. Every fingerprint is filed
-under each of its segments, and looked up under all 33 values of the Hamming ball of radius 1 around each segment: 66
-look-ups for any size of corpus, in tables of 2^32 places. What a look-up fetches is verified over all 64 bits.
+32; of two fingerprints at 3 or fewer differing bits, one segment differs in at most one. Balls of radius 1 around the
+segments are enumerated twice:
 
-Links are pairs of distinct fingerprints. Components follow by hooking and pointer jumping over tables in shared
-storage; nothing but one sum per round reaches the driver.
+1. With the other segment as it is. Fingerprints that meet differ in at most two bits, so all that meet at one place
+   are linked to the least of them, and a dense cluster of near copies costs as many rows as it has members, not pairs.
+2. With the other segment free: every fingerprint is filed under each of its segments and looked up under all 33 values
+   of the ball. Only places where fingerprints of different components of step 1 meet are compared, members of a place's
+   main component with strangers only, and what is fetched is verified over all 64 bits.
+
+Components follow by hooking and pointer jumping over tables in shared storage; nothing but one sum per round reaches
+the driver.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, read, sliced, utf8
+from tidemark.llm.common import discard, free, grams, materialize, numbered, read, sliced, utf8, word_hashes
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 SEGMENTS, SEGMENT_BITS = 2, 32
@@ -59,16 +64,41 @@ def segment(fp: Column, k: int) -> Column:
     return F.shiftrightunsigned(fp, SEGMENT_BITS * k).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1))
 
 
-def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Pairs a < b of fingerprints (column fp, distinct) at most radius bits apart; radius is at most 3 for two segments."""
-    if radius // SEGMENTS > 1:
-        raise ValueError("balls of radius 1 in two segments find pairs of up to 3 differing bits")
+def ball(fp: Column) -> Column:
+    """All values with at most one differing bit in a segment, and none in the other."""
+    return F.array(fp, *[fp.bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63))) for i in range(64)])
+
+
+def close_links(distinct: DataFrame) -> DataFrame:
+    """Links a, b that connect just the fingerprints (column fp, distinct) which chains of up to 2 differing bits connect."""
+    places = distinct.select("fp", F.explode(ball(F.col("fp"))).alias("place"))
+    # Partial aggregates leave one row of a place for each task, however many fingerprints meet there.
+    least = places.groupBy("place").agg(F.min("fp").alias("a"), F.max("fp").alias("other")).where("a < other").select("place", "a")
+    return least.join(places, "place").where("fp > a").select("a", F.col("fp").alias("b")).distinct()
+
+
+def far_links(rooted: DataFrame) -> DataFrame:
+    """Links a, b between fingerprints of different roots (columns fp, root) at 3 or fewer differing bits; none is missed."""
     place = lambda k, value: (F.lit(k).cast("long") * (1 << SEGMENT_BITS)).bitwiseOR(value)
-    table = distinct.select(F.col("fp").alias("b"), F.explode(F.array(*[place(k, segment(F.col("fp"), k)) for k in range(SEGMENTS)])).alias("place"))
-    ball = [place(k, segment(F.col("fp"), k).bitwiseXOR(F.lit(flip))) for k in range(SEGMENTS) for flip in (0, *(1 << i for i in range(SEGMENT_BITS)))]
-    probes = distinct.select(F.col("fp").alias("a"), F.explode(F.array(*ball)).alias("place"))
-    near = probes.join(table, (probes["place"] == table["place"]) & (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius))
-    return near.select("a", "b").distinct()
+    filed = [place(k, segment(F.col("fp"), k)) for k in range(SEGMENTS)]
+    near = [place(k, segment(F.col("fp"), k).bitwiseXOR(F.lit(flip))) for k in range(SEGMENTS) for flip in (0, *(1 << i for i in range(SEGMENT_BITS)))]
+    table = rooted.select("fp", "root", F.explode(F.array(*filed)).alias("place"))
+    probes = rooted.select("fp", "root", F.explode(F.array(*near)).alias("place"))
+    occupied = table.groupBy("place").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    met = materialize(probes.join(occupied, "place").where((F.col("root") != F.col("low")) | (F.col("root") != F.col("high"))).select("place", "fp", "root"), "met")
+    here = met.select("place").distinct()
+    table = materialize(table.join(here, "place", "left_semi"), "filed")
+    counts = table.groupBy("place", "root").agg(F.count("*").alias("n"))
+    main = counts.groupBy("place").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
+    a = met.select("place", F.col("fp").alias("a"), F.col("root").alias("ra"))
+    b = table.join(main, "place").select("place", F.col("fp").alias("b"), F.col("root").alias("rb"), "main")
+    # Strangers meet all members of a place, members of its main component meet strangers only.
+    strangers = a.join(main, "place").where("ra <> main").drop("main").join(b.drop("main"), "place")
+    members = a.join(main, "place").where("ra = main").drop("main").join(b.where("rb <> main").drop("main"), "place")
+    pairs = strangers.unionByName(members).where((F.col("ra") != F.col("rb")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS))
+    out = materialize(pairs.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.count("*").alias("n")).select("a", "b"), "far")
+    discard(rooted.sparkSession, met, table)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -77,35 +107,60 @@ def components(edges: DataFrame) -> DataFrame:
     Each round, both ends of an edge and their present roots take the least root seen, then every root is replaced by
     its own root. Rounds grow with the logarithm of the longest path. Hot roots meet in joins whose skew Spark splits.
     """
+    spark = edges.sparkSession
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "labels")
     before = None
     while True:
         now = labels.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]
         if now == before:  # roots only ever decrease
+            discard(spark, both)
             return labels
         before = now
-        of = lambda end, name: labels.select(F.col("node").alias(end), F.col("root").alias(name))
-        seen = both.join(of("a", "ra"), "a").join(of("b", "rb"), "b")
+        of = lambda end, name: labels.select(F.col("node").alias(end), F.col("root").alias(name))  # noqa: E731, B023
+        seen = both.join(of("b", "rb"), "b").groupBy("a").agg(F.min("rb").alias("rb")).join(of("a", "ra"), "a")  # the least root next to each node
         told = seen.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("rb").alias("root")), F.struct(F.col("ra").alias("node"), F.col("rb").alias("root")))).alias("x")).select("x.*")
         hooked = materialize(told.unionByName(labels).groupBy("node").agg(F.min("root").alias("root")), "hooked")
         up = hooked.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        labels = materialize(hooked.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "labels")
+        after = materialize(hooked.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "labels")
+        discard(spark, labels, hooked)
+        labels = after
+
 
+def stars(links: DataFrame) -> DataFrame:
+    """Fewer links that connect the same: each b goes with the least of its partners, and so do these."""
+    least = links.groupBy("b").agg(F.min("a").alias("least"))
+    others = links.join(least, "b").where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))
+    return least.select(F.col("least").alias("a"), "b").unionByName(others).distinct()
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+
+def linked(distinct: DataFrame) -> DataFrame:
+    """fp, root: the least fingerprint (signed) that links of 3 or fewer differing bits lead to, per distinct fp."""
+    spark = distinct.sparkSession
+    close = materialize(close_links(distinct), "close")
+    labels = components(stars(close))
+    rooted = materialize(distinct.select("fp").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
+    discard(spark, close, labels)
+    far = far_links(rooted)
+    above = components(stars(far)).select(F.col("node").alias("root"), F.col("root").alias("above"))
+    return materialize(rooted.join(above, "root", "left").select("fp", F.coalesce("above", "root").alias("root")), "linked")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id (the least doc_id reachable) per row of docs.
 
     Null and empty texts have the fingerprint zero, and are linked like any other. Repeated rows and doc_ids come out
-    once each; null ids never name a component, unless all ids in it are null. Empty tables give no rows. Other columns
-    are not read.
+    once each; null ids never name a component, unless all ids in it are null. Empty tables give no rows. Texts of any
+    length are hashed whole; other columns are not read.
     """
+    spark = docs.sparkSession
     prints = materialize(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle), "prints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    labels = components(materialize(links(classes, radius), "links"))
-    rooted = classes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    roots = linked(classes)
+    rooted = classes.join(roots, "fp")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = materialize(rooted.join(named, "root").select("fp", "component_id"), "classes")
+    table = materialize(rooted.join(named, "root").select("fp", "component_id"), "named")
+    discard(spark, classes, roots)
     return prints.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -120,17 +175,8 @@ PART = 250_000
 
 def shingles(text: bytes | None) -> np.ndarray:
     """The sorted, different hashes of the five-word shingles of a text (of all its words if they are fewer)."""
-    tokens = (text or b"").lower().split()
-    n = len(tokens)
-    if not n:
-        return np.zeros(0, np.int64)
-    k = min(WORDS, n)
-    joined = b" ".join(tokens)
-    size = np.fromiter(map(len, tokens), np.int64, n)
-    ends = np.cumsum(size + 1) - 1
-    starts = (ends - size)[: n - k + 1].tolist()
-    hashes = np.array([xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[k - 1 :].tolist(), strict=True)], np.uint64)
-    return np.unique(hashes.view(np.int64))
+    x = word_hashes((text or b"").lower().split())
+    return np.unique((grams(x, min(WORDS, len(x))) if len(x) else x).view(np.int64))
 
 
 def alike(x: Column, y: Column) -> Column:
@@ -151,7 +197,9 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     sets = materialize(docs.select("_row", "text").join(wanted, "_row", "left_semi").mapInArrow(cut, "_row long, s array<long>"), "sets")
 
     of = lambda end: sets.select(F.col("_row").alias(end), F.col("s").alias(f"s{end}"))
-    return materialize(pairs.join(of("a"), "a").join(of("b"), "b").where(alike(F.col("sa"), F.col("sb"))).select("a", "b"), "links")
+    out = materialize(pairs.join(of("a"), "a").join(of("b"), "b").where(alike(F.col("sa"), F.col("sb"))).select("a", "b"), "links")
+    discard(docs.sparkSession, sets, pairs)
+    return out
 
 
 def frequent(docs: DataFrame) -> np.ndarray:
@@ -197,8 +245,11 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     most = votes.groupBy("id").agg(F.max("n").alias("most"))
     first = votes.join(most, "id").where("2 * n >= most").groupBy("id").agg(F.min("rep").alias("rep"))
     near = verified(first.select(F.col("id").alias("a"), F.col("rep").alias("b")), docs)
+    discard(spark, prints, votes)
     near = near.unionByName(verified(apart(met, rooted(classes, near)), docs))
-    return rooted(classes, near)
+    out = rooted(classes, near)
+    discard(spark, classes, met)
+    return out
 
 
 def meetings(docs: DataFrame, total: int) -> DataFrame:
@@ -276,25 +327,23 @@ def apart(met: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def rooted(classes: DataFrame, near: DataFrame) -> DataFrame:
-    """id, root: the least id that links a > b or a < b lead to, for every id of classes."""
-    # A row's links to several ids become links of these to the least: the same groups, and few different links.
-    least = near.groupBy("a").agg(F.min("b").alias("least"))
-    stars = near.join(least, "a").where(F.col("b") != F.col("least")).select(F.col("b").alias("a"), F.col("least").alias("b"))
-    labels = components(least.select("a", F.col("least").alias("b")).unionByName(stars).distinct())
+    """id, root: the least id that links a, b lead to, for every id of classes."""
+    labels = components(stars(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
     return materialize(classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")), "rooted")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs without those that an earlier row of their group stands for; columns stay as they are.
 
-    Groups are those of similar_groups: five-word shingles, a similarity of 0.8 or more. docs must be read in one order
-    each time, as files are. Rows are told apart by their place, so null and repeated doc_ids do no harm; of repeated
-    rows, and of texts without words, one stays.
+    Groups are those of similar_groups: five-word shingles, a similarity of 0.8 or more. Rows are told apart by a number
+    of their own, so null and repeated doc_ids do no harm; of repeated rows, and of texts without words (null, empty),
+    one stays. Long texts are compared whole. Columns may have any names. Empty tables give no rows.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    groups = similar_groups(numbered)
-    stay = groups.where(F.col("id") == F.col("root")).select(F.col("id").alias("_row"))
-    return numbered.join(stay, "_row", "left_semi").select(*docs.columns)
+    (row,) = free(docs.columns, "row")
+    rows = numbered(docs, row)
+    groups = similar_groups(rows.select(F.col(row).alias("_row"), F.col("text").cast("string").alias("text")))
+    stay = groups.where(F.col("id") == F.col("root")).select(F.col("id").alias(row))
+    return rows.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
