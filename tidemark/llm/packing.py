@@ -2,9 +2,11 @@
 
 Only the histogram of piece lengths (at most one count for each length up to the capacity) reaches the driver, so the
 search costs the same for any number of documents. It fills the sequence of the largest piece left with each undominated
-completion in turn, prunes by the waste that the best known packing still allows, and starts from best fit. A filling is
-repeated for as many sequences as its lengths last, so every filling uses up at least one length: the plan has at most
-`capacity` fillings, each with at most 63 different lengths (1 + 2 + ... + 63 = 2016), and its size is bounded.
+completion in turn, for as many sequences as its lengths last and then for fewer, prunes by the waste that the best known
+packing still allows, and starts from best fit. The one limit is the number of search steps (`nodes`, None for none): where
+the search ends by itself the packing has the least number of sequences, else it is the best found, never worse than best
+fit. A plan that repeats fillings as long as they last has at most `capacity` fillings of at most 63 different lengths each
+(1 + 2 + ... + 63 = 2016); fewer repeats add at most one filling for each step of the search, so its size is bounded.
 
 Pieces are then numbered within their length, in salted groups, and look up their place in the plan.
 """
@@ -14,6 +16,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +28,13 @@ from tidemark.llm.tokens import default_vocabulary, encoder
 
 #: Tokens of a sequence.
 CAPACITY = 2048
-#: Nodes that the search may open; the best packing found by then is used.
-NODES = 6_000
-#: Pieces of one length are numbered in groups of about this many.
-GROUP = 50_000
+#: Steps that the search may take; the best packing found by then is used.
+NODES = 200_000
+#: Pieces of one length are numbered in groups of about this many, or the root of their number if that is more.
+GROUP = 500
+
+#: The id that ends a document.
+CLOSE = b"\0\0\0\0"
 
 Filling = tuple[tuple[tuple[int, int], ...], int]  # ((length, how many in one sequence), ...), sequences
 
@@ -43,7 +49,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
             rows: list[tuple] = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), held.ids(texts), strict=True):
-                raw = ids + b"\0\0\0\0"
+                raw = ids + CLOSE
                 n, at, k = len(raw) // 4, 0, 0
                 view = memoryview(raw)
                 size = n if n <= capacity else n % capacity or capacity
@@ -56,14 +62,6 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _fill(counts: dict[int, int], lengths: tuple[int, ...]) -> Filling:
-    """The filling of one sequence with these lengths, for as many sequences as they last."""
-    uses: dict[int, int] = {}
-    for x in lengths:
-        uses[x] = uses.get(x, 0) + 1
-    return tuple(sorted(uses.items(), reverse=True)), min(counts[x] // n for x, n in uses.items())
-
-
 def best_fit(counts: dict[int, int], capacity: int) -> list[Filling]:
     """Around the largest length left, always the largest that still fits; the incumbent of the search."""
     left, plan = dict(counts), []
@@ -81,13 +79,18 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Filling]:
     return plan
 
 
-def _take(left: dict[int, int], lengths: tuple[int, ...]) -> Filling:
-    filling = _fill(left, lengths)
-    for x, n in filling[0]:
-        left[x] -= n * filling[1]
+def _take(left: dict[int, int], lengths: Iterable[int], most: int | None = None) -> Filling:
+    """Takes the filling of one sequence with these lengths out of left, for as many sequences as they last, or at most `most`."""
+    uses: dict[int, int] = {}
+    for x in lengths:
+        uses[x] = uses.get(x, 0) + 1
+    times = min(left[x] // n for x, n in uses.items())
+    times = times if most is None else min(times, most)
+    for x, n in uses.items():
+        left[x] -= n * times
         if not left[x]:
             del left[x]
-    return filling
+    return tuple(sorted(uses.items(), reverse=True)), times
 
 
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
@@ -102,57 +105,90 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return max(best, sum(n for x, n in counts.items() if 2 * x > capacity))
 
 
-def completions(left: dict[int, int], capacity: int, allowed: int, most: int = 4) -> list[tuple[int, ...]]:
-    """Undominated fillings around the largest length left with at most `allowed` waste, fullest first.
+class Steps:
+    """The steps that a search may still take."""
+
+    def __init__(self, most: int | None):
+        self.left = most
+
+    def spent(self) -> bool:
+        if self.left is None:
+            return False
+        self.left -= 1
+        return self.left < 0
+
 
-    A length that closes the gap exactly dominates every other filling. Otherwise fillings of two and more lengths are
-    enumerated from the largest that fits; one is dominated if a length of it can be exchanged for a larger one that is
-    left and still fits.
+def completions(left: dict[int, int], capacity: int, allowed: int, steps: Steps, after: tuple[int, ...] = ()) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings around the largest length left with at most `allowed` waste, those with large lengths first.
+
+    A length that closes a gap exactly dominates all else that could go into it. A filling is also dominated if something
+    left still fits, or if a length of it can be exchanged for a larger one that is left and fits. With after (an earlier
+    filling around the same length, whose repeats have been chosen) only fillings that come later in this order follow.
+    left must be the same whenever the next filling is asked for.
     """
     order = sorted(left, reverse=True)
     top = order[0]
-    room = capacity - top
-    spare = lambda x, chosen: left[x] - chosen.count(x) - (x == top)
-    if not room:
-        return [(top,)]
-    if room in left and spare(room, ()) > 0:
-        return [(top, room)]
-    found: list[tuple[int, tuple[int, ...]]] = []
     negative = [-x for x in order]
-    opened = 0
 
-    def extend(at: int, gap: int, chosen: tuple[int, ...]) -> None:
-        nonlocal opened
-        opened += 1
-        if gap in left and spare(gap, chosen) > 0 and (not chosen or gap <= chosen[-1]):
-            found.append((0, (top, *chosen, gap)))
+    def spare(x: int, chosen: tuple[int, ...]) -> int:
+        return left[x] - chosen.count(x)
+
+    def later(chosen: tuple[int, ...]) -> bool:
+        return not after or chosen < after
+
+    def extend(at: int, gap: int, chosen: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if steps.spent():
+            return
+        if not gap:
+            if later(chosen):
+                yield chosen
             return
-        fits = False
+        if gap in left and spare(gap, chosen) > 0:
+            if gap < chosen[-1] and later((*chosen, gap)):
+                yield (*chosen, gap)
+            if gap <= chosen[-1]:
+                return
         for k in range(max(at, bisect_left(negative, -gap)), len(order)):
             x = order[k]
-            if spare(x, chosen) < 1:
-                continue
-            fits = True
-            extend(k, gap - x, (*chosen, x))
-            if len(found) >= 4 * most or opened > 400:
-                return
-        if not fits and gap <= allowed and not any(x - y <= gap and spare(x, chosen) > 0 for y in set(chosen) for x in order[bisect_left(negative, -y - gap) : bisect_left(negative, -y)]):
-            found.append((gap, (top, *chosen)))
-
-    extend(0, room, ())
-    found.sort(key=lambda f: (f[0], [-x for x in f[1]]))
-    return [f for _, f in found[:most]]
-
-
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Filling]:
-    """A packing in as few sequences as the search finds; proven least where it meets the lower bound."""
+            for n in range(min(gap // x, spare(x, chosen)), 0, -1):
+                yield from extend(k + 1, gap - n * x, (*chosen, *[x] * n))
+                if steps.left is not None and steps.left < 0:
+                    return
+        if gap <= allowed and later(chosen):
+            fits = any(spare(x, chosen) > 0 for x in order[bisect_left(negative, -gap) :])
+            better = any(spare(x, chosen) > 0 for y in set(chosen[1:]) for x in order[bisect_left(negative, -y - gap) : bisect_left(negative, -y)])
+            if not fits and not better:
+                yield chosen
+
+    for n in range(min(capacity // top, left[top]), 0, -1):
+        yield from extend(1, capacity - n * top, (top,) * n)
+
+
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int | None = NODES) -> list[Filling]:
+    """A packing in as few sequences as the search finds; the least number where it ends within `nodes` steps or meets the lower bound."""
     total = sum(x * n for x, n in counts.items())
     bound = lower_bound(counts, capacity)
     best = best_fit(counts, capacity)
     best_n = sum(n for _, n in best)
     left, plan = dict(counts), []
-    used = wasted = opened = 0
-    frames: list[list[tuple[int, ...]]] = []  # the fillings still to be tried at each depth
+    used = wasted = 0
+    steps = Steps(nodes)
+    last: tuple[int, ...] = ()  # the filling before, if it stands around the same length
+    frames: list[tuple[Iterator[tuple[int, ...]], list]] = []  # at each depth: fillings still to come, and [the one in use, its repeats]
+
+    def allowed() -> int:
+        return (best_n - 1) * capacity - total - wasted  # more waste cannot beat the best
+
+    def use(lengths: tuple[int, ...], most: int | None) -> int:
+        nonlocal used, wasted
+        waste = capacity - sum(lengths)
+        if waste:
+            most = min(allowed() // waste, most if most is not None else allowed() // waste)
+        filling = _take(left, lengths, most)
+        plan.append(filling)
+        used += filling[1]
+        wasted += waste * filling[1]
+        return filling[1]
 
     def undo() -> None:
         nonlocal used, wasted
@@ -162,35 +198,38 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
         used -= filling[1]
         wasted -= (capacity - sum(x * n for x, n in filling[0])) * filling[1]
 
-    down = True
-    while best_n > bound and opened < nodes:
-        opened += down
-        allowed = (best_n - 1) * capacity - total - wasted  # more waste cannot beat the best
-        if down and not left:
+    def open_frame() -> None:
+        nonlocal best, best_n
+        if not left:
             if used < best_n:
                 best, best_n = list(plan), used
-            frames.append([])
-        elif down:
-            frames.append(completions(left, capacity, min(allowed, capacity - max(left)))[::-1] if allowed >= 0 else [])
-        if frames[-1] and allowed >= 0:
-            lengths = frames[-1].pop()
-            waste = capacity - sum(lengths)
-            down = waste <= allowed  # else the bound has come down since the filling was listed
-            if not down:
-                continue
-            filling = _take(left, lengths)
-            if waste * filling[1] > allowed:  # as many times as the bound allows
-                for x, n in filling[0]:
-                    left[x] = left.get(x, 0) + n * (filling[1] - allowed // waste)
-                filling = filling[0], allowed // waste
-            plan.append(filling)
-            used, wasted, down = used + filling[1], wasted + waste * filling[1], True
+            frames.append((iter(()), []))
         else:
-            frames.pop()
-            if not frames:
-                break
+            top = max(left)
+            frames.append((completions(left, capacity, min(allowed(), capacity - top), steps, last if last and last[0] == top else ()), []))
+
+    open_frame()
+    while frames and best_n > bound and (steps.left is None or steps.left >= 0):
+        fillings, current = frames[-1]
+        if current:
             undo()
-            down = False
+            # A single length that closes the gap exactly is no worse than anything else, however often it is used.
+            if current[1] > 1 and (len(current[0]) > 2 or sum(current[0]) < capacity) and allowed() >= 0:
+                current[1] -= 1
+                use(*current)
+                last = current[0]
+                open_frame()
+                continue
+            current.clear()
+        lengths = next(fillings, None) if allowed() >= 0 else None
+        if lengths is None:
+            frames.pop()
+            continue
+        if capacity - sum(lengths) > allowed():  # the bound has come down since
+            continue
+        current += [lengths, use(lengths, None)]
+        last = lengths
+        open_frame()
     return best
 
 
@@ -209,7 +248,7 @@ def _places(plan: list[Filling]) -> dict[int, np.ndarray]:
     return {x: np.array(rows, "<i8") for x, rows in out.items()}
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, nodes: int = NODES) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, nodes: int | None = NODES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset per piece.
 
     Null and empty texts are the closing 0 alone. Repeated rows and doc_ids, null ids included, are packed once each.
@@ -219,13 +258,14 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     table = materialize(pieces(docs, capacity, vocabulary), "pieces")
     histogram = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     plan = spark.sparkContext.broadcast(_places(bin_completion(histogram, capacity, nodes)))
-    # Many pieces may share a length (full ones, empty texts): number them in groups, then add the groups before.
-    groups = max(1, -(-max(histogram.values(), default=1) // GROUP))
-    salted = table.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(groups)).cast("int"))
-    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = sizes.select("length", "_salt", (F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).alias("_before"))
-    ranked = salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
-    placed = ranked.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
+    # Many pieces may share a length (full ones, empty texts): number them in even groups, then add the groups before.
+    groups = spark.createDataFrame([(x, -(-n // max(GROUP, isqrt(n)))) for x, n in histogram.items()], "length long, groups long")
+    mixed = F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.monotonically_increasing_id())
+    salted = materialize(table.join(F.broadcast(groups), "length").withColumn("salt", F.pmod(mixed, F.col("groups"))).drop("groups"), "salted")
+    sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
+    before = sizes.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")) - 1)
+    placed = ranked.join(before, ["length", "salt"]).withColumn("_rank", F.col("rank") + F.col("before"))
     names = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,8 +1,12 @@
 """Byte-level BPE token counts at every prefix, and token ids, both remembered by chunk.
 
-A chunk is what lies between two single spaces, with the space before it. The vocabulary's pattern always starts a new
-piece at a single space that a visible character follows, so chunks are encoded one by one and a text's tokens are the
-tokens of its chunks in order. Texts with other white space at a chunk's ends are taken as one chunk.
+A chunk begins at a single space or at a line end, and takes it along. The vocabulary's pattern always starts a new piece
+at a single space that a visible character follows, and takes one or two line ends between visible characters as pieces
+of their own, so chunks are encoded one by one and a text's tokens are the tokens of its chunks in order. Texts with
+other white space at a chunk's ends are taken as one chunk.
+
+Whether a character counts as a letter, a number or white space depends on a library's version of Unicode; the classes
+are therefore asked from the tokenizer's own splitter, once for each character that is not ASCII.
 
 Prefix dynamic programming: within a piece, the encoding of the first i bytes ends in exactly one token, the one that
 is compatible with the last token of the prefix before it; so count[i] = count[i - len(last token)] + 1. The table
@@ -15,9 +19,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, islice
 from struct import pack
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -26,8 +32,37 @@ from tidemark.llm.common import read, sliced
 
 #: The vocabulary's own pattern (a fixed value of the public byte-level BPE).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Chunks remembered by a worker; later ones are worked out each time, so memory stays bounded.
-REMEMBERED = 400_000
+#: Chunks remembered by a worker, and their most characters; others are worked out each time, so memory stays bounded.
+REMEMBERED, REMEMBERED_CHARS = 300_000, 60
+#: The last character whose class all versions of Unicode in use agree on beyond doubt (end of Latin Extended-B).
+STABLE = "\u024f"
+#: Pieces of more bytes are searched for tokens by an automaton instead of a look-up for every length.
+LONG_PIECE = 64
+
+
+def chunks_of(text: str) -> list[str] | None:
+    """The chunks of a text without special strings, those after a space without it; None if runs of line ends need the whole text.
+
+    Chunks that are empty, or have white space at an end after their line end, need the whole text as well (see plain).
+    """
+    if "\n" in text:
+        if "\n\n\n" in text or "\n\n " in text or text.endswith("\n\n"):
+            return None
+        text = text.replace("\n", " \n")
+    return text.split(" ")
+
+
+def whole(chunk: str) -> str:
+    """A chunk with the white space that it begins with."""
+    return chunk if chunk[:1] == "\n" else " " + chunk
+
+
+def plain(chunk: str) -> bool:
+    """Whether a chunk can be encoded apart from its neighbours."""
+    if chunk == "\n":
+        return True
+    inner = chunk[1:] if chunk[:1] == "\n" else chunk
+    return bool(inner) and not inner[0].isspace() and not inner[-1].isspace()
 
 
 def byte_symbols() -> dict[str, int]:
@@ -70,6 +105,29 @@ class PrefixCounter:
         self.splitter = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
         self.fits: dict[tuple[int, int], bool] = {}
         self.known: dict[str, int] = {}
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.split = ByteLevel(add_prefix_space=False).pre_tokenize_str
+        self.asked: set[str] = set()
+        self.stand_in: dict[int, str] = {}  # for characters that the pattern takes for another class than the splitter
+        self.automaton = None
+
+    def shadow(self, text: str) -> str:
+        """The text with stand-ins for characters of another Unicode version, one for one."""
+        if text.isascii():
+            return text
+        for c in set(text) - self.asked:
+            self.asked.add(c)
+            if not c.isascii():
+                mine = "a" if regex.match(r"\p{L}", c) else "1" if regex.match(r"\p{N}", c) else " " if regex.match(r"\s", c) else "!"
+                theirs = next((x for x in "a1!" if len(self.split(x + c)) == 1), " ")
+                if mine != theirs:
+                    self.stand_in[ord(c)] = "\x85" if theirs == " " else theirs
+        return text.translate(self.stand_in) if self.stand_in else text
+
+    def pieces(self, text: str) -> list[str]:
+        shadow = self.shadow(text)
+        return self.pattern.findall(text) if shadow is text else [text[m.start() : m.end()] for m in self.pattern.finditer(shadow)]
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether encoding the bytes of a and b yields just these two: no merge across their border comes before the merges that built them."""
@@ -102,6 +160,17 @@ class PrefixCounter:
         """Token counts of the first 1, 2, ... bytes of one piece."""
         n, ids, longest, fits, slow = len(piece), self.ids, self.longest, self.fits, self.compatible
         last, count = [0] * (n + 1), [0] * (n + 1)
+        if n > LONG_PIECE:
+            if self.automaton is None:
+                self.automaton = ahocorasick.Automaton()
+                for raw, token in ids.items():
+                    self.automaton.add_word(raw.decode("latin-1"), (len(raw), token))
+                self.automaton.make_automaton()
+            for at, (size, token) in self.automaton.iter(piece.decode("latin-1")):  # longest first at each end
+                start, end = at + 1 - size, at + 1
+                if not count[end] and (not start or slow(last[start], token)):
+                    last[end], count[end] = token, count[start] + 1
+            return count[1:]
         for end in range(1, n + 1):
             for start in range(max(0, end - longest), end):
                 token = ids.get(piece[start:end])
@@ -120,13 +189,13 @@ class PrefixCounter:
         """Token counts of the first 1, 2, ... bytes of a text without special strings, each as if the text ended there."""
         out: list[int] = []
         before, space = 0, b""
-        for piece in self.pattern.findall(chunk):
+        for piece in self.pieces(chunk):
             raw = piece.encode()
             counts = self.piece_counts(raw)
             if len(raw) == 3 and raw[:1] == b"'" and raw[1:].isalpha():
                 counts[1] = counts[0] + self.piece_counts(raw[1:2])[0]  # a contraction cut short is a quote and a letter
             at = [before + c for c in counts]
-            white = self.white.fullmatch(piece)
+            white = self.white.fullmatch(self.shadow(piece))
             if space and (white or raw[:1] == b" "):
                 # Cut after this white space, it belongs to the run before it.
                 run = raw if white else b" "
@@ -138,76 +207,74 @@ class PrefixCounter:
 
     def _new(self, chunk: str) -> int:
         n = 0
-        for piece in self.pattern.findall(chunk):
+        for piece in self.pieces(chunk):
             n += self.piece_counts(piece.encode())[-1]
         return n
 
-    def parts(self, text: str) -> list[str | None]:
-        """The text between special strings; None for each of those."""
+    def parts(self, text: str) -> list[tuple[str, bool]]:
+        """Special strings (true) and the text before, between and after them."""
         if self.splitter is None or not any(s in text for s in self.specials):
-            return [text]
-        out: list[str | None] = []
+            return [(text, False)]
+        out: list[tuple[str, bool]] = []
         at = 0
         for m in self.splitter.finditer(text):
-            out += [text[at : m.start()], None]
+            out += [(text[at : m.start()], False), (m.group(), True)]
             at = m.end()
-        return [*out, text[at:]]
+        return [*out, (text[at:], False)]
 
     def chunk_counts(self, text: str) -> tuple[list[str], list[int]]:
-        """Chunks, the first without a space before it, and their token counts."""
-        chunks = text.split(" ")
+        """Chunks, all but the first as in chunks_of, and their token counts; one chunk where the text needs it."""
+        chunks = chunks_of(text)
+        if chunks is None:
+            return [text], [self._new(text)]
         known = self.known
         counts = list(map(known.get, chunks))
-        counts[0] = self._new(chunks[0])
-        if (chunks[0] and chunks[0][-1].isspace() and len(chunks) > 1) or (not chunks[0] and len(chunks) > 1 and (not chunks[1] or chunks[1][0].isspace())):
+        first = chunks[0]
+        if first and (first[0].isspace() or first[-1].isspace()):
             return [text], [self._new(text)]
+        counts[0] = self._new(first)
         if None in counts:
             for k, n in enumerate(counts):
                 if n is None:
                     chunk = chunks[k]
                     n = known.get(chunk)
                     if n is None:
-                        if not chunk or chunk[0].isspace() or chunk[-1].isspace():
+                        if not plain(chunk):
                             return [text], [self._new(text)]
-                        n = self._new(" " + chunk)
-                        if len(known) < REMEMBERED and len(chunk) < 100:
+                        n = self._new(whole(chunk))
+                        if len(known) < REMEMBERED and len(chunk) < REMEMBERED_CHARS:
                             known[chunk] = n
                     counts[k] = n
         return chunks, counts
 
     def count(self, text: str) -> int:
-        return sum(1 if part is None else sum(self.chunk_counts(part)[1]) for part in self.parts(text) if part != "")
+        return sum(1 if special else sum(self.chunk_counts(part)[1]) for part, special in self.parts(text) if part)
 
     def measure(self, text: str, budget: int) -> tuple[int, int]:
         """The token count, and the bytes of the longest prefix of whole characters with at most budget tokens."""
         total = cut = at = 0
-        for part in self.parts(text):
-            if part is None:
-                special = next(s for s in self.specials if text.encode()[at:].startswith(s.encode()))
-                total += 1
-                at += len(special.encode())
-                if total <= budget:
-                    cut = at
-                continue
+        for part, special in self.parts(text):
             if not part:
                 continue
-            chunks, counts = self.chunk_counts(part)
+            long = len(part) if part.isascii() else len(part.encode())
+            chunks, counts = ([part], [1]) if special else self.chunk_counts(part)
             size = sum(counts)
             if total + size <= budget:
-                at += len(part.encode())
-                cut = at
-            elif total <= budget:
+                cut = at + long
+            elif total <= budget and not special:
                 left = budget - total
                 k = next(i for i, s in enumerate(accumulate(counts)) if s > left)
-                begin = len(" ".join(chunks[:k]).encode()) if k else 0
-                chunk = chunks[k] if k == 0 else " " + chunks[k]
+                end = k + 1
+                while k > 1 and chunks[k - 1] == "\n":  # a text that ends inside a run of white space has it in one piece
+                    k -= 1
+                names = [chunks[0], *map(whole, chunks[1:end])]
+                begin = len("".join(names[:k]).encode())
+                chunk = "".join(names[k:])
                 left -= sum(counts[:k])
                 raw = chunk.encode()
                 inside = [i for i, c in enumerate(self.prefix_counts(chunk), 1) if c <= left and (i == len(raw) or raw[i] & 0xC0 != 0x80)]
                 cut = at + begin + (inside[-1] if inside else 0)
-                at += len(part.encode())
-            else:
-                at += len(part.encode())
+            at += long
             total += size
         return total, cut
 
@@ -247,7 +314,12 @@ def op8_token_counts(spark, sf_dir: str) -> DataFrame:
 
 
 class ChunkEncoder:
-    """Ids by the tokenizers library, little-endian 32-bit, remembered by chunk."""
+    """Ids as the tokenizers library gives them, little-endian 32-bit, remembered by chunk.
+
+    Chunks that are not remembered are encoded side by side, with a line end between them, by tiktoken from the same file's
+    merges, which takes a quarter of the time; whatever could depend on a version of Unicode or on runs of white space
+    goes to the tokenizers library itself.
+    """
 
     def __init__(self, path: str):
         import os
@@ -256,49 +328,97 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
+        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.end = self._encode("\n")
+        self.fast = self._ranked(path)
+        self.known: dict[str, bytes] = {"\n": self.end}
+        self.heads: dict[str, bytes] = {"": b""}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [pack(f"<{len(e.ids)}I", *e.ids) for e in self.library.encode_batch(texts, add_special_tokens=False)]
+    def _ranked(self, path: str):
+        """The vocabulary by ranks, if its ids follow the order of its merges and a line end between words is one token; else None."""
+        import tiktoken
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of whole texts; what is not remembered is encoded in one call for all texts."""
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        symbols, vocab = byte_symbols(), spec["model"]["vocab"]
+        pairs = [p if isinstance(p, list) else p.split(" ") for p in spec["model"]["merges"]]
+        if len(self.end) != 4 or any(vocab.get(a + b) != 256 + k for k, (a, b) in enumerate(pairs)):
+            return None
+        ranks = {bytes(symbols[c] for c in s): i for s, i in vocab.items() if i < 256 + len(pairs)}
+        fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        probe = " a\n b's 12\nc, \u00e9t\u00e9\n -- \"x\""
+        return fast if pack("<%dI" % len(fast(probe)), *fast(probe)) == self._encode(probe) else None
+
+    def _encode(self, text: str) -> bytes:
+        ids = self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, table: dict[str, bytes], wanted: set[str], before: str, most: int) -> dict[str, bytes]:
+        """Ids of wanted chunks that the table does not have, each with what stands before it; some are remembered."""
+        new: dict[str, bytes] = {}
+        order = list(wanted)
+        for at in range(0, len(order), 20_000):
+            some = order[at : at + 20_000]
+            if self.fast:
+                for c in some:
+                    if max(c) > STABLE:
+                        new[c] = self._encode(before + c)
+                some = [c for c in some if c not in new]
+                raw = np.array(self.fast("\n".join([before + c for c in some])), "<u4")
+                cuts = 4 * np.flatnonzero(raw == int.from_bytes(self.end, "little"))
+                raw = raw.tobytes()
+                new.update((c, raw[a:b]) for c, a, b in zip(some, [0, *(cuts + 4).tolist()], [*cuts.tolist(), len(raw)], strict=True)) if some else None
+            else:
+                new.update((c, self._encode(before + c)) for c in some)
+        if (room := most - len(table)) > 0:
+            table.update(islice(((c, raw) for c, raw in new.items() if len(c) < REMEMBERED_CHARS), room))
+        return new
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of whole texts, one after another; chunks that are not remembered are encoded together first."""
         known, heads = self.known, self.heads
-        new: dict[str, bytes] = {}  # by the chunk with its space, or a text's first chunk without one
-        odd, open_ = [], []
-        out: list = [b""] * len(texts)
+        found: list[list | None] = []
+        open_: list[tuple[int, list[str], list[int]]] = []
+        fresh: set[str] = set()
+        starts: set[str] = set()
         for k, text in enumerate(texts):
-            if not text:
+            chunks = None if any(s in text for s in self.specials) else chunks_of(text)
+            if chunks is None or (chunks[0] and (chunks[0][0].isspace() or chunks[0][-1].isspace())):
+                found.append(None)
+                continue
+            got = list(map(known.get, chunks))
+            got[0] = heads.get(chunks[0])
+            if None in got:
+                missing = [i for i, raw in enumerate(got) if raw is None]
+                open_.append((k, chunks, missing))
+                if missing[0] == 0:
+                    starts.add(chunks[0])
+                    del missing[0]
+                fresh.update(map(chunks.__getitem__, missing))
+            found.append(got)
+        odd = {c for c in fresh if not plain(c)}
+        lines = {c for c in fresh - odd if c[0] == "\n"}
+        starts.update(c[1:] for c in lines if c[1:] not in heads)
+        first = self._learn(heads, starts, "", REMEMBERED // 4)
+        new = self._learn(known, fresh - odd - lines, " ", REMEMBERED)
+        for c in lines:
+            raw = first.get(c[1:])
+            new[c] = self.end + (heads[c[1:]] if raw is None else raw)
+        if (room := REMEMBERED - len(known)) > 0:
+            known.update(islice(((c, new[c]) for c in lines if len(c) < REMEMBERED_CHARS), room))
+        for k, chunks, missing in open_:
+            got = found[k]
+            if odd and not odd.isdisjoint(map(chunks.__getitem__, missing)):
+                found[k] = None
                 continue
-            chunks = text.split(" ")
-            found = list(map(known.get, chunks))
-            found[0] = heads.get(chunks[0])
-            out[k] = found
-            if None in found:
-                missing = [i for i, raw in enumerate(found) if raw is None]
-                names = [" " + chunks[i] if i else chunks[0] for i in missing]
-                if not all(c and not c[0].isspace() and not c[-1].isspace() for c in map(chunks.__getitem__, missing)):
-                    odd.append(k)
-                    continue
-                new.update(dict.fromkeys(names, b""))
-                open_.append((k, missing, names))
-        # Special strings hold no white space, so that a chunk has them whole.
-        order = list(new)
-        for name, raw in zip(order, self._encode(order) if order else [], strict=True):
-            new[name] = raw
-            if len(name) < 100:
-                if name[0] != " ":
-                    if len(heads) < REMEMBERED // 10:
-                        heads[name] = raw
-                elif len(known) < REMEMBERED:
-                    known[name[1:]] = raw
-        for k, missing, names in open_:
-            for i, name in zip(missing, names, strict=True):
-                out[k][i] = new[name]
-        for k, raw in zip(odd, self._encode([texts[k] for k in odd]) if odd else [], strict=True):
-            out[k] = [raw]
-        return [raw if isinstance(raw, bytes) else b"".join(raw) for raw in out]
+            if got[0] is None:
+                got[0] = first[chunks[0]]
+            for i in missing:
+                got[i] = new[chunks[i]]
+        del new, open_
+        for k, got in enumerate(found):
+            yield self._encode(texts[k]) if got is None else b"".join(got)
+            found[k] = None
 
 
 @lru_cache(maxsize=2)
