@@ -55,7 +55,7 @@ def test_repeated_windows_against_a_plain_count():
             assert flags.tolist() == [counts[tuple(s[i : i + window])] > 1 for i in range(len(s) - window + 1)]
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("hot", [2_000, 1])
 def test_substring_dedup(files, monkeypatch, hot):
     monkeypatch.setattr(substrings, "HOT", hot)
     split = [words(t) for t in TEXTS]
@@ -98,12 +98,32 @@ def test_fingerprints_and_components(files, spark):
     assert shingle == xxhash.xxh64_intdigest(b"a b c", 42)
 
 
-def test_chains_of_links_and_hot_fingerprints(spark):
+def test_chains_of_links_and_dense_clusters(spark):
+    """Links against brute force: chains of three bits, a dense cluster around one fingerprint, pairs at just 3 and 4 bits."""
+    r = random.Random(8)
+    flip = lambda x, bits: x ^ sum(1 << b for b in r.sample(range(64), bits))
+    centre = r.getrandbits(64)
     chain = [(1 << k) - 1 for k in range(0, 61, 3)]
-    df = spark.createDataFrame([(x,) for x in chain], "fp long")
-    pairs = {tuple(r) for r in simhash.links(df).collect()}
-    assert pairs == {(a, b) for a in chain for b in chain if a < b and (a ^ b).bit_count() <= 3}
-    assert {r.root for r in simhash.components(simhash.links(df)).collect()} == {0}
+    dense = [flip(centre, r.randint(0, 4)) for _ in range(400)]
+    pairs = [y for _ in range(60) for x in [r.getrandbits(64)] for y in (x, flip(x, r.choice([3, 4])))]
+    values = sorted({x - (x >> 63 << 64) for x in [*chain, *dense, *pairs]})
+    root = dict.fromkeys(values)
+    root = {x: x for x in values}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(values):
+        for y in values[:i]:
+            if ((x ^ y) & (2**64 - 1)).bit_count() <= 3 and find(x) != find(y):
+                root[max(find(x), find(y))] = min(find(x), find(y))
+    df = spark.createDataFrame([(x,) for x in values], "fp long")
+    assert {r.fp: r.root for r in simhash.linked(df).collect()} == {x: find(x) for x in values}
+    close = simhash.close_links(df)
+    assert all(((x.a ^ x.b) & (2**64 - 1)).bit_count() <= 2 for x in close.collect())
+    assert simhash.linked(df.limit(0)).count() == 0
     assert simhash.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 

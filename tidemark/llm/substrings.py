@@ -1,15 +1,17 @@
 """Repeated word windows by compressed FM-indexes over content-routed shards.
 
-A window of 35 words has a marker: the least hash of its 8-word runs. Equal windows have equal markers, so stretches of
+A window of 35 words has a marker: the least hash of its 16-word runs. Equal windows have equal markers, so stretches of
 text whose windows share a marker are sent to the shard of that marker, and only if the marker is found more than once;
 all places where a window can occur are then in one shard, and each text is streamed past one index only, however many
 shards there are. A shard builds an FM-index of its stretches (Burrows-Wheeler transform in a wavelet matrix of packed
 bits with rank directories) and runs backward search for all its stretches side by side. The matching statistics it
 gets (how long a match ends at a place that occurs at least twice) are reported as intervals of repeated windows.
 
-Stretches of equal content go to the shuffle once per task, so copies cost no index space. Markers found more than HOT
-times would still overfill a shard with contents that differ only at their ends. Their windows are counted by 128-bit
-hashes instead, which a partial aggregate shrinks before the shuffle; that is exact for any group size.
+Stretches of equal content go to the shuffle once per task and stand in the index once, with their number; copies cost
+no index space. A marker with more than HOT places could still overfill a shard with contents that differ only at their
+ends. Its different contents are therefore cut into single windows, which are routed by the hash of the whole window
+instead; those whose hash is found more than once go to the indexes of these finer shards. Hashes only decide what
+meets in a shard: what counts as equal is decided by the words.
 """
 
 from __future__ import annotations
@@ -22,38 +24,21 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import materialize, read, sliced, utf8
+from tidemark.llm.common import discard, free, give_back, grams, materialize, numbered, read, sliced, utf8, word_hashes
 
 WINDOW = 35
 #: Words of the runs whose least hash is a window's marker.
-GRAM = 8
-#: Places of one marker that a shard takes, a million words or so; the windows of more common markers are counted by hash.
-HOT = 20_000
-#: Words of a shard, about.
-SHARD_WORDS = 400_000
+GRAM = 16
+#: Places of one marker that a shard takes; the contents of more common markers are routed window by window.
+HOT = 2_000
+#: Words of a shard, about: bounds what one task indexes at a time.
+SHARD_WORDS = 300_000
 #: Longest pattern that an index answers; suffixes are sorted by so many words.
 ORDER = 64
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-
-
-def grams(x: np.ndarray, size: int, factor: int) -> np.ndarray:
-    """Hashes of all runs of `size` words from word hashes."""
-    n = len(x) - size + 1
-    out = x[:n].copy()
-    for k in range(1, size):
-        out *= np.uint64(factor)
-        out += x[k : k + n]
-    return mix(out)
+#: Windows, or different contents, that a task holds before it hands them on.
+HELD = 200_000
 
 
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -70,7 +55,7 @@ def stretches(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray,
     if len(words) < window:
         return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     gram = min(GRAM, window)
-    g = grams(word_hashes(words), gram, 0x9E3779B97F4A7C15)
+    g = grams(word_hashes(words), gram)
     marker = sliding_min(g, window - gram + 1)
     start = np.flatnonzero(np.r_[True, marker[1:] != marker[:-1]])
     size = np.diff(np.r_[start, len(marker)])
@@ -83,44 +68,41 @@ def stretches(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray,
 
 
 class FMIndex:
-    """Counts of word sequences of up to ORDER words in a text of symbols, by backward search."""
+    """Counts of word sequences of up to ORDER words in a text of symbols, by backward search; positions are 32-bit."""
 
     def __init__(self, text: np.ndarray, sigma: int):
         n = len(text)
         self.n = n
-        self.before = np.r_[0, np.cumsum(np.bincount(text, minlength=sigma))].astype(np.int64)
-        bwt = np.roll(text, 1)[self._order(text)]
+        self.before = np.r_[0, np.cumsum(np.bincount(text, minlength=sigma))].astype(np.int32)
+        symbols = np.roll(text, 1)[self._order(text)]
         self.levels = max(1, int(sigma - 1).bit_length())
         self.bits, self.ranks, self.zeros = [], [], []
-        # Where each symbol's run begins after all levels, less what stands before it in the sorted text.
-        symbols = bwt
         for level in reversed(range(self.levels)):
-            bit = (symbols >> level) & 1
-            packed = np.packbits(bit.astype(np.uint8), bitorder="little")
+            bit = ((symbols >> level) & 1).astype(bool)
+            packed = np.packbits(bit, bitorder="little")
             packed = np.r_[packed, np.zeros(-len(packed) % 8 + 8, np.uint8)].view("<u8")
             self.bits.append(packed)
             self.ranks.append(np.r_[0, np.cumsum(np.bitwise_count(packed), dtype=np.int64)].astype(np.int32))
-            self.zeros.append(n - int(bit.sum()))
-            symbols = np.r_[symbols[bit == 0], symbols[bit == 1]]
+            self.zeros.append(np.int32(n - np.count_nonzero(bit)))
+            symbols = np.r_[symbols[~bit], symbols[bit]]
+        # Where each symbol's run begins after all levels, less what stands before it in the sorted text.
         change = np.flatnonzero(np.r_[True, symbols[1:] != symbols[:-1]]) if n else np.zeros(0, np.int64)
-        self.begin = np.zeros(sigma, np.int64)
-        self.begin[symbols[change]] = change
+        begin = np.zeros(sigma, np.int32)
+        begin[symbols[change]] = change
+        self.shift = self.before[:-1] - begin
 
     @staticmethod
     def _order(text: np.ndarray) -> np.ndarray:
         """Positions sorted by the ORDER symbols that follow, cyclically."""
         rank, span = text.astype(np.int64), 1
-        order = np.argsort(rank, kind="stable")
         while True:
-            if span >= ORDER:
-                return order
-            key = rank * (len(text) + int(rank.max()) + 2) + np.roll(rank, -span)
-            order = np.argsort(key, kind="stable")
-            sorted_rank = key[order]
-            new = np.empty_like(rank)
-            new[order] = np.cumsum(np.r_[0, sorted_rank[1:] != sorted_rank[:-1]])
-            rank, span = new, span * 2
-            if rank.max() == len(text) - 1:
+            key = rank * (int(rank.max(initial=0)) + 1) + np.roll(rank, -span)
+            order = np.argsort(key, kind="stable").astype(np.int32)
+            key = key[order]
+            rank = np.empty(len(text), np.int64)
+            rank[order] = np.cumsum(np.r_[0, key[1:] != key[:-1]])
+            span *= 2
+            if span >= ORDER or rank.max(initial=0) == len(text) - 1:
                 return order
 
     def step(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,35 +111,47 @@ class FMIndex:
         wanted = np.concatenate([symbol, symbol])
         for k, (bits, ranks, zeros) in enumerate(zip(self.bits, self.ranks, self.zeros, strict=True)):
             word = at >> 6
-            ones = ranks[word] + np.bitwise_count(bits[word] & ((np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)))
+            ones = ranks[word] + np.bitwise_count(bits[word] & BELOW[at & 63])
             one = (wanted >> (self.levels - 1 - k)) & 1
-            at = np.where(one == 1, zeros + ones, at - ones)
-        at = at - self.begin[wanted] + self.before[wanted]
+            at = np.where(one, zeros + ones, at - ones)
+        at += self.shift[wanted]
         return at[: len(low)], at[len(low) :]
 
     def matched(self, text: np.ndarray, end: np.ndarray, limit: np.ndarray) -> np.ndarray:
         """Matching statistics: the length, up to limit, of the longest sequence ending at each place of text that occurs twice or more."""
-        length = np.zeros(len(end), np.int64)
+        length = np.zeros(len(end), np.int32)
         lane = np.arange(len(end))
-        low, high = np.zeros(len(end), np.int64), np.full(len(end), self.n, np.int64)
-        while len(lane):
-            low, high = self.step(text[end[lane] - length[lane]], low, high)
+        symbol = text[end]
+        low, high = self.before[symbol], self.before[symbol + 1]  # sequences of one symbol
+        while True:
             twice = high - low >= 2
             length[lane[twice]] += 1
             on = twice & (length[lane] < limit[lane])
             lane, low, high = lane[on], low[on], high[on]
-        return length
+            if not len(lane):
+                return length
+            low, high = self.step(text[end[lane] - length[lane]], low, high)
+
+
+#: Masks of the bits below each place of a word.
+BELOW = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
-def repeated_windows(segments: list[list[bytes]], window: int = WINDOW) -> list[np.ndarray]:
-    """For each segment (of at least window words), which of its windows occur at least twice in all segments."""
-    code: dict[bytes, int] = {}
+def repeated_windows(segments: list[list[bytes]], window: int = WINDOW, known: list[bool] | None = None) -> list[np.ndarray]:
+    """For each segment (of at least window words), which of its windows occur at least twice in all segments.
+
+    Segments that are known to stand for several places have no need of a search: all their windows occur again.
+    """
+    words = [w for s in segments for w in (*s, b"")]  # an empty word ends a segment
+    code = dict.fromkeys(words)
+    for k, w in enumerate(code):
+        code[w] = k
+    text = np.fromiter(map(code.__getitem__, words), np.int32, len(words))
+    sigma = len(code)
+    del words, code
     sizes = np.array([len(s) for s in segments], np.int64)
-    text = np.zeros(int(sizes.sum()) + len(segments), np.int64)
     first = np.cumsum(sizes + 1) - sizes - 1
-    for s, at in zip(segments, first.tolist(), strict=True):
-        text[at : at + len(s)] = [code.setdefault(w, len(code) + 1) for w in s]  # 0 ends a segment
-    index = FMIndex(text, len(code) + 1)
+    index = FMIndex(text, sigma)
     windows = sizes - window + 1
     place = np.r_[0, np.cumsum(windows)]
     found = np.zeros(int(place[-1]), bool)
@@ -166,6 +160,10 @@ def repeated_windows(segments: list[list[bytes]], window: int = WINDOW) -> list[
     # a single window, the next one that can match begins where its longest match began.
     at, gallop = np.zeros(len(segments), np.int64), np.minimum(windows, longest)
     lane = np.arange(len(segments))
+    if known is not None:
+        for k in np.flatnonzero(known).tolist():
+            found[place[k] : place[k + 1]] = True
+        lane = lane[~np.array(known, bool)]
     while len(lane):
         g = np.minimum(gallop[lane], windows[lane] - at[lane])
         end = first[lane] + at[lane] + window + g - 2
@@ -186,99 +184,161 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - edge[::2]
 
 
-def _spots(docs: DataFrame, window: int) -> DataFrame:
-    """_row, start, size, marker (as a signed long), hot: the stretches whose marker is found more than once."""
+def _spots(texts: DataFrame, window: int) -> DataFrame:
+    """row, start, size, marker (as a signed long), hot: the stretches whose marker is found more than once."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             rows, columns = [], [[], [], [], []]
-            for row, text in zip(batch.column("_row").to_pylist(), utf8(batch, "text"), strict=True):
+            for row, text in zip(batch.column("row").to_pylist(), utf8(batch, "text"), strict=True):
                 parts = stretches((text or b"").split(), window)
                 rows.append(np.full(len(parts[0]), row, np.int64))
                 for c, p in zip(columns, parts, strict=True):
                     c.append(p)
             start, size, marker, weight = (np.concatenate(c) for c in columns)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(marker.view(np.int64)), pa.array(weight.astype(np.int32))], ["_row", "start", "size", "marker", "weight"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(marker.view(np.int64)), pa.array(weight.astype(np.int32))], ["row", "start", "size", "marker", "weight"])
 
-    spots = materialize(docs.select("_row", "text").mapInArrow(run, "_row long, start int, size int, marker long, weight int"), "spots")
+    spots = materialize(texts.select("row", "text").mapInArrow(run, "row long, start int, size int, marker long, weight int"), "spots")
     often = materialize(spots.groupBy("marker").agg(F.sum("weight").alias("n")).where("n > 1").select("marker", (F.col("n") > HOT).alias("hot")), "often")
-    return spots.drop("weight").join(often, "marker").select("_row", "start", "size", "marker", "hot")
+    return spots.drop("weight").join(often, "marker").select("row", "start", "size", "marker", "hot")
 
 
-def repeated_spans(texts: DataFrame, window: int, shards: int) -> DataFrame:
-    """_row, start, a, n: runs of n repeated windows from start + a on, as two arrays; texts: _row, text, _spots."""
+def _content(split: list[bytes], start: int, size: int, window: int) -> tuple[bytes, bytes]:
+    words = b" ".join(split[start : start + size + window - 1])
+    return xxhash.xxh3_128_digest(words), words
 
-    def wanted(batch, hot: bool):
-        for row, text, spots in zip(batch.column("_row").to_pylist(), utf8(batch, "text"), batch.column("_spots").to_pylist(), strict=True):
-            mine = [s for s in spots if s["hot"] == hot]
-            if mine:
-                yield row, text.split(), mine
 
-    def content(split, spot):
-        words = b" ".join(split[spot["start"] : spot["start"] + spot["size"] + window - 1])
-        return xxhash.xxh3_128_digest(words), words
+def _contents(texts: DataFrame, window: int, hot: bool) -> DataFrame:
+    """marker, key, words, n: the stretches of hot markers, or of the others, once per task and content, with their number.
 
-    def places(batches):
-        for batch in sliced(batches, "text"):
-            rows, start, key = [], [], []
-            for row, split, spots in wanted(batch, False):
-                for s in spots:
-                    rows.append(row)
-                    start.append(s["start"])
-                    key.append(content(split, s)[0])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(start, pa.int32()), pa.array(key, pa.binary())], ["_row", "start", "key"])
+    A task that holds HELD contents hands them on and begins anew, so a content may come several times."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, list] = {}
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            marker, words, n = zip(*held.values(), strict=True) if held else ((), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(marker, pa.int64()), pa.array(held, pa.binary()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["marker", "key", "words", "n"])
 
-    def contents(batches):
-        """Each content once per task with its words, and once without if it comes again: copies stay out of the shuffle."""
-        seen: dict[bytes, bool] = {}
         for batch in sliced(batches, "text"):
-            marker, key, words = [], [], []
-            for _, split, spots in wanted(batch, False):
+            for text, spots in zip(utf8(batch, "text"), batch.column("spots").to_pylist(), strict=True):
+                split = None
                 for s in spots:
-                    k, w = content(split, s)
-                    again = seen.get(k)
-                    if again:
-                        continue
-                    seen[k] = again is not None
-                    marker.append(s["marker"])
-                    key.append(k)
-                    words.append(w if again is None else None)
-            yield pa.RecordBatch.from_arrays([pa.array(marker, pa.int64()), pa.array(key, pa.binary()), pa.array(words, pa.binary())], ["marker", "key", "words"])
+                    if s["hot"] == hot:
+                        split = split or text.split()
+                        key, words = _content(split, s["start"], s["size"], window)
+                        known = held.get(key)
+                        if known:
+                            known[2] += 1
+                        else:
+                            held[key] = [s["marker"], words, 1]
+                            size += len(words)
+                if size > 32 * HELD:
+                    yield out()
+                    held.clear()
+                    size = 0
+        yield out()
+
+    return texts.select("text", "spots").mapInArrow(run, "marker long, key binary, words binary, n long")
+
+
+def _searched(contents: DataFrame, window: int, shards: int) -> DataFrame:
+    """key, a, n: runs of n repeated windows from a on, per different content; contents of one marker meet in one shard."""
 
     def search(table: pa.Table) -> pa.Table:
         found: dict[bytes, list] = {}
-        for k, w in zip(table.column("key").to_pylist(), table.column("words").to_pylist(), strict=True):
-            held = found.setdefault(k, [None, 0])
-            held[0] = held[0] or w
-            held[1] += 1
+        for k, w, n in zip(table.column("key").to_pylist(), table.column("words").to_pylist(), table.column("n").to_pylist(), strict=True):
+            held = found.setdefault(k, [w, 0])
+            held[1] += n
+        flagged = repeated_windows([w.split() for w, _ in found.values()], window, [n > 1 for _, n in found.values()])
         keys, first, size = [], [], []
-        flagged = repeated_windows([w.split() for w, _ in found.values()], window)
-        for (k, (_, times)), flags in zip(found.items(), flagged, strict=True):
-            a, n = runs(flags if times < 2 else np.ones(len(flags), bool))
+        for k, flags in zip(found, flagged, strict=True):
+            a, n = runs(flags)
             if len(a):
                 keys.append(k)
                 first.append(a)
                 size.append(n)
-        return pa.table([pa.array(keys, pa.binary()), pa.array(first, pa.list_(pa.int32())), pa.array(size, pa.list_(pa.int32()))], ["key", "a", "n"])
+        out = pa.table([pa.array(keys, pa.binary()), pa.array(first, pa.list_(pa.int32())), pa.array(size, pa.list_(pa.int32()))], ["key", "a", "n"])
+        del found, flagged, table
+        give_back()
+        return out
+
+    sharded = contents.select(F.pmod("marker", F.lit(shards)).alias("shard"), "key", "words", "n")
+    return sharded.groupBy("shard").applyInArrow(search, "key binary, a array<int>, n array<int>")
+
+
+def _shards(contents: DataFrame) -> int:
+    """As many shards as the words that are there need, copies apart."""
+    total = contents.select(F.sum(F.length("words"))).first()[0] or 0
+    return max(1, -(-total // (6 * SHARD_WORDS)))
+
+
+def _hot_searched(texts: DataFrame, window: int) -> DataFrame | None:
+    """key, a, n as from _searched for the contents of hot markers, which are cut into windows of their own shards."""
+    spark = texts.sparkSession
+    some = _contents(texts, window, True).groupBy("key").agg(F.min("words").alias("words"), F.sum("n").alias("n"))
+    contents = materialize(some, "hot")
+    if contents.isEmpty():
+        return None
+
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "words"):
+            hashes = [grams(word_hashes(w.split()), window).view(np.int64) for w in batch.column("words").to_pylist()]
+            at = [np.arange(len(h), dtype=np.int32) for h in hashes]
+            which = pa.array(np.repeat(np.arange(batch.num_rows), [len(h) for h in hashes]))
+            yield pa.RecordBatch.from_arrays([batch.column("key").take(which), batch.column("n").take(which), pa.array(np.concatenate(at)), pa.array(np.concatenate(hashes))], ["key", "n", "i", "marker"])
+
+    windows = materialize(contents.mapInArrow(hashed, "key binary, n long, i int, marker long"), "windows")
+    twice = windows.groupBy("marker").agg(F.sum("n").alias("n")).where("n > 1").select("marker")
+    wanted = windows.join(twice, "marker").groupBy("key").agg(F.collect_list(F.struct("i", "marker")).alias("at"))  # windows of one content
+    wanted = materialize(contents.join(wanted, "key"), "wanted")
+
+    def single(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each different window of some contents with its number, and the contents and places that it stands for."""
+        for batch in sliced(batches, "words"):
+            out: dict[bytes, list] = {}
+            for key, words, n, at in zip(*(batch.column(c).to_pylist() for c in ("key", "words", "n", "at")), strict=True):
+                split = words.split()
+                for x in at:
+                    k, w = _content(split, x["i"], 1, window)
+                    held = out.setdefault(k, [x["marker"], w, 0, [], []])
+                    held[2] += n
+                    held[3].append(key)
+                    held[4].append(x["i"])
+            marker, words, n, keys, places = zip(*out.values(), strict=True) if out else ((),) * 5
+            yield pa.RecordBatch.from_arrays([pa.array(marker, pa.int64()), pa.array(out, pa.binary()), pa.array(words, pa.binary()), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.binary())), pa.array(places, pa.list_(pa.int32()))], ["marker", "key", "words", "n", "of", "i"])
+
+    singles = materialize(wanted.mapInArrow(single, "marker long, key binary, words binary, n long, of array<binary>, i array<int>"), "singles")
+    repeated = _searched(singles.select("marker", "key", "words", "n"), window, _shards(singles)).select("key")
+    places = singles.join(repeated, "key").select(F.explode(F.arrays_zip("of", "i")).alias("x")).select(F.col("x.of").alias("key"), F.col("x.i").alias("i"))
+    known = places.groupBy("key").agg(F.array_sort(F.collect_list("i")).alias("a"))  # windows of one content
+    out = materialize(known.select("key", "a", F.transform("a", lambda _: F.lit(1)).alias("n")), "known")
+    discard(spark, contents, windows, wanted, singles)
+    return out
+
 
-    def hot(batches):
+def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
+    """row, start, a, n: runs of n repeated windows from start + a on, as two arrays; texts: row, text, spots."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            out = [[], [], [], []]
-            for row, split, spots in wanted(batch, True):
-                x = word_hashes(split)
-                a, b = grams(x, window, 0xD1342543DE82EF95), grams(x, window, 0xAF251AF3B0F025B5)
-                at = np.concatenate([np.arange(s["start"], s["start"] + s["size"]) for s in spots])
-                for c, values in zip(out, (np.full(len(at), row, np.int64), at.astype(np.int32), a[at].view(np.int64), b[at].view(np.int64)), strict=True):
-                    c.append(values)
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["_row", "start", "w1", "w2"])
-
-    sharded = texts.mapInArrow(contents, "marker long, key binary, words binary").withColumn("shard", F.pmod("marker", F.lit(shards)))
-    known = sharded.groupBy("shard").applyInArrow(search, "key binary, a array<int>, n array<int>")
-    spans = texts.mapInArrow(places, "_row long, start int, key binary").join(known, "key").select("_row", "start", "a", "n")
-    windows = materialize(texts.mapInArrow(hot, "_row long, start int, w1 long, w2 long"), "windows")
-    twice = materialize(windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where("c > 1").select("w1", "w2"), "twice")
-    return spans.unionByName(windows.join(twice, ["w1", "w2"]).select("_row", "start", F.array(F.lit(0)).alias("a"), F.array(F.lit(1)).alias("n")))
+            rows, start, key = [], [], []
+            for row, text, spots in zip(batch.column("row").to_pylist(), utf8(batch, "text"), batch.column("spots").to_pylist(), strict=True):
+                split = text.split()
+                for s in spots:
+                    rows.append(row)
+                    start.append(s["start"])
+                    key.append(_content(split, s["start"], s["size"], window)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(start, pa.int32()), pa.array(key, pa.binary())], ["row", "start", "key"])
+
+    contents = materialize(_contents(texts, window, False), "contents")
+    known = materialize(_searched(contents, window, _shards(contents)), "known")
+    discard(texts.sparkSession, contents)
+    hot = _hot_searched(texts, window)
+    if hot is not None:
+        known = known.unionByName(hot)
+    return texts.select("row", "text", "spots").mapInArrow(run, "row long, start int, key binary").join(known, "key").select("row", "start", "a", "n")
 
 
 def removal(words: list[bytes], spans: list[dict] | None, window: int) -> list[bytes]:
@@ -294,14 +354,19 @@ def removal(words: list[bytes], spans: list[dict] | None, window: int) -> list[b
 
 
 def _removed(docs: DataFrame, window: int, keep_all: bool) -> DataFrame:
-    """Columns of docs with _words (their number), _kept (words left) and _sha; text is what is left, with keep_all, else null."""
-    names = docs.columns
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    # Spans depend on the text alone, and rows keep their numbers as long as docs is read in one order, as files are.
-    listed = _spots(numbered, window).groupBy("_row").agg(F.collect_list(F.struct("start", "size", "marker", "hot")).alias("_spots"))
-    shape = "_words long, _kept long, _sha string"
-
-    def digest(batch, spans, rest):
+    """rest (a struct of the columns of docs but text), text, words (their number), kept (words left) and sha per row.
+
+    With keep_all, text is what is left (the text itself if all is), else null.
+    """
+    (row,) = free(docs.columns, "row")
+    rows = numbered(docs, row)
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    texts = rows.select(F.col(row).alias("row"), F.struct(F.col(row), *others).alias("rest"), F.col("text").cast("string").alias("text"))
+    # Spans depend on the text alone; rows keep their numbers for both reads.
+    listed = _spots(texts, window).groupBy("row").agg(F.collect_list(F.struct("start", "size", "marker", "hot")).alias("spots"))
+    result = StructType([texts.schema["rest"], StructField("text", StringType()), StructField("words", LongType()), StructField("kept", LongType()), StructField("sha", StringType())])
+
+    def digest(batch: pa.RecordBatch, spans: list) -> pa.RecordBatch:
         n_words, n_kept, sha, left = [], [], [], []
         for text, s in zip(utf8(batch, "text"), spans, strict=True):
             words = (text or b"").split()
@@ -311,56 +376,53 @@ def _removed(docs: DataFrame, window: int, keep_all: bool) -> DataFrame:
             whole = b" ".join(kept)
             sha.append(hashlib.sha256(whole).hexdigest())
             left.append(text if len(kept) == len(words) else whole)
-        columns = [pa.array(left, pa.binary()).cast(pa.string()) if c == "text" and keep_all else pa.nulls(len(left), pa.string()) if c == "text" else batch.column(c) for c in rest]
-        return pa.RecordBatch.from_arrays([*columns, pa.array(n_words, pa.int64()), pa.array(n_kept, pa.int64()), pa.array(sha, pa.string())], [*rest, "_words", "_kept", "_sha"])
+        text = pa.array(left, pa.binary()).cast(pa.string()) if keep_all else pa.nulls(len(left), pa.string())
+        return pa.RecordBatch.from_arrays([batch.column("rest"), text, pa.array(n_words, pa.int64()), pa.array(n_kept, pa.int64()), pa.array(sha, pa.string())], result.names)
 
-    def cut(batches):
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Digests of texts without candidate windows at once; the others keep their text for the search."""
         for batch in sliced(batches, "text"):
-            yield digest(batch, batch.column("_spans").to_pylist(), names)
-
-    base = docs.select(*[F.col(c).cast("string").alias(c) if c == "text" else F.col(c) for c in names])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema.fields] + [shape])
-    joined = materialize(_split_text(numbered.join(listed, "_row", "left"), names, schema, digest, keep_all), "texts")
-    found = materialize(joined.where("_spots is not null").select("_row", "text", "_spots"), "found") if keep_all else joined.where("_spots is not null").select("_row", "text", "_spots")
-    total = found.select(F.explode("_spots").alias("s")).where("not s.hot").agg(F.sum(F.col("s.size") + window - 1)).first()[0] or 0
-    spans = repeated_spans(found, window, max(1, -(-total // SHARD_WORDS))).groupBy("_row").agg(F.collect_list(F.struct("start", "a", "n")).alias("_spans"))
-    done = joined.where("_spots is null").select(*names, "_words", "_kept", "_sha")
-    some = joined.where("_spots is not null").select("_row", *names).join(spans, "_row", "left").mapInArrow(cut, schema)
-    return done.unionByName(some)
-
-
-def _split_text(joined: DataFrame, names: list[str], schema: str, digest, keep_all: bool) -> DataFrame:
-    """Digests of texts without candidate windows at once; the others keep their text for the search."""
-
-    def run(batches):
+            free_of = batch.filter(batch.column("spots").is_null())
+            if free_of.num_rows:
+                yield pa.RecordBatch.from_arrays([free_of.column("row"), free_of.column("spots"), *digest(free_of, [None] * free_of.num_rows).columns], ["row", "spots", *result.names])
+            rest = batch.filter(batch.column("spots").is_valid())
+            if n := rest.num_rows:
+                yield pa.RecordBatch.from_arrays([rest.column("row"), rest.column("spots"), rest.column("rest"), rest.column("text"), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.string())], ["row", "spots", *result.names])
+
+    def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            spots = batch.column("_spots").to_pylist()
-            done = digest(batch, [None] * batch.num_rows, names)
-            text = batch.column("text") if keep_all else pa.array([t if s else None for t, s in zip(utf8(batch, "text"), spots, strict=True)], pa.binary()).cast(pa.string())
-            columns = [text if c == "text" else done.column(c) for c in done.schema.names]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column("_row"), batch.column("_spots")], [*done.schema.names, "_row", "_spots"])
+            yield digest(batch, batch.column("spans").to_pylist())
 
-    return joined.mapInArrow(run, schema + ", _row long, _spots array<struct<start:int,size:int,marker:bigint,hot:boolean>>")
+    spot = StructType([StructField("start", IntegerType()), StructField("size", IntegerType()), StructField("marker", LongType()), StructField("hot", listed.schema["spots"].dataType.elementType["hot"].dataType)])
+    joined = materialize(texts.join(listed, "row", "left").select("row", "rest", "text", "spots").mapInArrow(split, StructType([StructField("row", LongType()), StructField("spots", ArrayType(spot)), *result.fields])), "texts")
+    found = joined.where("spots is not null").select("row", "rest", "text", "spots")
+    spans = repeated_spans(found, window).groupBy("row").agg(F.collect_list(F.struct("start", "a", "n")).alias("spans"))
+    some = found.drop("spots").join(spans, "row", "left").select("rest", "text", "spans").mapInArrow(cut, result)
+    return joined.where("spots is null").select(*result.names).unionByName(some)
 
 
 def repeated_words(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 per row: words covered by a window that occurs anywhere else are removed.
 
-    Null and empty texts have no words. Texts of fewer words than a window lose none. All occurrences go, the first
-    included; repeated rows therefore lose all windows. Null and repeated doc_ids are rows like any other. Empty tables
-    give no rows. Other columns are not read.
+    Null and empty texts have no words. Texts of fewer words than a window lose none; long texts are taken whole. All
+    occurrences go, the first included; repeated rows therefore lose all windows. Null and repeated doc_ids are rows like
+    any other. Empty tables give no rows. Other columns are not read.
     """
-    out = _removed(docs.select("doc_id", "text"), window, False)
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_words").alias("n_words"), (F.col("_words") - F.col("_kept")).alias("n_removed"), F.col("_sha").alias("kept_sha256"))
+    out = _removed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), window, False)
+    return out.select(F.col("rest.doc_id").alias("doc_id"), F.col("words").alias("n_words"), (F.col("words") - F.col("kept")).alias("n_removed"), F.col("sha").alias("kept_sha256"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs with repeated words removed from text (left words joined by one space; texts that lose none stay as they are) and n_chars, if there, made to fit."""
-    names = docs.columns
+    """docs with repeated words removed from text: words left are joined by one space, texts that lose none stay as they are.
+
+    n_chars, if there, is made to fit. All rows stay, those of null and empty texts as they are; a text of which nothing
+    is left is empty. Ties, repeated rows, long texts and empty tables are as in repeated_words. Columns may have any names.
+    """
     out = _removed(docs, window, True)
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.when(F.col("_kept") < F.col("_words"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*names)
+    columns = {c: F.col("text") if c == "text" else F.col(f"rest.`{c}`") for c in docs.columns}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("kept") < F.col("words"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(columns["n_chars"])
+    return out.select(*[c.alias(name) for name, c in columns.items()])
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
