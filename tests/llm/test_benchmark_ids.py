@@ -9,7 +9,7 @@ from tidemark.llm import decontaminate
 @pytest.mark.parametrize("blocks", [False, True])
 def test_items_without_an_id_contaminate_documents_of_the_pipeline(spark, tmp_path, monkeypatch, blocks):
     if blocks:
-        monkeypatch.setattr(decontaminate.contamination, "__defaults__", (13, 20, False, 40))
+        monkeypatch.setattr(decontaminate.contamination, "__defaults__", (13, 20, "", 40))
     item = " ".join(f"q{k}" for k in range(20))
     spark.createDataFrame([(None, item), (None, None), (4, "other words")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = spark.createDataFrame([(1, f"before {item} after"), (2, "nothing of it"), (3, None)], "doc_id long, text string")

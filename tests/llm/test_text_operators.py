@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, html, quality_model, quality_rules, simhash, substrings, urls, warc
+from tidemark.llm import common, decontaminate, html, quality_model, quality_rules, simhash, substrings, urls, warc
 
 R = random.Random(11)
 VOCABULARY = [f"w{k}" for k in range(300)]
@@ -155,7 +155,7 @@ def test_contamination(files, spark):
         want.append((k if k % 9 else None, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     assert rows_of(decontaminate.contamination(files, bench)) == sorted(want, key=str)
     assert rows_of(decontaminate.contamination(files, bench, block_bytes=200)) == sorted(want, key=str)
-    kept = decontaminate.contamination(files, bench, keep_columns=True)
+    kept = decontaminate.contamination(files, bench, flag="_contaminated")
     assert kept.columns == [*files.columns, "_contaminated"] and kept.where("_contaminated").count() == sum(x[-1] for x in want)
     assert decontaminate.contamination(files, bench.limit(0)).where("contaminated or n_items > 0").count() == 0
 
@@ -256,3 +256,67 @@ def test_fixity(spark, tmp_path):
     warc.write_segments(pages.where("url is not null"), str(tmp_path / "w"))
     back = warc.read_records(spark, str(tmp_path / "w"))
     assert back.where("intact").count() == 400 and rows_of(back.select("url", "html")) == sorted([(u, h) for _, u, h in rows if u], key=str)
+
+
+def test_stretches_against_each_window(monkeypatch):
+    r = random.Random(13)
+    for _ in range(40):
+        window = r.choice([3, 9, 35])
+        gram = min(substrings.GRAM, window)
+        texts = [[b"%d" % r.randint(0, r.choice([1, 40])) for _ in range(r.choice([0, 1, window - 1, window, r.randint(window, 200)]))] for _ in range(6)]
+        got = {}
+        for k, start, size, marker, weight in zip(*(x.tolist() for x in substrings.stretches(texts, window)), strict=True):
+            for i in range(start, start + size):
+                assert (k, i) not in got
+                got[k, i] = marker
+            g = substrings.grams(substrings.word_hashes(texts[k][start : start + size + window - 1]), gram).tolist()
+            assert weight == 1 + (g.count(marker) > 1)
+        want = {}
+        for k, t in enumerate(texts):
+            for i in range(len(t) - window + 1):
+                want[k, i] = min(substrings.grams(substrings.word_hashes(t[i : i + window]), gram).tolist())
+        assert got == want
+
+
+@pytest.mark.parametrize(("hot", "held"), [(3, 16 << 20), (3, 100)])
+def test_a_common_passage_in_many_contexts(spark, tmp_path, monkeypatch, hot, held):
+    """Markers over HOT places: contents that differ at their ends only, near copies, and copies, in many tasks."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "HELD_BYTES", held)
+    r = random.Random(14)
+    base = prose(150, r).split()
+    texts = [f"{prose(r.randint(0, 50), r)} {PASSAGE} {prose(r.randint(0, 50), r)}" for _ in range(60)] + [" ".join(base)] * 8
+    for _ in range(40):
+        w = list(base)
+        w[r.randrange(150)] = "edit%d" % r.randrange(12)
+        texts.append(" ".join(w))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(7).write.parquet(str(tmp_path / "d"))
+    split = [words(t) for t in texts]
+    counts = Counter(tuple(w[i : i + 35]) for w in split for i in range(len(w) - 34))
+    want = {}
+    for k, w in enumerate(split):
+        gone = {i + j for i in range(len(w) - 34) if counts[tuple(w[i : i + 35])] > 1 for j in range(35)}
+        want[k] = (len(w), len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest())
+    got = substrings.repeated_words(spark.read.parquet(str(tmp_path / "d"))).collect()
+    assert {x.doc_id: (x.n_words, x.n_removed, x.kept_sha256) for x in got} == want
+
+
+def test_rows_are_numbered_the_same_however_they_are_read(files, docs, spark):
+    for table in (files, files.where("n_chars > 3"), docs.repartition(5)):
+        rows = common.numbered(table, "r")
+        first = sorted(rows.select("r", "text", "n_words").collect(), key=str)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+        again = sorted(rows.repartition(3).select("r", "text", "n_words").collect(), key=str)
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert first == again and len({x.r for x in first}) == len(first) == table.count()
+    assert common.free(["_Row", "row"], "row", "other") == ["__row", "other"]
+
+
+def test_columns_may_be_called_like_those_that_operators_use(files):
+    names = ["row", "_row", "rest", "words", "kept", "sha", "spots", "_kept", "_m", "_l", "_base_failed", "_contaminated", "path", "file", "index", "id", "s", "_words", "covered", "_covered", "_items"]
+    wide = files.select("*", *[F.lit(k).alias(c) for k, c in enumerate(names)])
+    for operator in (substrings.without_repeats, simhash.one_of_each, quality_rules.clean):
+        out = operator(wide)
+        assert out.columns == wide.columns
+        assert out.select(*names).distinct().collect() == [tuple(range(len(names)))]
+        assert rows_of(out.select("doc_id", "text", "n_chars")) == rows_of(operator(files).select("doc_id", "text", "n_chars"))

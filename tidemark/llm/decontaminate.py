@@ -115,20 +115,20 @@ def _verdicts(doc_ids, n_words: list[int], hits: list[tuple[list, set]], share:
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, keep_columns: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, flag: str = "", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words).
 
-    keep_columns returns the columns of docs and `_contaminated` instead, for filtering. Null and empty texts have no
-    words and are clean; items without words are never found; items whose id is null are found with keep_columns, which
+    With a flag, the columns of docs and a boolean of that name instead, for filtering. Null and empty texts have no
+    words and are clean; items without words are never found; items whose id is null are found with a flag, which
     names no items, and left out without it, as in the SQL; repeated rows come out once each; a repeated item_id counts once. With an empty benchmark all is clean. Other columns are passed by.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
-    bench = bench.fillna("", "item_id") if keep_columns else bench.where("item_id is not null")
+    bench = bench.fillna("", "item_id") if flag else bench.where("item_id is not null")
     size = bench.agg(F.sum(F.length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     names = docs.columns
-    kept = docs.select(*names) if keep_columns else docs.select("doc_id", "text")
+    kept = docs.select(*names) if flag else docs.select("doc_id", "text")
     if blocks > 1:
         kept = kept.withColumn("_row", F.monotonically_increasing_id())
 
@@ -147,11 +147,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
                 hits = [held.value.hits(w) for w in texts]
                 ids = batch.column("doc_id").cast(pa.int64())
                 out = _verdicts(ids, [len(w) for w in texts], hits, share)
-                if keep_columns:
-                    out = pa.RecordBatch.from_arrays([*batch.columns, out.column("contaminated")], [*batch.schema.names, "_contaminated"])
+                if flag:
+                    out = pa.RecordBatch.from_arrays([*batch.columns, out.column("contaminated")], [*batch.schema.names, flag])
                 yield out
 
-        schema = kept.withColumn("_contaminated", F.lit(True)).schema if keep_columns else RESULT
+        schema = kept.withColumn(flag, F.lit(True)).schema if flag else RESULT
         return kept.mapInArrow(judge, schema)
 
     found = None
@@ -178,11 +178,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
             n_words = [len(words_of(t)) for t in utf8(batch, "text")]
             hits = [([tuple(x) for c in cov or [] for x in np.frombuffer(c, "<i8").reshape(-1, 2).tolist()], set(items or [])) for cov, items in zip(batch.column("_covered").to_pylist(), batch.column("_items").to_pylist(), strict=True)]
             out = _verdicts(batch.column("doc_id").cast(pa.int64()), n_words, hits, share)
-            if keep_columns:
-                out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), out.column("contaminated")], [*names, "_contaminated"])
+            if flag:
+                out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), out.column("contaminated")], [*names, flag])
             yield out
 
-    schema = kept.drop("_row").withColumn("_contaminated", F.lit(True)).schema if keep_columns else RESULT
+    schema = kept.drop("_row").withColumn(flag, F.lit(True)).schema if flag else RESULT
     return kept.join(by_row, "_row", "left").mapInArrow(merge, schema)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, read
+from tidemark.llm.common import free, let, read
 
 #: What separates words.
 BLANK = r"[ \t-\r]"
@@ -42,11 +42,11 @@ def count_of(text: Column, characters: str) -> Column:
 def repeat_words(words: Column, window: int = WINDOW) -> Column:
     """Words that stand in a window found twice or more among these words, the first time included."""
 
-    def covered(hashes: Column) -> Column:
-        pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    def covered(starts: Column) -> Column:
+        pairs = F.array_sort(F.transform(starts, lambda i: F.struct(F.slice(words, i + 1, window).alias("w"), i.alias("i"))))
 
         def places(s: Column) -> Column:
-            twice = lambda x, k: (F.get(s, k - 1)["h"] == x["h"]) | (F.get(s, k + 1)["h"] == x["h"])
+            twice = lambda x, k: (F.get(s, k - 1)["w"] == x["w"]) | (F.get(s, k + 1)["w"] == x["w"])
             return F.array_sort(F.transform(F.filter(s, lambda x, k: F.coalesce(twice(x, k), F.lit(False))), lambda x: x["i"]))
 
         def total(p: Column) -> Column:
@@ -56,12 +56,10 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
 
         return let(let(pairs, places), total)
 
-    def windows(h: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.size(h) - window)
-        return F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(window)]))
-
-    # Most texts have no window twice, which the count of different hashes shows; only the others are sorted.
-    of_hashes = lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(covered(w))
+    starts = F.sequence(F.lit(0), F.size(words) - window)
+    windows = lambda h: F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(window)]))
+    # Equal windows have equal hashes, and most texts have no hash twice; only the others are sorted, by their words.
+    of_hashes = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(starts))
     return F.when(F.size(words) < window, F.lit(0)).otherwise(let(let(F.transform(words, lambda w: F.xxhash64(w)), windows), of_hashes))
 
 
@@ -70,46 +68,59 @@ def line_passes(line: Column) -> Column:
     return ~line.rlike(BLANK.replace("[", "^[") + "*$") & ~line.rlike(NAVIGATION) & ~line.rlike(BOILERPLATE) & ~line.rlike(SHOUTING) & (count_of(line, SYMBOLS) * SYMBOL_SHARE <= F.length(line)) & (line.rlike(ENDS_SENTENCE) | wrapped)
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """docs with _m: the counts of each text, its lines that pass (clean), and the verdicts. Null texts count as empty."""
+def measured(docs: DataFrame) -> tuple[DataFrame, Column, Column, Column]:
+    """docs with two columns more, and over these: a struct of counts (with clean, the lines that pass), and both verdicts."""
+    of_words, of_lines = free(docs.columns, "of_words", "of_lines")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     full = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^ \t-\r]"))
     clean = F.filter(F.split(text, "\n"), line_passes)
     size = lambda lines: F.aggregate(lines, F.lit(0), lambda acc, x: acc + F.length(x))
-    return (
-        docs.withColumn("_m", let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words"))))
-        .withColumn("_l", F.struct(let(full, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), size(x).cast("long").alias("n_full"))).alias("full"), let(clean, lambda x: F.struct(F.array_join(x, "\n").alias("text"), size(x).cast("long").alias("n_clean"))).alias("clean")))
-        .withColumn("_base_failed", (F.col("_m.n_words") < 10) | (100 * F.col("_m.n_repeat_words") > 20 * F.col("_m.n_words")))
-        .withColumn("_kept", ~F.col("_base_failed") & ((F.col("_l.full.n_full") - F.col("_l.clean.n_clean")) * 100 <= F.col("_l.full.n_full") * LOSS_PERCENT))
+    out = docs.withColumn(of_words, let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).cast("long").alias("n_repeat_words")))).withColumn(
+        of_lines,
+        F.struct(
+            let(full, lambda x: F.struct((F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), size(x).cast("long").alias("n_full"))).alias("full"),
+            let(clean, lambda x: F.struct(F.array_join(x, "\n").alias("text"), size(x).cast("long").alias("n_clean"))).alias("clean"),
+        ),
     )
+    w, lines = F.col(of_words), F.col(of_lines)
+    base_failed = (w["n_words"] < 10) | (100 * w["n_repeat_words"] > 20 * w["n_words"])
+    kept = ~base_failed & ((lines["full"]["n_full"] - lines["clean"]["n_clean"]) * 100 <= lines["full"]["n_full"] * LOSS_PERCENT)
+    counts = F.struct(w["n_words"].alias("n_words"), w["n_repeat_words"].alias("n_repeat_words"), lines["full"]["n_dup_lines"].alias("n_dup_lines"), lines["clean"]["text"].alias("clean"))
+    return out, counts, base_failed, kept
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, the counts, base_failed, kept, and the share of text lost, per row.
+    """doc_id, the counts, base_failed and kept per row.
 
     Null and empty texts have no words, fail the base and are not kept. Repeated rows are judged once each; lines that
-    differ in white space are different lines. Empty tables give no rows. Other columns are not read.
+    differ in white space are different lines. Long texts are judged whole. Empty tables give no rows. Other columns are
+    not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return measured(docs.select("doc_id", "text")).select(
+    out, counts, base_failed, kept = measured(docs.select("doc_id", "text"))
+    return out.select(
         "doc_id",
-        F.col("_m.n_words").alias("n_words"),
+        counts["n_words"].alias("n_words"),
         F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
         count_of(text, SYMBOLS).cast("long").alias("n_symbols"),
-        F.col("_l.full.n_dup_lines").alias("n_dup_lines"),
-        F.col("_m.n_repeat_words").alias("n_repeat_words"),
-        F.col("_base_failed").alias("base_failed"),
-        F.col("_kept").alias("kept"),
+        counts["n_dup_lines"].alias("n_dup_lines"),
+        counts["n_repeat_words"].alias("n_repeat_words"),
+        base_failed.alias("base_failed"),
+        kept.alias("kept"),
     )
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """The columns of docs for documents that are kept, with failing lines removed from text and n_chars, if there, made to fit."""
-    names = docs.columns
-    out = measured(docs).where("_kept").withColumn("text", F.col("_l.clean.text"))
-    if "n_chars" in names:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*names)
+    """The columns of docs for documents that are kept, with failing lines removed from text and n_chars, if there, made to fit.
+
+    Null and empty texts go. Ties, repeated rows, long texts and empty tables are as in judge; other columns stay as they
+    are and may have any names.
+    """
+    out, counts, _, kept = measured(docs)
+    columns = {c: F.col(f"`{c}`") for c in docs.columns} | {"text": counts["clean"]}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length(counts["clean"]).cast(docs.schema["n_chars"].dataType)
+    return out.where(kept).select(*[c.alias(name) for name, c in columns.items()])
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Repeated word windows by compressed FM-indexes over content-routed shards.
 
-A window of 35 words has a marker: the least hash of its 16-word runs. Equal windows have equal markers, so stretches of
+A window of 35 words has a marker: the least hash of its 8-word runs. Equal windows have equal markers, so stretches of
 text whose windows share a marker are sent to the shard of that marker, and only if the marker is found more than once;
 all places where a window can occur are then in one shard, and each text is streamed past one index only, however many
 shards there are. A shard builds an FM-index of its stretches (Burrows-Wheeler transform in a wavelet matrix of packed
@@ -8,7 +8,8 @@ bits with rank directories) and runs backward search for all its stretches side
 gets (how long a match ends at a place that occurs at least twice) are reported as intervals of repeated windows.
 
 Stretches of equal content go to the shuffle once per task and stand in the index once, with their number; copies cost
-no index space. A marker with more than HOT places could still overfill a shard with contents that differ only at their
+no index space, and a content that shares its marker with no other needs none at all: its windows occur as often as it
+does. A marker with more than HOT places could still overfill a shard with contents that differ only at their
 ends. Its different contents are therefore cut into single windows, which are routed by the hash of the whole window
 instead; those whose hash is found more than once go to the indexes of these finer shards. Hashes only decide what
 meets in a shard: what counts as equal is decided by the words.
@@ -30,15 +31,15 @@ from tidemark.llm.common import discard, free, give_back, grams, materialize, nu
 
 WINDOW = 35
 #: Words of the runs whose least hash is a window's marker.
-GRAM = 16
+GRAM = 8
 #: Places of one marker that a shard takes; the contents of more common markers are routed window by window.
 HOT = 2_000
 #: Words of a shard, about: bounds what one task indexes at a time.
-SHARD_WORDS = 300_000
+SHARD_WORDS = 600_000
 #: Longest pattern that an index answers; suffixes are sorted by so many words.
 ORDER = 64
-#: Windows, or different contents, that a task holds before it hands them on.
-HELD = 200_000
+#: Bytes of different contents that a task knows at a time.
+HELD_BYTES = 16 << 20
 
 
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
@@ -50,21 +51,35 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def stretches(words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First window, number of windows, marker, and weight (2 if the marker is there twice) of each stretch."""
-    if len(words) < window:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+def stretches(texts: list[list[bytes]], window: int) -> tuple[np.ndarray, ...]:
+    """Text, first window, number of windows, marker, and weight (2 if the marker is there twice) of each stretch of texts."""
     gram = min(GRAM, window)
-    g = grams(word_hashes(words), gram)
+    texts = [(k, words) for k, words in enumerate(texts) if len(words) >= window]
+    if not texts:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    sizes = np.array([len(words) for _, words in texts], np.int64)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    g = grams(word_hashes([w for _, words in texts for w in words]), gram)
+    over = (ends[:-1, None] - np.arange(1, gram)).ravel()  # runs over the end of a text
+    g[over] = np.uint64(2**64 - 1)
     marker = sliding_min(g, window - gram + 1)
-    start = np.flatnonzero(np.r_[True, marker[1:] != marker[:-1]])
+    new = np.r_[True, marker[1:] != marker[:-1]]
+    new[begins] = True
+    after = begins + sizes - window + 1  # the first places that have no window of the text before
+    new[after[after < len(new)]] = True
+    start = np.flatnonzero(new)
     size = np.diff(np.r_[start, len(marker)])
-    weight = np.ones(len(start), np.int64)
-    if len(np.unique(g)) < len(g):
-        for k, (s, n) in enumerate(zip(start.tolist(), size.tolist(), strict=True)):
-            if np.count_nonzero(g[s : s + n + window - gram] == marker[s]) > 1:
-                weight[k] = 2
-    return start, size, marker[start], weight
+    text = np.searchsorted(ends, start, "right")
+    inside = start < after[text]
+    start, size, text = start[inside], size[inside], text[inside]
+    # How often the marker stands among the runs of a stretch.
+    span = size + window - gram
+    first = np.cumsum(span) - span
+    at = np.arange(int(span.sum())) - np.repeat(first - start, span)
+    times = np.add.reduceat((g[at] == np.repeat(marker[start], span)).astype(np.int32), first)
+    which = np.array([k for k, _ in texts], np.int64)
+    return which[text], start - begins[text], size, marker[start], 1 + (times > 1)
 
 
 class FMIndex:
@@ -189,14 +204,8 @@ def _spots(texts: DataFrame, window: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
-            rows, columns = [], [[], [], [], []]
-            for row, text in zip(batch.column("row").to_pylist(), utf8(batch, "text"), strict=True):
-                parts = stretches((text or b"").split(), window)
-                rows.append(np.full(len(parts[0]), row, np.int64))
-                for c, p in zip(columns, parts, strict=True):
-                    c.append(p)
-            start, size, marker, weight = (np.concatenate(c) for c in columns)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(marker.view(np.int64)), pa.array(weight.astype(np.int32))], ["row", "start", "size", "marker", "weight"])
+            text, start, size, marker, weight = stretches([(t or b"").split() for t in utf8(batch, "text")], window)
+            yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(marker.view(np.int64)), pa.array(weight.astype(np.int32))], ["row", "start", "size", "marker", "weight"])
 
     spots = materialize(texts.select("row", "text").mapInArrow(run, "row long, start int, size int, marker long, weight int"), "spots")
     often = materialize(spots.groupBy("marker").agg(F.sum("weight").alias("n")).where("n > 1").select("marker", (F.col("n") > HOT).alias("hot")), "often")
@@ -208,63 +217,73 @@ def _content(split: list[bytes], start: int, size: int, window: int) -> tuple[by
     return xxhash.xxh3_128_digest(words), words
 
 
-def _contents(texts: DataFrame, window: int, hot: bool) -> DataFrame:
-    """marker, key, words, n: the stretches of hot markers, or of the others, once per task and content, with their number.
+def _places(texts: DataFrame, window: int) -> DataFrame:
+    """row, start, key, and for a shard marker, hot, words, again: the stretches of texts (row, text, spots).
 
-    A task that holds HELD contents hands them on and begins anew, so a content may come several times."""
+    A task sends the words of a content once, and a second time without them (again), which says that it is repeated;
+    further copies are only places. What a task knows is bounded by HELD_BYTES; then it begins anew.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, list] = {}
-        size = 0
-
-        def out() -> pa.RecordBatch:
-            marker, words, n = zip(*held.values(), strict=True) if held else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(marker, pa.int64()), pa.array(held, pa.binary()), pa.array(words, pa.binary()), pa.array(n, pa.int64())], ["marker", "key", "words", "n"])
-
+        known: dict[bytes, bool] = {}
+        held = 0
         for batch in sliced(batches, "text"):
-            for text, spots in zip(utf8(batch, "text"), batch.column("spots").to_pylist(), strict=True):
-                split = None
+            rows, start, keys, marker, hot, sent, again = [], [], [], [], [], [], []
+            for row, text, spots in zip(batch.column("row").to_pylist(), utf8(batch, "text"), batch.column("spots").to_pylist(), strict=True):
+                split = text.split()
                 for s in spots:
-                    if s["hot"] == hot:
-                        split = split or text.split()
-                        key, words = _content(split, s["start"], s["size"], window)
-                        known = held.get(key)
-                        if known:
-                            known[2] += 1
-                        else:
-                            held[key] = [s["marker"], words, 1]
-                            size += len(words)
-                if size > 32 * HELD:
-                    yield out()
-                    held.clear()
-                    size = 0
-        yield out()
-
-    return texts.select("text", "spots").mapInArrow(run, "marker long, key binary, words binary, n long")
+                    key, words = _content(split, s["start"], s["size"], window)
+                    state = known.get(key)
+                    if state is None:
+                        held += len(words)
+                    rows.append(row)
+                    start.append(s["start"])
+                    keys.append(key)
+                    marker.append(s["marker"])
+                    hot.append(s["hot"])
+                    sent.append(words if state is None else None)
+                    again.append(state is False)
+                    known[key] = state is not None
+                if held > HELD_BYTES:
+                    known.clear()
+                    held = 0
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(start, pa.int32()), pa.array(keys, pa.binary()), pa.array(marker, pa.int64()), pa.array(hot, pa.bool_()), pa.array(sent, pa.binary()), pa.array(again, pa.bool_())], ["row", "start", "key", "marker", "hot", "words", "again"])
+
+    return texts.select("row", "text", "spots").mapInArrow(run, "row long, start int, key binary, marker long, hot boolean, words binary, again boolean")
 
 
 def _searched(contents: DataFrame, window: int, shards: int) -> DataFrame:
-    """key, a, n: runs of n repeated windows from a on, per different content; contents of one marker meet in one shard."""
+    """key, a, n: runs of n repeated windows from a on, per content; contents (marker, key, words, n) of a marker meet in one shard."""
 
     def search(table: pa.Table) -> pa.Table:
         found: dict[bytes, list] = {}
-        for k, w, n in zip(table.column("key").to_pylist(), table.column("words").to_pylist(), table.column("n").to_pylist(), strict=True):
-            held = found.setdefault(k, [w, 0])
+        alone: dict[int, bytes | None] = {}  # the only content of a marker
+        for m, k, w, n in zip(*(table.column(c).to_pylist() for c in ("marker", "key", "words", "n")), strict=True):
+            held = found.setdefault(k, [None, 0])
+            held[0] = held[0] or w
             held[1] += n
-        flagged = repeated_windows([w.split() for w, _ in found.values()], window, [n > 1 for _, n in found.values()])
+            if alone.setdefault(m, k) != k:
+                alone[m] = None
+        lone = {k for k in alone.values() if k is not None and found[k][1] > 1}
+        some = [k for k in found if k not in lone]
+        flagged = repeated_windows([found[k][0].split() for k in some], window, [found[k][1] > 1 for k in some]) if some else []
         keys, first, size = [], [], []
-        for k, flags in zip(found, flagged, strict=True):
+        for k, flags in zip(some, flagged, strict=True):
             a, n = runs(flags)
             if len(a):
                 keys.append(k)
                 first.append(a)
                 size.append(n)
+        for k in lone:
+            keys.append(k)
+            first.append([0])
+            size.append([found[k][0].count(b" ") + 2 - window])
         out = pa.table([pa.array(keys, pa.binary()), pa.array(first, pa.list_(pa.int32())), pa.array(size, pa.list_(pa.int32()))], ["key", "a", "n"])
         del found, flagged, table
         give_back()
         return out
 
-    sharded = contents.select(F.pmod("marker", F.lit(shards)).alias("shard"), "key", "words", "n")
+    sharded = contents.select(F.pmod("marker", F.lit(shards)).alias("shard"), "marker", "key", "words", "n")
     return sharded.groupBy("shard").applyInArrow(search, "key binary, a array<int>, n array<int>")
 
 
@@ -274,13 +293,13 @@ def _shards(contents: DataFrame) -> int:
     return max(1, -(-total // (6 * SHARD_WORDS)))
 
 
-def _hot_searched(texts: DataFrame, window: int) -> DataFrame | None:
+def _hot_searched(places: DataFrame, window: int) -> DataFrame | None:
     """key, a, n as from _searched for the contents of hot markers, which are cut into windows of their own shards."""
-    spark = texts.sparkSession
-    some = _contents(texts, window, True).groupBy("key").agg(F.min("words").alias("words"), F.sum("n").alias("n"))
-    contents = materialize(some, "hot")
-    if contents.isEmpty():
+    spark = places.sparkSession
+    sent = places.where("hot and (words is not null or again)")
+    if sent.isEmpty():
         return None
+    contents = materialize(sent.groupBy("key").agg(F.max("words").alias("words"), F.count("*").alias("n")), "hot")
 
     def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "words"):
@@ -320,25 +339,13 @@ def _hot_searched(texts: DataFrame, window: int) -> DataFrame | None:
 
 def repeated_spans(texts: DataFrame, window: int) -> DataFrame:
     """row, start, a, n: runs of n repeated windows from start + a on, as two arrays; texts: row, text, spots."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text"):
-            rows, start, key = [], [], []
-            for row, text, spots in zip(batch.column("row").to_pylist(), utf8(batch, "text"), batch.column("spots").to_pylist(), strict=True):
-                split = text.split()
-                for s in spots:
-                    rows.append(row)
-                    start.append(s["start"])
-                    key.append(_content(split, s["start"], s["size"], window)[0])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(start, pa.int32()), pa.array(key, pa.binary())], ["row", "start", "key"])
-
-    contents = materialize(_contents(texts, window, False), "contents")
+    places = materialize(_places(texts, window), "places")
+    contents = places.where("not hot and (words is not null or again)").select("marker", "key", "words", F.lit(1).cast("long").alias("n"))
     known = materialize(_searched(contents, window, _shards(contents)), "known")
-    discard(texts.sparkSession, contents)
-    hot = _hot_searched(texts, window)
+    hot = _hot_searched(places, window)
     if hot is not None:
         known = known.unionByName(hot)
-    return texts.select("row", "text", "spots").mapInArrow(run, "row long, start int, key binary").join(known, "key").select("row", "start", "a", "n")
+    return places.select("row", "start", "key").join(known, "key").select("row", "start", "a", "n")
 
 
 def removal(words: list[bytes], spans: list[dict] | None, window: int) -> list[bytes]:
