@@ -52,6 +52,21 @@ def test_what_counts_as_a_number(spark, text, want):
     assert one(df.select(bigint.to_text(bigint.limbs(F.col("a"))).alias("x"))).x == want
 
 
+@pytest.mark.parametrize(("text", "want"), [("1234567890123456789012\n", "1234567890123456789012"), ("\t12", "12"), ("\x00 12\x1f", "12"), ("1\n2", "0"), ("\u0661\u0662", "12"), ("-\uff11\uff12", "-12"), ("\u00a012", "0"), ("0" * 95 + "7", "7")])
+def test_blanks_line_ends_and_digits_of_other_scripts(spark, text, want):
+    assert one(spark.createDataFrame([(text,)], "a string").select(bigint.to_text(bigint.limbs(F.col("a"))).alias("x"))).x == want
+
+
+def test_numbers_that_do_not_fit_are_refused(spark):
+    with pytest.raises(Exception, match="90 digits"):
+        spark.createDataFrame([("1" * 91,)], "a string").select(bigint.to_text(bigint.limbs(F.col("a")))).collect()
+
+
+def test_symbols_of_white_space_are_none(spark):
+    df = spark.createDataFrame([(None, "B"), (" \t\n", "B"), ("\u2003", "B"), ("A", "B"), ("", "\x1f"), ("\u00a0", "B")], "a string, b string")
+    assert [r.x for r in df.select(S.prefer_symbol(F.col("a"), F.col("b")).alias("x")).collect()] == ["B", "B", "B", "A", None, "\u00a0"]
+
+
 def test_round8_is_half_up_and_drops_what_is_no_number(spark):
     df = spark.createDataFrame([(1.000000005, float("nan"), float("inf"))], "a double, b double, c double")
     assert tuple(one(df.select(*[S.round8(F.col(c)) for c in "abc"]))) == (1.00000001, None, None)
@@ -290,6 +305,28 @@ def test_retention_and_sets(spark):
     assert store.tracked_pairs(df, df).count() == 2
 
 
+def test_a_batch_of_results_that_is_written_again_counts_once(spark, tmp_path):
+    rows, path = trading.trading_windows(events(spark, swap(), swap(blockTimestamp=1_700_100_000), swap(blockTimestamp=1_700_900_000))), str(tmp_path / "t")
+    for part in (rows.limit(2), rows, rows):
+        store.write_results(part, path)
+    assert store.read_results(spark, path, rows.schema).count() == 3
+    assert store.drop_expired(spark, path, 1_700_900_000_000, 24) == 2 and store.read_results(spark, path, rows.schema).count() == 1
+
+
+def test_prices_do_not_multiply_logs(spark):
+    word = lambda n: f"{n:064x}"
+    address = "0x" + "0" * 24 + "1" * 40
+    log = (100, "0xa", 0, "0xpool", [chain.SIGNATURES["Swap"], address, address], "0x" + word(100) + word(0) + word(0) + word(50))
+    logs = spark.createDataFrame([log, log], "blockNumber long, transactionHash string, logIndex int, address string, topics array<string>, data string")
+    pairs = spark.createDataFrame([("0xpool", "t0", "t1", 0, 0)], "pairAddress string, token0 string, token1 string, decimals0 int, decimals1 int")
+    blocks, receipts = spark.createDataFrame([(100, 5000)], "blockNumber long, blockTimestamp long"), spark.createDataFrame([], "transactionHash string, gasUsed long, effectiveGasPrice string")
+    rounds = spark.createDataFrame([("t0", 4000, "300", 2), ("t0", 4000, "200", 2)], "token string, updatedAt long, answer string, decimals int")
+    rows = chain.enrich(chain.parse_logs(logs), blocks, receipts, spark.createDataFrame([], "token string, symbol string"), pairs, rounds, []).collect()
+    assert [r.volumeUSD for r in rows] == [300.0, 300.0]
+    bad = spark.createDataFrame([(*log[:5], "0x" + "z" * 256)], logs.schema)
+    assert one(chain.parse_logs(bad)).error == "data is not hexadecimal"
+
+
 def test_written_results_are_pruned_by_pool_and_day(spark, tmp_path):
     store.write_results(trading.trading_windows(events(spark, swap(), swap(blockTimestamp=1_700_100_000))), str(tmp_path / "t"))
     back = spark.read.parquet(str(tmp_path / "t"))

@@ -90,3 +90,28 @@ def test_fan_out_reaches_every_sink(spark, tmp_path):
     stream, seen = jobs.read_files(spark, _written(df, tmp_path), df.schema), []
     drained(jobs.start_fan_out(stream, [lambda b, n: seen.append(("x", b.count())), lambda b, n: seen.append(("y", b.count()))], str(tmp_path / "c"), availableNow=True))
     assert seen == [("x", 2), ("y", 2)]
+
+
+def test_held_events_keep_all_their_digits_and_a_flush_lets_them_go(spark, tmp_path):
+    values = [1.234567890123456, 1.2e-11, 0.1 + 0.2]
+    path = tmp_path / "in"
+    for k, rows in enumerate([[swap(blockNumber=100, price=values[0]), swap(blockNumber=101, price=values[1], volumeUSD=values[2], token0Symbol=None)], [swap(blockNumber=103)], [("Flush", {})]]):
+        events(spark, *rows).coalesce(1).write.parquet(str(path / f"{k}"))
+    schema = events(spark, swap()).schema
+    stream = jobs.read_files(spark, str(path / "*"), schema, files_per_trigger=1)
+    drained(jobs.start_append(jobs.finality_gate(stream, 3), str(tmp_path / "out"), str(tmp_path / "c"), availableNow=True))
+    rows = {r.blockNumber: r for r in spark.read.schema(schema).parquet(str(tmp_path / "out")).collect()}
+    assert sorted(rows) == [100, 101, 103]
+    assert (rows[100].price, rows[101].price, rows[101].volumeUSD, rows[101].token0Symbol) == (*values, None)
+    assert rows[101].event_time == events(spark, swap()).first().event_time
+
+
+def test_a_hot_pool_counts_its_traders_by_trader(spark):
+    df = many(spark)
+    plan = trading.trading_windows(df)._jdf.queryExecution().executedPlan().toString()
+    assert "trader" in plan and "Join" not in plan
+
+
+def test_rows_for_a_broker_are_keyed_by_pool(spark):
+    row = jobs.broker_rows(trading.trading_windows(events(spark, swap(token0Symbol=None)))).first()
+    assert row.key == "0xPair" and '"token0Symbol":null' in row.value

@@ -6,6 +6,8 @@ and carried only when a result is printed. A sum holds for up to 10^20 rows.
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,17 +15,26 @@ LIMBS, DIGITS = 5, 18
 WIDE = "decimal(38,0)"
 
 
+#: Characters that do not count around a number: all up to the space.
+AROUND = "".join(map(chr, range(0x21)))
+#: Decimal digits of other scripts, ten in a row each, with the ASCII digits that they mean.
+OTHER_DIGITS = "".join(c for c in map(chr, range(0x80, 0x10000)) if unicodedata.category(c) == "Nd")
+THEIR_VALUES = "".join(str(unicodedata.decimal(c)) for c in OTHER_DIGITS)
+
+
 def digits(text: Column) -> Column:
-    """The number as text: blanks around it go, an optional minus and decimal digits stay; all else is 0."""
-    trimmed = F.trim(text)
-    return F.when(trimmed.rlike("^-?[0-9]+$"), trimmed).otherwise(F.lit("0"))
+    """The number as text: blanks and control characters around it go, an optional minus and decimal digits of any script stay; all else is 0."""
+    number = F.trim(text, F.lit(AROUND))
+    return F.when(number.rlike(r"\A-?[0-9]+\z"), number).when(number.rlike(r"\A-?\p{Nd}+\z"), F.translate(number, OTHER_DIGITS, THEIR_VALUES)).otherwise(F.lit("0"))
 
 
 def padded(text: Column) -> Column:
-    """Sign and 90 digits. Kept as a column of its own, a number is parsed once for all its limbs."""
+    """Sign and 90 digits; more of them are an error. Kept as a column of its own, a number is parsed once for all its limbs."""
     number = digits(text)
     sign = F.when(F.startswith(number, F.lit("-")), F.lit("-")).otherwise(F.lit("+"))
-    return F.concat(sign, F.lpad(F.ltrim(F.translate(number, "-", "")), LIMBS * DIGITS, "0"))
+    size = F.ltrim(F.translate(number, "-", ""), F.lit("0"))
+    most = F.lit(LIMBS * DIGITS)
+    return F.when(F.length(size) > most, F.raise_error(F.lit("a number has more than 90 digits")).cast("string")).otherwise(F.concat(sign, F.lpad(size, LIMBS * DIGITS, "0")))
 
 
 def split(number: Column) -> list[Column]:
@@ -101,7 +112,7 @@ def divided(values: list[Column], by: Column) -> Column:
 
 def signum(text: Column) -> Column:
     number = digits(text)
-    zero = number.rlike("^-?0+$")
+    zero = number.rlike(r"\A-?0+\z")
     return F.when(zero, F.lit(0)).when(F.startswith(number, F.lit("-")), F.lit(-1)).otherwise(F.lit(1))
 
 

@@ -19,7 +19,8 @@ def round8(x: Column) -> Column:
 
 
 def not_blank(col: Column) -> Column:
-    return F.when(F.trim(col) != "", col)
+    """The text if it has any character that is not white space, else null."""
+    return F.when(~col.rlike(r"\A\p{javaWhitespace}*\z"), col)
 
 
 def prefer_symbol(current: Column, candidate: Column) -> Column:

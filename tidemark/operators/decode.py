@@ -23,25 +23,38 @@ TRADING_TOPIC, LIQUIDITY_TOPIC = "dex-trading-events", "dex-liquidity-events"
 PREVIEW = 16
 
 
+def _checked(value: Column, v: Column) -> Column:
+    """type, body and error of an envelope from its bytes and its parsed JSON."""
+    top = lambda name: F.try_variant_get(v, f"$.{name}", "string")
+    kind = lambda name: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")), F.lit("VOID"))
+    return F.struct(F.schema_of_variant(v).alias("whole"), kind("specversion").alias("version"), kind("data_base64").alias("k64"), kind("data").alias("kdata"), top("type").alias("type"), F.try_to_binary(top("data_base64"), F.lit("base64")).alias("b64"), top("data").alias("data"), F.coalesce(F.length(value), F.lit(0)).alias("size"))
+
+
+def _judged(e: Column) -> Column:
+    has64 = e["k64"] != "VOID"
+    error = (
+        F.when(e["size"] == 0, INVALID)
+        .when(~F.coalesce(F.startswith(e["whole"], F.lit("OBJECT")), F.lit(False)), INVALID)
+        .when(e["version"] == "VOID", INVALID)
+        .when(has64 & e["b64"].isNull(), BASE64)
+        .when(~has64 & (e["kdata"] != "STRING"), PAYLOAD)
+    )
+    body = F.when(has64, e["b64"]).otherwise(F.encode(e["data"], "ISO-8859-1"))
+    return F.struct(F.coalesce(e["type"], F.lit("")).alias("type"), error.alias("error"), body.alias("body"))
+
+
+def _once(value: Column, body) -> Column:
+    """Evaluates value once for all its uses in body; fields of a plain struct would be worked out again at each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def parse_envelopes(raw: DataFrame, value: str = "value") -> DataFrame:
     """raw with type, body (binary), and error (a category, or null). The checks come in a fixed order; the first to fail names the error."""
     text = F.col(value).cast("string")
-    parsed = raw.withColumn("_v", F.try_parse_json(F.when(F.is_valid_utf8(text), text)))
-    top = lambda name: F.try_variant_get("_v", f"$.{name}", "string")
-    kind = lambda name: F.coalesce(F.schema_of_variant(F.try_variant_get("_v", f"$.{name}", "variant")), F.lit("VOID"))
-    parts = F.struct(F.schema_of_variant("_v").alias("whole"), kind("specversion").alias("version"), kind("data_base64").alias("k64"), kind("data").alias("kdata"), top("type").alias("type"), F.try_to_binary(top("data_base64"), F.lit("base64")).alias("b64"), top("data").alias("data"))
-    parsed = parsed.withColumn("_e", parts)
-    has64 = F.col("_e.k64") != "VOID"
-    error = (
-        F.when(F.coalesce(F.length(F.col(value)), F.lit(0)) == 0, INVALID)
-        .when(~F.coalesce(F.startswith("_e.whole", F.lit("OBJECT")), F.lit(False)), INVALID)
-        .when(F.col("_e.version") == "VOID", INVALID)
-        .when(has64 & F.col("_e.b64").isNull(), BASE64)
-        .when(~has64 & (F.col("_e.kdata") != "STRING"), PAYLOAD)
-    )
-    body = F.when(has64, F.col("_e.b64")).otherwise(F.encode("_e.data", "ISO-8859-1"))
-    out = parsed.withColumn("type", F.coalesce("_e.type", F.lit(""))).withColumn("error", error).withColumn("body", F.when(F.col("error").isNull(), body))
-    return out.drop("_v", "_e")
+    parsed = F.try_parse_json(F.when(F.is_valid_utf8(text), text))
+    judged = _once(_once(parsed, lambda v: _checked(F.col(value), v)), _judged)
+    out = raw.withColumn("_j", judged)
+    return out.select("*", F.col("_j.type").alias("type"), F.col("_j.error").alias("error"), F.when(F.col("_j.error").isNull(), F.col("_j.body")).alias("body")).drop("_j")
 
 
 def route(parsed: DataFrame, stream: str) -> DataFrame:

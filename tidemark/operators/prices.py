@@ -16,6 +16,7 @@ def price_asof(asked: DataFrame, rounds: DataFrame, stale: int = STALE_SECONDS)
     """
     span = lambda c: F.floor(F.col(c) / stale)
     priced = rounds.select("token", F.col("updatedAt").alias("at"), (F.col("answer").cast("double") / F.pow(F.lit(10.0), "decimals")).alias("_usd"))
+    priced = priced.groupBy("token", "at").agg(F.max("_usd").alias("_usd"))  # of rounds at one time, the greater answer
     filed = priced.select("token", "at", "_usd", F.explode(F.array(span("at"), span("at") + 1)).alias("_span"))
     both = asked.select("id", "token", "at", span("at").alias("_span"), F.lit(True).alias("_asked")).unionByName(filed.withColumn("_asked", F.lit(False)), allowMissingColumns=True)
     upto = Window.partitionBy("token", "_span").orderBy("at", "_asked").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -6,10 +6,12 @@ by pool and day, so that range and pool predicates prune files; here they are pl
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 HOUR = 3_600_000
 DAY = 24 * HOUR
@@ -42,9 +44,36 @@ def retained(table: DataFrame, now: int, hours: int, score: str = "windowStart")
 
 
 def write_results(table: DataFrame, path: str, score: str = "windowStart") -> None:
-    """Appends results, partitioned by pool and UTC day of the score."""
-    day = F.date_format(F.timestamp_millis(F.col(score)), "yyyy-MM-dd")
-    table.withColumn("day", day).repartition("pairAddress", "day").write.mode("append").partitionBy("pairAddress", "day").parquet(path)
+    """Appends results, partitioned by pool and UTC day of the score. Rows that are there already are not written again, so
+    that a batch can be repeated; of rows of one kind that differ, all stay, as in a set of results."""
+    spark = table.sparkSession
+    rows = table.withColumn("day", F.date_format(F.timestamp_millis(F.col(score)), "yyyy-MM-dd")).dropDuplicates()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        there = read_results(spark, path, rows.schema)
+        rows = rows.subtract(there)
+    rows.repartition("pairAddress", "day").write.mode("append").partitionBy("pairAddress", "day").parquet(path)
+
+
+def read_results(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A stored result table, with the columns of schema."""
+    return spark.read.schema(schema).parquet(path).select(*schema.names)
+
+
+def drop_expired(spark: SparkSession, path: str, now: int, hours: int) -> int:
+    """Deletes the days of a stored table that are over for longer than the given hours; the number of folders deleted.
+
+    Rows of the day that the limit falls in go with it; until then `retained` leaves them out.
+    """
+    last = (dt.datetime.fromtimestamp((now - hours * HOUR) / 1000, dt.UTC)).date().isoformat()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs, gone = where.getFileSystem(spark._jsc.hadoopConfiguration()), 0
+    for pool in fs.listStatus(where):
+        if pool.isDirectory():
+            for day in fs.listStatus(pool.getPath()):
+                if day.getPath().getName().startswith("day=") and day.getPath().getName()[4:] < last:
+                    gone += bool(fs.delete(day.getPath(), True))
+    return gone
 
 
 def tracked_pairs(*tables: DataFrame) -> DataFrame:

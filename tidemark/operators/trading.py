@@ -28,40 +28,46 @@ def _volume(k: int) -> list[Column]:
     return bigint.plus(bigint.split(F.col(f"_amount{k}In")), bigint.split(F.col(f"_amount{k}Out")))
 
 
-def partials(swaps: DataFrame, window: Column, *more: Column) -> DataFrame:
-    """Mergeable states per (window, pool): everything but trader counts. merge() joins them; finish() reads them. more: further aggregates."""
+def partials(swaps: DataFrame, window: Column, by: tuple[str, ...] = (), only: Column | None = None) -> DataFrame:
+    """Mergeable states per (window, pool, *by): everything but trader counts. merge() joins them; finish() reads them.
+
+    Rows where `only` is false belong to a group but add nothing to its state; n counts all rows.
+    """
+    if only is not None:
+        swaps = swaps.withColumns({c: F.when(only, F.col(c)) for c in ("price", "volumeUSD", "gasUsed", "amount0In", "amount1In", "amount0Out", "amount1Out", "gasPrice", "token0Symbol", "token1Symbol")})
+    counted = F.lit(True) if only is None else only
     vol0 = (bigint.to_double(F.col("amount0In")) + bigint.to_double(F.col("amount0Out"))).alias("vol0")
     sender, recipient = S.address(F.col("sender")), S.address(F.col("recipient"))
     rows = swaps.withColumn("window", window).withColumn("vol0", vol0).withColumn("_order", _order())
     rows = rows.withColumns({f"_{c}": bigint.padded(F.col(c)) for c in ("amount0In", "amount1In", "amount0Out", "amount1Out", "gasPrice")})
     # Without a USD value a swap counts by its token0 volume; the seed (0, no address) wins against none of it.
     by_volume = bigint.sort_key(_volume(0))
-    rows = rows.withColumn("_rank", F.when(F.col("volumeUSD").isNotNull(), F.struct(F.lit(1).alias("p"), F.col("volumeUSD").alias("u"), F.lit("").alias("v"), (-F.col("seq")).alias("s"))).when(F.col("vol0") > 0, F.struct(F.lit(0).alias("p"), F.lit(0.0).alias("u"), by_volume.alias("v"), (-F.col("seq")).alias("s"))))
+    rows = rows.withColumn("_rank", F.when(F.col("volumeUSD").isNotNull(), F.struct(F.lit(1).alias("p"), F.col("volumeUSD").alias("u"), F.lit("").alias("v"), (-F.col("seq")).alias("s"))).when(counted & (F.col("vol0") > 0), F.struct(F.lit(0).alias("p"), F.lit(0.0).alias("u"), by_volume.alias("v"), (-F.col("seq")).alias("s"))))
     rows = rows.withColumn("_largest", F.struct("_rank", F.col("volumeUSD").alias("usd"), sender.alias("sender")))
     symbol = lambda k: F.min(F.when(S.not_blank(F.col(f"token{k}Symbol")).isNotNull(), F.struct("seq", F.col(f"token{k}Symbol").alias("v")))).alias(f"symbol{k}")
-    return rows.groupBy(*KEYS).agg(
+    return rows.groupBy(*KEYS, *by).agg(
         symbol(0),
         symbol(1),
         F.sum(F.col("price") * F.col("vol0")).alias("weighted"),
         F.sum("vol0").alias("weight"),
-        F.min(F.struct("_order", "price")).alias("first"),
-        F.max(F.struct("_order", "price")).alias("last"),
+        F.min(F.when(counted, F.struct("_order", "price"))).alias("first"),
+        F.max(F.when(counted, F.struct("_order", "price"))).alias("last"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
         bigint.sums(_volume(0)).alias("volume0"),
         bigint.sums(_volume(1)).alias("volume1"),
         F.sum("volumeUSD").alias("usd"),
-        F.count("*").alias("swaps"),
+        F.count_if(counted).alias("swaps"),
         F.sum("gasUsed").alias("gas"),
         bigint.sums(bigint.split(F.col("_gasPrice"))).alias("gasPrice"),
-        F.sum((sender == recipient).cast("int")).alias("arbitrage"),
+        F.sum((counted & (sender == recipient)).cast("int")).alias("arbitrage"),
         F.max(F.when(F.col("_rank").isNotNull(), F.col("_largest"))).alias("largest"),
-        *more,
+        F.count("*").alias("n"),
     )
 
 
-def merge(states: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """States of the same keys as one: associative, and any split of the swaps gives the same result."""
+def merge(states: DataFrame, keys: list[str] | None = None, *more: Column) -> DataFrame:
+    """States of the same keys as one: associative, and any split of the swaps gives the same result. more: further aggregates."""
     total = lambda c: F.struct(*[F.sum(f"{c}.l{k}").cast(bigint.WIDE).alias(f"l{k}") for k in range(bigint.LIMBS)]).alias(c)
     return states.groupBy(*(keys or KEYS)).agg(
         F.min("symbol0").alias("symbol0"), F.min("symbol1").alias("symbol1"),
@@ -69,9 +75,23 @@ def merge(states: DataFrame, keys: list[str] | None = None) -> DataFrame:
         F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"),
         total("volume0"), total("volume1"), F.sum("usd").alias("usd"), F.sum("swaps").alias("swaps"), F.sum("gas").alias("gas"),
         total("gasPrice"), F.sum("arbitrage").alias("arbitrage"), F.max("largest").alias("largest"),
+        *more,
     )
 
 
+def windows_with_traders(swaps: DataFrame, window: Column) -> DataFrame:
+    """States with uniqueTraders and repeatedTraders (three swaps or more, sorted) per (window, pool), from one pass.
+
+    A swap stands under each of its traders and adds to the state under the first of them only. States are made over
+    (window, pool, trader), which splits a hot pool, and rolled up to (window, pool). The same on batches and streams.
+    """
+    both = F.array_distinct(F.array(S.address(F.col("sender")), S.address(F.col("recipient"))))
+    rows = swaps.select("*", F.posexplode(both).alias("_at", "trader"))
+    states = partials(rows, window, ("trader",), F.col("_at") == 0)
+    often = F.array_sort(F.collect_list(F.when(F.col("n") >= 3, F.col("trader"))))
+    return merge(states, None, F.count("*").cast("int").alias("uniqueTraders"), often.alias("repeatedTraders"))
+
+
 def traders(swaps: DataFrame, window: Column) -> DataFrame:
     """(window, pool, trader) with the number of swaps the trader is in, once per swap."""
     both = F.explode(F.array_distinct(F.array(S.address(F.col("sender")), S.address(F.col("recipient"))))).alias("trader")
@@ -123,10 +143,8 @@ def finish(state: DataFrame, *keep: str) -> DataFrame:
 
 def trading_windows(events: DataFrame, minutes: int = 5) -> DataFrame:
     """One row per pool and tumbling window that has swaps."""
-    swaps, window = swaps_of(events), F.window("event_time", f"{minutes} minutes")
-    result = finish(partials(swaps, window))
-    active = trader_activity(traders(swaps, window))
-    return result.join(active, KEYS).drop("window")
+    states = windows_with_traders(swaps_of(events), F.window("event_time", f"{minutes} minutes"))
+    return finish(states, "uniqueTraders", "repeatedTraders").drop("window")
 
 
 def empty_window(spark: SparkSession, pair: str, start: int, end: int) -> DataFrame:

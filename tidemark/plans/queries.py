@@ -219,8 +219,12 @@ SWAP_COLUMNS = "eventId blockNumber blockTimestamp transactionHash logIndex pair
 
 
 def channel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What live clients read out of their frames."""
     t = _tables(spark, sf_dir)
-    return decode.channel_frames({"trading": t.trading, "trends": t.trends}, "Trading and trends, please")
+    frames = decode.channel_frames({"trading": t.trading, "trends": t.trends, "liquidity": t.liquidity}, "Trading and trends, please")
+    of = lambda name: F.get_json_object("frame", f"$.{name}")
+    price = F.coalesce(of("data.twap"), of("data.avgPrice")).cast("double")
+    return frames.select("channel", "pair", of("channel").alias("named"), of("pair").alias("of"), of("data.windowId").alias("windowId"), price.alias("price"))
 
 
 QUERIES = {
@@ -294,6 +298,8 @@ _ENVELOPES = EV + f""", v AS (SELECT *, {_BAD} AS value FROM (SELECT *, 'com.dex
 broken AS (SELECT *, CASE WHEN seq % 11 IN (0, 1, 3) THEN 'INVALID_ENVELOPE' WHEN seq % 11 = 2 THEN 'PAYLOAD_EXTRACTION' END AS err FROM v)"""
 
 SQL = {
+    "channel_frames": EV + "," + _windows(5) + "," + TRENDS + """SELECT 'trading' AS channel, "pairAddress" AS pair, 'trading' AS named, "pairAddress" AS of, "windowId", twap AS price FROM tw
+UNION ALL SELECT 'trends', "pairAddress", 'trends', "pairAddress", "windowId", "avgPrice" FROM mt""",
     "trading_windows_5m": TW + "SELECT * FROM tw",
     "trading_windows_multi": EV + "," + ",".join(_windows(m, name=f"w{m}") for m in (5, 15, 60)) + " " + " UNION ALL ".join(f"SELECT *, 'dex-trading-analytics-{m}m' AS topic FROM w{m}" for m in (5, 15, 60)),
     "trader_activity": TW + 'SELECT "pairAddress", "windowStart", "uniqueTraders", "repeatedTraders" FROM tw',

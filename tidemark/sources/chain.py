@@ -44,8 +44,15 @@ SYMBOL_BYTES = 20
 
 @F.pandas_udf(T.StringType())
 def hex_to_decimal(words: pd.Series) -> pd.Series:
-    """Hexadecimal digits of an unsigned integer of any size as decimal text; null and no digits stay null."""
-    return words.map(lambda x: str(int(x, 16)) if x else None)
+    """Hexadecimal digits of an unsigned integer of any size as decimal text; null where there are none, or other characters."""
+
+    def number(x: str | None) -> str | None:
+        try:
+            return str(int(x, 16)) if x else None
+        except ValueError:
+            return None
+
+    return words.map(number)
 
 
 def subscribed(logs: DataFrame, pairs: DataFrame, backfill: int = 500) -> DataFrame:
@@ -103,9 +110,12 @@ def enrich(parsed: DataFrame, blocks: DataFrame, receipts: DataFrame, tokens: Da
     rows = parsed.where("error is null").withColumn("pairAddress", F.lower("address")).join(blocks, "blockNumber").join(pairs, "pairAddress")
     rows = rows.join(of(0), "token0", "left").join(of(1), "token1", "left").join(receipts, "transactionHash", "left")
     rows = rows.withColumn("seq", F.col("blockNumber") * 1_000_000 + F.col("logIndex"))
+    # One price for each token and time, whatever number of logs asks for it.
+    asked = rows.select(F.explode(F.array("token0", "token1")).alias("token"), F.col("blockTimestamp").alias("at")).distinct().withColumn("id", F.lit(0))
+    prices = usd_prices(asked, price_rounds, stablecoins)
     for k in (0, 1):
-        prices = usd_prices(rows.select(F.col("seq").alias("id"), F.col(f"token{k}").alias("token"), F.col("blockTimestamp").alias("at")), price_rounds, stablecoins)
-        rows = rows.join(prices.select(F.col("id").alias("seq"), F.col("usd").alias(f"_usd{k}")), "seq", "left")
+        of_token = prices.select(F.col("token").alias(f"token{k}"), F.col("at").alias("blockTimestamp"), F.col("usd").alias(f"_usd{k}"))
+        rows = rows.join(of_token, [f"token{k}", "blockTimestamp"], "left")
     amounts = [F.col(c) for c in ("amount0In", "amount1In", "amount0Out", "amount1Out")]
     swap = F.col("eventType") == "Swap"
     price = S.price_from_amounts(*amounts, F.col("decimals0"), F.col("decimals1"))

@@ -1,22 +1,26 @@
 """The same transforms on streams.
 
-Trading and trend windows are incremental aggregates in append mode: a window comes out once, when the watermark passes
+Trading and trend windows are incremental aggregates in append mode, first over (window, pool, trader) and then over
+(window, pool), so that a hot pool's traders never meet in one task: a window comes out once, when the watermark passes
 its end. Liquidity windows and sessions are kept whole until they close, and then go through the batch plans in
 foreachBatch, so that a stream and a batch over the same rows agree row by row. Late rows are dropped by the watermark.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tidemark.functions import scalars as S
-from tidemark.operators import liquidity, sessions, trading
+from tidemark.config import EngineConfig, result_topics
+from tidemark.operators import decode, liquidity, sessions, trading
 
 
 def read_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -39,19 +43,8 @@ def without_copies(events: DataFrame) -> DataFrame:
     return events.dropDuplicatesWithinWatermark(["eventId"]) if events.isStreaming else events.dropDuplicates(["eventId"])
 
 
-def _counted(state_and_traders: DataFrame) -> DataFrame:
-    every = F.flatten("_traders")
-    distinct = F.array_distinct(every)
-    often = F.array_sort(F.filter(distinct, lambda t: F.size(F.filter(every, lambda x: x == t)) >= 3))
-    return state_and_traders.withColumn("uniqueTraders", F.size(distinct).cast("int")).withColumn("repeatedTraders", often)
-
-
 def _windows(events: DataFrame, window) -> DataFrame:
-    swaps = trading.swaps_of(events)
-    pair = F.collect_list(F.array_distinct(F.array(S.address(F.col("sender")), S.address(F.col("recipient"))))).alias("_traders")
-    state = _counted(trading.partials(swaps, window, pair))
-    kept = state.withColumn("_n", F.struct("uniqueTraders", "repeatedTraders"))
-    return trading.finish(kept, "_n").select("*", "_n.*").drop("_n", "window")
+    return trading.finish(trading.windows_with_traders(trading.swaps_of(events), window), "uniqueTraders", "repeatedTraders").drop("window")
 
 
 def trading_stream(events: DataFrame, minutes: int = 5) -> DataFrame:
@@ -105,23 +98,88 @@ def start_fan_out(results: DataFrame, sinks: list[Callable[[DataFrame, int], Non
     return results.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+#: An event of this type lets all held events of its pool go, as at a graceful end; it is not passed on itself.
+FLUSH = "Flush"
+
+
+def _kept(frame: pd.DataFrame, schema: pa.Schema) -> bytes:
+    """Rows in Arrow's own form, in which every value keeps all its digits."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as writer:
+        writer.write_table(pa.Table.from_pandas(frame, schema, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
 def finality_gate(events: DataFrame, depth: int = 64) -> DataFrame:
-    """Holds events of a pool until its latest block is `depth` blocks ahead, then lets them go by block. Depth 0 holds nothing.
+    """Holds events of a pool until its latest block is `depth` blocks ahead, then lets them go by block. Depth 0 passes all on.
 
-    The state is the latest block and the events of the last `depth` blocks of a pool.
+    An event of type FLUSH lets go what is held whatever its depth. The state is the latest block and the events of the
+    last `depth` blocks of a pool.
     """
     if depth == 0:
         return events
     names = events.columns
+    # Times are local and without a zone in the frames, and stay so while they are held.
+    held_as = pa.schema([pa.field(f.name, pa.timestamp("us") if pa.types.is_timestamp(f.type) else f.type) for f in to_arrow_schema(events.schema)])
 
     def gate(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tip, held = state.get if state.exists else (-1, "[]")
-        waiting = pd.read_json(pd.io.common.StringIO(held), orient="split", dtype=False) if held != "[]" else None
-        frame = pd.concat([f for f in [waiting, *frames] if f is not None and len(f)], ignore_index=True)
-        tip = max(tip, int(frame["blockNumber"].max()))
-        final = (frame["blockNumber"] <= tip - depth) & (tip >= depth)
+        tip, held = state.get if state.exists else (-1, None)
+        waiting = pa.ipc.open_stream(held).read_all().to_pandas() if held else None
+        new = pd.concat(list(frames), ignore_index=True)
+        flush = bool((new["eventType"] == FLUSH).any())
+        new = new[new["eventType"] != FLUSH]
+        if "event_time" in names and waiting is not None:
+            waiting["event_time"] = waiting["event_time"].astype(new["event_time"].dtype)
+        frame = pd.concat([f for f in (waiting, new) if f is not None and len(f)], ignore_index=True) if len(new) or waiting is not None else new
+        if len(new):
+            tip = max(tip, int(new["blockNumber"].max()))
+        final = (frame["blockNumber"] <= tip - depth) & (tip >= depth) | flush
         out, rest = frame[final].sort_values(["blockNumber", "seq"], kind="stable"), frame[~final]
-        state.update((tip, rest.to_json(orient="split") if len(rest) else "[]"))
+        state.update((tip, _kept(rest[names], held_as) if len(rest) else b""))
         yield out[names]
 
-    return events.groupBy("pairAddress").applyInPandasWithState(gate, events.schema, "tip long, held string", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("pairAddress").applyInPandasWithState(gate, events.schema, "tip long, held binary", "append", GroupStateTimeout.NoTimeout)
+
+
+def start_broker(results: DataFrame, servers: str, topic: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Result rows as JSON to a Kafka topic, keyed by pool; needs Spark's Kafka package. A batch that is sent again after a
+    failure bears the same windowId, by which readers drop it."""
+    return broker_rows(results).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+def broker_rows(results: DataFrame) -> DataFrame:
+    """key (the pool) and value (the row as JSON with nulls written out)."""
+    return results.select(F.col("pairAddress").alias("key"), F.to_json(F.struct(*results.columns), {"ignoreNullFields": "false"}).alias("value"))
+
+
+Sink = Callable[[DataFrame, int, str], None]  # rows of a batch, its number, and the topic that they go to
+
+
+def start_engine(trading_raw: DataFrame, liquidity_raw: DataFrame, config: EngineConfig, sink: Sink, checkpoints: str, **trigger) -> list[StreamingQuery]:
+    """The whole job: two streams of envelopes (column value) are decoded, their errors split off, and four kinds of results started.
+
+    Each query reads and decodes its own stream, as Spark's streams do, and goes on from its own checkpoint.
+    """
+    swaps, bad_swaps = decode.events_from(trading_raw, "trading")
+    moves, bad_moves = decode.events_from(liquidity_raw, "liquidity")
+    arrival = lambda e: with_lateness(e.withColumn("seq", F.col("blockNumber") * 1_000_000 + F.col("logIndex")), config.lateness_seconds)
+    swaps, moves = arrival(swaps), arrival(moves)
+    started = []
+
+    def to(topic: str, rows: DataFrame) -> None:
+        query = rows.writeStream.outputMode("append").foreachBatch(lambda batch, n: sink(batch, n, topic))
+        started.append(query.option("checkpointLocation", f"{checkpoints}/{topic}").trigger(**trigger).start())
+
+    explicit = len(config.trading_minutes) > 1
+    for minutes, topic in result_topics(config.trading_minutes, "trading-analytics", explicit).items():
+        to(topic, trading_stream(swaps, minutes))
+    explicit = len(config.liquidity_minutes) > 1
+    for minutes, topic in result_topics(config.liquidity_minutes, "liquidity-analytics", explicit).items():
+        started.append(start_liquidity(moves, minutes, lambda rows, n, topic=topic: sink(rows, n, topic), f"{checkpoints}/{topic}", **trigger))
+    both = swaps.unionByName(moves, allowMissingColumns=True)
+    started.append(start_alerts(both, config.session_gap_seconds, lambda rows, n: sink(rows, n, "pattern-analytics"), f"{checkpoints}/pattern-analytics", **trigger))
+    to("market-trends", trend_stream(swaps, config.trend_minutes, config.trend_slide_minutes))
+    for stream, bad in (("trading", bad_swaps), ("liquidity", bad_moves)):
+        query = bad.writeStream.foreachBatch(lambda batch, n, stream=stream: sink(decode.error_rows(batch, stream, int(time.time() * 1000)), n, "deserialization-errors"))
+        started.append(query.option("checkpointLocation", f"{checkpoints}/errors-{stream}").trigger(**trigger).start())
+    return started
