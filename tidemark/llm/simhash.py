@@ -166,9 +166,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 #: For whole-document similarity: words of a shingle, and the least share (of 10) of all shingles of two rows that both have.
 WORDS, ALIKE = 5, 8
-#: Shingles in at least OFTEN of about SAMPLE rows come last in the order of shingles; OFTEN_MOST of them at most. These
-#: numbers decide how much is compared, never what is found.
-SAMPLE, OFTEN, OFTEN_MOST = 4_000, 4, 500_000
+#: Shingles in at least OFTEN of every SAMPLE-th row come last in the order of shingles; the OFTEN_MOST most frequent of
+#: them at most. These numbers decide how much is compared, never what is found.
+SAMPLE, OFTEN, OFTEN_MOST = 12, 3, 500_000
+#: Parts of the range of hashes whose counts bound how much two sets can share.
+COUNTERS = 128
 #: Places that one task step looks through, about.
 PART = 250_000
 
@@ -185,9 +187,30 @@ def alike(x: Column, y: Column) -> Column:
     return shared * (10 + ALIKE) >= (F.size(x) + F.size(y)) * ALIKE
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def counters(s: np.ndarray) -> bytes | None:
+    """How many hashes lie in each of COUNTERS parts of their range; None if a count needs more than a byte."""
+    counts = np.bincount((s.view(np.uint64) >> np.uint64(57)).astype(np.int64), minlength=COUNTERS)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
+
+
+def can_be_alike(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """The pairs a, b without those that cannot be alike: two sets share at most the lesser count of each part."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = batch.column("ca").is_valid().to_numpy(zero_copy_only=False) & batch.column("cb").is_valid().to_numpy(zero_copy_only=False)
+            a, b = (np.frombuffer(b"".join(x or bytes(COUNTERS) for x in batch.column(c).to_pylist()), np.uint8).reshape(-1, COUNTERS) for c in ("ca", "cb"))
+            shared = np.minimum(a, b).sum(1, dtype=np.int64)
+            can = ~both | (shared * (10 + ALIKE) >= (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * ALIKE)
+            yield batch.select(["a", "b"]).filter(pa.array(can))
+
+    of = lambda end: prints.select(F.col("_row").alias(end), F.col("counters").alias(f"c{end}"), F.col("size").alias(f"n{end}"))
+    return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame) -> DataFrame:
     """The pairs a, b of rows of docs (column _row) whose sets of shingles are alike; only rows of pairs are fetched."""
-    pairs = materialize(pairs.select("a", "b"), "pairs")
+    pairs = materialize(can_be_alike(pairs, prints), "pairs")
     wanted = pairs.select(F.col("a").alias("_row")).unionByName(pairs.select(F.col("b").alias("_row"))).distinct()
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,9 +226,8 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def frequent(docs: DataFrame) -> np.ndarray:
-    """Frequent shingles of a sample of docs, rarest first; their number is bounded."""
-    n = docs.count()
-    some = docs.where(F.pmod(F.xxhash64("_row"), F.lit(max(1, n // SAMPLE))) == 0)
+    """Frequent shingles of a share of docs, rarest first; their number is bounded."""
+    some = docs.where(F.pmod(F.xxhash64("_row"), F.lit(SAMPLE)) == 0)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -231,10 +253,10 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             sets = [shingles(t) for t in utf8(batch, "text")]
-            columns = [batch.column("_row"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(map(len, sets), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["_row", "digest", "size"])
+            columns = [batch.column("_row"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(counters, sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["_row", "digest", "size", "counters"])
 
-    prints = materialize(docs.select("_row", "text").mapInArrow(run, "_row long, digest binary, size long"), "prints")
+    prints = materialize(docs.select("_row", "text").mapInArrow(run, "_row long, digest binary, size long, counters binary"), "prints")
     classes = materialize(prints.groupBy("digest").agg(F.min("_row").alias("id")).select("id"), "classes")
     met = meetings(docs, prints.agg(F.sum("size")).first()[0] or 0).join(classes, "id", "left_semi")
     met = materialize(met, "met")
@@ -244,11 +266,10 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     votes = materialize(votes, "votes")
     most = votes.groupBy("id").agg(F.max("n").alias("most"))
     first = votes.join(most, "id").where("2 * n >= most").groupBy("id").agg(F.min("rep").alias("rep"))
-    near = verified(first.select(F.col("id").alias("a"), F.col("rep").alias("b")), docs)
-    discard(spark, prints, votes)
-    near = near.unionByName(verified(apart(met, rooted(classes, near)), docs))
+    near = verified(first.select(F.col("id").alias("a"), F.col("rep").alias("b")), docs, prints)
+    near = near.unionByName(verified(apart(met, rooted(classes, near)), docs, prints))
     out = rooted(classes, near)
-    discard(spark, classes, met)
+    discard(spark, prints, votes, classes, met)
     return out
 
 
