@@ -169,8 +169,8 @@ WORDS, ALIKE = 5, 8
 #: Shingles in at least OFTEN of every SAMPLE-th row come last in the order of shingles; the OFTEN_MOST most frequent of
 #: them at most. These numbers decide how much is compared, never what is found.
 SAMPLE, OFTEN, OFTEN_MOST = 12, 3, 500_000
-#: Parts of the range of hashes whose counts bound how much two sets can share.
-COUNTERS = 128
+#: Powers of two: parts of the range of hashes whose counts bound how much two sets can share, for short and for long sets.
+FEW_PARTS, MANY_PARTS = 7, 12
 #: Places that one task step looks through, about.
 PART = 250_000
 
@@ -188,21 +188,31 @@ def alike(x: Column, y: Column) -> Column:
 
 
 def counters(s: np.ndarray) -> bytes | None:
-    """How many hashes lie in each of COUNTERS parts of their range; None if a count needs more than a byte."""
-    counts = np.bincount((s.view(np.uint64) >> np.uint64(57)).astype(np.int64), minlength=COUNTERS)
+    """How many hashes lie in each part of their range, with two hashes to a part or so; None if a count needs more than a byte."""
+    bits = min(MANY_PARTS, max(FEW_PARTS, (len(s) // 2).bit_length()))
+    counts = np.bincount((s.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else None
 
 
+def most_shared(a: bytes | None, b: bytes | None) -> int:
+    """A bound on the hashes that two sets share, by their counts."""
+    if a is None or b is None:
+        return 1 << 60
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    if len(x) != len(y):  # the parts of one are halves (or less) of the other's
+        few = min(len(x), len(y))
+        x, y = x.reshape(few, -1).sum(1, dtype=np.int64), y.reshape(few, -1).sum(1, dtype=np.int64)
+    return int(np.minimum(x, y).sum(dtype=np.int64))
+
+
 def can_be_alike(pairs: DataFrame, prints: DataFrame) -> DataFrame:
     """The pairs a, b without those that cannot be alike: two sets share at most the lesser count of each part."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            both = batch.column("ca").is_valid().to_numpy(zero_copy_only=False) & batch.column("cb").is_valid().to_numpy(zero_copy_only=False)
-            a, b = (np.frombuffer(b"".join(x or bytes(COUNTERS) for x in batch.column(c).to_pylist()), np.uint8).reshape(-1, COUNTERS) for c in ("ca", "cb"))
-            shared = np.minimum(a, b).sum(1, dtype=np.int64)
-            can = ~both | (shared * (10 + ALIKE) >= (batch.column("na").to_numpy() + batch.column("nb").to_numpy()) * ALIKE)
-            yield batch.select(["a", "b"]).filter(pa.array(can))
+            ca, cb, na, nb = (batch.column(c).to_pylist() for c in ("ca", "cb", "na", "nb"))
+            can = [most_shared(x, y) * (10 + ALIKE) >= (m + n) * ALIKE for x, y, m, n in zip(ca, cb, na, nb, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(can, pa.bool_()))
 
     of = lambda end: prints.select(F.col("_row").alias(end), F.col("counters").alias(f"c{end}"), F.col("size").alias(f"n{end}"))
     return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long")
@@ -267,9 +277,13 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     most = votes.groupBy("id").agg(F.max("n").alias("most"))
     first = votes.join(most, "id").where("2 * n >= most").groupBy("id").agg(F.min("rep").alias("rep"))
     near = verified(first.select(F.col("id").alias("a"), F.col("rep").alias("b")), docs, prints)
-    near = near.unionByName(verified(apart(met, rooted(classes, near)), docs, prints))
-    out = rooted(classes, near)
-    discard(spark, prints, votes, classes, met)
+    discard(spark, votes)
+    groups = rooted(classes, near)
+    pairs, mixed = apart(met, groups)
+    more = verified(pairs, docs, prints)
+    discard(spark, prints, met, groups, *mixed)
+    out = rooted(classes, near.unionByName(more))
+    discard(spark, classes, near, more)
     return out
 
 
@@ -327,30 +341,32 @@ def possible(size_x: str, at_x: str, size_y: str, at_y: str) -> Column:
     return (F.least(sx - ax, sy - ay) * (10 + ALIKE) >= (sx + sy) * ALIKE) & (F.least(sx, sy) * 10 >= F.greatest(sx, sy) * ALIKE)
 
 
-def apart(met: DataFrame, groups: DataFrame) -> DataFrame:
-    """Pairs a < b of ids that share a place, can be alike by their sizes and positions, and are in different groups.
+def apart(met: DataFrame, groups: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs a < b of ids that share a place, can be alike by their sizes and positions, and are in different groups; and the tables stored for them.
 
     Of each place, the rows outside its largest group meet all rows of other groups; the rows of that group do not meet
     each other, so a large group of copies brings as many pairs as there are strangers among it.
     """
     rows = met.join(groups, "id")
-    mixed = rows.groupBy("place").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("place")
-    rows = materialize(rows.join(mixed, "place"), "mixed")
-    counts = rows.groupBy("place", "root").agg(F.count("*").alias("n"))
+    different = rows.groupBy("place").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("place")
+    mixed = materialize(rows.join(different, "place"), "mixed")
+    counts = mixed.groupBy("place", "root").agg(F.count("*").alias("n"))
     main = counts.groupBy("place").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
-    rows = materialize(rows.join(main, "place"), "mixed")
+    rows = mixed.join(main, "place")
     x, y = (rows.select("place", *[F.col(c).alias(f"{c}_{end}") for c in ("id", "size", "at", "root", "main")]) for end in "xy")
     minor = x.where("root_x <> main_x")
     can = possible("size_x", "at_x", "size_y", "at_y")
     once = (F.col("root_y") == F.col("main_y")) | (F.col("id_x") < F.col("id_y"))
     pairs = minor.join(y, "place").where((F.col("root_x") != F.col("root_y")) & once & can)
-    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct()
+    return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct(), [mixed]
 
 
 def rooted(classes: DataFrame, near: DataFrame) -> DataFrame:
     """id, root: the least id that links a, b lead to, for every id of classes."""
     labels = components(stars(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
-    return materialize(classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")), "rooted")
+    out = materialize(classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")), "rooted")
+    discard(classes.sparkSession, labels)
+    return out
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

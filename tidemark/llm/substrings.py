@@ -199,8 +199,8 @@ def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2] - edge[::2]
 
 
-def _spots(texts: DataFrame, window: int) -> DataFrame:
-    """row, start, size, marker (as a signed long), hot: the stretches whose marker is found more than once."""
+def _spots(texts: DataFrame, window: int) -> tuple[DataFrame, list[DataFrame]]:
+    """row, start, size, marker (as a signed long), hot: the stretches whose marker is found more than once; and the tables stored for them."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
@@ -209,7 +209,7 @@ def _spots(texts: DataFrame, window: int) -> DataFrame:
 
     spots = materialize(texts.select("row", "text").mapInArrow(run, "row long, start int, size int, marker long, weight int"), "spots")
     often = materialize(spots.groupBy("marker").agg(F.sum("weight").alias("n")).where("n > 1").select("marker", (F.col("n") > HOT).alias("hot")), "often")
-    return spots.drop("weight").join(often, "marker").select("row", "start", "size", "marker", "hot")
+    return spots.drop("weight").join(often, "marker").select("row", "start", "size", "marker", "hot"), [spots, often]
 
 
 def _content(split: list[bytes], start: int, size: int, window: int) -> tuple[bytes, bytes]:
@@ -370,7 +370,8 @@ def _removed(docs: DataFrame, window: int, keep_all: bool) -> DataFrame:
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
     texts = rows.select(F.col(row).alias("row"), F.struct(F.col(row), *others).alias("rest"), F.col("text").cast("string").alias("text"))
     # Spans depend on the text alone; rows keep their numbers for both reads.
-    listed = _spots(texts, window).groupBy("row").agg(F.collect_list(F.struct("start", "size", "marker", "hot")).alias("spots"))
+    spots, held = _spots(texts, window)
+    listed = spots.groupBy("row").agg(F.collect_list(F.struct("start", "size", "marker", "hot")).alias("spots"))
     result = StructType([texts.schema["rest"], StructField("text", StringType()), StructField("words", LongType()), StructField("kept", LongType()), StructField("sha", StringType())])
 
     def digest(batch: pa.RecordBatch, spans: list) -> pa.RecordBatch:
@@ -402,6 +403,7 @@ def _removed(docs: DataFrame, window: int, keep_all: bool) -> DataFrame:
 
     spot = StructType([StructField("start", IntegerType()), StructField("size", IntegerType()), StructField("marker", LongType()), StructField("hot", listed.schema["spots"].dataType.elementType["hot"].dataType)])
     joined = materialize(texts.join(listed, "row", "left").select("row", "rest", "text", "spots").mapInArrow(split, StructType([StructField("row", LongType()), StructField("spots", ArrayType(spot)), *result.fields])), "texts")
+    discard(docs.sparkSession, *held)
     found = joined.where("spots is not null").select("row", "rest", "text", "spots")
     spans = repeated_spans(found, window).groupBy("row").agg(F.collect_list(F.struct("start", "a", "n")).alias("spans"))
     some = found.drop("spots").join(spans, "row", "left").select("rest", "text", "spans").mapInArrow(cut, result)
