@@ -1,10 +1,12 @@
 """Main text of web pages by the maximum-scoring subsequence.
 
-A page is a sequence of words and tags. Words score +1, tags a negative weight by name; a linear scan finds the
-contiguous region with the largest sum. Weights come from labelled pages, those that mark their content with an article
-or main element: a name that stands outside the content costs the more the more often it does. Where a page marks its
-content, words outside it score -1. Elements that are no content wherever they stand (menus, adverts, forms, comments
-...) score nothing and are left out of the region found, so that one inside an article does not end it.
+A page is a sequence of words and tags. Words score +1, tags by weights of their names and of the class and id words they
+bear; a linear scan finds the contiguous region with the largest sum. Weights come from labelled pages, those that mark
+their content with an article or main element: what stands outside the content costs the more the more often it does,
+what stands inside it scores. The scan takes the tags of these elements for costly ones and knows no more of them, so
+pages without them are cut alike.
+Elements that are no content wherever they stand (menus, adverts, forms, comments ...) score nothing and are left out of
+the region found, so that one inside an article does not end it.
 """
 
 from __future__ import annotations
@@ -23,10 +25,13 @@ from tidemark.llm.common import read, sliced
 
 #: Labelled pages that the weights are taken from at most: those with the smallest hashes of their ids.
 MAX_PAGES = 2_000
-#: Words that a tag weighs at a log-odds of 1; weights lie between the two bounds.
-SCALE, LEAST, MOST = 5.0, 0.02, 40.0
+#: Words that a tag weighs at a log-odds of 1; what a tag can cost or gain at most.
+SCALE, MOST, GAIN = 5.0, 40.0, 1.0
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(script|style|template|noscript|svg|iframe|textarea|select|title)\b(?:[^>"']|"[^"]*"|'[^']*')*>.*?(?:</\1\s*>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?/][^>]*(?:>|$)""", re.S | re.I)
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+ATTRIBUTES = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+#: Elements whose content is no markup, and what ends each.
+RAW = {name: re.compile(rf"</{name}\s*>", re.I) for name in "script style template noscript svg iframe textarea select title".split()}
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,16 +48,52 @@ WORDS = re.compile(r"[a-z]+")
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
-    """("text", raw, ""), ("open", name, attributes) and ("close", name, "") in page order; scripts, styles and comments are passed over."""
-    at = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            yield "text", page[at : m.start()], ""
-        at = m.end()
-        if m[3]:
-            yield ("close" if m[2] else "open"), m[3].lower(), m[4]
-    if at < len(page):
-        yield "text", page[at:], ""
+    """("text", raw, ""), ("open", name, attributes) and ("close", name, "") in page order; scripts, styles and comments are passed over.
+
+    Linear in the page: a quote that is never closed is looked for once, after that tags end at the next angle bracket.
+    """
+    since = at = 0
+    quoted = True
+    while (k := page.find("<", at)) >= 0:
+        m = NAME.match(page, k)
+        attributes = ""
+        if m:
+            inner = ATTRIBUTES.match(page, m.end()) if quoted else None
+            if inner:
+                end = inner.end()
+            else:
+                quoted = False
+                end = page.find(">", m.end()) + 1
+                if not end:
+                    break
+            attributes = page[m.end() : end - 1]
+        elif page.startswith("<!--", k):
+            end = page.find("-->", k + 4) + 3
+            end = len(page) if end < 3 else end
+        elif page[k + 1 : k + 2] in ("!", "?", "/"):
+            end = page.find(">", k) + 1 or len(page)
+        else:
+            at = k + 1
+            continue
+        if k > since:
+            yield "text", page[since:k], ""
+        if m:
+            name = m[2].lower()
+            if name in RAW and not m[1]:
+                closing = RAW[name].search(page, end)
+                end = closing.end() if closing else len(page)
+            elif name not in RAW:
+                yield ("close" if m[1] else "open"), name, attributes
+        since = at = end
+    if since < len(page):
+        yield "text", page[since:], ""
+
+
+def words_in(attributes: str) -> list[str]:
+    """The words of class, id and role values."""
+    if "=" not in attributes:
+        return []
+    return [w for m in NAMED.finditer(attributes) for w in WORDS.findall((m[2] or m[3] or m[4] or "").lower())]
 
 
 def is_aside(name: str, attributes: str, inside: int) -> bool:
@@ -70,10 +111,22 @@ def is_aside(name: str, attributes: str, inside: int) -> bool:
     return False
 
 
-def marked(page: str) -> list[tuple[str, str, bool, int]]:
-    """(kind, value, is aside, depth of content elements) per token."""
+def marked(page: str) -> list[tuple[str, str, bool, int, tuple[str, ...]]]:
+    """(kind, value, is aside, depth of content elements, what a tag is weighed by) per token.
+
+    Tags are weighed by their name and by name and word for each word of their class and id; end tags as their start tags.
+    """
     out, skip, depth, inside, seen = [], "", 0, 0, False
+    starts: dict[str, list[tuple[str, ...]]] = {}
     for kind, value, attributes in tokens(page):
+        features: tuple[str, ...] = ()
+        if kind == "open":
+            features = (value, *(f"{value}.{w}" for w in words_in(attributes))) if value not in CONTENT else (value,)
+            if value not in VOID:
+                starts.setdefault(value, []).append(features)
+        elif kind == "close":
+            held = starts.get(value)
+            features = held.pop() if held else (value,)
         if kind == "open":
             if value in CONTENT:
                 inside += 1
@@ -86,7 +139,7 @@ def marked(page: str) -> list[tuple[str, str, bool, int]]:
                 depth += value == skip
             elif value not in VOID and is_aside(value, attributes, inside):
                 skip, depth = value, 1
-        out.append((kind, value, bool(skip), inside))
+        out.append((kind, value, bool(skip), inside, features))
         if kind == "close":
             if value in CONTENT and inside:
                 inside -= 1
@@ -100,47 +153,58 @@ def marked(page: str) -> list[tuple[str, str, bool, int]]:
 
 
 def tag_counts(page: str) -> Counter:
-    """(name, is inside the content) of all tags of a labelled page; the content element's own tags count as outside."""
+    """(feature, is inside the content) of all tags of a labelled page, without those of asides inside the content."""
     out: Counter = Counter()
-    for kind, value, aside, inside in marked(page):
-        if kind != "text" and not aside:
-            out[value, bool(inside) and value not in CONTENT] += 1
+    for kind, _, aside, inside, features in marked(page):
+        if kind != "text" and not (aside and inside):
+            for f in set(features) - CONTENT:
+                out[f, bool(inside)] += 1
     return out
 
 
 def weights_from(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
+    """Costs of features, negative for those that rather stand inside the content."""
     names = {name for name, _ in counts}
-    return {n: min(MOST, max(LEAST, SCALE * log((counts.get((n, False), 0) + 1) / (counts.get((n, True), 0) + 1)))) for n in names}
+    return {n: min(MOST, max(-GAIN, SCALE * log((counts.get((n, False), 0) + 1) / (counts.get((n, True), 0) + 1)))) for n in names}
 
 
 #: Used for names that no labelled page has: elements of running text, other blocks, and the rest.
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre b i em strong br".split())
-OTHER, INLINE = 0.4, 0.1
+LEAST, OTHER, INLINE = 0.02, 0.4, 0.1
 
 
 def default_weight(name: str) -> float:
     return LEAST if name in PROSE else OTHER if name in BLOCKS else INLINE
 
 
-def main_text(page: str | None, weights: dict[str, float]) -> str:
-    stream = marked(page or "")
-    has_content = any(inside for *_, inside in stream)
+def cost(features: tuple[str, ...], weights: dict[str, float]) -> float:
+    """What a tag takes from the score: the farthest from none that its words are known for, else that of its name."""
+    if features[0] in CONTENT:
+        return MOST
+    known = [weights[f] for f in features[1:] if f in weights]
+    return max(known, key=abs) if known else weights[features[0]] if features[0] in weights else default_weight(features[0])
+
+
+def best_region(scores: list[float]) -> tuple[int, int]:
+    """Bounds of the contiguous stretch with the largest sum above 0, the first of equal ones and the shortest; (0, 0) if there is none."""
     best = total = 0.0
     begin = first = last = 0
-    for k, (kind, value, aside, inside) in enumerate(stream):
-        if aside:
-            continue
-        if kind == "text":
-            words = len(value.split())
-            total += words if inside or not has_content else -words
-        else:
-            total -= weights[value] if value in weights else default_weight(value)
+    for k, x in enumerate(scores):
+        total += x
         if total > best:
             best, first, last = total, begin, k + 1
         if total <= 0:
             total, begin = 0.0, k + 1
+    return first, last
+
+
+def main_text(page: str | None, weights: dict[str, float]) -> str:
+    stream = marked(page or "")
+    # Asides score nothing, but for the ends of an outermost content element that a broken one runs over.
+    scores = [0.0 if aside and not (value in CONTENT and inside == 1) else float(len(value.split())) if kind == "text" else -cost(features, weights) for kind, value, aside, inside, features in stream]
+    first, last = best_region(scores)
     blocks, held = [], []
-    for kind, value, aside, _ in stream[first:last]:
+    for kind, value, aside, _, _ in stream[first:last]:
         if kind == "text":
             if not aside:
                 held.append(value)
@@ -174,7 +238,8 @@ def extract(pages: DataFrame, weights: dict[str, float] | None = None) -> DataFr
     """page_id, url, text (blocks joined by line ends, empty if none) and n_chars (code points) per row.
 
     Null and empty html has no text. Repeated rows and page_ids, null ids included, come out once each. Regions of equal
-    score: the first. Empty tables give no rows. Other columns are not read.
+    score: the first. Long and broken pages are read whole, in time that grows with their length. Empty tables give no
+    rows. Other columns are not read.
     """
     weights = learn_weights(pages) if weights is None else weights
 
