@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -198,6 +199,47 @@ def test_classifier_learns_rules_and_scores_held_out_rows(spark):
     assert {x.score for x in quality_model.score(df, labels.limit(0)).collect()} == {0.5}
 
 
+def test_statistics_and_scores_against_plain_python(spark, files):
+    """The statistics of each text and the score of a compiled model, worked out again without Spark."""
+
+    def plain(text):
+        t = text or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^ \t-\r]", x)]
+        per = lambda a, b: a / b if b else 0.0
+        share = lambda characters: per(sum(c in characters for c in t), len(t))
+        ends = re.compile(quality_rules.ENDS_SENTENCE.replace("*$", "*\\Z"))
+        return [
+            float(len(w)), per(len(set(w)), len(w)), per(sum(a == b for a, b in zip(w, w[1:], strict=False)), len(w)), per(sum(len(x) > 14 for x in w), len(w)),
+            float(len(lines)), per(len(set(lines)), len(lines)), per(sum(bool(ends.search(x)) for x in lines), len(lines)), float(len(t)),
+            share("#*$%&<>"), share("|"), share("!?"), share(".,;:"), share("0123456789"), share(" \t\n\x0b\x0c\r"), share("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
+        ]
+
+    extra = ["Ends. \nDoes not\n|a| 12!?", "a a  a verylongwordoffifteen\x0b\x0cB", "“Quoted.”\nsame\nsame\n \n", "word " * 30_000]
+    rows = [(k, t) for k, t in enumerate([*TEXTS, *extra])] + [(0, TEXTS[5])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit(1))
+    model = (0.25, [(1.5, (("w.n_words", ">", 3.0), ("symbols", "<=", 0.1))), (-0.75, (("l.distinct_lines", "<=", 0.9),)), (2.0, (("digits", ">", 0.0), ("w.distinct", "<=", 0.5)))])
+    text = F.coalesce(F.col("text"), F.lit(""))
+    got = df.select("doc_id", "text", quality_model.statistics(text).alias("s")).select("text", *[F.col(f"s.{n}").alias(n.replace(".", "_")) for n in quality_model.NAMES], quality_model.compile_score("s", *model).alias("p")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = plain(r.text)
+        assert list(r[1:-1]) == pytest.approx(want), r.text
+        x = np.array([want])
+        total = model[0] + sum(c for c, rule in model[1] if quality_model.holds(rule, x)[0])
+        assert r.p == pytest.approx(1 / (1 + np.exp(-total)))
+    assert quality_model.score(df.limit(0), df.select("doc_id", F.lit(1).alias("quality"))).count() == 0
+
+
+def test_a_fit_does_not_depend_on_the_order_of_rows(spark):
+    r = random.Random(9)
+    rows = [(k % 150, (prose(30, r) + ".") if k % 3 else "##" * 30) for k in range(400)]
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(150)] * 2 + [(7, 0)], "doc_id long, quality int")
+    a = quality_model.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    b = quality_model.fit(spark.createDataFrame(rows[::-1], "doc_id long, text string").repartition(7), labels.repartition(3))
+    assert a == b and a[1]
+
+
 def test_url_rules(spark):
     cases = {
         "https://WWW.Example.com/en/1": ("www.example.com", "/en/1", "www.example.com/en/", "allow"), "http://m.example.com/en/": ("m.example.com", "/en/", "example.com/en/", "block"),
@@ -242,20 +284,53 @@ def test_main_text(spark):
 
 
 def test_fixity(spark, tmp_path):
-    rows = [(k if k % 50 else None, f"http://h/{k}", "<p>" + "x" * (k % 700) + "é</p>") for k in range(400)] + [(5, None, None)] * 2
+    """Against a plain audit: digests, lengths and statuses of records that were changed, lost, or moved by a lost one."""
+    rows = [(k if k % 50 else None, f"http://h/{k}", "<p>" + "x" * (k % 700) + "é</p>") for k in range(400)] + [(5, None, None)] * 2 + [(900, "u", "a\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nrest")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "p"))
-    pages = spark.read.parquet(str(tmp_path / "p"))
-    table = warc.materialize(warc.leaves(pages), "t")
-    assert warc.audit(table, table).count() == 0
-    spoiled = table.where("page_id is null or page_id % 97 <> 3").withColumn("digest", F.when(F.col("page_id") == 77, "bad").otherwise(F.col("digest")))
-    got = {(r.status, r.replica_sha256) for r in warc.audit(table, spoiled).collect()}
-    assert got == {("altered", "bad"), ("missing", None)} and warc.audit(table, spoiled).count() == 1 + 4
-    assert {r.status for r in warc.audit(spoiled, table).collect()} == {"altered", "extra"}
-    full = warc.fixity(pages)
-    assert full.count() == len(rows) and warc.fixity(pages.limit(0)).count() == 0
-    warc.write_segments(pages.where("url is not null"), str(tmp_path / "w"))
-    back = warc.read_records(spark, str(tmp_path / "w"))
-    assert back.where("intact").count() == 400 and rows_of(back.select("url", "html")) == sorted([(u, h) for _, u, h in rows if u], key=str)
+    pages = spark.read.parquet(str(tmp_path / "p")).withColumn("row", F.lit(7)).withColumn("record", F.lit("x"))
+    source = warc.materialize(warc.records(pages.select("page_id", "url", "html")), "s")
+    table = warc.materialize(warc.leaves(source), "t")
+    held = {r.record_id: r for r in table.collect()}
+    assert len(held) == len(rows)
+    texts = {hashlib.sha256(r.record.encode()).hexdigest(): r.record for r in source.collect()}
+    for r in held.values():
+        text = texts[r.digest].encode()
+        assert r.length == len(text) and r.record_id.encode() in text and b"WARC-Date: " in text
+    warc.write_segments(source, str(tmp_path / "same"))
+    back = warc.read_records(spark, str(tmp_path / "same"))
+    assert back.where("not intact").count() == 0
+    assert {(r.record_id, r.segment, r.offset, r.length, r.digest) for r in back.collect()} == {(r.record_id, r.segment, r.offset, r.length, r.digest) for r in held.values()}
+    assert rows_of(back.select(F.col("page_id").cast("long"), "url", "html")) == sorted([(i, u or "", h or "") for i, u, h in rows], key=str)
+    assert warc.audit(table, back).count() == 0
+    got = {r.page_id: r for r in warc.fixity(pages).where("page_id is not null and page_id <> 5").collect()}
+    crc = lambda i: zlib.crc32(str(i).encode()) % 97
+    for i, r in got.items():
+        assert r.status == "missing" if crc(i) == 11 else r.status == "altered" if crc(i) == 5 else r.status in ("intact", "moved")
+        text = texts[r.primary_sha256]
+        want = None if crc(i) == 11 else hashlib.sha256((text[:-6] + "??\r\n\r\n").encode()).hexdigest() if crc(i) == 5 else r.primary_sha256
+        assert r.replica_sha256 == want
+    assert {r.status for r in got.values()} == {"missing", "altered", "intact", "moved"} or len({r.status for r in got.values()}) >= 3
+    assert warc.fixity(pages).count() == len(rows) and warc.fixity(pages.limit(0)).count() == 0
+    few = table.where("page_id is null or page_id <> 77")
+    assert {r.status for r in warc.audit(few, table).collect()} <= {"extra", "moved"} and warc.audit(few, table).where("status = 'extra'").count() == 1
+
+
+def test_trees_against_plain_digests(spark):
+    table = spark.createDataFrame([(0, o, f"d{o}") for o in (0, 10, 70_000, 70_010, 2_000_000)], "segment int, offset long, digest string")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    low, mid, high = ([tuple(r) for r in level.orderBy("node").collect()] for level in warc.tree(table, 3))
+    nodes = {0: sha("0 d0\n10 d10"), 1: sha("70000 d70000\n70010 d70010"), 30: sha("2000000 d2000000")}
+    assert low == [(0, k, d) for k, d in nodes.items()]
+    above = {0: sha(f"0 {nodes[0]}\n1 {nodes[1]}"), 1: sha(f"30 {nodes[30]}")}
+    assert mid == [(0, k, d) for k, d in above.items()] and high == [(0, 0, sha(f"0 {above[0]}\n1 {above[1]}"))]
+
+
+def test_torn_records_are_passed_over():
+    good = b"WARC/1.1\r\nContent-Length: 2\r\n\r\nab\r\n\r\n"
+    for torn in (b"WARC/1.1\r\nContent-Length: 9\r\n\r\nab\r\n\r\n", b"WARC/1.1\r\nContent-Length: x\r\n\r\nab\r\n\r\n", b"junk\r\n\r\n", b"WARC/1.1\r\n\r\n\r\n"):
+        found = list(warc.framed(good + torn + good))
+        assert [f[2] is not None for f in found][0] and found[-1][3] == b"ab" and sum(f[1] for f in found) == 2 * len(good) + len(torn)
+    assert list(warc.framed(b"")) == []
 
 
 def test_stretches_against_each_window(monkeypatch):

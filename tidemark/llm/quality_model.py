@@ -172,11 +172,12 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[float, list[tuple[float, Rule]]]:
     """Fits on at most max_rows labelled rows outside the held-out fold. Rows with a null id or label teach nothing; of
-    several rows with one doc_id, one is used."""
+    several rows with one doc_id, the one with the least text (then label) is used, so that fits can be repeated."""
     some = labels.select("doc_id", "quality").where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "quality").limit(max_rows)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # max_rows short rows
-    rows = rows.dropDuplicates(["doc_id"]).withColumn("_s", statistics(text)).select("quality", "doc_id", *[F.col(f"_s.{n}") for n in NAMES]).orderBy(F.xxhash64("doc_id")).collect()
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(some), "doc_id")  # max_rows short rows
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct("text", "quality")).alias("r")).select("doc_id", "r.*")
+    rows = rows.withColumn("_s", statistics(F.col("text"))).select("quality", "doc_id", *[F.col(f"_s.{n}") for n in NAMES]).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
     x = np.array([[float(v) for v in r[2:]] for r in rows]).reshape(len(rows), len(NAMES))
     return fit_rules(x, np.array([r[0] for r in rows], float))
 
@@ -184,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[f
 def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted per row of docs.
 
-    Null texts score as empty ones. Repeated rows are scored once each; rows with a null id are not held out. With no
+    Null texts score as empty ones, long ones are scored whole. Repeated rows are scored once each; rows with a null id are not held out. With no
     labels, or labels of one kind, all scores are 0.5. Empty tables give no rows. Only doc_id and text are read, and the
     doc_id serves only the fold.
     """
