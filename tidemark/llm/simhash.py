@@ -171,6 +171,8 @@ WORDS, ALIKE = 5, 8
 SAMPLE, OFTEN, OFTEN_MOST = 12, 3, 500_000
 #: Powers of two: parts of the range of hashes whose counts bound how much two sets can share, for short and for long sets.
 FEW_PARTS, MANY_PARTS = 7, 12
+#: Row numbers (eight bytes each) that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 #: Places that one task step looks through, about.
 PART = 250_000
 
@@ -227,7 +229,10 @@ def verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame) -> DataFrame:
         for batch in sliced(batches, "text"):
             yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array([shingles(t) for t in utf8(batch, "text")], pa.list_(pa.int64()))], ["_row", "s"])
 
-    sets = materialize(docs.select("_row", "text").join(wanted, "_row", "left_semi").mapInArrow(cut, "_row long, s array<long>"), "sets")
+    # Few rows are wanted as a rule; their numbers then go to the texts. Where they are many, both are shuffled.
+    few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    some = docs.select("_row", "text").join(F.broadcast(wanted) if few else wanted, "_row", "left_semi")
+    sets = materialize(some.mapInArrow(cut, "_row long, s array<long>"), "sets")
 
     of = lambda end: sets.select(F.col("_row").alias(end), F.col("s").alias(f"s{end}"))
     out = materialize(pairs.join(of("a"), "a").join(of("b"), "b").where(alike(F.col("sa"), F.col("sb"))).select("a", "b"), "links")
