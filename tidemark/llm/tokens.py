@@ -34,6 +34,8 @@ from tidemark.llm.common import read, sliced
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks remembered by a worker, and their most characters; others are worked out each time, so memory stays bounded.
 REMEMBERED, REMEMBERED_CHARS = 300_000, 60
+#: Chunks whose token counts are remembered, which take less room than ids and more time to work out again.
+REMEMBERED_COUNTS = 1_000_000
 #: The last character whose class all versions of Unicode in use agree on beyond doubt (end of Latin Extended-B).
 STABLE = "\u024f"
 #: Pieces of more bytes are searched for tokens by an automaton instead of a look-up for every length.
@@ -242,7 +244,7 @@ class PrefixCounter:
                         if not plain(chunk):
                             return [text], [self._new(text)]
                         n = self._new(whole(chunk))
-                        if len(known) < REMEMBERED and len(chunk) < REMEMBERED_CHARS:
+                        if len(known) < REMEMBERED_COUNTS and len(chunk) < REMEMBERED_CHARS:
                             known[chunk] = n
                     counts[k] = n
         return chunks, counts
