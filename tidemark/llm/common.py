@@ -6,8 +6,9 @@ import atexit
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import suppress
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: Rows handed to Python in one go are cut to batches of at most this many bytes of text.
 SLICE_BYTES = 4 << 20
+#: Rows handed to Python in one go by Spark: batches of at most this many bytes.
+BATCH_BYTES, BATCH_SETTING = 2 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: Files of a table whose rows are numbered in place at most; rows of more files are numbered in a stored copy.
 MAX_FILES = 200_000
 
@@ -143,8 +146,31 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def sliced(batches: Iterable[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that none holds more than SLICE_BYTES of text (a single longer text stays whole)."""
+def bound_batches(spark: SparkSession) -> None:
+    """Lets batches of at most BATCH_BYTES go to Python workers, as both sides hold each several times; a limit that the session
+    sets itself stays. The size of a batch never changes a result."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
+_per_worker: list = []
+
+
+def per_worker(make: Callable) -> Callable:
+    """Lets a worker make something once and use it in all tasks, until it goes on to an operator that has no need of it."""
+    held = lru_cache(maxsize=2)(make)
+    _per_worker.append(held)
+    return held
+
+
+def sliced(batches: Iterable[pa.RecordBatch], text: str, keep: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that none holds more than SLICE_BYTES of text (a single longer text stays whole).
+
+    Workers live on between operators; unless keep is set, what one holds by per_worker is given up first.
+    """
+    if not keep:
+        for held in _per_worker:
+            held.cache_clear()
     for batch in batches:
         rows = batch.num_rows
         if not rows:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, read, sliced, utf8
+from tidemark.llm.common import bound_batches, materialize, read, sliced, utf8
 
 #: Text of one block of benchmark items; what a task and the driver hold at once.
 BLOCK_BYTES = 8 << 20
@@ -123,6 +123,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     names no items, and left out without it, as in the SQL; repeated rows come out once each; a repeated item_id counts once. With an empty benchmark all is clean. Other columns are passed by.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
     bench = bench.fillna("", "item_id") if flag else bench.where("item_id is not null")
     size = bench.agg(F.sum(F.length("text") + 16)).first()[0] or 0

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, read, sliced
+from tidemark.llm.common import bound_batches, materialize, read, sliced
 from tidemark.llm.tokens import default_vocabulary, encoder
 
 #: Tokens of a sequence.
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = encoder(path)
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", keep=True):
             rows: list[tuple] = []
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), held.ids(texts), strict=True):
@@ -255,6 +255,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = Non
     An empty table gives no rows. Other columns are not read. Ties between equal lengths fall by the pieces' own order.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     table = materialize(pieces(docs, capacity, vocabulary), "pieces")
     histogram = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
     plan = spark.sparkContext.broadcast(_places(bin_completion(histogram, capacity, nodes)))

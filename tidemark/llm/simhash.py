@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import discard, free, grams, materialize, numbered, read, sliced, utf8, word_hashes
+from tidemark.llm.common import bound_batches, discard, free, grams, materialize, numbered, read, sliced, utf8, word_hashes
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 SEGMENTS, SEGMENT_BITS = 2, 32
@@ -154,6 +154,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     length are hashed whole; other columns are not read.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     prints = materialize(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle), "prints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = linked(classes)
@@ -264,6 +265,7 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     lines and templates bring nothing together that its other words keep apart.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from tidemark.llm.common import discard, free, give_back, grams, materialize, numbered, read, sliced, utf8, word_hashes
+from tidemark.llm.common import bound_batches, discard, free, give_back, grams, materialize, numbered, read, sliced, utf8, word_hashes
 
 WINDOW = 35
 #: Words of the runs whose least hash is a window's marker.
@@ -365,6 +365,7 @@ def _removed(docs: DataFrame, window: int, keep_all: bool) -> DataFrame:
 
     With keep_all, text is what is left (the text itself if all is), else null.
     """
+    bound_batches(docs.sparkSession)
     (row,) = free(docs.columns, "row")
     rows = numbered(docs, row)
     others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]

@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 from itertools import accumulate, islice
 from struct import pack
 
@@ -28,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidemark.llm.common import read, sliced
+from tidemark.llm.common import per_worker, read, sliced
 
 #: The vocabulary's own pattern (a fixed value of the public byte-level BPE).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -281,7 +280,7 @@ class PrefixCounter:
         return total, cut
 
 
-@lru_cache(maxsize=2)
+@per_worker
 def counter(path: str) -> PrefixCounter:
     """One per worker process."""
     return PrefixCounter(path)
@@ -297,7 +296,7 @@ def token_counts(docs: DataFrame, limit: int = 1024, vocabulary: str | None = No
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = counter(path)
-        for batch in sliced(batches, "text"):
+        for batch in sliced(batches, "text", keep=True):
             size, total, cut = [], [], []
             for text in batch.column("text").to_pylist():
                 text = text or ""
@@ -423,6 +422,6 @@ class ChunkEncoder:
             found[k] = None
 
 
-@lru_cache(maxsize=2)
+@per_worker
 def encoder(path: str) -> ChunkEncoder:
     return ChunkEncoder(path)
