@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, materialize, read, sliced, utf8
+from tidemark.llm.common import bound_batches, free, materialize, numbered, read, sliced, utf8
 
 #: Text of one block of benchmark items; what a task and the driver hold at once.
 BLOCK_BYTES = 8 << 20
@@ -130,8 +130,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     blocks = max(1, -(-size // block_bytes))
     names = docs.columns
     kept = docs.select(*names) if flag else docs.select("doc_id", "text")
+    number, own_covered, own_items = free([*kept.columns, flag], "row", "covered", "items")
     if blocks > 1:
-        kept = kept.withColumn("_row", F.monotonically_increasing_id())
+        kept = numbered(kept, number)  # each block reads the rows anew
 
     def index(block: int):
         part = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
@@ -162,29 +163,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
         def search(batches, held=held):
             for batch in sliced(batches, "text"):
                 rows, covered, names = [], [], []
-                for row, text in zip(batch.column("_row").to_pylist(), utf8(batch, "text"), strict=True):
+                for row, text in zip(batch.column(number).to_pylist(), utf8(batch, "text"), strict=True):
                     stretches, items = held.value.hits(words_of(text))
                     if items:
                         rows.append(row)
                         covered.append(np.array(stretches, "<i8").tobytes())
                         names.append(sorted(items))
-                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(covered, pa.binary()), pa.array(names, pa.list_(pa.string()))], ["_row", "covered", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(covered, pa.binary()), pa.array(names, pa.list_(pa.string()))], ["row", "covered", "items"])
 
-        part = materialize(kept.select("_row", "text").mapInArrow(search, "_row long, covered binary, items array<string>"), "hits")
+        part = materialize(kept.select(number, "text").mapInArrow(search, "row long, covered binary, items array<string>"), "hits")
         found = part if found is None else found.unionByName(part)
-    by_row = found.groupBy("_row").agg(F.collect_list("covered").alias("_covered"), F.flatten(F.collect_list("items")).alias("_items"))
+    by_row = found.groupBy(F.col("row").alias(number)).agg(F.collect_list("covered").alias(own_covered), F.flatten(F.collect_list("items")).alias(own_items))
 
     def merge(batches):
         for batch in sliced(batches, "text"):
             n_words = [len(words_of(t)) for t in utf8(batch, "text")]
-            hits = [([tuple(x) for c in cov or [] for x in np.frombuffer(c, "<i8").reshape(-1, 2).tolist()], set(items or [])) for cov, items in zip(batch.column("_covered").to_pylist(), batch.column("_items").to_pylist(), strict=True)]
+            hits = [([tuple(x) for c in cov or [] for x in np.frombuffer(c, "<i8").reshape(-1, 2).tolist()], set(items or [])) for cov, items in zip(batch.column(own_covered).to_pylist(), batch.column(own_items).to_pylist(), strict=True)]
             out = _verdicts(batch.column("doc_id").cast(pa.int64()), n_words, hits, share)
             if flag:
                 out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), out.column("contaminated")], [*names, flag])
             yield out
 
-    schema = kept.drop("_row").withColumn(flag, F.lit(True)).schema if flag else RESULT
-    return kept.join(by_row, "_row", "left").mapInArrow(merge, schema)
+    schema = kept.drop(number).withColumn(flag, F.lit(True)).schema if flag else RESULT
+    return kept.join(by_row, number, "left").mapInArrow(merge, schema)
 
 
 def op9_decontaminate(spark, sf_dir: str) -> DataFrame:
