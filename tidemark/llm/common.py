@@ -48,11 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
 _stored: dict[str, None] = {}
 
 
-def materialize(df: DataFrame, tag: str, schema: str | None = None) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back, so that a lost executor costs no recomputation."""
+def materialize(df: DataFrame, tag: str, schema: str | None = None, **options: int) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it back, so that a lost executor costs no recomputation.
+
+    options: of the Parquet writer, besides its compression."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)  # texts take about two thirds of the space of Spark's default
+    df.write.option("compression", "zstd").options(**options).parquet(path)  # texts take about two thirds of the space of Spark's default
     _stored[path] = None
     out = spark.read.schema(schema or df.schema).parquet(path)
     out._stored_at = path
