@@ -108,8 +108,10 @@ def test_held_events_keep_all_their_digits_and_a_flush_lets_them_go(spark, tmp_p
 
 def test_a_hot_pool_counts_its_traders_by_trader(spark):
     df = many(spark)
-    plan = trading.trading_windows(df)._jdf.queryExecution().executedPlan().toString()
+    by_trader = trading.windows_with_traders(trading.swaps_of(df), F.window("event_time", "5 minutes"))
+    plan = by_trader._jdf.queryExecution().executedPlan().toString()
     assert "trader" in plan and "Join" not in plan
+    same(trading.finish(by_trader, "uniqueTraders", "repeatedTraders"), trading.trading_windows(df), trading.trading_windows(df).columns)
 
 
 def test_rows_for_a_broker_are_keyed_by_pool(spark):

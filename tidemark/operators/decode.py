@@ -18,7 +18,9 @@ from tidemark.functions import scalars as S
 
 TYPES = {f"com.dex.events.{k.lower()}": k for k in schemas.EVENTS}
 LIQUIDITY_TYPES = [t for t, k in TYPES.items() if k != "Swap"]
+#: Categories of what can be wrong with a message (fixed values). Schemas are part of the program here, so SCHEMA_LOAD never occurs.
 INVALID, PAYLOAD, BASE64, TYPE, AVRO = "INVALID_ENVELOPE", "PAYLOAD_EXTRACTION", "BASE64_DECODE", "UNSUPPORTED_EVENT_TYPE", "AVRO_DECODE"
+MAPPING, SCHEMA, UNKNOWN = "FIELD_MAPPING", "SCHEMA_LOAD", "UNKNOWN"
 TRADING_TOPIC, LIQUIDITY_TOPIC = "dex-trading-events", "dex-liquidity-events"
 PREVIEW = 16
 
@@ -123,6 +125,8 @@ def avro_decode(raw: bytes, schema: T.StructType) -> dict:
             at += 8
         else:
             out[field.name], at = _read_long(raw, at)
+            if isinstance(field.dataType, T.IntegerType) and not -(1 << 31) <= out[field.name] < 1 << 31:
+                raise ValueError("a number does not fit")
     return out
 
 
@@ -148,58 +152,85 @@ def avro_encode(record: dict, schema: T.StructType) -> bytes:
 def _decode_column(kind: str):
     schema = schemas.EVENTS[kind]
 
-    @F.pandas_udf(T.StructType([T.StructField("record", schema), T.StructField("failed", T.BooleanType())]))
+    @F.pandas_udf(T.StructType([T.StructField("record", schema), T.StructField("failed", T.StringType())]))
     def decode(bodies: pd.Series) -> pd.DataFrame:
         records, failed = [], []
         for raw in bodies:
+            record = reason = None
             try:
-                records.append(None if raw is None else avro_decode(raw, schema))
-                failed.append(False)
-            except (ValueError, IndexError, struct.error, UnicodeDecodeError):
-                records.append(None)
-                failed.append(True)
-        return pd.DataFrame({"record": pd.Series(records, dtype=object), "failed": failed})
+                record = None if raw is None else avro_decode(raw, schema)
+            except (ValueError, IndexError, struct.error):
+                reason = AVRO
+            except Exception:  # noqa: BLE001 one message must not end a job
+                reason = UNKNOWN
+            records.append(record)
+            failed.append(reason)
+        return pd.DataFrame({"record": pd.Series(records, dtype=object), "failed": pd.Series(failed, dtype=object)})
 
     return decode
 
 
-def decode_bodies(routed: DataFrame, kind: str) -> DataFrame:
-    """Rows of one event type with `record`; a body that is no such record has the error AVRO_DECODE."""
-    rows = routed.where((F.col("eventType") == kind) & F.col("error").isNull()).withColumn("_d", _decode_column(kind)(F.col("body")))
-    return rows.withColumn("error", F.when(F.col("_d.failed"), AVRO)).withColumn("record", F.col("_d.record")).drop("_d")
+def decoded(raw: DataFrame, stream: str, value: str = "value") -> DataFrame:
+    """The messages of a stream with error (null if there is none), eventType, and the columns of all its kinds of events, from
+    one pass over them: a message is parsed once, and its body decoded once."""
+    routed = route(parse_envelopes(raw, value), stream)
+    kinds = ["Swap"] if stream == "trading" else ["Mint", "Burn", "Transfer"]
+    body = lambda kind: F.when((F.col("eventType") == kind) & F.col("error").isNull(), F.col("body"))
+    rows = routed.select(F.col(value).alias("value"), "error", "eventType", *[_decode_column(k)(body(k)).alias(f"_{k}") for k in kinds])
+    fields = {f.name: None for k in kinds for f in schemas.EVENTS[k].fields}
+    of = lambda name: F.coalesce(*[F.col(f"_{k}.record.{name}") for k in kinds if name in schemas.EVENTS[k].names])
+    failed = F.coalesce("error", *[F.col(f"_{k}.failed") for k in kinds])
+    return rows.select("value", failed.alias("error"), F.when(failed.isNull(), F.col("eventType")).alias("eventType"), *[of(name).alias(name) for name in fields], F.timestamp_seconds(of("blockTimestamp")).alias("event_time"))
+
+
+def split(decoded_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(wide events, value and error of the rest) of decoded messages."""
+    return decoded_rows.where("error is null").drop("value", "error"), decoded_rows.where("error is not null").select("value", "error")
 
 
 def events_from(raw: DataFrame, stream: str, value: str = "value") -> tuple[DataFrame, DataFrame]:
     """(wide events, rows with errors) of a stream of envelopes."""
-    routed = route(parse_envelopes(raw, value), stream)
-    kinds = ["Swap"] if stream == "trading" else ["Mint", "Burn", "Transfer"]
-    good, bad = None, routed.where("error is not null").select(F.col(value).alias("value"), "error")
-    for kind in kinds:
-        decoded = decode_bodies(routed, kind)
-        rows = decoded.where("error is null").select(F.lit(kind).alias("eventType"), "record.*")
-        good = rows if good is None else good.unionByName(rows, allowMissingColumns=True)
-        bad = bad.unionByName(decoded.where("error is not null").select(F.col(value).alias("value"), "error"))
-    return good.withColumn("event_time", F.timestamp_seconds("blockTimestamp")), bad
+    return split(decoded(raw, stream, value))
 
 
 def encode_bodies(events: DataFrame, kind: str) -> DataFrame:
-    """Events of one type with `body`, their Avro binary form."""
+    """Events of one type with `body`, their Avro binary form, and `encodeError`: FIELD_MAPPING where a required value is missing
+    or does not fit (null if there is none); such events have no body."""
     schema = schemas.EVENTS[kind]
 
-    @F.pandas_udf("binary")
-    def encode(frame: pd.DataFrame) -> pd.Series:
-        return pd.Series([avro_encode(r, schema) for r in frame.to_dict("records")])
+    @F.pandas_udf("body binary, failed string")
+    def encode(frame: pd.DataFrame) -> pd.DataFrame:
+        bodies, failed = [], []
+        for record in frame.to_dict("records"):
+            body = reason = None
+            try:
+                body = avro_encode(record, schema)
+            except (ValueError, TypeError, AttributeError, OverflowError, struct.error):
+                reason = MAPPING
+            bodies.append(body)
+            failed.append(reason)
+        return pd.DataFrame({"body": pd.Series(bodies, dtype=object), "failed": pd.Series(failed, dtype=object)})
+
+    made = events.where(F.col("eventType") == kind).withColumn("_e", encode(F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])))
+    return made.withColumns({"body": F.col("_e.body"), "encodeError": F.col("_e.failed")}).drop("_e")
+
 
-    return events.where(F.col("eventType") == kind).withColumn("body", encode(F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])))
+def encoded(events: DataFrame) -> DataFrame:
+    """Events of all types with body and encodeError."""
+    out = None
+    for kind in schemas.EVENTS:
+        rows = encode_bodies(events, kind)
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def envelopes(encoded: DataFrame, source: str = "ingester") -> DataFrame:
-    """key (the pool), topic, and value (the envelope as JSON) of encoded events."""
+    """key (the pool), topic, and value (the envelope as JSON) of encoded events, without those that could not be encoded."""
     fields = [
         F.lit("1.0").alias("specversion"), F.col("eventId").alias("id"), F.lit(source).alias("source"), S.cloud_event_type(F.col("eventType")).alias("type"),
         F.lit("application/avro").alias("datacontenttype"), F.col("pairAddress").alias("subject"), S.rfc3339(F.col("eventTimestamp")).alias("time"), F.base64("body").alias("data_base64"),
     ]
-    return encoded.select(F.col("pairAddress").alias("key"), topic_of(F.col("eventType")).alias("topic"), F.to_json(F.struct(*fields)).alias("value"))
+    return encoded.where("body is not null").select(F.col("pairAddress").alias("key"), topic_of(F.col("eventType")).alias("topic"), F.to_json(F.struct(*fields)).alias("value"))
 
 
 def topic_of(kind: Column) -> Column:

@@ -43,16 +43,73 @@ def retained(table: DataFrame, now: int, hours: int, score: str = "windowStart")
     return table.where(F.col(score) > now - hours * HOUR)
 
 
-def write_results(table: DataFrame, path: str, score: str = "windowStart") -> None:
+#: Pools and days of one batch that are named in the filter on what is stored; a batch of more pools is looked up by days alone.
+MOST_NAMED = 500
+
+
+def _fs(spark: SparkSession, path: str):
+    """The path for Hadoop, and its file system."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _named(rows: DataFrame, column: str) -> Column | None:
+    """A filter for the values that rows have in a column; None if there are too many to name."""
+    values = [r[0] for r in rows.select(column).distinct().limit(MOST_NAMED + 1).collect()]
+    if len(values) > MOST_NAMED:
+        return None
+    there = F.col(column).isin([v for v in values if v is not None])
+    return there | F.col(column).isNull() if None in values else there
+
+
+def missing_from(rows: DataFrame, path: str) -> DataFrame:
+    """Rows (with their day) that a stored table does not have yet, each once. Of what is stored, only the pools and days of the
+    rows are read."""
+    spark = rows.sparkSession
+    where, fs = _fs(spark, path)
+    if not fs.exists(where):
+        return rows.dropDuplicates()
+    there = read_results(spark, path, rows.schema)
+    for column in ("day", "pairAddress"):
+        named = _named(rows, column)
+        if named is not None:
+            there = there.where(named)
+    return rows.subtract(there)
+
+
+def _ledger(path: str, writer: str = "", batch: int | None = None) -> str:
+    return f"{path.rstrip('/')}/_ledger" + (f"/writer={writer}" if writer else "") + (f"/batch={batch}" if batch is not None else "")
+
+
+def write_results(table: DataFrame, path: str, score: str = "windowStart", batch: tuple[str, int] | None = None, keep: tuple[int, int] | None = None) -> None:
     """Appends results, partitioned by pool and UTC day of the score. Rows that are there already are not written again, so
-    that a batch can be repeated; of rows of one kind that differ, all stay, as in a set of results."""
+    that a batch can be repeated; of rows of one kind that differ, all stay, as in a set of results.
+
+    batch: the writer's name and the number of the batch; its rows are then counted in a ledger, once however often the batch
+    is applied, whether or not they were there before. keep: now in milliseconds and hours; days of the pools written that are
+    over for longer are deleted. One writer at a time.
+    """
     spark = table.sparkSession
-    rows = table.withColumn("day", F.date_format(F.timestamp_millis(F.col(score)), "yyyy-MM-dd")).dropDuplicates()
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-        there = read_results(spark, path, rows.schema)
-        rows = rows.subtract(there)
-    rows.repartition("pairAddress", "day").write.mode("append").partitionBy("pairAddress", "day").parquet(path)
+    if batch and _fs(spark, f"{_ledger(path, *batch)}/_SUCCESS")[1].exists(_fs(spark, f"{_ledger(path, *batch)}/_SUCCESS")[0]):
+        return
+    rows = table.withColumn("day", F.date_format(F.timestamp_millis(F.col(score)), "yyyy-MM-dd")).persist()
+    try:
+        missing_from(rows, path).repartition("pairAddress", "day").write.mode("append").partitionBy("pairAddress", "day").parquet(path)
+        if batch:
+            rows.groupBy("pairAddress").agg(F.count("*").alias("rows")).coalesce(1).write.mode("overwrite").parquet(_ledger(path, *batch))
+        if keep:
+            pools = [r[0] for r in rows.select("pairAddress").distinct().limit(MOST_NAMED + 1).collect()]
+            drop_expired(spark, path, *keep, pools=pools if len(pools) <= MOST_NAMED else None)
+    finally:
+        rows.unpersist()
+
+
+def counters(spark: SparkSession, path: str) -> DataFrame:
+    """pairAddress and rows: results that batches have brought to a stored table, those that were there already included."""
+    where, fs = _fs(spark, _ledger(path))
+    schema = "pairAddress string, rows long"
+    entries = spark.read.schema(f"{schema}, writer string, batch long").parquet(_ledger(path)) if fs.exists(where) else spark.createDataFrame([], schema)
+    return entries.groupBy("pairAddress").agg(F.sum("rows").alias("rows"))
 
 
 def read_results(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -60,16 +117,19 @@ def read_results(spark: SparkSession, path: str, schema: StructType) -> DataFram
     return spark.read.schema(schema).parquet(path).select(*schema.names)
 
 
-def drop_expired(spark: SparkSession, path: str, now: int, hours: int) -> int:
-    """Deletes the days of a stored table that are over for longer than the given hours; the number of folders deleted.
+def drop_expired(spark: SparkSession, path: str, now: int, hours: int, pools: list[str | None] | None = None) -> int:
+    """Deletes the days of a stored table (or of some of its pools) that are over for longer than the given hours; the number
+    of folders deleted.
 
     Rows of the day that the limit falls in go with it; until then `retained` leaves them out.
     """
     last = (dt.datetime.fromtimestamp((now - hours * HOUR) / 1000, dt.UTC)).date().isoformat()
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs, gone = where.getFileSystem(spark._jsc.hadoopConfiguration()), 0
+    where, fs = _fs(spark, path)
+    names = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    wanted = None if pools is None else {f"pairAddress={names.DEFAULT_PARTITION_NAME() if p is None else names.escapePathName(p)}" for p in pools}
+    gone = 0
     for pool in fs.listStatus(where):
-        if pool.isDirectory():
+        if pool.isDirectory() and pool.getPath().getName().startswith("pairAddress=") and (wanted is None or pool.getPath().getName() in wanted):
             for day in fs.listStatus(pool.getPath()):
                 if day.getPath().getName().startswith("day=") and day.getPath().getName()[4:] < last:
                     gone += bool(fs.delete(day.getPath(), True))

@@ -79,19 +79,25 @@ def merge(states: DataFrame, keys: list[str] | None = None, *more: Column) -> Da
     )
 
 
-def windows_with_traders(swaps: DataFrame, window: Column) -> DataFrame:
-    """States with uniqueTraders and repeatedTraders (three swaps or more, sorted) per (window, pool), from one pass.
-
-    A swap stands under each of its traders and adds to the state under the first of them only. States are made over
-    (window, pool, trader), which splits a hot pool, and rolled up to (window, pool). The same on batches and streams.
-    """
+def trader_states(swaps: DataFrame, window: Column) -> DataFrame:
+    """States per (window, pool, trader), n with the trader's swaps. A swap stands under each of its traders and adds to the state
+    under the first of them only."""
     both = F.array_distinct(F.array(S.address(F.col("sender")), S.address(F.col("recipient"))))
-    rows = swaps.select("*", F.posexplode(both).alias("_at", "trader"))
-    states = partials(rows, window, ("trader",), F.col("_at") == 0)
+    return partials(swaps.select("*", F.posexplode(both).alias("_at", "trader")), window, ("trader",), F.col("_at") == 0)
+
+
+def with_traders(states: DataFrame) -> DataFrame:
+    """States per (window, pool, trader) rolled up to (window, pool), with uniqueTraders and repeatedTraders (three swaps or more, sorted)."""
     often = F.array_sort(F.collect_list(F.when(F.col("n") >= 3, F.col("trader"))))
     return merge(states, None, F.count("*").cast("int").alias("uniqueTraders"), often.alias("repeatedTraders"))
 
 
+def windows_with_traders(swaps: DataFrame, window: Column) -> DataFrame:
+    """States with traders per (window, pool) from one pass, for streams, which cannot join an aggregate with another: over
+    (window, pool, trader) first, which splits a hot pool, and then over (window, pool)."""
+    return with_traders(trader_states(swaps, window))
+
+
 def traders(swaps: DataFrame, window: Column) -> DataFrame:
     """(window, pool, trader) with the number of swaps the trader is in, once per swap."""
     both = F.explode(F.array_distinct(F.array(S.address(F.col("sender")), S.address(F.col("recipient"))))).alias("trader")
@@ -142,9 +148,10 @@ def finish(state: DataFrame, *keep: str) -> DataFrame:
 
 
 def trading_windows(events: DataFrame, minutes: int = 5) -> DataFrame:
-    """One row per pool and tumbling window that has swaps."""
-    states = windows_with_traders(swaps_of(events), F.window("event_time", f"{minutes} minutes"))
-    return finish(states, "uniqueTraders", "repeatedTraders").drop("window")
+    """One row per pool and tumbling window that has swaps: one narrow aggregate of the swaps and one of their traders, joined by
+    window. (One wide aggregate by trader, as on streams, would carry each window's whole state once for every trader.)"""
+    swaps, window = swaps_of(events), F.window("event_time", f"{minutes} minutes")
+    return finish(partials(swaps, window).join(trader_activity(traders(swaps, window)), KEYS), "uniqueTraders", "repeatedTraders").drop("window")
 
 
 def empty_window(spark: SparkSession, pair: str, start: int, end: int) -> DataFrame:

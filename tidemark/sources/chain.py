@@ -94,7 +94,7 @@ def parse_logs(logs: DataFrame) -> DataFrame:
         "*",
         on(["Swap", "Mint", "Burn"], one).alias("sender"), on(["Swap", "Burn"], address(2)).alias("recipient"), on(["Transfer"], one).alias("from"), on(["Transfer"], address(2)).alias("to"),
         on(["Swap"], word(0)).alias("amount0In"), on(["Swap"], word(1)).alias("amount1In"), on(["Swap"], word(2)).alias("amount0Out"), on(["Swap"], word(3)).alias("amount1Out"),
-        on(["Mint", "Burn"], word(0)).alias("amount0"), on(["Mint", "Burn"], word(1)).alias("amount1"), on(["Transfer"], hex_to_decimal(digits)).alias("value"),
+        on(["Mint", "Burn"], word(0)).alias("amount0"), on(["Mint", "Burn"], word(1)).alias("amount1"), on(["Transfer"], F.coalesce(hex_to_decimal(digits), F.lit("0"))).alias("value"),  # no data is 0
     )
 
 
@@ -103,13 +103,24 @@ def symbols_of(tokens: DataFrame) -> DataFrame:
     return tokens.select("token", F.when(F.octet_length("symbol").between(1, SYMBOL_BYTES), F.col("symbol")).alias("symbol"))
 
 
+def arrival(block: Column, log_index: Column) -> Column:
+    """A number by which events come in the order of the chain."""
+    return block * 1_000_000 + log_index
+
+
 def enrich(parsed: DataFrame, blocks: DataFrame, receipts: DataFrame, tokens: DataFrame, pairs: DataFrame, price_rounds: DataFrame, stablecoins: list[str]) -> DataFrame:
     """Events of parsed logs: block time, gas (swaps), symbols, price and USD volume (swaps). Logs with errors, and those of unknown blocks, are left out."""
+    located = parsed.where("error is null").join(blocks, "blockNumber").join(receipts, "transactionHash", "left")
+    return described(located, tokens, pairs, price_rounds, stablecoins)
+
+
+def described(located: DataFrame, tokens: DataFrame, pairs: DataFrame, price_rounds: DataFrame, stablecoins: list[str]) -> DataFrame:
+    """Events of parsed logs that have blockTimestamp, gasUsed and effectiveGasPrice: with pools, symbols, prices and volumes."""
     symbols = symbols_of(tokens)
     of = lambda k: symbols.select(F.col("token").alias(f"token{k}"), F.col("symbol").alias(f"token{k}Symbol"))
-    rows = parsed.where("error is null").withColumn("pairAddress", F.lower("address")).join(blocks, "blockNumber").join(pairs, "pairAddress")
-    rows = rows.join(of(0), "token0", "left").join(of(1), "token1", "left").join(receipts, "transactionHash", "left")
-    rows = rows.withColumn("seq", F.col("blockNumber") * 1_000_000 + F.col("logIndex"))
+    rows = located.withColumn("pairAddress", F.lower("address")).join(pairs, "pairAddress")
+    rows = rows.join(of(0), "token0", "left").join(of(1), "token1", "left")
+    rows = rows.withColumn("seq", arrival(F.col("blockNumber"), F.col("logIndex")))
     # One price for each token and time, whatever number of logs asks for it.
     asked = rows.select(F.explode(F.array("token0", "token1")).alias("token"), F.col("blockTimestamp").alias("at")).distinct().withColumn("id", F.lit(0))
     prices = usd_prices(asked, price_rounds, stablecoins)

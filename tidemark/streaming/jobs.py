@@ -9,18 +9,18 @@ foreachBatch, so that a stream and a batch over the same rows agree row by row.
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.config import EngineConfig, result_topics
 from tidemark.operators import decode, liquidity, sessions, trading
+from tidemark.sources.chain import arrival
+from tidemark.streaming import sinks
+from tidemark.streaming.keyed import finality_gate, started
+from tidemark.streaming.sinks import ERRORS, broker_rows
 
 
 def read_files(spark: SparkSession, path: str, schema, fmt: str = "parquet", files_per_trigger: int | None = None) -> DataFrame:
@@ -52,7 +52,11 @@ def trading_stream(events: DataFrame, minutes: int = 5) -> DataFrame:
 
 
 def trend_stream(events: DataFrame, minutes: int = 30, slide: int = 5) -> DataFrame:
-    return trading.trend_rows(_windows(events, F.window("event_time", f"{minutes} minutes", f"{slide} minutes")))
+    """Panes of the slide first, then windows of panes: a swap is kept in one pane, not in each window that holds it."""
+    panes = trading.trader_states(trading.swaps_of(events), F.window("event_time", f"{slide} minutes")).withColumnRenamed("window", "pane")
+    inside = panes.withColumn("window", F.window(F.window_time("pane"), f"{minutes} minutes", f"{slide} minutes"))
+    by_trader = trading.merge(inside, [*trading.KEYS, "trader"], F.sum("n").alias("n"))
+    return trading.trend_rows(trading.finish(trading.with_traders(by_trader), "uniqueTraders", "repeatedTraders").drop("window"))
 
 
 def closed_groups(events: DataFrame, window) -> DataFrame:
@@ -76,12 +80,12 @@ def start_alerts(events: DataFrame, gap: int, sink: Callable[[DataFrame, int], N
 
 
 def _start(groups: DataFrame, plan, sink, checkpoint: str, trigger: dict) -> StreamingQuery:
-    return groups.writeStream.foreachBatch(lambda batch, n: sink(_replayed(batch, plan), n)).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return started(groups, groups.writeStream.foreachBatch(lambda batch, n: sink(_replayed(batch, plan), n)), checkpoint, trigger)
 
 
 def start_append(results: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", **trigger) -> StreamingQuery:
     """Exactly once: the file sink commits each batch by its number, and windowId names each row."""
-    return results.writeStream.outputMode("append").format(fmt).option("path", path).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return started(results, results.writeStream.outputMode("append").format(fmt).option("path", path), checkpoint, trigger)
 
 
 def start_fan_out(results: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str, **trigger) -> StreamingQuery:
@@ -95,91 +99,89 @@ def start_fan_out(results: DataFrame, sinks: list[Callable[[DataFrame, int], Non
         finally:
             held.unpersist()
 
-    return results.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    return started(results, results.writeStream.foreachBatch(each), checkpoint, trigger)
 
 
-#: An event of this type lets all held events of its pool go, as at a graceful end; it is not passed on itself.
-FLUSH = "Flush"
+def start_broker(results: DataFrame, servers: str, topic: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Result rows as JSON to a Kafka topic, keyed by pool; needs Spark's Kafka package. A batch that is sent again after a
+    failure bears the same windowId, by which readers drop it."""
+    return broker_rows(results).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def _kept(frame: pd.DataFrame, schema: pa.Schema) -> bytes:
-    """Rows in Arrow's own form, in which every value keeps all its digits."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, schema) as writer:
-        writer.write_table(pa.Table.from_pandas(frame, schema, preserve_index=False))
-    return sink.getvalue().to_pybytes()
+Sink = Callable[[DataFrame, int, str], None]  # rows of a batch, its number, and the topic that they go to
 
 
-def finality_gate(events: DataFrame, depth: int = 64) -> DataFrame:
-    """Holds events of a pool until its latest block is `depth` blocks ahead, then lets them go by block. Depth 0 passes all on.
+def start_bronze(raw: DataFrame, stream: str, base: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Decodes the messages of a stream (column value), once each, into tables of events and of errors under base/stream, from
+    which any number of streams can read."""
+    def each(batch: DataFrame, n: int) -> None:
+        rows = decode.decoded(batch, stream).persist()
+        try:
+            events, bad = decode.split(rows)
+            sinks.commit(events.withColumn("seq", arrival(F.col("blockNumber"), F.col("logIndex"))), n, f"{base}/{stream}/events", "bronze")
+            sinks.commit(decode.error_rows(bad, stream, int(time.time() * 1000)), n, f"{base}/{stream}/errors", "bronze")
+        finally:
+            rows.unpersist()
 
-    An event of type FLUSH lets go what is held whatever its depth. The state is the latest block and the events of the
-    last `depth` blocks of a pool.
-    """
-    if depth == 0:
-        return events
-    names = events.columns
-    # Times are local and without a zone in the frames, and stay so while they are held.
-    held_as = pa.schema([pa.field(f.name, pa.timestamp("us") if pa.types.is_timestamp(f.type) else f.type) for f in to_arrow_schema(events.schema)])
-
-    def gate(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tip, held = state.get if state.exists else (-1, None)
-        waiting = pa.ipc.open_stream(held).read_all().to_pandas() if held else None
-        new = pd.concat(list(frames), ignore_index=True)
-        flush = bool((new["eventType"] == FLUSH).any())
-        new = new[new["eventType"] != FLUSH]
-        if "event_time" in names and waiting is not None:
-            waiting["event_time"] = waiting["event_time"].astype(new["event_time"].dtype)
-        frame = pd.concat([f for f in (waiting, new) if f is not None and len(f)], ignore_index=True) if len(new) or waiting is not None else new
-        if len(new):
-            tip = max(tip, int(new["blockNumber"].max()))
-        final = (frame["blockNumber"] <= tip - depth) & (tip >= depth) | flush
-        out, rest = frame[final].sort_values(["blockNumber", "seq"], kind="stable"), frame[~final]
-        state.update((tip, _kept(rest[names], held_as) if len(rest) else b""))
-        yield out[names]
-
-    return events.groupBy("pairAddress").applyInPandasWithState(gate, events.schema, "tip long, held binary", "append", GroupStateTimeout.NoTimeout)
+    return started(raw, raw.writeStream.foreachBatch(each), checkpoint, trigger)
 
 
-def start_broker(results: DataFrame, servers: str, topic: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Result rows as JSON to a Kafka topic, keyed by pool; needs Spark's Kafka package. A batch that is sent again after a
-    failure bears the same windowId, by which readers drop it."""
-    return broker_rows(results).writeStream.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).option("checkpointLocation", checkpoint).trigger(**trigger).start()
-
-
-def broker_rows(results: DataFrame) -> DataFrame:
-    """key (the pool) and value (the row as JSON with nulls written out)."""
-    return results.select(F.col("pairAddress").alias("key"), F.to_json(F.struct(*results.columns), {"ignoreNullFields": "false"}).alias("value"))
+def bronze_events(spark: SparkSession, base: str, stream: str, files_per_trigger: int | None = None) -> DataFrame:
+    """Decoded events of a stream, as a stream."""
+    events, _ = decode.events_from(spark.createDataFrame([], "value string"), stream)
+    schema = events.withColumn("seq", F.lit(0).cast("long")).schema
+    return sinks.committed_stream(spark, f"{base}/{stream}/events", schema, files_per_trigger)
 
 
-Sink = Callable[[DataFrame, int, str], None]  # rows of a batch, its number, and the topic that they go to
+def bronze_errors(spark: SparkSession, base: str, stream: str) -> DataFrame:
+    schema = decode.error_rows(spark.createDataFrame([], "value string, error string"), stream, 0).schema
+    return sinks.committed_stream(spark, f"{base}/{stream}/errors", schema)
 
 
-def start_engine(trading_raw: DataFrame, liquidity_raw: DataFrame, config: EngineConfig, sink: Sink, checkpoints: str, **trigger) -> list[StreamingQuery]:
-    """The whole job: two streams of envelopes (column value) are decoded, their errors split off, and four kinds of results started.
+def start_engine(trading_raw: DataFrame, liquidity_raw: DataFrame, config: EngineConfig, sink: Sink, base: str, **trigger) -> list[StreamingQuery]:
+    """The whole job: two streams of envelopes (column value) are decoded into tables, and four kinds of results and the errors are
+    made of these.
 
-    Each query reads and decodes its own stream, as Spark's streams do, and goes on from its own checkpoint.
+    An envelope is read and decoded once, whatever number of results is made of it. With a trigger that ends, decoding ends
+    first. Tables and checkpoints are kept under base.
     """
-    swaps, bad_swaps = decode.events_from(trading_raw, "trading")
-    moves, bad_moves = decode.events_from(liquidity_raw, "liquidity")
-    arrival = lambda e: with_lateness(e.withColumn("seq", F.col("blockNumber") * 1_000_000 + F.col("logIndex")), config.lateness_seconds)
-    swaps, moves = arrival(swaps), arrival(moves)
-    started = []
+    spark = trading_raw.sparkSession
+    bronze, at = f"{base}/bronze", lambda name: f"{base}/checkpoints/{name}"
+    begun = [start_bronze(raw, name, bronze, at(f"bronze-{name}"), **trigger) for name, raw in (("trading", trading_raw), ("liquidity", liquidity_raw))]
+    if trigger.get("availableNow") or trigger.get("once"):
+        for query in begun:
+            query.awaitTermination()
+    swaps, moves = (with_lateness(bronze_events(spark, bronze, name), config.lateness_seconds) for name in ("trading", "liquidity"))
 
     def to(topic: str, rows: DataFrame) -> None:
-        query = rows.writeStream.outputMode("append").foreachBatch(lambda batch, n: sink(batch, n, topic))
-        started.append(query.option("checkpointLocation", f"{checkpoints}/{topic}").trigger(**trigger).start())
+        begun.append(started(rows, rows.writeStream.outputMode("append").foreachBatch(lambda batch, n: sink(batch, n, topic)), at(topic), trigger))
 
     explicit = len(config.trading_minutes) > 1
     for minutes, topic in result_topics(config.trading_minutes, "trading-analytics", explicit).items():
         to(topic, trading_stream(swaps, minutes))
     explicit = len(config.liquidity_minutes) > 1
     for minutes, topic in result_topics(config.liquidity_minutes, "liquidity-analytics", explicit).items():
-        started.append(start_liquidity(moves, minutes, lambda rows, n, topic=topic: sink(rows, n, topic), f"{checkpoints}/{topic}", **trigger))
+        begun.append(start_liquidity(moves, minutes, lambda rows, n, topic=topic: sink(rows, n, topic), at(topic), **trigger))
     both = swaps.unionByName(moves, allowMissingColumns=True)
-    started.append(start_alerts(both, config.session_gap_seconds, lambda rows, n: sink(rows, n, "pattern-analytics"), f"{checkpoints}/pattern-analytics", **trigger))
+    begun.append(start_alerts(both, config.session_gap_seconds, lambda rows, n: sink(rows, n, "pattern-analytics"), at("pattern-analytics"), **trigger))
     to("market-trends", trend_stream(swaps, config.trend_minutes, config.trend_slide_minutes))
-    for stream, bad in (("trading", bad_swaps), ("liquidity", bad_moves)):
-        query = bad.writeStream.foreachBatch(lambda batch, n, stream=stream: sink(decode.error_rows(batch, stream, int(time.time() * 1000)), n, "deserialization-errors"))
-        started.append(query.option("checkpointLocation", f"{checkpoints}/errors-{stream}").trigger(**trigger).start())
-    return started
+    to(ERRORS, bronze_errors(spark, bronze, "trading").unionByName(bronze_errors(spark, bronze, "liquidity")))
+    return begun
+
+
+def start_publish(events: DataFrame, config: EngineConfig, sink: Sink, checkpoint: str, **trigger) -> StreamingQuery:
+    """Events that are final (config.finality_blocks) as envelopes to the topic of their kind; those that cannot be encoded go to
+    the errors."""
+
+    def each(batch: DataFrame, n: int) -> None:
+        rows = decode.encoded(batch).persist()
+        try:
+            sent = decode.envelopes(rows)
+            for topic in (decode.TRADING_TOPIC, decode.LIQUIDITY_TOPIC):
+                sink(sent.where(F.col("topic") == topic).drop("topic"), n, topic)
+            sink(rows.where("body is null").select("eventId", "eventType", F.col("encodeError").alias("error")), n, ERRORS)
+        finally:
+            rows.unpersist()
+
+    final = finality_gate(events, config.finality_blocks)
+    return started(final, final.writeStream.outputMode("append").foreachBatch(each), checkpoint, trigger)
