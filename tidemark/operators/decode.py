@@ -171,21 +171,22 @@ def _decode_column(kind: str):
 
 
 def decoded(raw: DataFrame, stream: str, value: str = "value") -> DataFrame:
-    """The messages of a stream with error (null if there is none), eventType, and the columns of all its kinds of events, from
-    one pass over them: a message is parsed once, and its body decoded once."""
+    """The messages of a stream (column _message) with _error (null if there is none), eventType, and the columns of all its kinds
+    of events, from one pass over them: a message is parsed once, and its body decoded once."""
     routed = route(parse_envelopes(raw, value), stream)
     kinds = ["Swap"] if stream == "trading" else ["Mint", "Burn", "Transfer"]
     body = lambda kind: F.when((F.col("eventType") == kind) & F.col("error").isNull(), F.col("body"))
-    rows = routed.select(F.col(value).alias("value"), "error", "eventType", *[_decode_column(k)(body(k)).alias(f"_{k}") for k in kinds])
+    rows = routed.select(F.col(value).alias("_message"), F.col("error").alias("_error"), "eventType", *[_decode_column(k)(body(k)).alias(f"_{k}") for k in kinds])
     fields = {f.name: None for k in kinds for f in schemas.EVENTS[k].fields}
     of = lambda name: F.coalesce(*[F.col(f"_{k}.record.{name}") for k in kinds if name in schemas.EVENTS[k].names])
-    failed = F.coalesce("error", *[F.col(f"_{k}.failed") for k in kinds])
-    return rows.select("value", failed.alias("error"), F.when(failed.isNull(), F.col("eventType")).alias("eventType"), *[of(name).alias(name) for name in fields], F.timestamp_seconds(of("blockTimestamp")).alias("event_time"))
+    failed = F.coalesce("_error", *[F.col(f"_{k}.failed") for k in kinds])
+    return rows.select("_message", failed.alias("_error"), F.when(failed.isNull(), F.col("eventType")).alias("eventType"), *[of(name).alias(name) for name in fields], F.timestamp_seconds(of("blockTimestamp")).alias("event_time"))
 
 
 def split(decoded_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(wide events, value and error of the rest) of decoded messages."""
-    return decoded_rows.where("error is null").drop("value", "error"), decoded_rows.where("error is not null").select("value", "error")
+    good, bad = decoded_rows.where("_error is null"), decoded_rows.where("_error is not null")
+    return good.drop("_message", "_error"), bad.select(F.col("_message").alias("value"), F.col("_error").alias("error"))
 
 
 def events_from(raw: DataFrame, stream: str, value: str = "value") -> tuple[DataFrame, DataFrame]:

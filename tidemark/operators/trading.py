@@ -154,13 +154,20 @@ def trading_windows(events: DataFrame, minutes: int = 5) -> DataFrame:
     return finish(partials(swaps, window).join(trader_activity(traders(swaps, window)), KEYS), "uniqueTraders", "repeatedTraders").drop("window")
 
 
+def empty_windows(windows: DataFrame, minutes: int = 5) -> DataFrame:
+    """The records of windows without swaps between the first and the last window of each pool; grouped plans never make one."""
+    size = minutes * 60_000
+    spans = windows.groupBy("pairAddress").agg(F.min("windowStart").alias("_a"), F.max("windowStart").alias("_b"))
+    all_of = spans.select("pairAddress", F.explode(F.sequence("_a", "_b", F.lit(size))).alias("windowStart"))
+    gaps = all_of.join(windows.select("pairAddress", "windowStart"), ["pairAddress", "windowStart"], "left_anti").withColumn("windowEnd", F.col("windowStart") + size)
+    known = {"windowId": S.window_id(F.col("pairAddress"), F.col("windowStart"), F.col("windowEnd")), **{c: F.col(c) for c in ("windowStart", "windowEnd", "pairAddress")}, "largestSwapAddress": F.lit(""), "volumeUSD": F.lit(None), "repeatedTraders": F.array(), "token0Symbol": F.lit(None), "token1Symbol": F.lit(None)}
+    return gaps.select(*[known.get(f.name, F.lit(0)).cast(f.dataType).alias(f.name) for f in TRADING.fields if f.name != "processedAt"])
+
+
 def empty_window(spark: SparkSession, pair: str, start: int, end: int) -> DataFrame:
-    """The record of a window without swaps, bounds in milliseconds; grouped plans never make one."""
-    text = {"windowId": f"{pair}:{start}:{end}", "pairAddress": pair, "totalVolume0": "0", "totalVolume1": "0", "largestSwapValue": "0", "largestSwapAddress": "", "averageGasPrice": "0"}
-    zero = {"long": 0, "int": 0, "double": 0.0}
-    row = {f.name: text.get(f.name, zero.get(f.dataType.simpleString().replace("bigint", "long"))) for f in TRADING.fields if f.name != "processedAt"}
-    row |= {"windowStart": start, "windowEnd": end, "volumeUSD": None, "repeatedTraders": []}
-    return spark.createDataFrame([tuple(row.values())], TRADING[:-1])
+    """The record of one window without swaps, bounds in milliseconds."""
+    around = spark.createDataFrame([(pair, start - (end - start)), (pair, end)], "pairAddress string, windowStart long")
+    return empty_windows(around, (end - start) // 60_000)
 
 
 def market_trends(events: DataFrame, minutes: int = 30, slide: int = 5) -> DataFrame:

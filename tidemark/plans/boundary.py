@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
+import time
+from contextlib import suppress
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +15,11 @@ from tidemark.functions import bigint
 from tidemark.functions import scalars as S
 from tidemark.operators import decode, liquidity, sessions, store, trading
 from tidemark.plans import api
-from tidemark.plans.queries import EV, FROM, GAP, JIT, LIQUIDITY, NOW, SANDWICH, SESSIONS, TRENDS, TW
+from tidemark.plans.queries import EV, FROM, GAP, JIT, LIQUIDITY, NOW, SANDWICH, SESSIONS, TRENDS, TW, _windows, prices_table
 from tidemark.sources import chain
 from tidemark.sources.testdata import as_exchange_events, exchange_events
 from tidemark.storage import new_folder
-from tidemark.streaming import jobs
+from tidemark.streaming import jobs, keyed, lookups, sinks
 
 DIGITS, ARABIC = "0123456789", "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669"
 AMOUNTS = ["amount0In", "amount1In", "amount0Out", "amount1Out"]
@@ -87,17 +89,157 @@ def subscribed_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chain.subscribed(raw_logs(spark, sf_dir), _pools(spark).where("pairAddress <> 'pool-2'"), 100).select(F.col("logIndex").alias("seq"), "blockNumber", "address")
 
 
-def enriched_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of logs: pool-0 has a price of token0 once a day, pool-1 a stablecoin as token1, pool-2 no price at all."""
-    logs = raw_logs(spark, sf_dir)
+def _facts(logs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Blocks, receipts, tokens and price rounds of logs: pool-0 has a price of token0 once a day, pool-1 a stablecoin as token1,
+    pool-2 no price at all."""
+    spark = logs.sparkSession
     blocks = logs.select("blockNumber").distinct().withColumn("blockTimestamp", F.col("blockNumber") * 3600 + 7)
-    number = F.substring_index("transactionHash", "-", -1).cast("long")
-    receipts = logs.select("transactionHash").distinct().where(F.pmod(number, F.lit(3)) != 1).select("transactionHash", (number + 21000).alias("gasUsed"), F.when(F.pmod(number, F.lit(3)) == 0, number.cast("string")).alias("effectiveGasPrice"))
+    receipts = logs.groupBy("transactionHash").agg(F.max("blockNumber").alias("_b")).where(F.pmod(_number(), F.lit(3)) != 1).select("transactionHash", (_number() + 21000).alias("gasUsed"), F.when(F.pmod(_number(), F.lit(3)) == 0, _number().cast("string")).alias("effectiveGasPrice"), "_b")
     tokens = spark.createDataFrame([("a0", "AAA"), ("a1", ""), ("a2", "x" * 20), ("b0", "x" * 21), ("b1", "\u00e9" * 10), ("b2", "\u00e9" * 11)], "token string, symbol string")
     days = blocks.select(F.floor(F.col("blockNumber") / 24).alias("day")).distinct()
     rounds = days.select(F.lit("a0").alias("token"), (F.col("day") * 86400).alias("updatedAt"), (F.col("day") * 100000000 + 50000000).cast("string").alias("answer"), F.lit(8).alias("decimals"))
-    rows = chain.enrich(chain.parse_logs(logs), blocks, receipts, tokens, _pools(spark), rounds, ["b1"])
-    return rows.select("eventId", "eventType", "blockTimestamp", "pairAddress", "token0Symbol", "token1Symbol", F.round("price", 8).alias("price"), F.round("volumeUSD", 6).alias("volumeUSD"), "gasUsed", "gasPrice")
+    return blocks, receipts, tokens, rounds
+
+
+def _number() -> Column:
+    return F.substring_index("transactionHash", "-", -1).cast("long")
+
+
+ENRICHED = ["eventId", "eventType", "blockTimestamp", "pairAddress", "token0Symbol", "token1Symbol", "price", "volumeUSD", "gasUsed", "gasPrice"]
+
+
+def _rounded(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"price": F.round("price", 8), "volumeUSD": F.round("volumeUSD", 6)}).select(*ENRICHED)
+
+
+def enriched_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of logs, with what other tables know of them."""
+    logs = raw_logs(spark, sf_dir)
+    blocks, receipts, tokens, rounds = _facts(logs)
+    return _rounded(chain.enrich(chain.parse_logs(logs), blocks, receipts.drop("_b"), tokens, _pools(spark), rounds, ["b1"]))
+
+
+def in_files(rows: DataFrame, order: str, files: int, per_trigger: int | None = 1) -> DataFrame:
+    """Rows as a stream of files in the given order, so many at a time."""
+    spark, path = rows.sparkSession, new_folder(rows.sparkSession, "arriving")
+    rows.repartitionByRange(files, order).write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = sorted((f.getPath().getName(), f) for f in fs.listStatus(where) if f.getPath().getName().startswith("part-"))
+    begun = int(time.time() * 1000) - 1000 * len(parts)
+    for k, (_, f) in enumerate(parts):  # a file source goes by these times
+        fs.setTimes(f.getPath(), begun + 1000 * k, -1)
+    return jobs.read_files(spark, path, rows.schema, files_per_trigger=per_trigger)
+
+
+#: Seconds that a log waits for its block and its receipt, and a moment at which all streams have gone far on.
+WAIT, LATER = 7200, 30 * 86_400
+
+
+def stream_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same events of logs, blocks and receipts that arrive as streams over several triggers. Some blocks and receipts
+    come too late, or never: such logs are refused, or go on with no gas."""
+    logs = raw_logs(spark, sf_dir)
+    blocks, receipts, tokens, rounds = _facts(logs)
+    at = lambda seconds: F.timestamp_seconds(seconds).alias("seenAt")
+    hour = lambda c: F.col(c) * 3600
+    heard = logs.select("*", at(hour("blockNumber") + 1800 + F.pmod("logIndex", F.lit(600))))
+    mined = blocks.where(F.pmod("blockNumber", F.lit(17)) != 3).select("*", at(hour("blockNumber") + 2400 + F.when(F.pmod("blockNumber", F.lit(11)) == 5, 40_000).otherwise(F.pmod("blockNumber", F.lit(5)) * 300)))
+    paid = receipts.select("transactionHash", "gasUsed", "effectiveGasPrice", at(hour("_b") + 2000 + F.when(F.pmod(_number(), F.lit(7)) == 3, 40_000).otherwise(0)))
+    # The streams go on: a last log that still waits, and a last block and receipt of others.
+    end = F.timestamp_seconds(F.max(F.unix_seconds("seenAt")) + LATER)
+    last = lambda rows, **known: rows.unionByName(rows.agg(end.alias("seenAt")).select("seenAt", *[v.alias(k) for k, v in known.items()]), allowMissingColumns=True)
+    address = F.lit("0x" + "1" * 64)
+    heard = last(heard, blockNumber=F.lit(10**9), transactionHash=F.lit("tx-none"), logIndex=F.lit(0).cast("long"), address=F.lit("pool-0"), topics=F.array(F.lit(chain.SIGNATURES["Mint"]), address), data=F.lit("0x" + "0" * 128))
+    mined, paid = last(mined, blockNumber=F.lit(10**9 + 1)), last(paid, transactionHash=F.lit("tx-other"))
+    out = new_folder(spark, "stream")
+    query = lookups.start_events(
+        *[in_files(rows, "seenAt", 4) for rows in (heard, mined, paid)], tokens, _pools(spark), materialized(rounds), ["b1"],
+        lambda rows, n: sinks.commit(_rounded(rows).withColumn("refused", F.lit(None).cast("string")), n, out, "events"),
+        lambda rows, n: sinks.commit(rows.select(S.event_id(F.col("transactionHash"), F.col("logIndex")).alias("eventId"), F.col("error").alias("refused")), n, out, "lost"),
+        new_folder(spark, "checkpoint"), WAIT, 3600, availableNow=True)
+    _finish(query)
+    schema = _rounded(chain.described(chain.parse_logs(logs.limit(0)).withColumns({"blockTimestamp": F.lit(0).cast("long"), "gasUsed": F.lit(0).cast("long"), "effectiveGasPrice": F.lit("")}), tokens, _pools(spark), rounds, ["b1"])).withColumn("refused", F.lit("")).schema
+    return sinks.committed(spark, out, schema)
+
+
+def materialized(rows: DataFrame) -> DataFrame:
+    """Rows kept as a table, which many batches read."""
+    path = new_folder(rows.sparkSession, "table")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+#: Rounds come up to a day late, and are waited for for two.
+OUT_OF_ORDER = 86_400
+
+
+def stream_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices of tokens at the noons of orders, while rounds and questions arrive out of order over several triggers."""
+    rounds = prices_table(spark, sf_dir).select("token", "updatedAt", "answer", "decimals")
+    asked = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.concat(F.lit("token-"), F.pmod("o_custkey", F.lit(50)).cast("string")).alias("token"), (F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + 43200).alias("at")).distinct()
+    jitter = lambda at, *more: (F.col(at) + F.pmod(F.hash(at, *more), F.lit(OUT_OF_ORDER))).alias("_arrival")
+    streams = [in_files(rows, "_arrival", 6).drop("_arrival") for rows in (asked.select("*", jitter("at", "token")), rounds.select("*", jitter("updatedAt", "token", "answer")))]
+    found, out = keyed.price_stream(*streams, lateness=2 * OUT_OF_ORDER), new_folder(spark, "stream")
+    _finish(jobs.start_append(found, out, new_folder(spark, "checkpoint"), availableNow=True))
+    return spark.read.schema(found.schema).parquet(out).withColumn("usd", F.round("usd", 8))
+
+
+def finality_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the gate still holds of each pool after all events have come over several triggers, read from the checkpoint."""
+    events, at = in_files(exchange_events(spark, sf_dir), "seq", 5), new_folder(spark, "checkpoint")
+    _finish(jobs.start_append(jobs.finality_gate(events, 64), new_folder(spark, "stream"), at, availableNow=True))
+    return keyed.pending(spark, at)
+
+
+def stored_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that batches bring to a store, and that it keeps: some batches bring what is there, and one is applied twice."""
+    rows, path = materialized(trading.trading_windows(exchange_events(spark, sf_dir))), new_folder(spark, "store")
+    early = F.col("windowStart") < FROM
+    for n, part in ((0, rows.where(early)), (1, rows), (1, rows), (2, rows.where(~early))):
+        store.write_results(part, path, batch=("windows", n))
+    kept = store.read_results(spark, path, rows.schema).groupBy("pairAddress").agg(F.count("*").alias("stored"))
+    return store.counters(spark, path).join(kept, "pairAddress")
+
+
+def stream_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trading windows as messages of a topic. The job dies between writing its first batch and publishing it, and is started again."""
+    windows, out, at = jobs.trading_stream(_stream(spark, sf_dir)), new_folder(spark, "topic"), new_folder(spark, "checkpoint")
+    messages = sinks.broker_rows(windows)
+
+    def dies(batch: DataFrame, n: int) -> None:
+        sinks.stage(batch, n, out, "stream")
+        raise RuntimeError("the job died")
+
+    first = keyed.started(messages, messages.writeStream.foreachBatch(dies), at, {"availableNow": True})
+    with suppress(StreamingQueryException):
+        first.awaitTermination()
+    _finish(sinks.start_committed(messages, out, at, availableNow=True))
+    sinks.sweep(spark, out)
+    said = lambda name: F.get_json_object("value", f"$.{name}")
+    return sinks.committed(spark, out, messages.schema).select("key", said("windowId").alias("windowId"), said("twap").cast("double").alias("twap"), said("swapCount").cast("int").alias("swapCount"))
+
+
+#: Every fiftieth event comes late, by a seventh of all events; all come in six parts.
+LATE, PARTS = 50, 6
+
+
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trading windows of events of which some come days late. The job ends after half of the parts, and goes on with the
+    others from its checkpoint; rows of windows that are over by then are left out."""
+    events = exchange_events(spark, sf_dir)
+    (most,) = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("event_id")).first()
+    size = (most or 0) + 1
+    arrival = F.col("seq") + F.when(F.pmod("seq", F.lit(LATE)) == 0, size // 7).otherwise(0)
+    part = F.floor(arrival * PARTS / (size + size // 7)).cast("int")
+    path, at, out = new_folder(spark, "arriving"), new_folder(spark, "checkpoint"), new_folder(spark, "stream")
+    windows = None
+    for half in (range(PARTS // 2), range(PARTS // 2, PARTS)):
+        for k in half:
+            events.where(part == k).coalesce(1).write.parquet(f"{path}/{k}")
+        windows = jobs.trading_stream(jobs.with_lateness(jobs.read_files(spark, f"{path}/*", events.schema, files_per_trigger=1)))
+        _finish(jobs.start_append(windows, out, at, availableNow=True))
+    return spark.read.schema(windows.schema).parquet(out)
 
 
 def avro_liquidity(events: DataFrame) -> DataFrame:
@@ -124,8 +266,9 @@ def result_rows(events: DataFrame) -> DataFrame:
     return kept.unionByName(bad.groupBy(F.col("error").alias("refused")).agg(F.count("*").cast("int").alias("swapCount")), allowMissingColumns=True)
 
 
-def empty_record(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trading.empty_window(spark, "pool-9", FROM, FROM + 300_000)
+def empty_record(events: DataFrame) -> DataFrame:
+    """The records of hours in which a pool has no swaps, from its first hour with any to its last."""
+    return trading.empty_windows(trading.trading_windows(events, 60), 60)
 
 
 def stored_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -179,7 +322,7 @@ def _sunk(start, batch_schema):
 
 
 def stream_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole job over envelopes of all events: rows that reach each topic."""
+    """The whole job over envelopes of all events, some of them broken: what reaches each topic."""
     events = exchange_events(spark, sf_dir)
     made = {k: decode.envelopes(decode.encode_bodies(events, k)).select("value") for k in schemas.EVENTS}
     broken = spark.createDataFrame([("no envelope",), ('{"specversion":"1.0","type":"com.dex.events.other","data":"x"}',)], "value string")
@@ -191,11 +334,23 @@ def stream_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
             rows = rows.unionByName(made[kind])
         rows.select(F.encode("value", "UTF-8").alias("value")).coalesce(1).write.parquet(paths[stream])
     out = new_folder(spark, "topics")
-    sink = lambda rows, n, topic: rows.select(F.lit(topic).alias("topic"), F.lit(n).cast("long").alias("batch")).write.parquet(f"{out}/{uuid.uuid4().hex}")
     read = lambda stream: jobs.read_files(spark, paths[stream], spark.createDataFrame([], "value binary").schema)
-    for query in jobs.start_engine(read("trading"), read("liquidity"), EngineConfig(session_gap_seconds=GAP), sink, new_folder(spark, "checkpoint"), availableNow=True):
+    sink = lambda rows, n, topic: sinks.commit(_essence(rows, topic), n, out, topic)
+    for query in jobs.start_engine(read("trading"), read("liquidity"), EngineConfig(session_gap_seconds=GAP), sink, new_folder(spark, "engine"), availableNow=True):
         _finish(query)
-    return spark.read.schema("topic string, batch long").parquet(f"{out}/*").groupBy("topic").agg(F.count("*").alias("n"))
+    return sinks.committed(spark, out, "topic string, id string, number double, text string, n int")
+
+
+def _essence(rows: DataFrame, topic: str) -> DataFrame:
+    """What tells a row of a topic, and the values that most depend on the rest."""
+    alert = F.concat_ws("|", "alertType", "pairAddress", "windowStart", "blockNumber", "attackerAddress")
+    columns = {
+        "trading-analytics": ("windowId", "twap", "totalVolume0", "uniqueTraders"), "market-trends": ("windowId", "avgPrice", "trend", "swapCount"),
+        "liquidity-analytics": ("windowId", F.lit(None), "netLpTokenChange", "uniqueProviders"), "pattern-analytics": (alert, "estimatedProfitUSD", F.array_join("involvedTransactions", ","), "involvedEventCount"),
+        sinks.ERRORS: ("stream", F.lit(None), "reason", "payloadSize"),
+    }[topic]
+    named = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return rows.select(F.lit(topic).alias("topic"), *[c.cast(kind).alias(name) for c, name, kind in zip(named, ("id", "number", "text", "n"), ("string", "double", "string", "int"), strict=True)])
 
 
 def _on_events(plan):
@@ -213,7 +368,7 @@ QUERIES = {
     "avro_liquidity": _on_events(avro_liquidity),
     "json_records": _on_events(json_records),
     "result_rows": _on_events(result_rows),
-    "empty_record": empty_record,
+    "empty_record": _on_events(empty_record),
     "stored_windows": stored_windows,
     "expired_days": expired_days,
     "stream_trading": _appended(jobs.trading_stream),
@@ -222,6 +377,12 @@ QUERIES = {
     "stream_liquidity": _sunk(lambda e, sink, at: jobs.start_liquidity(e, 60, sink, at, availableNow=True), liquidity.liquidity_windows),
     "stream_alerts": _sunk(lambda e, sink, at: jobs.start_alerts(e, GAP, lambda rows, n: sink(rows.drop("alertId", "description"), n), at, availableNow=True), lambda e: sessions.alerts(e, GAP).drop("alertId", "description")),
     "stream_engine": stream_engine,
+    "stream_enriched": stream_enriched,
+    "stream_prices": stream_prices,
+    "finality_pending": finality_pending,
+    "stored_counts": stored_counts,
+    "stream_topic": stream_topic,
+    "stream_late": stream_late,
 }
 
 #: Amounts in decimal text are cents and sixteen zeros in the tables.
@@ -266,15 +427,37 @@ SELECT * FROM texts""",
     "json_records": EV + "," + LIQUIDITY + "SELECT to_json({" + ", ".join(f"'{c}': \"{c}\"" for c in api.FLOWS) + "})::VARCHAR AS value FROM lw",
     "result_rows": TW + """SELECT "windowId", "pairAddress", twap, "volumeUSD", "totalVolume0", "swapCount", "repeatedTraders", NULL::VARCHAR AS refused FROM tw WHERE "windowStart" % 1500000 <> 0
 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, count(*)::INTEGER, NULL, 'no data' FROM tw WHERE "windowStart" % 1500000 = 0""",
-    "empty_record": "SELECT " + ", ".join({"windowId": f"'pool-9:{FROM}:{FROM + 300_000}'", "windowStart": f"{FROM}::BIGINT", "windowEnd": f"{FROM + 300_000}::BIGINT", "pairAddress": "'pool-9'", "token0Symbol": "NULL::VARCHAR", "token1Symbol": "NULL::VARCHAR", "totalVolume0": "'0'", "totalVolume1": "'0'", "largestSwapValue": "'0'", "largestSwapAddress": "''", "averageGasPrice": "'0'", "volumeUSD": "NULL::DOUBLE", "repeatedTraders": "CAST([] AS VARCHAR[])"}.get(f.name, _EMPTY.get(f.dataType.simpleString().replace("bigint", "long"), "")) + f' AS "{f.name}"' for f in schemas.TRADING.fields if f.name != "processedAt"),
+    "empty_record": EV + "," + _windows(60) + """, span AS (SELECT "pairAddress" AS pair, min("windowStart") AS a, max("windowStart") AS b FROM tw GROUP BY 1),
+hours AS (SELECT pair, unnest(range(a, b + 1, 3600000)) AS ws FROM span), gaps AS (SELECT * FROM hours h WHERE NOT EXISTS (SELECT 1 FROM tw WHERE tw."pairAddress" = h.pair AND tw."windowStart" = h.ws))
+SELECT """ + ", ".join({"windowId": "pair || ':' || ws || ':' || (ws + 3600000)", "windowStart": "ws", "windowEnd": "ws + 3600000", "pairAddress": "pair", "token0Symbol": "NULL::VARCHAR", "token1Symbol": "NULL::VARCHAR", "totalVolume0": "'0'", "totalVolume1": "'0'", "largestSwapValue": "'0'", "largestSwapAddress": "''", "averageGasPrice": "'0'", "volumeUSD": "NULL::DOUBLE", "repeatedTraders": "CAST([] AS VARCHAR[])"}.get(f.name, _EMPTY.get(f.dataType.simpleString().replace("bigint", "long"), "")) + f' AS "{f.name}"' for f in schemas.TRADING.fields if f.name != "processedAt") + " FROM gaps",
     "stored_windows": TW + "SELECT * FROM tw",
     "expired_days": TW + f"""SELECT "windowId", "windowStart", "pairAddress", twap FROM tw WHERE "windowStart" >= ({NOW} - 168 * 3600000) // 86400000 * 86400000""",
     "stream_trading": TW + "SELECT * FROM tw" + _CLOSED("s"),
     "stream_trends": EV + "," + TRENDS + "SELECT * FROM mt" + _CLOSED("s"),
     "stream_liquidity": EV + "," + LIQUIDITY + "SELECT * FROM lw" + _CLOSED("e WHERE kind <> 'Swap'"),
     "stream_alerts": EV + "," + _FOUND + """, every AS (SELECT * FROM found_s UNION ALL SELECT * FROM found_j) SELECT *, "windowEnd" AS "detectedAt" FROM every""" + _CLOSED("e"),
-    "stream_engine": TW + "," + LIQUIDITY + "," + TRENDS + "," + _FOUND + """, every AS (SELECT "windowEnd" FROM found_s UNION ALL SELECT "windowEnd" FROM found_j)
-SELECT 'trading-analytics' AS topic, count(*) AS n FROM tw""" + _CLOSED("s") + """ UNION ALL SELECT 'market-trends', count(*) FROM mt""" + _CLOSED("s") + """ UNION ALL SELECT 'liquidity-analytics', count(*) FROM lw""" + _CLOSED("e WHERE kind <> 'Swap'")
-    + """ UNION ALL SELECT 'pattern-analytics', count(*) FROM every""" + _CLOSED("e") + """ UNION ALL SELECT 'deserialization-errors', 4""",
+    "stream_engine": TW + "," + LIQUIDITY + "," + TRENDS + "," + _FOUND + """, every AS (SELECT * FROM found_s UNION ALL SELECT * FROM found_j)
+SELECT 'trading-analytics' AS topic, "windowId" AS id, twap AS number, "totalVolume0" AS text, "uniqueTraders" AS n FROM tw""" + _CLOSED("s") + """ UNION ALL SELECT 'market-trends', "windowId", "avgPrice", trend, "swapCount" FROM mt""" + _CLOSED("s")
+    + """ UNION ALL SELECT 'liquidity-analytics', "windowId", NULL, "netLpTokenChange", "uniqueProviders" FROM lw""" + _CLOSED("e WHERE kind <> 'Swap'")
+    + """ UNION ALL SELECT 'pattern-analytics', "alertType" || '|' || "pairAddress" || '|' || "windowStart" || '|' || "blockNumber" || '|' || "attackerAddress", "estimatedProfitUSD", array_to_string("involvedTransactions", ','), "involvedEventCount" FROM every""" + _CLOSED("e")
+    + """ UNION ALL SELECT 'deserialization-errors', stream, NULL, reason, size FROM (VALUES ('trading'), ('liquidity')) AS s(stream), (VALUES ('INVALID_ENVELOPE', 11), ('UNSUPPORTED_EVENT_TYPE', 62)) AS r(reason, size)""",
+    "stream_enriched": _LOGS + """, x AS (SELECT *, CASE WHEN err IS NULL AND (block % 17 = 3 OR block % 11 = 5) THEN 'unknown block' ELSE err END AS refused FROM p)
+SELECT 'tx-' || tx || ':' || seq AS "eventId", CASE WHEN refused IS NULL THEN kind END AS "eventType", CASE WHEN refused IS NULL THEN block * 3600 + 7 END AS "blockTimestamp", CASE WHEN refused IS NULL THEN 'pool-' || pool END AS "pairAddress",
+  CASE WHEN refused IS NULL THEN CASE pool WHEN 0 THEN 'AAA' WHEN 2 THEN repeat('x', 20) END END AS "token0Symbol", CASE WHEN refused IS NULL AND pool = 1 THEN repeat('é', 10) END AS "token1Symbol",
+  CASE WHEN refused IS NULL AND kind = 'Swap' THEN round((c + 2)::DOUBLE / ((c + 1)::DOUBLE / 100), 8) END AS price,
+  CASE WHEN refused IS NULL AND kind = 'Swap' THEN round(CASE pool WHEN 0 THEN (c + 1)::DOUBLE / 100 * (block // 24 + 0.5::DOUBLE) WHEN 1 THEN (c + 2)::DOUBLE ELSE (c + 1)::DOUBLE / 100 * ((c + 2)::DOUBLE / ((c + 1)::DOUBLE / 100)) END, 6) END AS "volumeUSD",
+  CASE WHEN refused IS NULL AND kind = 'Swap' THEN CASE WHEN tx % 3 <> 1 AND tx % 7 <> 3 THEN tx + 21000 ELSE 0 END END AS "gasUsed", CASE WHEN refused IS NULL AND kind = 'Swap' THEN CASE WHEN tx % 3 = 0 AND tx % 7 <> 3 THEN tx::VARCHAR ELSE '0' END END AS "gasPrice", refused FROM x""",
+    "stream_prices": """WITH r AS (SELECT 'token-' || (l_partkey % 50) AS token, CAST(epoch(CAST(l_shipdate AS TIMESTAMP)) AS BIGINT) + l_linenumber * 3600 + l_orderkey % 3600 AS at, max(CAST(round(l_extendedprice * 100) AS BIGINT)) AS answer FROM lineitem GROUP BY ALL),
+a AS (SELECT DISTINCT 'token-' || (o_custkey % 50) AS token, CAST(epoch(CAST(o_orderdate AS TIMESTAMP)) AS BIGINT) + 43200 AS at FROM orders)
+SELECT a.token, a.at, CASE WHEN a.at - r.at <= 86400 THEN round(r.answer::DOUBLE / 1e8, 8) END AS usd FROM a ASOF LEFT JOIN r ON a.token = r.token AND a.at >= r.at
+WHERE a.at <= least((SELECT max(x."at") FROM a x), (SELECT max(x."at") FROM r x)) - 172800""",
+    "finality_pending": EV + """SELECT pair AS "pairAddress", tip, count(DISTINCT block) FILTER (WHERE tip < 64 OR block > tip - 64) AS "pendingBlocks", count(*) FILTER (WHERE tip < 64 OR block > tip - 64) AS "pendingEvents" FROM (SELECT *, max(block) OVER (PARTITION BY pair) AS tip FROM e) GROUP BY pair, tip""",
+    "stored_counts": TW + """SELECT "pairAddress", 2 * count(*) AS rows, count(*) AS stored FROM tw GROUP BY 1""",
+    "stream_topic": TW + """SELECT "pairAddress" AS key, "windowId", twap, "swapCount" FROM tw""" + _CLOSED("s"),
+    "stream_late": EV + """, size AS (SELECT max(seq) + 1 AS n FROM ev),
+f AS (SELECT s.*, (t // 300 + 1) * 300 AS over, CAST(floor((seq + CASE WHEN seq % 50 = 0 THEN n // 7 ELSE 0 END) * 6 / (n + n // 7)) AS INTEGER) AS part FROM s, size),
+w AS (SELECT k, (SELECT max(t) - 60 FROM f WHERE part <= k) AS wm FROM range(6) AS parts(k)),
+kept AS (SELECT * FROM f WHERE over > coalesce((SELECT wm FROM w WHERE k = CASE f.part WHEN 2 THEN 0 WHEN 3 THEN 2 WHEN 4 THEN 2 WHEN 5 THEN 3 END), 0)),
+""" + _windows(5).replace("FROM s WHERE", "FROM kept WHERE") + "SELECT * FROM tw" + _CLOSED("s"),
     "stream_finality": EV + """SELECT pair AS "pairAddress", block AS "blockNumber", seq, CASE WHEN kind = 'Swap' THEN price END AS price, CASE WHEN kind = 'Swap' THEN usd END AS "volumeUSD" FROM (SELECT *, max(block) OVER (PARTITION BY pair) AS tip FROM e) WHERE tip >= 64 AND block <= tip - 64""",
 }

@@ -27,19 +27,22 @@ PART_ROWS = 10_000
 #: Seconds that an answer, or that there was none, is given again to later questions for the same token.
 REMEMBERED_SECONDS = 300
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PREFIX = "spark.sql.streaming.stateStore."
+#: A batch uploads what it changes, not a copy of all files.
+_ROCKSDB = {f"{_PREFIX}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{_PREFIX}rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 @contextmanager
 def rocksdb(spark: SparkSession):
     """Streams that are started inside keep their state in RocksDB, on disk and in pieces; the session is left as it was."""
-    was = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    was = {name: spark.conf.get(name, None) for name in _ROCKSDB}
+    for name, value in _ROCKSDB.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, was)
+        for name, value in was.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def started(results: DataFrame, writer: DataStreamWriter, checkpoint: str, trigger: dict) -> StreamingQuery:
