@@ -1,4 +1,6 @@
-"""Benchmark items without an id in the pipeline."""
+"""Benchmark items without an id."""
+
+import hashlib
 
 import corpus_pipeline
 import pytest
@@ -17,7 +19,9 @@ def test_items_without_an_id_contaminate_documents_of_the_pipeline(spark, tmp_pa
     docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
     left = corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path))
     assert sorted(r.doc_id for r in left.collect()) == [2, 3]
-    assert not any(r.contaminated for r in decontaminate.contamination(docs, spark.read.parquet(str(tmp_path / "benchmark.parquet"))).collect())
+    found = {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.contamination(docs, spark.read.parquet(str(tmp_path / "benchmark.parquet"))).collect()}
+    none = hashlib.sha256(b"").hexdigest()
+    assert found == {1: (20, 1, none, True), 2: (0, 0, none, False), 3: (0, 0, none, False)}
 
 
 def test_blocks_number_rows_once_and_leave_clashing_columns_alone(spark):

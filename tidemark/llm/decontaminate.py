@@ -52,7 +52,7 @@ def word_counts(docs: DataFrame, vocabulary: set[bytes]) -> dict[bytes, int]:
 class WindowIndex:
     """Windows of items by their rarest word: word -> runs (item, place of the word, first and last window start that it stands for)."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], counts: dict[bytes, int], size: int):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], counts: dict[bytes, int], size: int):
         self.items = [(name, words, min(size, len(words))) for name, words in items if words]
         self.by_word: dict[bytes, list[tuple[int, int, int, int]]] = defaultdict(list)
         for k, (_, words, span) in enumerate(self.items):
@@ -107,10 +107,15 @@ def union_length(stretches: Iterable[tuple[int, int]]) -> int:
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
+def _named(found: Iterable[str | None]) -> str:
+    """The digest of the ids of the items found; a null id names nothing."""
+    return hashlib.sha256(",".join(sorted(x for x in found if x is not None)).encode()).hexdigest()
+
+
 def _verdicts(doc_ids, n_words: list[int], hits: list[tuple[list, set]], share: int) -> pa.RecordBatch:
     n_hit = [union_length(covered) for covered, _ in hits]
     return pa.RecordBatch.from_arrays(
-        [doc_ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(f) for _, f in hits], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(f)).encode()).hexdigest() for _, f in hits], pa.string()), pa.array([h > 0 and share * h >= n for h, n in zip(n_hit, n_words, strict=True)], pa.bool_())],
+        [doc_ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(f) for _, f in hits], pa.int64()), pa.array([_named(f) for _, f in hits], pa.string()), pa.array([h > 0 and share * h >= n for h, n in zip(n_hit, n_words, strict=True)], pa.bool_())],
         ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     )
 
@@ -119,13 +124,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     """Per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words).
 
     With a flag, the columns of docs and a boolean of that name instead, for filtering. Null and empty texts have no
-    words and are clean; items without words are never found; items whose id is null are found with a flag, which
-    names no items, and left out without it, as in the SQL; repeated rows come out once each; a repeated item_id counts once. With an empty benchmark all is clean. Other columns are passed by.
+    words and are clean; items without words are never found. Items whose id is null are hit like others; a null id counts
+    once among the items, as a repeated item_id does, and is left out of items_sha256. Repeated rows come out once each.
+    Long texts are searched whole, in time that grows with their length. With an empty benchmark all is clean. Other columns
+    are passed by.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
-    bench = bench.fillna("", "item_id") if flag else bench.where("item_id is not null")
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text")).where("text is not null").distinct()
     size = bench.agg(F.sum(F.length("text") + 16)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     names = docs.columns
@@ -168,7 +174,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
                     if items:
                         rows.append(row)
                         covered.append(np.array(stretches, "<i8").tobytes())
-                        names.append(sorted(items))
+                        names.append(list(items))
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(covered, pa.binary()), pa.array(names, pa.list_(pa.string()))], ["row", "covered", "items"])
 
         part = materialize(kept.select(number, "text").mapInArrow(search, "row long, covered binary, items array<string>"), "hits")
@@ -200,7 +206,7 @@ WITH dw AS (
 iw AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id,
          regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
-  FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+  FROM benchmark WHERE text IS NOT NULL),
 windows AS (
   SELECT DISTINCT item_id, least(13, len(w)) AS span, array_to_string(w[s:s + least(13, len(w)) - 1], ' ') AS words
   FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS s FROM iw WHERE len(w) > 0)),

@@ -5,8 +5,7 @@ files, framed by the lengths that its records state, and every record is hashed
 a leaf is the digest of a record, an inner node the digest of its children in an ordered range of offsets, and ranges
 grow sixteenfold per level up to one root per segment. Only the children of nodes that differ are compared on the next
 level, so an intact segment costs one comparison, and a damaged record one path. A lost record shifts all later ones of
-its segment; in the ranges that differ, records are therefore told apart by their ids, and those that only moved are
-known by their digests.
+its segment; in the ranges that differ, records are therefore paired by place, digest and id in turn.
 """
 
 from __future__ import annotations
@@ -138,15 +137,63 @@ def tree(table: DataFrame, levels: int) -> list[DataFrame]:
     return out
 
 
+Stored = tuple[int, str | None, str]  # offset, record_id and digest of a record
+
+
+def paired(primary: list[Stored], replica: list[Stored]) -> list[tuple[str, Stored | None, Stored | None]]:
+    """Each record of one segment with what the replica has of it, and what is left over, by status.
+
+    In turn, each pairing what is left by then in order of places: what is the same at its place is intact; what bears its
+    id at its place is altered; what is the same elsewhere has moved; what bears its id elsewhere is altered; what has lost
+    its id is what lies at its place. A record of which nothing is left is missing; what belongs to none is extra.
+    """
+    rules = [
+        ("intact", lambda r: (r[0], r[2])),
+        ("altered", lambda r: r[:2] if r[1] is not None else None),
+        ("moved", lambda r: r[2]),
+        ("altered", lambda r: r[1]),
+        ("altered", lambda r: r[0]),
+    ]
+    left, right, out = sorted(primary, key=str), sorted(replica, key=lambda r: r[0]), []
+    left.sort(key=lambda r: r[0])
+    for status, key in rules:
+        waiting: dict = {}
+        for k, r in enumerate(right):
+            if key(r) is not None:
+                waiting.setdefault(key(r), []).append(k)
+        used, rest = set(), []
+        for r in left:
+            found = waiting.get(key(r)) if key(r) is not None else None
+            if found:
+                used.add(found[0])
+                out.append((status, r, right[found.pop(0)]))
+            else:
+                rest.append(r)
+        left, right = rest, [r for k, r in enumerate(right) if k not in used]
+    return out + [("missing", r, None) for r in left] + [("extra", None, r) for r in right]
+
+
+FOUND = "segment int, offset long, record_id string, status string, primary_sha256 string, replica_sha256 string, replica_offset long"
+
+
+def _pair(x: pa.Table, y: pa.Table) -> pa.Table:
+    rows = lambda t: list(zip(*(t.column(c).to_pylist() for c in ("offset", "record_id", "digest")), strict=True))
+    segment = (x if len(x) else y).column("segment")[0].as_py()
+    out = [(segment, (p or r)[0], (p or r)[1], status, p and p[2], r and r[2], r and r[0]) for status, p, r in paired(rows(x), rows(y)) if status != "intact"]
+    kinds = [pa.int32(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int64()]
+    return pa.table([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], [c.split()[0] for c in FOUND.split(", ")])
+
+
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """segment, record_id, status (altered, moved, missing or extra in the replica) and both digests of records in ranges that differ.
+    """segment, offset, record_id, status (altered, moved, missing or extra), both digests and the offset in the replica of records
+    in ranges that differ; offset and record_id are the primary's, or those of an extra.
 
-    Both tables: segment, offset, digest, record_id, one row per record; of rows without a record_id, the offset stands
-    for it. Equal tables, empty ones included, give no rows.
+    Both tables: segment, offset, digest, record_id (null where a header is torn). A place in a segment holds one record; ids
+    may be repeated or missing, and records may stand twice or in another order. Equal tables, empty ones included, give no
+    rows. A segment's differing ranges are paired in one task, which a segment's size bounds.
     """
     spark = primary.sparkSession
-    name = F.coalesce("record_id", F.concat(F.lit("at "), F.col("offset").cast("string"))).alias("record_id")
-    left, right = (materialize(t.select("segment", "offset", "digest", name), "leaves") for t in (primary, replica))
+    left, right = (materialize(t.select("segment", "offset", "digest", "record_id"), "leaves") for t in (primary, replica))
     last = max(left.agg(F.max("offset")).first()[0] or 0, right.agg(F.max("offset")).first()[0] or 0)
     levels = 1
     while RANGE * FANOUT ** (levels - 1) <= last:
@@ -162,11 +209,8 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
         pairs = x.withColumnRenamed("digest", "d1").join(y.withColumnRenamed("digest", "d2"), ["segment", "node"], "full")
         suspect = materialize(pairs.where(~F.col("d1").eqNullSafe(F.col("d2"))).select("segment", "node"), "suspect")
         passed.append(suspect)
-    x, y = (t.withColumn("node", F.floor(F.col("offset") / RANGE).cast("long")).join(suspect, ["segment", "node"], "left_semi").select("segment", "record_id", "offset", "digest") for t in (left, right))
-    x, y = (t.select("segment", "record_id", F.col("offset").alias(f"{n}_offset"), F.col("digest").alias(f"{n}_sha256")) for t, n in ((x, "primary"), (y, "replica")))
-    pairs = x.join(y, ["segment", "record_id"], "full")
-    status = F.when(F.col("replica_sha256").isNull(), "missing").when(F.col("primary_sha256").isNull(), "extra").when(F.col("replica_sha256") != F.col("primary_sha256"), "altered").when(F.col("replica_offset") != F.col("primary_offset"), "moved")
-    found = materialize(pairs.select("segment", "record_id", status.alias("status"), "primary_sha256", "replica_sha256").where("status is not null"), "found")
+    x, y = (t.withColumn("node", F.floor(F.col("offset") / RANGE).cast("long")).join(suspect, ["segment", "node"], "left_semi").drop("node").groupBy("segment") for t in (left, right))
+    found = materialize(x.cogroup(y).applyInArrow(_pair, FOUND), "found")
     discard(spark, left, right, *a, *b, *passed)
     return found
 
@@ -179,7 +223,8 @@ def damaged(records: DataFrame) -> DataFrame:
 
 
 def fixity(pages: DataFrame, spoil=damaged) -> DataFrame:
-    """page_id, length, primary_sha256, replica_sha256, status (intact, moved, altered or missing) for the record of every row.
+    """page_id, length, primary_sha256, replica_sha256, status (intact, moved, altered or missing) for the record of every row, and
+    a row without page_id and primary_sha256 for each extra record of the replica.
 
     The replica is written to segment files, spoilt, and read back from them. Null urls, ids and html make records with
     empty fields. Repeated rows are records of their own, with ids of their own. Long pages are records like any other.
@@ -190,14 +235,16 @@ def fixity(pages: DataFrame, spoil=damaged) -> DataFrame:
     table = materialize(leaves(source), "records")
     path = f"{shared_dir(spark).rstrip('/')}/replica-{uuid.uuid4().hex}"
     write_segments(spoil(source), path)
-    held = materialize(read_records(spark, path).select("segment", "offset", "digest", "record_id"), "replica")
+    held = materialize(read_records(spark, path).select("segment", "offset", "length", "digest", "record_id"), "replica")
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    wrong = audit(table, held).where("status <> 'extra'").select("segment", "record_id", "status", "replica_sha256")
-    discard(spark, held)
-    joined = table.join(wrong, ["segment", "record_id"], "left")
+    found = audit(table, held)
+    wrong = found.where("status <> 'extra'").select("segment", "offset", "status", "replica_sha256")
+    joined = table.join(wrong, ["segment", "offset"], "left")
     replica = F.when(F.col("status").isNull(), F.col("digest")).otherwise(F.col("replica_sha256"))
-    return joined.select("page_id", "length", F.col("digest").alias("primary_sha256"), replica.alias("replica_sha256"), F.coalesce("status", F.lit("intact")).alias("status"))
+    rows = joined.select("page_id", "length", F.col("digest").alias("primary_sha256"), replica.alias("replica_sha256"), F.coalesce("status", F.lit("intact")).alias("status"))
+    extra = found.where("status = 'extra'").select("segment", "offset", "replica_sha256", "status").join(held.select("segment", "offset", "length"), ["segment", "offset"])
+    return rows.unionByName(extra.select("length", "replica_sha256", "status"), allowMissingColumns=True)
 
 
 def op3_warc_fixity(spark, sf_dir: str) -> DataFrame:
