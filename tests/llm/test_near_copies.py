@@ -83,3 +83,23 @@ def test_strangers_and_chains_in_a_large_group(spark, tmp_path):
             w[r.randrange(300)] = r.choice(WORDS)
         texts.append(w)
     assert kept(spark, texts, tmp_path / "d") == wanted(texts)
+
+
+def test_near_copies_in_many_small_files_of_one_task(spark, tmp_path):
+    r, texts = random.Random(5), []
+    for _ in range(40):
+        w = words(120, r)
+        texts += [w, [*w[:-8], *words(8, r)], list(w)]
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    rows = spark.createDataFrame([(k, " ".join(texts[k])) for k in order], "doc_id long, text string").repartition(24)
+    rows.write.parquet(str(tmp_path / "d"))
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")  # several files to a task
+    try:
+        docs = spark.read.parquet(str(tmp_path / "d"))
+        assert docs.rdd.getNumPartitions() < 12
+        stay = [r.doc_id for r in simhash.one_of_each(docs).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.openCostInBytes", before)
+    assert sorted(k // 3 for k in stay) == list(range(40))

@@ -176,6 +176,8 @@ FEW_PARTS, MANY_PARTS = 7, 12
 BROADCAST_ROWS = 1_000_000
 #: Places that one task step looks through, about.
 PART = 250_000
+#: Texts that a task remembers to leave copies out; beyond that it begins anew.
+REMEMBERED = 500_000
 
 
 def shingles(text: bytes | None) -> np.ndarray:
@@ -274,8 +276,9 @@ def similar_groups(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["_row", "digest", "size", "counters"])
 
     prints = materialize(docs.select("_row", "text").mapInArrow(run, "_row long, digest binary, size long, counters binary"), "prints")
-    classes = materialize(prints.groupBy("digest").agg(F.min("_row").alias("id")).select("id"), "classes")
-    met = meetings(docs, prints.agg(F.sum("size")).first()[0] or 0).join(classes, "id", "left_semi")
+    sized = materialize(prints.groupBy("digest").agg(F.min("_row").alias("id"), F.min("size").alias("size")).select("id", "size"), "classes")
+    classes = sized.select("id")
+    met = meetings(docs, sized.agg(F.sum("size")).first()[0] or 0).join(classes, "id", "left_semi")
     met = materialize(met, "met")
     least = met.groupBy("place").agg(F.min(F.struct("id", "size", "at")).alias("rep"), F.count("*").alias("n")).where("n > 1").select("place", "rep")
     votes = met.join(least, "place").where((F.col("rep.id") < F.col("id")) & possible("size", "at", "rep.size", "rep.at")).groupBy("id", F.col("rep.id").alias("rep")).agg(F.count("*").alias("n"))
@@ -290,14 +293,16 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     more = verified(pairs, docs, prints)
     discard(spark, prints, met, groups, *mixed)
     out = rooted(classes, near.unionByName(more))
-    discard(spark, classes, near, more)
+    discard(spark, sized, near, more)
     return out
 
 
 def meetings(docs: DataFrame, total: int) -> DataFrame:
     """id, size, at, place: the first shingles of rows of docs that other rows have among their first ones too.
 
-    Places go to the tasks in blocks of bytes, cut by their hashes; total is the number of all shingles.
+    Of rows with one set of shingles, a task sends the least alone (and those that it met before it), so that a text with very
+    many copies does not fill its places; the least of all rows is always sent. Places go to the tasks in blocks of bytes,
+    cut by their hashes; total is the number of all shingles, copies apart.
     """
     spark = docs.sparkSession
     often = frequent(docs)
@@ -307,27 +312,37 @@ def meetings(docs: DataFrame, total: int) -> DataFrame:
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, ranks = held.value
+        least: dict[bytes, int] = {}
         for batch in sliced(batches, "text"):
-            rows = batch.column("_row").to_numpy()
-            firsts, sizes = [], []
-            for text in utf8(batch, "text"):
+            firsts, sizes, sent = [], [], []
+            for row, text in zip(batch.column("_row").to_pylist(), utf8(batch, "text"), strict=True):
                 s = shingles(text)
+                digest = xxhash.xxh3_128_digest(s.tobytes())
+                if least.get(digest, row + 1) <= row:
+                    continue
+                if len(least) >= REMEMBERED:
+                    least.clear()
+                least[digest] = row
+                sent.append(row)
                 sizes.append(len(s))
                 if len(known):
                     at = np.minimum(np.searchsorted(known, s), len(known) - 1)
                     s = s[np.argsort(np.where(known[at] == s, ranks[at], -1), kind="stable")]
                 firsts.append(s[: len(s) - -(-ALIKE * len(s) // 10) + 1])
-            n = np.array([len(f) for f in firsts])
-            place = np.concatenate(firsts)
-            at = np.concatenate([np.arange(k, dtype="<u4") for k in n])
-            base = int(rows.min())
-            who, size = np.repeat((rows - base).astype("<u4"), n), np.repeat(np.array(sizes, "<u4"), n)
-            part = (place.view(np.uint64) % np.uint64(parts)).astype(np.int64)
-            by = np.argsort(part, kind="stable")
-            ids, begin = np.unique(part[by], return_index=True)
-            ends = [*begin[1:].tolist(), len(by)]
-            pick = lambda x: pa.array([x[by[a:b]].tobytes() for a, b in zip(begin.tolist(), ends, strict=True)], pa.binary())  # noqa: E731, B023
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([base] * len(ids), pa.int64()), *map(pick, (place, who, size, at))], ["part", "base", "place", "who", "size", "at"])
+            rows = np.array(sent, np.int64)
+            for high in np.unique(rows >> 32).tolist():  # rows of several files may come in one batch
+                mine = np.flatnonzero(rows >> 32 == high)
+                own, n = [firsts[k] for k in mine], np.array([len(firsts[k]) for k in mine])
+                place = np.concatenate(own)
+                at = np.concatenate([np.arange(k, dtype="<u4") for k in n])
+                base = high << 32
+                who, size = np.repeat((rows[mine] - base).astype("<u4"), n), np.repeat(np.array(sizes, "<u4")[mine], n)
+                part = (place.view(np.uint64) % np.uint64(parts)).astype(np.int64)
+                by = np.argsort(part, kind="stable")
+                ids, begin = np.unique(part[by], return_index=True)
+                ends = [*begin[1:].tolist(), len(by)]
+                pick = lambda x: pa.array([x[by[a:b]].tobytes() for a, b in zip(begin.tolist(), ends, strict=True)], pa.binary())  # noqa: E731, B023
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([base] * len(ids), pa.int64()), *map(pick, (place, who, size, at))], ["part", "base", "place", "who", "size", "at"])
 
     def meet(table: pa.Table) -> pa.Table:
         whole = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), kind)
