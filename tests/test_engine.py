@@ -57,9 +57,26 @@ def test_blanks_line_ends_and_digits_of_other_scripts(spark, text, want):
     assert one(spark.createDataFrame([(text,)], "a string").select(bigint.to_text(bigint.limbs(F.col("a"))).alias("x"))).x == want
 
 
-def test_numbers_that_do_not_fit_are_refused(spark):
-    with pytest.raises(Exception, match="90 digits"):
-        spark.createDataFrame([("1" * 91,)], "a string").select(bigint.to_text(bigint.limbs(F.col("a")))).collect()
+def test_numbers_of_any_length_sum_exactly(spark):
+    r = random.Random(6)
+    values = [r.choice([-1, 1]) * r.getrandbits(r.choice([8, 200, 299, 512, 1000])) for _ in range(200)] + [int("9" * 300), -int("9" * 300), 2**512 - 1, 10**90, 10**90 - 1, -(10**90)]
+    df = spark.createDataFrame([(k % 5, f" {v}\n", str(values[-1 - k])) for k, v in enumerate(values)], "g int, a string, b string")
+    pairs = df.select("a", "b", *[bigint.to_text(f(bigint.limbs(F.col("a")), bigint.limbs(F.col("b")))).alias(n) for n, f in (("s", bigint.plus), ("d", bigint.minus))], bigint.divided(bigint.limbs(F.col("a")), F.lit(7)).alias("q")).collect()
+    assert all(int(x.s) == int(x.a) + int(x.b) and int(x.d) == int(x.a) - int(x.b) for x in pairs)
+    assert all(int(x.q) == abs(int(x.a)) // 7 * (1 if int(x.a) >= 0 else -1) for x in pairs)
+    parts = df.groupBy("g", (F.length("a") % 3).alias("h")).agg(bigint.sums(bigint.limbs(F.col("a"))).alias("t"))
+    total = parts.groupBy("g").agg(bigint.merged("t")).select("g", bigint.to_text(bigint.of_struct("t")).alias("t")).collect()
+    assert {x.g: int(x.t) for x in total} == {g: sum(v for k, v in enumerate(values) if k % 5 == g) for g in range(5)}
+    keys = df.select("b", bigint.sort_key(bigint.limbs(F.translate("b", "-", ""))).alias("k")).collect()
+    assert [abs(int(x.b)) for x in sorted(keys, key=lambda x: x.k)] == sorted(abs(v) for v in values)
+
+
+def test_one_long_number_ends_no_job(spark):
+    huge = str(2**512 - 1)
+    row = one(liquidity.liquidity_windows(events(spark, ("Mint", dict(sender="p", amount0=huge, amount1="1", transactionHash="a")), ("Burn", dict(sender="p", amount0="5", amount1=huge, transactionHash="a")), ("Transfer", dict(value=huge, transactionHash="a")))))
+    assert (row.totalMintAmount0, row.netLiquidityChange0, row.netLiquidityChange1, row.totalLpTokensMinted, row.netLpTokenChange) == (huge, str(2**512 - 6), str(2 - 2**512), huge, "0")
+    row = one(trading.trading_windows(events(spark, swap(amount0In=huge, amount0Out="1", gasPrice="9" * 300), swap(amount0In="7", gasPrice="1"))))
+    assert (row.totalVolume0, row.largestSwapValue, row.averageGasPrice) == (str(2**512 + 7), str(2**512), str(10**300 // 2))
 
 
 def test_symbols_of_white_space_are_none(spark):

@@ -1,7 +1,8 @@
-"""Exact integers of up to 90 digits, given as decimal strings, in built-in expressions.
+"""Exact integers of any size, given as decimal strings, in built-in expressions.
 
-A value is five signed limbs of 18 digits. Limbs are added as decimals, so sums go through Spark's partial aggregation,
-and carried only when a result is printed. A sum holds for up to 10^20 rows.
+A value is five signed limbs of 18 digits, and for the rare number of more than 90 digits a list of such numbers as texts.
+Limbs are added as decimals, so sums go through Spark's partial aggregation, and carried only when a result is printed; long
+numbers are gathered by sums and added, limb by limb, then. A sum of limbs holds for up to 10^20 rows.
 """
 
 from __future__ import annotations
@@ -29,40 +30,68 @@ def digits(text: Column) -> Column:
 
 
 def padded(text: Column) -> Column:
-    """Sign and 90 digits; more of them are an error. Kept as a column of its own, a number is parsed once for all its limbs."""
+    """Sign and 90 digits, or sign and as many as it takes if they are more. Kept as a column of its own, a number is parsed once
+    for all its limbs."""
     number = digits(text)
     sign = F.when(F.startswith(number, F.lit("-")), F.lit("-")).otherwise(F.lit("+"))
     size = F.ltrim(F.translate(number, "-", ""), F.lit("0"))
-    most = F.lit(LIMBS * DIGITS)
-    return F.when(F.length(size) > most, F.raise_error(F.lit("a number has more than 90 digits")).cast("string")).otherwise(F.concat(sign, F.lpad(size, LIMBS * DIGITS, "0")))
+    return F.concat(sign, F.when(F.length(size) > LIMBS * DIGITS, size).otherwise(F.lpad(size, LIMBS * DIGITS, "0")))
 
 
 def split(number: Column) -> list[Column]:
-    """Signed limbs of a padded number, the lowest first."""
+    """Signed limbs of a padded number, the lowest first, and a list of the number itself if it is long, else null."""
     sign = F.when(F.startswith(number, F.lit("-")), F.lit(-1)).otherwise(F.lit(1)).cast("long")
-    return [(F.substring(number, DIGITS * (LIMBS - 1 - k) + 2, DIGITS).cast("long") * sign).cast(WIDE) for k in range(LIMBS)]
+    short = F.length(number) == LIMBS * DIGITS + 1
+    limb = lambda k: F.when(short, F.substring(number, DIGITS * (LIMBS - 1 - k) + 2, DIGITS).cast("long") * sign).otherwise(F.lit(0)).cast(WIDE)
+    return [*map(limb, range(LIMBS)), F.when(~short, F.array(number))]
 
 
 def limbs(text: Column) -> list[Column]:
-    """Signed limbs, the lowest first."""
+    """Signed limbs, the lowest first, and what is too long for them."""
     return split(padded(text))
 
 
+def _none() -> Column:
+    return F.array().cast("array<string>")
+
+
 def plus(a: list[Column], b: list[Column]) -> list[Column]:
-    return [(x + y).cast(WIDE) for x, y in zip(a, b, strict=True)]
+    return [*[(x + y).cast(WIDE) for x, y in zip(a[:-1], b[:-1], strict=True)], F.when(a[-1].isNotNull() | b[-1].isNotNull(), F.concat(F.coalesce(a[-1], _none()), F.coalesce(b[-1], _none())))]
 
 
 def minus(a: list[Column], b: list[Column]) -> list[Column]:
-    return [(x - y).cast(WIDE) for x, y in zip(a, b, strict=True)]
+    turned = F.transform(b[-1], lambda x: F.concat(F.when(F.startswith(x, F.lit("-")), F.lit("+")).otherwise(F.lit("-")), F.substring(x, 2, 1 << 30)))
+    return plus(a, [*[(-x).cast(WIDE) for x in b[:-1]], turned])
 
 
 def sums(values: list[Column], where: Column | None = None) -> Column:
     """An aggregate of the limbs, as one struct; rows outside `where` add nothing."""
-    return F.struct(*[F.coalesce(F.sum(x if where is None else F.when(where, x)), F.lit(0)).cast(WIDE).alias(f"l{k}") for k, x in enumerate(values)])
+    on = lambda x: x if where is None else F.when(where, x)
+    long = F.flatten(F.collect_list(on(F.when(F.size(values[-1]) > 0, values[-1]))))  # nulls are not gathered
+    return F.struct(*[F.coalesce(F.sum(on(x)), F.lit(0)).cast(WIDE).alias(f"l{k}") for k, x in enumerate(values[:-1])], long.alias("long"))
 
 
 def of_struct(column: str) -> list[Column]:
-    return [F.col(f"{column}.l{k}") for k in range(LIMBS)]
+    return [*[F.col(f"{column}.l{k}") for k in range(LIMBS)], F.col(f"{column}.long")]
+
+
+def merged(column: str) -> Column:
+    """The sum of sums."""
+    return sums(of_struct(column)).alias(column)
+
+
+def _of_long(number: Column) -> Column:
+    """Signed limbs of a number of any length, with its sign before it, the lowest first."""
+    sign = F.when(F.startswith(number, F.lit("-")), F.lit(-1)).otherwise(F.lit(1)).cast("long")
+    many = F.ceil((F.length(number) - 1) / DIGITS).cast("int")
+    whole = F.lpad(F.substring(number, 2, 1 << 30), many * DIGITS, F.lit("0"))
+    return F.transform(F.sequence(F.lit(1), many), lambda k: (F.substring(whole, (many - k) * DIGITS + 1, F.lit(DIGITS)).cast("long") * sign).cast(WIDE))
+
+
+def _all_limbs(values: list[Column]) -> Column:
+    """The limbs of a value and of its long numbers, added."""
+    add = lambda a, b: (F.coalesce(a, F.lit(0).cast(WIDE)) + F.coalesce(b, F.lit(0).cast(WIDE))).cast(WIDE)
+    return F.aggregate(F.coalesce(values[-1], _none()), F.array(*values[:-1]), lambda acc, x: F.zip_with(acc, _of_long(x), add))
 
 
 def _floor_div(a: Column, b: Column) -> tuple[Column, Column]:
@@ -79,12 +108,16 @@ def carried(values: list[Column], sign: int = 1) -> Column:
         quotient, rest = _floor_div((x * sign + acc["c"]).cast(WIDE), base)
         return F.struct(quotient.alias("c"), F.concat(acc["o"], F.array(rest)).alias("o"))
 
-    start = F.struct(F.lit(0).cast(WIDE).alias("c"), F.array().cast(f"array<{WIDE}>").alias("o"))
-    return F.aggregate(F.array(*values[:-1]), start, step, lambda acc: F.concat(acc["o"], F.array((values[-1] * sign + acc["c"]).cast(WIDE))))
+    def up(parts: Column) -> Column:
+        start = F.struct(F.lit(0).cast(WIDE).alias("c"), F.array().cast(f"array<{WIDE}>").alias("o"))
+        return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step, lambda acc: F.concat(acc["o"], F.array((F.element_at(parts, -1) * sign + acc["c"]).cast(WIDE))))
+
+    return F.element_at(F.transform(F.array(_all_limbs(values)), up), 1)  # evaluated once
 
 
 def _printed(parts: Column) -> Column:
-    whole = F.array_join(F.transform(F.reverse(parts), lambda x: F.lpad(x.cast("string"), DIGITS, "0")), "")
+    # The highest limb may have more digits than the others.
+    whole = F.array_join(F.transform(F.reverse(parts), lambda x, k: F.when(k == 0, x.cast("string")).otherwise(F.lpad(x.cast("string"), DIGITS, "0"))), "")
     return F.regexp_replace(whole, "^0+(?=.)", "")
 
 
@@ -121,5 +154,5 @@ def to_double(text: Column) -> Column:
 
 
 def sort_key(values: list[Column]) -> Column:
-    """Text that sorts as a non-negative number does."""
-    return F.array_join(F.transform(F.reverse(carried(values)), lambda x: F.lpad(x.cast("string"), DIGITS, "0")), "")
+    """Text that sorts as a non-negative number does; the number stands behind a colon."""
+    return F.element_at(F.transform(F.array(to_text(values)), lambda x: F.concat(F.lpad(F.length(x).cast("string"), 10, "0"), F.lit(":"), x)), 1)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import bigint
 from tidemark.functions import scalars as S
+from tidemark.functions.joins import null_safe
 
 
 def liquidity_windows(events: DataFrame, minutes: int = 60) -> DataFrame:
@@ -42,7 +43,7 @@ def liquidity_windows(events: DataFrame, minutes: int = 60) -> DataFrame:
     text = lambda c: bigint.to_text(bigint.of_struct(c))
     net = lambda a, b: bigint.to_text(bigint.minus(bigint.of_struct(a), bigint.of_struct(b)))
     count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("int")
-    return per_window.join(per_provider, keys, "left").select(
+    return null_safe(per_window, per_provider, keys, "left").select(
         S.window_id(F.col("pairAddress"), start, end).alias("windowId"),
         start.alias("windowStart"), end.alias("windowEnd"), "pairAddress",
         F.col("symbol0.v").alias("token0Symbol"), F.col("symbol1.v").alias("token1Symbol"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import bigint
 from tidemark.functions import scalars as S
+from tidemark.functions.joins import null_safe
 from tidemark.schemas import TRADING
 
 KEYS = ["window", "pairAddress"]
@@ -68,13 +69,12 @@ def partials(swaps: DataFrame, window: Column, by: tuple[str, ...] = (), only: C
 
 def merge(states: DataFrame, keys: list[str] | None = None, *more: Column) -> DataFrame:
     """States of the same keys as one: associative, and any split of the swaps gives the same result. more: further aggregates."""
-    total = lambda c: F.struct(*[F.sum(f"{c}.l{k}").cast(bigint.WIDE).alias(f"l{k}") for k in range(bigint.LIMBS)]).alias(c)
     return states.groupBy(*(keys or KEYS)).agg(
         F.min("symbol0").alias("symbol0"), F.min("symbol1").alias("symbol1"),
         F.sum("weighted").alias("weighted"), F.sum("weight").alias("weight"),
         F.min("first").alias("first"), F.max("last").alias("last"), F.max("high").alias("high"), F.min("low").alias("low"),
-        total("volume0"), total("volume1"), F.sum("usd").alias("usd"), F.sum("swaps").alias("swaps"), F.sum("gas").alias("gas"),
-        total("gasPrice"), F.sum("arbitrage").alias("arbitrage"), F.max("largest").alias("largest"),
+        bigint.merged("volume0"), bigint.merged("volume1"), F.sum("usd").alias("usd"), F.sum("swaps").alias("swaps"), F.sum("gas").alias("gas"),
+        bigint.merged("gasPrice"), F.sum("arbitrage").alias("arbitrage"), F.max("largest").alias("largest"),
         *more,
     )
 
@@ -119,7 +119,7 @@ def finish(state: DataFrame, *keep: str) -> DataFrame:
     start, end = S.millis(F.col("window.start")), S.millis(F.col("window.end"))
     largest = F.col("largest")
     volatility = F.when(F.col("_twap") > 0, (F.col("high") - F.col("low")) / F.col("_twap")).otherwise(F.lit(0.0))
-    by_volume = F.regexp_replace(largest["_rank"]["v"], "^0+(?=.)", "")
+    by_volume = F.substring_index(largest["_rank"]["v"], ":", -1)
     return _prices(state).select(
         S.window_id(F.col("pairAddress"), start, end).alias("windowId"),
         start.alias("windowStart"),
@@ -151,7 +151,7 @@ def trading_windows(events: DataFrame, minutes: int = 5) -> DataFrame:
     """One row per pool and tumbling window that has swaps: one narrow aggregate of the swaps and one of their traders, joined by
     window. (One wide aggregate by trader, as on streams, would carry each window's whole state once for every trader.)"""
     swaps, window = swaps_of(events), F.window("event_time", f"{minutes} minutes")
-    return finish(partials(swaps, window).join(trader_activity(traders(swaps, window)), KEYS), "uniqueTraders", "repeatedTraders").drop("window")
+    return finish(null_safe(partials(swaps, window), trader_activity(traders(swaps, window)), KEYS), "uniqueTraders", "repeatedTraders").drop("window")
 
 
 def empty_windows(windows: DataFrame, minutes: int = 5) -> DataFrame:
@@ -178,7 +178,7 @@ def market_trends(events: DataFrame, minutes: int = 30, slide: int = 5) -> DataF
     state = merge(panes.withColumnRenamed("window", "pane").select("*", whole).drop("pane"))
     seen = traders(swaps, pane).withColumnRenamed("window", "pane").select(whole, "pairAddress", "trader").groupBy(*KEYS, "trader").agg(F.lit(1).alias("n"))
     count = seen.groupBy(*KEYS).agg(F.count("*").cast("int").alias("uniqueTraders"))
-    return trend_rows(finish(state).join(count, KEYS))
+    return trend_rows(null_safe(finish(state), count, KEYS))
 
 
 def _shifted(k: Column, minutes: int, slide: int) -> Column:

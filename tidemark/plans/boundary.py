@@ -16,7 +16,7 @@ from tidemark.functions import scalars as S
 from tidemark.operators import decode, liquidity, sessions, store, trading
 from tidemark.plans import api
 from tidemark.plans.queries import EV, FROM, GAP, JIT, LIQUIDITY, NOW, SANDWICH, SESSIONS, TRENDS, TW, _windows, prices_table
-from tidemark.sources import chain
+from tidemark.sources import chain, log_files
 from tidemark.sources.testdata import as_exchange_events, exchange_events
 from tidemark.storage import new_folder
 from tidemark.streaming import jobs, keyed, lookups, sinks
@@ -33,11 +33,18 @@ def pick(n: Column, *values: Column) -> Column:
 def parse_amounts(events: DataFrame) -> DataFrame:
     """Amounts as people and programs write them, and symbols with blanks."""
     n, x = F.col("seq"), F.coalesce("amount0", "value", "amount0In")
-    text = pick(n, x, F.concat(F.lit("\t "), x, F.lit("\n")), F.concat(F.lit("-"), x), F.lit("1.5"), F.lit(""), F.lit(None).cast("string"), F.concat(x, F.lit("\n")), F.concat(F.lit("+"), x), F.translate(x, DIGITS, ARABIC))
+    text = pick(n, x, F.concat(F.lit("\t "), x, F.lit("\n")), F.concat(F.lit("-"), x), F.lit("1.5"), F.lit(""), F.lit(None).cast("string"), F.concat(x, F.lit("\n")), F.concat(F.lit("+"), x), F.translate(x, DIGITS, ARABIC), F.concat(F.lit("-"), F.repeat(x, F.lit(15))))
     symbol = S.prefer_symbol(pick(n, F.lit(None).cast("string"), F.lit(" \t"), F.lit("AA")), pick(n, F.lit("BB"), F.lit("CC"), F.lit("BB")))
     return events.select("seq", bigint.to_text(bigint.limbs(text)).alias("amount"), bigint.signum(text).alias("sign"), symbol.alias("symbol"))
 
 
+def long_sums(events: DataFrame) -> DataFrame:
+    """Sums of liquidity whose amounts have 200 digits more, exactly."""
+    moves = events.where(F.col("eventType").isin("Mint", "Burn")).withColumn("amount0", F.concat(F.col("amount0"), F.repeat(F.lit("0"), F.lit(200))))
+    rows = liquidity.liquidity_windows(moves)
+    return rows.select("windowId", "totalMintAmount0", "totalBurnAmount0", "netLiquidityChange0")
+
+
 def usd_volume_rules(events: DataFrame) -> DataFrame:
     """USD volume of swaps by each of its five rules in turn."""
     n, none = F.col("seq"), F.lit(None).cast("double")
@@ -67,7 +74,7 @@ def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     topics = F.when(kind == "Mint", F.array(first, F.concat(F.lit("0x"), word(F.pmod(user, F.lit(4)))))).otherwise(F.array(first, F.concat(F.lit("0x"), word(F.pmod(user, F.lit(4)))), F.concat(F.lit("0x"), word(F.pmod(F.floor(user / 4).cast("long"), F.lit(4)) + 1))))
     topics = F.when(F.pmod(n, F.lit(13)) == 6, F.array(first)).otherwise(topics)
     words = F.when(kind == "Swap", F.concat(word(cents + 1), word(F.lit(0)), word(F.lit(0)), word(cents + 2))).when(kind == "Transfer", word(cents + 5)).otherwise(F.concat(word(cents + 3), F.repeat(F.lit("f"), F.lit(64))))
-    data = F.when(F.pmod(n, F.lit(13)) == 5, "0x12").when(F.pmod(n, F.lit(13)) == 8, F.concat(F.lit("0xzz"), F.substring(words, 3, 300))).otherwise(F.concat(F.lit("0x"), words))
+    data = F.when((F.pmod(n, F.lit(13)) == 9) & (kind == "Transfer"), "0x").when(F.pmod(n, F.lit(13)) == 5, "0x12").when(F.pmod(n, F.lit(13)) == 8, F.concat(F.lit("0xzz"), F.substring(words, 3, 300))).otherwise(F.concat(F.lit("0x"), words))
     seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
     return raw.where(kind.isNotNull()).select(
         F.floor(seconds / 3600).cast("long").alias("blockNumber"), F.concat(F.lit("tx-"), F.floor(n / 2).cast("string")).alias("transactionHash"), n.alias("logIndex"),
@@ -159,7 +166,7 @@ def stream_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda rows, n: sinks.commit(rows.select(S.event_id(F.col("transactionHash"), F.col("logIndex")).alias("eventId"), F.col("error").alias("refused")), n, out, "lost"),
         new_folder(spark, "checkpoint"), WAIT, 3600, availableNow=True)
     _finish(query)
-    schema = _rounded(chain.described(chain.parse_logs(logs.limit(0)).withColumns({"blockTimestamp": F.lit(0).cast("long"), "gasUsed": F.lit(0).cast("long"), "effectiveGasPrice": F.lit("")}), tokens, _pools(spark), rounds, ["b1"])).withColumn("refused", F.lit("")).schema
+    schema = _rounded(spark.createDataFrame([], lookups.event_schema(spark))).withColumn("refused", F.lit("")).schema
     return sinks.committed(spark, out, schema)
 
 
@@ -220,6 +227,21 @@ def stream_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.committed(spark, out, messages.schema).select("key", said("windowId").alias("windowId"), said("twap").cast("double").alias("twap"), said("swapCount").cast("int").alias("swapCount"))
 
 
+def stream_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs from stored files by the source that counts blocks: from 100 blocks before the latest on, then, after a restart, those
+    that have come since."""
+    log_files.register(spark)
+    logs, path, at, out = raw_logs(spark, sf_dir), new_folder(spark, "logs"), new_folder(spark, "checkpoint"), new_folder(spark, "stream")
+    first, last = logs.agg(F.min("blockNumber"), F.max("blockNumber")).first()
+    cut = F.lit((first or 0) + ((last or 0) - (first or 0)) * 2 // 3)
+    for part in (F.col("blockNumber") < cut, F.col("blockNumber") >= cut):
+        logs.where(part).write.mode("append").parquet(path)
+        stream = spark.readStream.format(log_files.NAME).options(path=path, backfill=100, addresses="pool-0,pool-1").load()
+        rows = stream.where(chain.event_type(F.col("topics")).isNotNull()).select(F.col("logIndex").alias("seq"), "blockNumber", "address")
+        _finish(jobs.start_append(rows, out, at, availableNow=True))
+    return spark.read.schema("seq long, blockNumber long, address string").parquet(out)
+
+
 #: Every fiftieth event comes late, by a seventh of all events; all come in six parts.
 LATE, PARTS = 50, 6
 
@@ -360,6 +382,7 @@ def _on_events(plan):
 QUERIES = {
     "parse_amounts": _on_events(parse_amounts),
     "usd_volume_rules": _on_events(usd_volume_rules),
+    "long_sums": _on_events(long_sums),
     "event_times": _on_events(event_times),
     "alert_descriptions": _on_events(alert_descriptions),
     "parsed_logs": parsed_logs,
@@ -383,6 +406,7 @@ QUERIES = {
     "stored_counts": stored_counts,
     "stream_topic": stream_topic,
     "stream_late": stream_late,
+    "stream_logs": stream_logs,
 }
 
 #: Amounts in decimal text are cents and sixteen zeros in the tables.
@@ -400,8 +424,11 @@ _EMPTY = {"long": "0::BIGINT", "int": "0", "double": "0.0::DOUBLE"}
 
 SQL = {
     "parse_amounts": EV + f""", x AS (SELECT seq, {_X} AS x FROM e),
-y AS (SELECT seq, CASE seq % 9 WHEN 0 THEN x WHEN 1 THEN x WHEN 2 THEN -x WHEN 6 THEN x WHEN 8 THEN x ELSE 0 END AS y FROM x)
-SELECT seq, y::VARCHAR AS amount, sign(y)::INTEGER AS sign, CASE seq % 3 WHEN 0 THEN 'BB' WHEN 1 THEN 'CC' ELSE 'AA' END AS symbol FROM y""",
+y AS (SELECT seq, x, CASE seq % 10 WHEN 0 THEN x WHEN 1 THEN x WHEN 2 THEN -x WHEN 6 THEN x WHEN 8 THEN x WHEN 9 THEN -x ELSE 0 END AS y FROM x)
+SELECT seq, CASE WHEN seq % 10 = 9 AND x <> 0 THEN '-' || repeat(x::VARCHAR, 15) ELSE y::VARCHAR END AS amount, sign(y)::INTEGER AS sign, CASE seq % 3 WHEN 0 THEN 'BB' WHEN 1 THEN 'CC' ELSE 'AA' END AS symbol FROM y""",
+    "long_sums": EV + "," + LIQUIDITY + """, z AS (SELECT *, CASE WHEN "mintCount" + "burnCount" > 0 THEN repeat('0', 200) END AS z FROM lw)
+SELECT "windowId", CASE "totalMintAmount0" WHEN '0' THEN '0' ELSE "totalMintAmount0" || z END AS "totalMintAmount0", CASE "totalBurnAmount0" WHEN '0' THEN '0' ELSE "totalBurnAmount0" || z END AS "totalBurnAmount0",
+  CASE "netLiquidityChange0" WHEN '0' THEN '0' ELSE "netLiquidityChange0" || z END AS "netLiquidityChange0" FROM z WHERE z IS NOT NULL""",
     "usd_volume_rules": EV + """, v AS (SELECT seq, a0::DOUBLE / 1e18::DOUBLE AS v0, a1::DOUBLE / 1e16::DOUBLE AS v1 FROM s)
 SELECT seq, round(CASE seq % 5 WHEN 0 THEN v1 WHEN 1 THEN v0 WHEN 2 THEN v0 * 3 WHEN 3 THEN v1 * 2 ELSE v0 * (v1 / v0) END, 6) AS usd FROM v""",
     "event_times": EV + """SELECT seq, strftime(make_timestamp(t * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS time, 'com.dex.events.' || lower(kind) AS type, tx || ':' || li AS id FROM e""",
@@ -413,7 +440,7 @@ SELECT * FROM texts""",
   CASE WHEN err IS NULL AND kind = 'Transfer' THEN a1 END AS "from", CASE WHEN err IS NULL AND kind = 'Transfer' THEN a2 END AS "to",
   CASE WHEN err IS NULL AND kind = 'Swap' THEN (c + 1)::VARCHAR END AS "amount0In", CASE WHEN err IS NULL AND kind = 'Swap' THEN '0' END AS "amount1In", CASE WHEN err IS NULL AND kind = 'Swap' THEN '0' END AS "amount0Out", CASE WHEN err IS NULL AND kind = 'Swap' THEN (c + 2)::VARCHAR END AS "amount1Out",
   CASE WHEN err IS NULL AND kind IN ('Mint', 'Burn') THEN (c + 3)::VARCHAR END AS amount0, CASE WHEN err IS NULL AND kind IN ('Mint', 'Burn') THEN '{_ALL}' END AS amount1,
-  CASE WHEN err IS NULL AND kind = 'Transfer' THEN CASE WHEN f = 5 THEN '18' ELSE (c + 5)::VARCHAR END END AS value FROM p""",
+  CASE WHEN err IS NULL AND kind = 'Transfer' THEN CASE WHEN f = 5 THEN '18' WHEN f = 9 THEN '0' ELSE (c + 5)::VARCHAR END END AS value FROM p""",
     "subscribed_logs": _LOGS + """SELECT seq, block AS "blockNumber", 'pool-' || pool AS address FROM l WHERE kind IS NOT NULL AND f <> 7 AND pool <> 2 AND block >= (SELECT max(block) - 100 FROM l WHERE kind IS NOT NULL)""",
     "enriched_logs": _LOGS + """SELECT 'tx-' || tx || ':' || seq AS "eventId", kind AS "eventType", block * 3600 + 7 AS "blockTimestamp", 'pool-' || pool AS "pairAddress",
   CASE pool WHEN 0 THEN 'AAA' WHEN 2 THEN repeat('x', 20) END AS "token0Symbol", CASE pool WHEN 1 THEN repeat('é', 10) END AS "token1Symbol",
@@ -453,6 +480,8 @@ SELECT a.token, a.at, CASE WHEN a.at - r.at <= 86400 THEN round(r.answer::DOUBLE
 WHERE a.at <= least((SELECT max(x."at") FROM a x), (SELECT max(x."at") FROM r x)) - 172800""",
     "finality_pending": EV + """SELECT pair AS "pairAddress", tip, count(DISTINCT block) FILTER (WHERE tip < 64 OR block > tip - 64) AS "pendingBlocks", count(*) FILTER (WHERE tip < 64 OR block > tip - 64) AS "pendingEvents" FROM (SELECT *, max(block) OVER (PARTITION BY pair) AS tip FROM e) GROUP BY pair, tip""",
     "stored_counts": TW + """SELECT "pairAddress", 2 * count(*) AS rows, count(*) AS stored FROM tw GROUP BY 1""",
+    "stream_logs": _LOGS + """, cut AS (SELECT min(block) + (max(block) - min(block)) * 2 // 3 AS c FROM p)
+SELECT seq, block AS "blockNumber", 'pool-' || pool AS address FROM p WHERE ty IS NOT NULL AND pool <> 2 AND block >= (SELECT max(block) - 100 FROM p, cut WHERE block < c)""",
     "stream_topic": TW + """SELECT "pairAddress" AS key, "windowId", twap, "swapCount" FROM tw""" + _CLOSED("s"),
     "stream_late": EV + """, size AS (SELECT max(seq) + 1 AS n FROM ev),
 f AS (SELECT s.*, (t // 300 + 1) * 300 AS over, CAST(floor((seq + CASE WHEN seq % 50 = 0 THEN n // 7 ELSE 0 END) * 6 / (n + n // 7)) AS INTEGER) AS part FROM s, size),

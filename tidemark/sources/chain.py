@@ -55,11 +55,22 @@ def hex_to_decimal(words: pd.Series) -> pd.Series:
     return words.map(number)
 
 
+def of_pools(logs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Logs of known pools and signatures."""
+    known = pairs.select(F.col("pairAddress").alias("address"))
+    return logs.where(F.get("topics", 0).isin(*SIGNATURES.values())).join(known, "address", "left_semi")
+
+
+def rounds_of_feeds(rounds: DataFrame, feeds: dict[str, str] = FEEDS) -> DataFrame:
+    """Price rounds by feed (feed, updatedAt, answer, decimals) as rounds by token; those of unknown feeds are left out."""
+    token = F.element_at(F.create_map(*[F.lit(x) for t, feed in feeds.items() for x in (feed, t)]), F.lower("feed"))
+    return rounds.select(token.alias("token"), "updatedAt", "answer", "decimals").where("token is not null")
+
+
 def subscribed(logs: DataFrame, pairs: DataFrame, backfill: int = 500) -> DataFrame:
     """Logs of known pools and signatures from `backfill` blocks before the latest one on."""
     start = logs.agg(F.greatest(F.max("blockNumber") - backfill, F.lit(0)).alias("_from"))
-    mine = logs.where(F.element_at("topics", 1).isin(*SIGNATURES.values())).join(pairs.select(F.col("pairAddress").alias("address")), "address", "left_semi")
-    return mine.join(F.broadcast(start)).where(F.col("blockNumber") >= F.col("_from")).drop("_from")  # one row
+    return of_pools(logs, pairs).join(F.broadcast(start)).where(F.col("blockNumber") >= F.col("_from")).drop("_from")  # one row
 
 
 def event_type(topics: Column) -> Column:
@@ -108,13 +119,13 @@ def arrival(block: Column, log_index: Column) -> Column:
     return block * 1_000_000 + log_index
 
 
-def enrich(parsed: DataFrame, blocks: DataFrame, receipts: DataFrame, tokens: DataFrame, pairs: DataFrame, price_rounds: DataFrame, stablecoins: list[str]) -> DataFrame:
+def enrich(parsed: DataFrame, blocks: DataFrame, receipts: DataFrame, tokens: DataFrame, pairs: DataFrame, price_rounds: DataFrame, stablecoins: list[str] = STABLECOINS) -> DataFrame:
     """Events of parsed logs: block time, gas (swaps), symbols, price and USD volume (swaps). Logs with errors, and those of unknown blocks, are left out."""
     located = parsed.where("error is null").join(blocks, "blockNumber").join(receipts, "transactionHash", "left")
     return described(located, tokens, pairs, price_rounds, stablecoins)
 
 
-def described(located: DataFrame, tokens: DataFrame, pairs: DataFrame, price_rounds: DataFrame, stablecoins: list[str]) -> DataFrame:
+def described(located: DataFrame, tokens: DataFrame, pairs: DataFrame, price_rounds: DataFrame, stablecoins: list[str] = STABLECOINS) -> DataFrame:
     """Events of parsed logs that have blockTimestamp, gasUsed and effectiveGasPrice: with pools, symbols, prices and volumes."""
     symbols = symbols_of(tokens)
     of = lambda k: symbols.select(F.col("token").alias(f"token{k}"), F.col("symbol").alias(f"token{k}Symbol"))

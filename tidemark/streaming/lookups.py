@@ -10,11 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
+from tidemark.config import EngineConfig
 from tidemark.sources import chain
+from tidemark.sources.log_files import LOGS
+from tidemark.streaming import jobs, sinks
 from tidemark.streaming.keyed import started
 
 #: What a log that no block came for is called in its error row.
@@ -54,3 +58,28 @@ def start_events(logs: DataFrame, blocks: DataFrame, receipts: DataFrame, tokens
 
     rows = located(logs, blocks, receipts, wait, lateness)
     return started(rows, rows.writeStream.outputMode("append").foreachBatch(each), checkpoint, trigger)
+
+
+def event_schema(spark: SparkSession) -> StructType:
+    """The columns of events that chain.described makes."""
+    none = lambda schema: spark.createDataFrame([], schema)
+    located_logs = chain.parse_logs(none(LOGS)).selectExpr("*", "0L AS blockTimestamp", "0L AS gasUsed", "'' AS effectiveGasPrice")
+    pools, rounds = none("pairAddress string, token0 string, token1 string, decimals0 int, decimals1 int"), none("token string, updatedAt long, answer string, decimals int")
+    return chain.described(located_logs, none("token string, symbol string"), pools, rounds, []).schema
+
+
+#: The topic of logs that are no events, or of blocks that never came.
+LOST = "ingest-errors"
+
+
+def start_ingest(logs: DataFrame, blocks: DataFrame, receipts: DataFrame, tokens: DataFrame, pairs: DataFrame, rounds: DataFrame, config: EngineConfig, sink: jobs.Sink, base: str, stablecoins: list[str] = chain.STABLECOINS, wait: int = 600, **trigger) -> list[StreamingQuery]:
+    """From logs to messages: logs of known pools are parsed and looked up, events kept under base until they are final
+    (config.finality_blocks), and then sent in envelopes to the topics of their kinds. Errors have topics of their own."""
+    spark, kept = logs.sparkSession, f"{base}/events"
+    refused = ["blockNumber", "transactionHash", "logIndex", "address", "eventType", "error"]
+    first = start_events(
+        chain.of_pools(logs, pairs), blocks, receipts, tokens, pairs, rounds, stablecoins,
+        lambda rows, n: sinks.commit(rows, n, kept, "events"), lambda rows, n: sink(rows.select(*refused), n, LOST), f"{base}/checkpoints/events", wait, config.lateness_seconds, **trigger)
+    if trigger.get("availableNow") or trigger.get("once"):
+        first.awaitTermination()
+    return [first, jobs.start_publish(sinks.committed_stream(spark, kept, event_schema(spark)), config, sink, f"{base}/checkpoints/publish", **trigger)]

@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 
 from tidemark.config import EngineConfig
 from tidemark.operators import store
+from tidemark.operators.decode import wanted_channels
 from tidemark.streaming.keyed import started
 
 MANIFEST = "_manifest.json"
@@ -107,6 +108,32 @@ def start_topic(results: DataFrame, path: str, checkpoint: str, writer: str = "s
     return start_committed(broker_rows(results), path, checkpoint, writer, **trigger)
 
 
+#: Frames of a bus: the batch that brought them and their place in it.
+FRAMES = "channel string, pair string, frame string, batch long, at long"
+
+
+def start_bus(frames: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Frames for live clients (channel, pair, frame) as a bus that anyone can join at any time."""
+    numbered = lambda batch, n: batch.select("channel", "pair", "frame", F.lit(n).cast("long").alias("batch"), F.monotonically_increasing_id().alias("at"))
+    return started(frames, frames.writeStream.outputMode("append").foreachBatch(lambda batch, n: commit(numbered(batch, n), n, path, "bus")), checkpoint, trigger)
+
+
+def subscribe(spark: SparkSession, path: str, message: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(the last frame of the bus, all frames after it as a stream), of the channels that a client's message names.
+
+    The last frame is left out if it is of another channel. Only the latest batch that has frames is read for it.
+    """
+    where, fs = _path(spark, path)
+    schema = spark.createDataFrame([], FRAMES).schema
+    wanted = F.col("channel").isin(*wanted_channels(message))
+    names = sorted(f.getPath().getName() for f in fs.listStatus(where)) if fs.exists(where) else []
+    last = None
+    while names and last is None:
+        last = spark.read.schema(schema).parquet(f"{path.rstrip('/')}/{names.pop()}").orderBy(F.desc("at")).first()
+    old = spark.createDataFrame([last] if last is not None else [], schema).where(wanted)
+    return old, committed_stream(spark, path, schema).where((F.col("batch") > (-1 if last is None else last["batch"])) & wanted)
+
+
 def result_store(base: str, config: EngineConfig, now=None):
     """A sink for start_engine that keeps each topic as a stored table under base, counts what it brings, and trims what is older
     than the settings keep. now: a function that gives milliseconds; without one, nothing is trimmed."""
