@@ -402,7 +402,9 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     rows = numbered(docs, row)
     groups = similar_groups(rows.select(F.col(row).alias("_row"), F.col("text").cast("string").alias("text")))
     stay = groups.where(F.col("id") == F.col("root")).select(F.col("id").alias(row))
-    return rows.join(stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    # The numbers go to the texts while they are few; beyond that both are shuffled.
+    few = stay.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(stay) if few else stay, row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
