@@ -480,8 +480,8 @@ SELECT a.token, a.at, CASE WHEN a.at - r.at <= 86400 THEN round(r.answer::DOUBLE
 WHERE a.at <= least((SELECT max(x."at") FROM a x), (SELECT max(x."at") FROM r x)) - 172800""",
     "finality_pending": EV + """SELECT pair AS "pairAddress", tip, count(DISTINCT block) FILTER (WHERE tip < 64 OR block > tip - 64) AS "pendingBlocks", count(*) FILTER (WHERE tip < 64 OR block > tip - 64) AS "pendingEvents" FROM (SELECT *, max(block) OVER (PARTITION BY pair) AS tip FROM e) GROUP BY pair, tip""",
     "stored_counts": TW + """SELECT "pairAddress", 2 * count(*) AS rows, count(*) AS stored FROM tw GROUP BY 1""",
-    "stream_logs": _LOGS + """, cut AS (SELECT min(block) + (max(block) - min(block)) * 2 // 3 AS c FROM p)
-SELECT seq, block AS "blockNumber", 'pool-' || pool AS address FROM p WHERE ty IS NOT NULL AND pool <> 2 AND block >= (SELECT max(block) - 100 FROM p, cut WHERE block < c)""",
+    "stream_logs": _LOGS + """, cut AS (SELECT min(block) + (max(block) - min(block)) * 2 // 3 AS top FROM p)
+SELECT seq, block AS "blockNumber", 'pool-' || pool AS address FROM p WHERE ty IS NOT NULL AND pool <> 2 AND block >= (SELECT max(block) - 100 FROM p, cut WHERE block < top)""",
     "stream_topic": TW + """SELECT "pairAddress" AS key, "windowId", twap, "swapCount" FROM tw""" + _CLOSED("s"),
     "stream_late": EV + """, size AS (SELECT max(seq) + 1 AS n FROM ev),
 f AS (SELECT s.*, (t // 300 + 1) * 300 AS over, CAST(floor((seq + CASE WHEN seq % 50 = 0 THEN n // 7 ELSE 0 END) * 6 / (n + n // 7)) AS INTEGER) AS part FROM s, size),
