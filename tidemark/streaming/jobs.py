@@ -80,7 +80,14 @@ def start_alerts(events: DataFrame, gap: int, sink: Callable[[DataFrame, int], N
 
 
 def _start(groups: DataFrame, plan, sink, checkpoint: str, trigger: dict) -> StreamingQuery:
-    return started(groups, groups.writeStream.foreachBatch(lambda batch, n: sink(_replayed(batch, plan), n)), checkpoint, trigger)
+    def each(batch: DataFrame, n: int) -> None:
+        closed = batch.persist()  # a plan reads its events several times, the state once
+        try:
+            sink(_replayed(closed, plan), n)
+        finally:
+            closed.unpersist()
+
+    return started(groups, groups.writeStream.foreachBatch(each), checkpoint, trigger)
 
 
 def start_append(results: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", **trigger) -> StreamingQuery:
