@@ -30,20 +30,21 @@ def digits(text: Column) -> Column:
 
 
 def padded(text: Column) -> Column:
-    """Sign and 90 digits, or sign and as many as it takes if they are more. Kept as a column of its own, a number is parsed once
-    for all its limbs."""
+    """Sign and 90 digits; of a number that has more, 90 zeros and then all its digits. Kept as a column of its own, a number is
+    parsed once for all its limbs."""
     number = digits(text)
     sign = F.when(F.startswith(number, F.lit("-")), F.lit("-")).otherwise(F.lit("+"))
     size = F.ltrim(F.translate(number, "-", ""), F.lit("0"))
-    return F.concat(sign, F.when(F.length(size) > LIMBS * DIGITS, size).otherwise(F.lpad(size, LIMBS * DIGITS, "0")))
+    long = F.length(size) > LIMBS * DIGITS
+    return F.concat(sign, F.lpad(F.when(long, "").otherwise(size), LIMBS * DIGITS, "0"), F.when(long, size).otherwise(""))
 
 
 def split(number: Column) -> list[Column]:
-    """Signed limbs of a padded number, the lowest first, and a list of the number itself if it is long, else null."""
+    """Signed limbs of a padded number, the lowest first (0 of a long one), and a list of the number itself if it is long, else null."""
     sign = F.when(F.startswith(number, F.lit("-")), F.lit(-1)).otherwise(F.lit(1)).cast("long")
-    short = F.length(number) == LIMBS * DIGITS + 1
-    limb = lambda k: F.when(short, F.substring(number, DIGITS * (LIMBS - 1 - k) + 2, DIGITS).cast("long") * sign).otherwise(F.lit(0)).cast(WIDE)
-    return [*map(limb, range(LIMBS)), F.when(~short, F.array(number))]
+    of_limbs = [(F.substring(number, DIGITS * (LIMBS - 1 - k) + 2, DIGITS).cast("long") * sign).cast(WIDE) for k in range(LIMBS)]
+    most = LIMBS * DIGITS + 1
+    return [*of_limbs, F.when(F.length(number) > most, F.array(F.concat(F.substring(number, 1, 1), F.substring(number, most + 1, 1 << 30))))]
 
 
 def limbs(text: Column) -> list[Column]:
