@@ -76,72 +76,103 @@ def of_struct(column: str) -> list[Column]:
     return [*[F.col(f"{column}.l{k}") for k in range(LIMBS)], F.col(f"{column}.long")]
 
 
+def parsed(number: str) -> Column:
+    """split() of a padded column, as one struct. Like what follows by column names, it is one SQL text: built function by function,
+    the plans of windows take longer to write down than to run on little data."""
+    sign = f"case when startswith({number}, '-') then -1L else 1L end"
+    of_limbs = ", ".join(f"'l{k}', cast(cast(substring({number}, {DIGITS * (LIMBS - 1 - k) + 2}, {DIGITS}) as bigint) * {sign} as {WIDE})" for k in range(LIMBS))
+    most = LIMBS * DIGITS + 1
+    return F.expr(f"named_struct({of_limbs}, 'long', case when length({number}) > {most} then array(concat(substring({number}, 1, 1), substring({number}, {most + 1}))) end)")
+
+
+def _joined(a: str, b: str, sign: str, long_b: str) -> Column:
+    of_limbs = ", ".join(f"'l{k}', cast({a}.l{k} {sign} {b}.l{k} as {WIDE})" for k in range(LIMBS))
+    none = "cast(array() as array<string>)"
+    return F.expr(f"named_struct({of_limbs}, 'long', case when {a}.long is not null or {b}.long is not null then concat(coalesce({a}.long, {none}), coalesce({long_b}, {none})) end)")
+
+
+def added(a: str, b: str) -> Column:
+    """The sum of two struct columns of limbs."""
+    return _joined(a, b, "+", f"{b}.long")
+
+
+def less(a: str, b: str) -> Column:
+    """The first of two struct columns of limbs less the second."""
+    return _joined(a, b, "-", f"transform({b}.long, x -> concat(case when startswith(x, '-') then '+' else '-' end, substring(x, 2)))")
+
+
+def total(column: str, where: str | None = None) -> Column:
+    """sums() of a struct column of limbs, rows outside the SQL condition `where` adding nothing."""
+    on = lambda x: x if where is None else f"case when {where} then {x} end"
+    of_limbs = ", ".join(f"'l{k}', cast(coalesce(sum({on(f'{column}.l{k}')}), 0) as {WIDE})" for k in range(LIMBS))
+    long = on(f"case when size({column}.long) > 0 then {column}.long end")
+    return F.expr(f"named_struct({of_limbs}, 'long', flatten(collect_list({long})))")
+
+
 def merged(column: str) -> Column:
     """The sum of sums."""
-    return sums(of_struct(column)).alias(column)
+    return total(column).alias(column)
 
 
-def _of_long(number: Column) -> Column:
-    """Signed limbs of a number of any length, with its sign before it, the lowest first."""
-    sign = F.when(F.startswith(number, F.lit("-")), F.lit(-1)).otherwise(F.lit(1)).cast("long")
-    many = F.ceil((F.length(number) - 1) / DIGITS).cast("int")
-    whole = F.lpad(F.substring(number, 2, 1 << 30), many * DIGITS, F.lit("0"))
-    return F.transform(F.sequence(F.lit(1), many), lambda k: (F.substring(whole, (many - k) * DIGITS + 1, F.lit(DIGITS)).cast("long") * sign).cast(WIDE))
+def _bound(name: str, value: str, body: str) -> str:
+    """SQL for body with a name for a value, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _all_limbs(values: list[Column]) -> Column:
-    """The limbs of a value and of its long numbers, added."""
-    add = lambda a, b: (F.coalesce(a, F.lit(0).cast(WIDE)) + F.coalesce(b, F.lit(0).cast(WIDE))).cast(WIDE)
-    return F.aggregate(F.coalesce(values[-1], _none()), F.array(*values[:-1]), lambda acc, x: F.zip_with(acc, _of_long(x), add))
+#: SQL of the limbs of a struct v and of its long numbers (a sign and digits each), added.
+_ADDED = f"""aggregate(coalesce(v.long, cast(array() as array<string>)), array({", ".join(f"v.l{k}" for k in range(LIMBS))}), (acc, x) -> zip_with(acc,
+    {_bound("many", f"cast(ceil((length(x) - 1) / {DIGITS}) as int)", f"""transform(sequence(1, many), k -> cast(
+        cast(substring(lpad(substring(x, 2), many * {DIGITS}, '0'), (many - k) * {DIGITS} + 1, {DIGITS}) as bigint) * case when startswith(x, '-') then -1L else 1L end as {WIDE}))""")},
+    (a, b) -> cast(coalesce(a, cast(0 as {WIDE})) + coalesce(b, cast(0 as {WIDE})) as {WIDE})))"""
 
 
-def _floor_div(a: Column, b: Column) -> tuple[Column, Column]:
-    """Quotient rounded down and remainder, for positive b."""
-    rest = F.pmod(a, b).cast(WIDE)
-    return ((a - rest) / b).cast(WIDE), rest
+def _carried(parts: str, sign: str) -> str:
+    """SQL of a number (or its negative) with all limbs but the highest in 0 to 10^18 - 1. A fold keeps the expression small."""
+    base = f"cast({10**DIGITS} as {WIDE})"
+    step = _bound("t", f"cast({sign} x + acc.c as {WIDE})", _bound("r", f"cast(pmod(t, {base}) as {WIDE})", f"named_struct('c', cast((t - r) / {base} as {WIDE}), 'o', concat(acc.o, array(r)))"))
+    return f"""aggregate(slice({parts}, 1, size({parts}) - 1), named_struct('c', cast(0 as {WIDE}), 'o', cast(array() as array<{WIDE}>)), (acc, x) -> {step},
+        acc -> concat(acc.o, array(cast({sign} element_at({parts}, -1) + acc.c as {WIDE}))))"""
 
 
-def carried(values: list[Column], sign: int = 1) -> Column:
-    """The number (or its negative) as an array of limbs, all but the highest in 0 to 10^18 - 1. A fold keeps the expression small."""
-    base = F.lit(10**DIGITS).cast(WIDE)
+def _printed(parts: str) -> str:
+    # The highest limb may have more digits than the others.
+    return f"regexp_replace(array_join(transform(reverse({parts}), (d, i) -> case when i = 0 then cast(d as string) else lpad(cast(d as string), {DIGITS}, '0') end), ''), '^0+(?=.)', '')"
 
-    def step(acc: Column, x: Column) -> Column:
-        quotient, rest = _floor_div((x * sign + acc["c"]).cast(WIDE), base)
-        return F.struct(quotient.alias("c"), F.concat(acc["o"], F.array(rest)).alias("o"))
 
-    def up(parts: Column) -> Column:
-        start = F.struct(F.lit(0).cast(WIDE).alias("c"), F.array().cast(f"array<{WIDE}>").alias("o"))
-        return F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), start, step, lambda acc: F.concat(acc["o"], F.array((F.element_at(parts, -1) * sign + acc["c"]).cast(WIDE))))
+def _quotient(parts: str, by: str) -> str:
+    step = _bound("t", f"cast(acc.r * cast({10**DIGITS} as decimal(19,0)) + x as {WIDE})", _bound("r", f"cast(pmod(t, {by}) as {WIDE})", f"named_struct('r', r, 'o', concat(acc.o, array(cast((t - r) / {by} as {WIDE}))))"))
+    return _printed(f"aggregate(reverse({parts}), named_struct('r', cast(0 as {WIDE}), 'o', cast(array() as array<{WIDE}>)), (acc, x) -> {step}, acc -> reverse(acc.o))")
 
-    return F.element_at(F.transform(F.array(_all_limbs(values)), up), 1)  # evaluated once
 
+def _signed(of_size: str, minus: str) -> str:
+    """SQL of a number as text: of_size is made of the limbs p of its size, minus tells whether a text q of a negative one gets its sign."""
+    negative = _bound("p", _carried("parts", "-"), _bound("q", of_size, f"case when {minus} then concat('-', q) else q end"))
+    return _bound("parts", _ADDED, _bound("p", _carried("parts", "+"), f"case when element_at(p, -1) >= 0 then {of_size} else {negative} end"))
 
-def _printed(parts: Column) -> Column:
-    # The highest limb may have more digits than the others.
-    whole = F.array_join(F.transform(F.reverse(parts), lambda x, k: F.when(k == 0, x.cast("string")).otherwise(F.lpad(x.cast("string"), DIGITS, "0"))), "")
-    return F.regexp_replace(whole, "^0+(?=.)", "")
 
+def _packed(values: list[Column] | Column | str) -> Column:
+    if isinstance(values, list):
+        return F.struct(*[x.alias(name) for x, name in zip(values, [*(f"l{k}" for k in range(LIMBS)), "long"], strict=True)])
+    return F.col(values) if isinstance(values, str) else values
 
-def to_text(values: list[Column]) -> Column:
-    """The number in decimal digits, exactly."""
-    up = carried(values)
-    return F.when(F.element_at(up, -1) >= 0, _printed(up)).otherwise(F.concat(F.lit("-"), _printed(carried(values, -1))))
 
+def _on(value: Column, body: str) -> Column:
+    return F.element_at(F.call_function("transform", F.array(value), F.expr(f"v -> {body}")), 1)
 
-def divided(values: list[Column], by: Column) -> Column:
-    """The number divided by a positive integer below 10^10, truncated toward zero, as text."""
-    base = F.lit(10**DIGITS).cast("decimal(19,0)")
 
-    def quotient(parts: Column) -> Column:
-        def step(acc: Column, x: Column) -> Column:
-            q, rest = _floor_div((acc["r"] * base + x).cast(WIDE), by.cast(WIDE))
-            return F.struct(rest.alias("r"), F.concat(acc["o"], F.array(q)).alias("o"))
+_TEXT = _signed(_printed("p"), "true")
+_DIVIDED = _bound("by", "v.by", _bound("v", "v.of", _signed(_quotient("p", "by"), "q <> '0'")))
+_KEY = _bound("text", _TEXT, "concat(lpad(cast(length(text) as string), 10, '0'), ':', text)")
+
 
-        start = F.struct(F.lit(0).cast(WIDE).alias("r"), F.array().cast(f"array<{WIDE}>").alias("o"))
-        return _printed(F.aggregate(F.reverse(parts), start, step, lambda acc: F.reverse(acc["o"])))
+def to_text(values: list[Column] | Column | str) -> Column:
+    """The number in decimal digits, exactly; it is given as limbs, a struct of them or the name of one."""
+    return _on(_packed(values), _TEXT)
 
-    up, negative = carried(values), quotient(carried(values, -1))
-    return F.when(F.element_at(up, -1) >= 0, quotient(up)).otherwise(F.when(negative == "0", negative).otherwise(F.concat(F.lit("-"), negative)))
+
+def divided(values: list[Column] | Column | str, by: Column) -> Column:
+    """The number divided by a positive integer below 10^10, truncated toward zero, as text."""
+    return _on(F.struct(_packed(values).alias("of"), by.cast(WIDE).alias("by")), _DIVIDED)
 
 
 def signum(text: Column) -> Column:
@@ -154,6 +185,6 @@ def to_double(text: Column) -> Column:
     return digits(text).cast("double")
 
 
-def sort_key(values: list[Column]) -> Column:
+def sort_key(values: list[Column] | Column | str) -> Column:
     """Text that sorts as a non-negative number does; the number stands behind a colon."""
-    return F.element_at(F.transform(F.array(to_text(values)), lambda x: F.concat(F.lpad(F.length(x).cast("string"), 10, "0"), F.lit(":"), x)), 1)
+    return _on(_packed(values), _KEY)

@@ -25,10 +25,6 @@ def _order() -> Column:
     return F.struct("blockTimestamp", "logIndex", "seq")
 
 
-def _volume(k: int) -> list[Column]:
-    return bigint.plus(bigint.split(F.col(f"_amount{k}In")), bigint.split(F.col(f"_amount{k}Out")))
-
-
 def partials(swaps: DataFrame, window: Column, by: tuple[str, ...] = (), only: Column | None = None) -> DataFrame:
     """Mergeable states per (window, pool, *by): everything but trader counts. merge() joins them; finish() reads them.
 
@@ -41,8 +37,10 @@ def partials(swaps: DataFrame, window: Column, by: tuple[str, ...] = (), only: C
     sender, recipient = S.address(F.col("sender")), S.address(F.col("recipient"))
     rows = swaps.withColumn("window", window).withColumn("vol0", vol0).withColumn("_order", _order())
     rows = rows.withColumns({f"_{c}": bigint.padded(F.col(c)) for c in ("amount0In", "amount1In", "amount0Out", "amount1Out", "gasPrice")})
+    rows = rows.withColumns({f"_{c}": bigint.parsed(f"_{c}") for c in ("amount0In", "amount1In", "amount0Out", "amount1Out", "gasPrice")})
+    rows = rows.withColumns({f"_volume{k}": bigint.added(f"_amount{k}In", f"_amount{k}Out") for k in (0, 1)})
     # Without a USD value a swap counts by its token0 volume; the seed (0, no address) wins against none of it.
-    by_volume = bigint.sort_key(_volume(0))
+    by_volume = bigint.sort_key("_volume0")
     rows = rows.withColumn("_rank", F.when(F.col("volumeUSD").isNotNull(), F.struct(F.lit(1).alias("p"), F.col("volumeUSD").alias("u"), F.lit("").alias("v"), (-F.col("seq")).alias("s"))).when(counted & (F.col("vol0") > 0), F.struct(F.lit(0).alias("p"), F.lit(0.0).alias("u"), by_volume.alias("v"), (-F.col("seq")).alias("s"))))
     rows = rows.withColumn("_largest", F.struct("_rank", F.col("volumeUSD").alias("usd"), sender.alias("sender")))
     symbol = lambda k: F.min(F.when(S.not_blank(F.col(f"token{k}Symbol")).isNotNull(), F.struct("seq", F.col(f"token{k}Symbol").alias("v")))).alias(f"symbol{k}")
@@ -55,12 +53,12 @@ def partials(swaps: DataFrame, window: Column, by: tuple[str, ...] = (), only: C
         F.max(F.when(counted, F.struct("_order", "price"))).alias("last"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        bigint.sums(_volume(0)).alias("volume0"),
-        bigint.sums(_volume(1)).alias("volume1"),
+        bigint.total("_volume0").alias("volume0"),
+        bigint.total("_volume1").alias("volume1"),
         F.sum("volumeUSD").alias("usd"),
         F.count_if(counted).alias("swaps"),
         F.sum("gasUsed").alias("gas"),
-        bigint.sums(bigint.split(F.col("_gasPrice"))).alias("gasPrice"),
+        bigint.total("_gasPrice").alias("gasPrice"),
         F.sum((counted & (sender == recipient)).cast("int")).alias("arbitrage"),
         F.max(F.when(F.col("_rank").isNotNull(), F.col("_largest"))).alias("largest"),
         F.count("*").alias("n"),
@@ -133,14 +131,14 @@ def finish(state: DataFrame, *keep: str) -> DataFrame:
         S.round8(F.col("high")).alias("highPrice"),
         S.round8(F.col("low")).alias("lowPrice"),
         S.round8(volatility).alias("priceVolatility"),
-        bigint.to_text(bigint.of_struct("volume0")).alias("totalVolume0"),
-        bigint.to_text(bigint.of_struct("volume1")).alias("totalVolume1"),
+        bigint.to_text("volume0").alias("totalVolume0"),
+        bigint.to_text("volume1").alias("totalVolume1"),
         S.round8(F.col("usd")).alias("volumeUSD"),
         F.col("swaps").cast("int").alias("swapCount"),
         F.when(largest.isNull(), "0").when(largest["usd"].isNotNull(), S.usd_text(largest["usd"])).otherwise(by_volume).alias("largestSwapValue"),
         F.coalesce(largest["sender"], F.lit("")).alias("largestSwapAddress"),
         F.col("gas").alias("totalGasUsed"),
-        bigint.divided(bigint.of_struct("gasPrice"), F.col("swaps")).alias("averageGasPrice"),
+        bigint.divided("gasPrice", F.col("swaps")).alias("averageGasPrice"),
         F.col("arbitrage").cast("int").alias("arbitrageCount"),
         "window",
         *keep,
