@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 from tests.test_engine import BASE, events, one, swap
 from tidemark.config import EngineConfig
-from tidemark.operators import decode, store, trading
+from tidemark.operators import decode, liquidity, store, trading
 from tidemark.sources import chain, log_files
 from tidemark.sources.log_files import LOGS
-from tidemark.streaming import jobs, keyed, lookups, sinks
+from tidemark.streaming import corrections, jobs, keyed, lookups, sinks
 
 
 def arriving(spark, path, *parts):
@@ -225,3 +225,33 @@ def test_a_late_subscriber_gets_one_old_frame_and_all_new_ones(spark, tmp_path):
     drained(sinks.start_bus(more(spark, path, source.schema), bus, at, availableNow=True))
     drained(jobs.start_append(new, str(tmp_path / "o"), str(tmp_path / "co"), availableNow=True))
     assert sorted(r.frame for r in spark.read.schema(new.schema).parquet(str(tmp_path / "o")).collect()) == ["6", "8"]
+
+
+def test_events_that_are_removed_leave_their_windows(spark, tmp_path):
+    at, base, path = (str(tmp_path / x) for x in "cod")
+
+    def said(*rows):  # (event, removed, stated)
+        return events(spark, *[e for e, _, _ in rows]).join(spark.createDataFrame([(k, r, n) for k, (_, r, n) in enumerate(rows)], "seq long, removed boolean, stated long"), "seq")
+
+    made = lambda n, block=100, **more: swap(eventId=f"e{n}", blockNumber=block, price=float(n), **more)
+    mint = ("Mint", {"eventId": "m", "sender": "0xp", "amount0": "5", "amount1": "6", "blockNumber": 100})
+    parts = [
+        said((made(1), False, 1), (made(9), False, 2), (made(9), False, 2), (swap(eventId=None, price=2.0), False, 3), (mint, False, 4)),
+        said((made(9), True, 5), (mint, True, 6)),
+        said((made(9, 101), False, 7), (made(1), True, 8), (made(1), True, 8), (made(4, pairAddress=None), False, 9), (made(5, 102), True, 9), (made(5, 102), False, 9)),
+    ]
+    run = lambda s, plan, kinds, name: drained(corrections.start_corrections(s, plan, kinds, 60, f"{base}/{name}", f"{at}/{name}", availableNow=True))
+    plans = {"swaps": (lambda e: trading.trading_windows(e, 60), corrections.SWAPS), "moves": (liquidity.liquidity_windows, corrections.MOVES)}
+    seen = []
+    for k, part in enumerate(parts):  # a restart after each
+        part.coalesce(1).write.parquet(f"{path}/{k}")
+        for name, (plan, kinds) in plans.items():
+            run(more(spark, path, part.schema), plan, kinds, name)
+        rows = corrections.windows(spark, f"{base}/swaps", part, plans["swaps"][0]).collect()
+        seen.append({r.pairAddress: (r.swapCount, r.lowPrice, r.highPrice) for r in rows})
+        seen.append(corrections.windows(spark, f"{base}/moves", part, plans["moves"][0]).count())
+    assert seen == [{"0xPair": (3, 1.0, 9.0)}, 1, {"0xPair": (2, 1.0, 2.0)}, 0, {"0xPair": (2, 2.0, 9.0), None: (1, 4.0, 4.0)}, 0]
+    gone = corrections.corrected(parts[1].where("removed"), parts[1], *plans["swaps"], 60).collect()
+    assert [(r.gone, r.swapCount) for r in gone] == [(True, None)]
+    none = parts[0].limit(0)
+    assert corrections.corrected(none, none, *plans["swaps"], 60).count() == 0

@@ -19,7 +19,7 @@ from tidemark.plans.queries import EV, FROM, GAP, JIT, LIQUIDITY, NOW, SANDWICH,
 from tidemark.sources import chain, log_files
 from tidemark.sources.testdata import as_exchange_events, exchange_events
 from tidemark.storage import new_folder
-from tidemark.streaming import jobs, keyed, lookups, sinks
+from tidemark.streaming import corrections, jobs, keyed, lookups, sinks
 
 DIGITS, ARABIC = "0123456789", "\u0660\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669"
 AMOUNTS = ["amount0In", "amount1In", "amount0Out", "amount1Out"]
@@ -264,6 +264,19 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(windows.schema).parquet(out)
 
 
+def stream_retracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trading windows while every tenth event is taken back later, and every thirtieth found again after that."""
+    events = exchange_events(spark, sf_dir)
+    (most,) = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max("event_id")).first()
+    later = ((most or 0) + 1) // 5
+    said = lambda rows, removed, after: rows.select("*", F.lit(removed).alias("removed"), (F.col("seq") + after).alias("stated"))
+    every = lambda k: events.where(F.pmod("seq", F.lit(k)) == 0)
+    stream = in_files(said(events, False, 0).unionByName(said(every(10), True, later)).unionByName(said(every(30), False, 2 * later)), "stated", 4)
+    base = new_folder(spark, "stream")
+    _finish(corrections.start_corrections(stream, trading.trading_windows, corrections.SWAPS, 5, base, new_folder(spark, "checkpoint"), availableNow=True))
+    return corrections.windows(spark, base, stream, trading.trading_windows)
+
+
 def avro_liquidity(events: DataFrame) -> DataFrame:
     """Mints, burns and transfers through Avro and an envelope and back."""
     wire = None
@@ -406,6 +419,7 @@ QUERIES = {
     "stored_counts": stored_counts,
     "stream_topic": stream_topic,
     "stream_late": stream_late,
+    "stream_retracted": stream_retracted,
     "stream_logs": stream_logs,
 }
 
@@ -483,6 +497,7 @@ WHERE a.at <= least((SELECT max(x."at") FROM a x), (SELECT max(x."at") FROM r x)
     "stream_logs": _LOGS + """, cut AS (SELECT min(block) + (max(block) - min(block)) * 2 // 3 AS top FROM p)
 SELECT seq, block AS "blockNumber", 'pool-' || pool AS address FROM p WHERE ty IS NOT NULL AND pool <> 2 AND block >= (SELECT max(block) - 100 FROM p, cut WHERE block < top)""",
     "stream_topic": TW + """SELECT "pairAddress" AS key, "windowId", twap, "swapCount" FROM tw""" + _CLOSED("s"),
+    "stream_retracted": EV + "," + _windows(5, "seq % 10 <> 0 OR seq % 30 = 0") + "SELECT * FROM tw",
     "stream_late": EV + """, size AS (SELECT max(seq) + 1 AS n FROM ev),
 f AS (SELECT s.*, (t // 300 + 1) * 300 AS over, CAST(floor((seq + CASE WHEN seq % 50 = 0 THEN n // 7 ELSE 0 END) * 6 / (n + n // 7)) AS INTEGER) AS part FROM s, size),
 w AS (SELECT k, (SELECT max(t) - 60 FROM f WHERE part <= k) AS wm FROM range(6) AS parts(k)),
