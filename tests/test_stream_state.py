@@ -1,5 +1,6 @@
 """Streams over several triggers and restarts: what they hold, wait for, publish and count."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -255,3 +256,14 @@ def test_events_that_are_removed_leave_their_windows(spark, tmp_path):
     assert [(r.gone, r.swapCount) for r in gone] == [(True, None)]
     none = parts[0].limit(0)
     assert corrections.corrected(none, none, *plans["swaps"], 60).count() == 0
+
+
+def test_the_gate_gets_a_row_for_each_pool_and_block(spark):
+    batch = pa.RecordBatch.from_pylist(
+        [{"pairAddress": p, "eventType": k, "blockNumber": b, "seq": n} for p, k, b, n in [("a", "Swap", 5, 9), (None, "Mint", 5, 3), ("a", "Swap", 4, 2), ("a", None, None, 1), ("a", "Swap", 5, None), ("b", "Flush", None, 0), ("a", "Swap", 5, 7)]],
+        pa.schema([("pairAddress", pa.string()), ("eventType", pa.string()), ("blockNumber", pa.int64()), ("seq", pa.int64())]))
+    (packed,) = keyed._packed([batch])
+    rows = {(r["pairAddress"], r["block"], r["flush"]): r for r in packed.to_pylist()}
+    assert {k: r["events"] for k, r in rows.items()} == {("a", 5, False): 3, ("a", 4, False): 1, ("a", keyed.NEVER, False): 1, (None, 5, False): 1, ("b", keyed.NEVER, True): 0}
+    twice = pa.RecordBatch.from_pydict({"rows": [2 * rows["a", 5, False]["rows"]]})
+    assert [r["seq"] for b in keyed._unpacked([twice]) for r in b.to_pylist()] == [None, None, 7, 7, 9, 9]

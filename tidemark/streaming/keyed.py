@@ -7,13 +7,13 @@ adds and what it lets go, and not all that is held. What a running or stopped st
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import DataStreamWriter, StatefulProcessor, StreamingQuery
 
 from tidemark.operators.prices import STALE_SECONDS
@@ -22,7 +22,7 @@ from tidemark.operators.prices import STALE_SECONDS
 FLUSH = "Flush"
 #: Events without a block are filed here; only a flush lets them go.
 NEVER = 1 << 62
-#: Events of a pool that a batch puts into parts at a time.
+#: Events of a pool that a batch puts into parts at a time, about.
 PART_ROWS = 10_000
 #: Seconds that an answer, or that there was none, is given again to later questions for the same token.
 REMEMBERED_SECONDS = 300
@@ -51,38 +51,81 @@ def started(results: DataFrame, writer: DataStreamWriter, checkpoint: str, trigg
         return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
+#: What tells of a pool's events of a block, without its columns being looked into.
+_PACKED = "pairAddress string, block long, flush boolean, rows binary, events long"
+
+
+def _stream_of(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _tables_of(rows: bytes) -> Iterator[pa.Table]:
+    """The tables of Arrow streams that stand one after another."""
+    source = pa.BufferReader(rows)
+    while source.tell() < len(rows):
+        yield pa.ipc.open_stream(source).read_all()
+
+
+def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each pool and block in a batch one row: its events as an Arrow stream, in which every value keeps all its digits, and
+    their number; a flush of a pool is a row without events."""
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        flush = pc.fill_null(pc.equal(table["eventType"], FLUSH), False)
+        out = [(pool, NEVER, True, None, 0) for pool in pc.unique(table.filter(flush)["pairAddress"]).to_pylist()]
+        events = table.filter(pc.invert(flush)).combine_chunks()
+        key = pa.table({"pool": events["pairAddress"], "block": pc.fill_null(events["blockNumber"], NEVER).cast(pa.int64())})
+        order = pc.sort_indices(key, [("pool", "ascending"), ("block", "ascending")])
+        events, key = events.take(order), key.take(order)
+        pools, blocks = key["pool"].to_pylist(), key["block"].to_pylist()
+        first = 0
+        for k in range(1, len(pools) + 1):
+            if k == len(pools) or (pools[k], blocks[k]) != (pools[first], blocks[first]):
+                out.append((pools[first], blocks[first], False, _stream_of(events.slice(first, k - first)), k - first))
+                first = k
+        types = [batch.schema.field("pairAddress").type, pa.int64(), pa.bool_(), pa.binary(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, types, strict=True)], ["pairAddress", "block", "flush", "rows", "events"])
+
+
+def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for rows in batch.column("rows").to_pylist():
+            table = pa.concat_tables(_tables_of(rows))
+            yield from table.take(pc.sort_indices(table, [("seq", "ascending")], null_placement="at_start")).to_batches()
+
+
 class _Gate(StatefulProcessor):
-    """State of a pool: its latest block; for each block held, how many parts and events it has; the parts, as Arrow tables, in
-    which every value keeps all its digits."""
+    """State of a pool: its latest block; for each block held, how many parts and events it has; the parts, as _packed makes them.
+    Rows are never looked into here, so a pool with many events costs its one task little for each of them."""
 
-    def __init__(self, depth: int, schema: pa.Schema):
-        self.depth, self.schema = depth, schema
+    def __init__(self, depth: int):
+        self.depth = depth
 
     def init(self, handle) -> None:
         self.tip = handle.getValueState("tip", "block long")
         self.blocks = handle.getMapState("blocks", "block long", "parts int, events long")
         self.held = handle.getMapState("held", "block long, part int", "rows binary")
 
-    def _hold(self, new: dict[int, list[dict]]) -> None:
-        for block, rows in new.items():
+    def _hold(self, new: dict[int, list[tuple[bytes, int]]]) -> None:
+        for block, packs in new.items():
             parts, events = self.blocks.getValue((block,)) or (0, 0)
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, self.schema) as writer:
-                writer.write_table(pa.Table.from_pylist(rows, self.schema))
-            self.held.updateValue((block, parts), (sink.getvalue().to_pybytes(),))
-            self.blocks.updateValue((block,), (parts + 1, events + len(rows)))
+            self.held.updateValue((block, parts), (b"".join(rows for rows, _ in packs),))
+            self.blocks.updateValue((block,), (parts + 1, events + sum(n for _, n in packs)))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         tip, flush, new, waiting = self.tip.get()[0] if self.tip.exists() else -1, False, {}, 0
         for row in rows:
-            if row["eventType"] == FLUSH:
+            if row["flush"]:
                 flush = True
                 continue
-            block = row["blockNumber"]
-            tip = max(tip, -1 if block is None else block)
-            new.setdefault(NEVER if block is None else block, []).append(row.asDict())
-            waiting += 1
-            if waiting == PART_ROWS:
+            block = row["block"]
+            tip = max(tip, -1 if block == NEVER else block)
+            new.setdefault(block, []).append((bytes(row["rows"]), row["events"]))
+            waiting += row["events"]
+            if waiting >= PART_ROWS:
                 self._hold(new)
                 new, waiting = {}, 0
         self._hold(new)
@@ -92,11 +135,10 @@ class _Gate(StatefulProcessor):
             parts, _ = self.blocks.getValue((block,))
             out = []
             for part in range(parts):
-                out += pa.ipc.open_stream(self.held.getValue((block, part))[0]).read_all().to_pylist()
+                out.append(bytes(self.held.getValue((block, part))[0]))
                 self.held.removeKey((block, part))
             self.blocks.removeKey((block,))
-            for row in sorted(out, key=lambda r: (r["seq"] is not None, r["seq"])):
-                yield Row(**row)
+            yield Row(rows=b"".join(out))
 
     def close(self) -> None:
         pass
@@ -110,9 +152,8 @@ def finality_gate(events: DataFrame, depth: int = 64) -> DataFrame:
     """
     if depth == 0:
         return events
-    # Times come as local ones without a zone, and stay so while they are held.
-    held_as = pa.schema([pa.field(f.name, pa.timestamp("us") if pa.types.is_timestamp(f.type) else f.type) for f in to_arrow_schema(events.schema)])
-    return events.groupBy("pairAddress").transformWithState(_Gate(depth, held_as), events.schema, "Append", "None")
+    packed = events.mapInArrow(_packed, _PACKED)
+    return packed.groupBy("pairAddress").transformWithState(_Gate(depth), "rows binary", "Append", "None").mapInArrow(_unpacked, events.schema)
 
 
 def _state(spark: SparkSession, checkpoint: str, name: str, operator: int) -> DataFrame:
