@@ -181,6 +181,11 @@ def signum(text: Column) -> Column:
     return F.when(zero, F.lit(0)).when(F.startswith(number, F.lit("-")), F.lit(-1)).otherwise(F.lit(1))
 
 
+def sign_of(number: str) -> Column:
+    """signum() of a padded column."""
+    return F.expr(f"case when not rlike(substring({number}, 2), '[1-9]') then 0 when startswith({number}, '-') then -1 else 1 end")
+
+
 def to_double(text: Column) -> Column:
     return digits(text).cast("double")
 

@@ -35,7 +35,9 @@ def parse_amounts(events: DataFrame) -> DataFrame:
     n, x = F.col("seq"), F.coalesce("amount0", "value", "amount0In")
     text = pick(n, x, F.concat(F.lit("\t "), x, F.lit("\n")), F.concat(F.lit("-"), x), F.lit("1.5"), F.lit(""), F.lit(None).cast("string"), F.concat(x, F.lit("\n")), F.concat(F.lit("+"), x), F.translate(x, DIGITS, ARABIC), F.concat(F.lit("-"), F.repeat(x, F.lit(15))))
     symbol = S.prefer_symbol(pick(n, F.lit(None).cast("string"), F.lit(" \t"), F.lit("AA")), pick(n, F.lit("BB"), F.lit("CC"), F.lit("BB")))
-    return events.select("seq", bigint.to_text(bigint.limbs(text)).alias("amount"), bigint.signum(text).alias("sign"), symbol.alias("symbol"))
+    # Columns of their own, so that each text is made and parsed once, not once for each use of it.
+    rows = events.select("seq", text.alias("text"), symbol.alias("symbol")).withColumn("number", bigint.padded(F.col("text"))).withColumn("limbs", bigint.parsed("number"))
+    return rows.select("seq", bigint.to_text("limbs").alias("amount"), bigint.sign_of("number").alias("sign"), "symbol")
 
 
 def long_sums(events: DataFrame) -> DataFrame:
