@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import scalars as S
 
 DAY = 86_400
+#: Swaps of a block that are looked up together.
+STRETCH = 16
 
 
 def sessions(events: DataFrame, gap: int, bucket: int = DAY) -> DataFrame:
@@ -83,7 +85,10 @@ def sandwich_alerts(events: DataFrame) -> DataFrame:
     not_way = lambda way: F.min(F.when(F.col("way") != way, F.struct("at", "volumeUSD"))).over(later)
     back = F.when(F.col("way") == "BUY_TOKEN0", not_way("BUY_TOKEN0")).when(F.col("way") == "BUY_TOKEN1", not_way("BUY_TOKEN1"))
     fronts = swaps.withColumn("back", back).where("back is not null").select(*block, "windowEnd", F.col("who").alias("attackerAddress"), F.col("at").alias("_i"), F.col("back.at").alias("_j"), F.abs(F.col("back.volumeUSD") - F.col("volumeUSD")).alias("_p"))
-    inside = fronts.join(swaps.select(*block, "at", "who", "transactionHash"), block).where("at between _i and _j")
+    # A front looks through the stretches of its block that it spans, not through all of it.
+    stretch = lambda at: F.floor(F.col(at) / STRETCH)
+    spans = fronts.withColumn("_n", F.explode(F.sequence(stretch("_i"), stretch("_j"))))
+    inside = spans.join(swaps.select(*block, "at", "who", "transactionHash", stretch("at").alias("_n")), [*block, "_n"]).where("at between _i and _j")
     keys = [*block, "windowEnd", "attackerAddress", "_i", "_j", "_p"]
     others = F.collect_list(F.when(F.col("who") != F.col("attackerAddress"), F.struct("at", "who")))
     found = inside.groupBy(*keys).agg(F.transform(F.array_sort(others), lambda x: x["who"]).alias("victimAddresses"), F.array_sort(F.collect_set("transactionHash")).alias("involvedTransactions"))
