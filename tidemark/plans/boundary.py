@@ -128,17 +128,24 @@ def enriched_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(chain.enrich(chain.parse_logs(logs), blocks, receipts.drop("_b"), tokens, _pools(spark), rounds, ["b1"]))
 
 
-def in_files(rows: DataFrame, order: str, files: int, per_trigger: int | None = 1) -> DataFrame:
-    """Rows as a stream of files in the given order, so many at a time."""
+def in_files(rows: DataFrame, order: str, triggers: int) -> DataFrame:
+    """Rows as a stream of so many triggers in the given order. What comes in one trigger lies in a file for each core, so that no
+    task writes or reads a trigger alone."""
     spark, path = rows.sparkSession, new_folder(rows.sparkSession, "arriving")
-    rows.repartitionByRange(files, order).write.parquet(path)
+    files = max(spark.sparkContext.defaultParallelism, 1)
+    rows.repartitionByRange(triggers * files, order).write.parquet(path)
+    _set_times(spark, path)
+    return jobs.read_files(spark, path, rows.schema, files_per_trigger=files)
+
+
+def _set_times(spark: SparkSession, path: str) -> None:
+    """Gives the files of a folder times in the order of their names, as a file source goes by these."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
     parts = sorted((f.getPath().getName(), f) for f in fs.listStatus(where) if f.getPath().getName().startswith("part-"))
     begun = int(time.time() * 1000) - 1000 * len(parts)
-    for k, (_, f) in enumerate(parts):  # a file source goes by these times
+    for k, (_, f) in enumerate(parts):
         fs.setTimes(f.getPath(), begun + 1000 * k, -1)
-    return jobs.read_files(spark, path, rows.schema, files_per_trigger=per_trigger)
 
 
 #: Seconds that a log waits for its block and its receipt, and a moment at which all streams have gone far on.
