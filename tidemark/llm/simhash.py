@@ -261,7 +261,8 @@ def frequent(docs: DataFrame) -> np.ndarray:
 def similar_groups(docs: DataFrame) -> DataFrame:
     """id, root of groups of rows (column _row) that are linked: rows with the same set of shingles are one id, the least.
 
-    A link is a pair whose exact similarity is 0.8 or more. Pairs to compare come from a prefix filter, which misses none:
+    A link is a pair whose exact similarity is 0.8 or more. Pairs to compare come from SimHash (each row with the least of its
+    component), and, as that misses many at this similarity, from a prefix filter too, which misses none:
     of two alike sets of x and y shingles in one common order, the first shared one has at least 0.8 / 1.8 * (x + y) shared
     ones from it on, so it is among the first fifth of both. Frequent shingles come last in the order, so that common
     lines and templates bring nothing together that its other words keep apart.
@@ -273,10 +274,11 @@ def similar_groups(docs: DataFrame) -> DataFrame:
         for batch in sliced(batches, "text"):
             sets = [shingles(t) for t in utf8(batch, "text")]
             columns = [batch.column("_row"), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()), pa.array(map(len, sets), pa.int64()), pa.array(map(counters, sets), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["_row", "digest", "size", "counters"])
+            columns.append(pa.array([fingerprint(t) for t in utf8(batch, "text")], pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, ["_row", "digest", "size", "counters", "fp"])
 
-    prints = materialize(docs.select("_row", "text").mapInArrow(run, "_row long, digest binary, size long, counters binary"), "prints")
-    sized = materialize(prints.groupBy("digest").agg(F.min("_row").alias("id"), F.min("size").alias("size")).select("id", "size"), "classes")
+    prints = materialize(docs.select("_row", "text").mapInArrow(run, "_row long, digest binary, size long, counters binary, fp long"), "prints")
+    sized = materialize(prints.groupBy("digest").agg(F.min("_row").alias("id"), F.min("size").alias("size"), F.min_by("fp", "_row").alias("fp")).select("id", "size", "fp"), "classes")
     classes = sized.select("id")
     met = meetings(docs, sized.agg(F.sum("size")).first()[0] or 0).join(classes, "id", "left_semi")
     met = materialize(met, "met")
@@ -286,7 +288,8 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     votes = materialize(votes, "votes")
     most = votes.groupBy("id").agg(F.max("n").alias("most"))
     first = votes.join(most, "id").where("2 * n >= most").groupBy("id").agg(F.min("rep").alias("rep"))
-    near = verified(first.select(F.col("id").alias("a"), F.col("rep").alias("b")), docs, prints)
+    first = first.select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    near = verified(first.unionByName(simhash_pairs(sized)).distinct(), docs, prints)
     discard(spark, votes)
     groups = rooted(classes, near)
     pairs, mixed = apart(met, groups)
@@ -297,6 +300,17 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     return out
 
 
+def simhash_pairs(sized: DataFrame) -> DataFrame:
+    """Pairs a, b of ids (columns id, fp) whose fingerprints links of 3 or fewer differing bits connect: each id with the least of its component."""
+    classes = materialize(sized.select("fp").distinct(), "fingerprints")
+    roots = linked(classes)
+    of = sized.select("id", "fp").join(roots, "fp")
+    least = of.groupBy("root").agg(F.min("id").alias("b"))
+    out = materialize(of.join(least, "root").where("id > b").select(F.col("id").alias("a"), "b"), "alike")
+    discard(sized.sparkSession, classes, roots)
+    return out
+
+
 def meetings(docs: DataFrame, total: int) -> DataFrame:
     """id, size, at, place: the first shingles of rows of docs that other rows have among their first ones too.
 
