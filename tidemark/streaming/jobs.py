@@ -2,8 +2,8 @@
 
 Trading and trend windows are incremental aggregates in append mode, first over (window, pool, trader) and then over
 (window, pool), so that a hot pool's traders never meet in one task: a window comes out once, when the watermark passes
-its end. Liquidity windows and sessions are kept whole until they close, and then go through the batch plans in
-foreachBatch, so that a stream and a batch over the same rows agree row by row. Late rows are dropped by the watermark.
+its end. Events of liquidity windows (a row each) and of sessions (rows of many) are kept until these close, and then go
+through the batch plans in foreachBatch, so that a stream and a batch over the same rows agree row by row. Late rows are dropped by the watermark.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from tidemark.config import EngineConfig, result_topics
 from tidemark.operators import decode, liquidity, sessions, trading
 from tidemark.sources.chain import arrival
 from tidemark.streaming import sinks
-from tidemark.streaming.keyed import finality_gate, started
+from tidemark.streaming.keyed import closed_sessions, finality_gate, started
 from tidemark.streaming.sinks import ERRORS, broker_rows
 
 
@@ -60,34 +60,33 @@ def trend_stream(events: DataFrame, minutes: int = 30, slide: int = 5) -> DataFr
 
 
 def closed_groups(events: DataFrame, window) -> DataFrame:
-    """One row per pool and window (or session), with all its events, once it is closed."""
+    """One row per pool and window, with all its events, once it is closed."""
     return events.groupBy("pairAddress", window.alias("_w")).agg(F.collect_list(F.struct(*events.columns)).alias("_events"))
 
 
-def _replayed(batch: DataFrame, plan: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    return plan(batch.select(F.explode("_events").alias("e")).select("e.*"))
+def _replayed(batch: DataFrame) -> DataFrame:
+    return batch.select(F.explode("_events").alias("e")).select("e.*")
 
 
 def start_liquidity(events: DataFrame, minutes: int, sink: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
     groups = closed_groups(events.where(F.col("eventType") != "Swap"), F.window("event_time", f"{minutes} minutes"))
-    plan = lambda rows: liquidity.liquidity_windows(rows, minutes)
+    plan = lambda rows: liquidity.liquidity_windows(_replayed(rows), minutes)
     return _start(groups, plan, sink, checkpoint, trigger)
 
 
 def start_alerts(events: DataFrame, gap: int, sink: Callable[[DataFrame, int], None], checkpoint: str, **trigger) -> StreamingQuery:
-    groups = closed_groups(events, F.session_window("event_time", f"{gap} seconds"))
-    return _start(groups, lambda rows: sessions.alerts(rows, gap), sink, checkpoint, trigger)
+    return _start(closed_sessions(events, gap), lambda rows: sessions.alerts(rows, gap), sink, checkpoint, trigger)
 
 
-def _start(groups: DataFrame, plan, sink, checkpoint: str, trigger: dict) -> StreamingQuery:
+def _start(closed: DataFrame, plan, sink, checkpoint: str, trigger: dict) -> StreamingQuery:
     def each(batch: DataFrame, n: int) -> None:
-        closed = batch.persist()  # a plan reads its events several times, the state once
+        rows = batch.persist()  # a plan reads its events several times, the state once
         try:
-            sink(_replayed(closed, plan), n)
+            sink(plan(rows), n)
         finally:
-            closed.unpersist()
+            rows.unpersist()
 
-    return started(groups, groups.writeStream.foreachBatch(each), checkpoint, trigger)
+    return started(closed, closed.writeStream.foreachBatch(each), checkpoint, trigger)
 
 
 def start_append(results: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", **trigger) -> StreamingQuery:

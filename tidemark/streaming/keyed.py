@@ -1,6 +1,6 @@
-"""Operators that keep state by key: the finality gate by pool, and prices as of a time by token.
+"""Operators that keep state by key: the finality gate and open sessions by pool, and prices as of a time by token.
 
-Both keep their state in pieces (an entry for each block and part, an item for each round), so that a batch touches what it
+All keep their state in pieces (an entry for each block and part, an item for each round), so that a batch touches what it
 adds and what it lets go, and not all that is held. What a running or stopped stream holds can be read from its checkpoint.
 """
 
@@ -10,6 +10,7 @@ from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -28,8 +29,11 @@ PART_ROWS = 10_000
 REMEMBERED_SECONDS = 300
 
 _PREFIX = "spark.sql.streaming.stateStore."
-#: A batch uploads what it changes, not a copy of all files.
-_ROCKSDB = {f"{_PREFIX}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{_PREFIX}rocksdb.changelogCheckpointing.enabled": "true"}
+#: A batch uploads what it changes, not a copy of all files. Packed events go to Python in batches of bounded size.
+_ROCKSDB = {
+    f"{_PREFIX}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{_PREFIX}rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
+}
 
 
 @contextmanager
@@ -156,6 +160,114 @@ def finality_gate(events: DataFrame, depth: int = 64) -> DataFrame:
     return packed.groupBy("pairAddress").transformWithState(_Gate(depth), "rows binary", "Append", "None").mapInArrow(_unpacked, events.schema)
 
 
+#: Events of a pool without a pause longer than the gap, with the times of the first and last (microseconds).
+_STRETCHES = "pairAddress string, first long, last long, rows binary"
+
+
+def _stretches(gap: int):
+    """Cuts batches into stretches, whose events go on as one Arrow stream each; events without a time are left out."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table.filter(pc.is_valid(table["event_time"])).combine_chunks()
+            times = table["event_time"].cast(pa.timestamp("us", table["event_time"].type.tz)).cast(pa.int64())
+            order = pc.sort_indices(pa.table({"pool": table["pairAddress"], "time": times}), [("pool", "ascending"), ("time", "ascending")])
+            table, times = table.take(order).combine_chunks(), times.take(order).to_numpy()
+            pools = table["pairAddress"].to_pylist()
+            other = np.array([a != b for a, b in zip(pools, pools[1:], strict=False)], bool)
+            ends = [*(np.flatnonzero(other | (np.diff(times) > gap)) + 1).tolist(), len(pools)] if pools else []
+            begins = [0, *ends[:-1]] if pools else []
+            rows = [_stream_of(table.slice(a, b - a)) for a, b in zip(begins, ends, strict=True)]
+            columns = [pa.array([pools[a] for a in begins], batch.schema.field("pairAddress").type), pa.array([int(times[a]) for a in begins], pa.int64()), pa.array([int(times[b - 1]) for b in ends], pa.int64()), pa.array(rows, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["pairAddress", "first", "last", "rows"])
+
+    return run
+
+
+def _joined(spans: Iterable[tuple[int, int, int]], gap: int) -> list[tuple[int, list[tuple[int, int, int]]]]:
+    """Spans (first, last, part) by session, each with the time of its last event."""
+    out: list[tuple[int, list[tuple[int, int, int]]]] = []
+    for span in sorted(spans):
+        if out and span[0] - out[-1][0] <= gap:
+            last, spans = out[-1]
+            spans.append(span)
+            out[-1] = (max(last, span[1]), spans)
+        else:
+            out.append((span[1], [span]))
+    return out
+
+
+class _Sessions(StatefulProcessor):
+    """State of a pool: the spans of what it holds, the parts themselves, the next part's number and the time it wakes at.
+    Events are never looked into here, and a session is never one row, however many events it has."""
+
+    def __init__(self, gap: int):
+        self.gap = gap
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.spans = handle.getListState("spans", "first long, last long, part long")
+        self.parts = handle.getMapState("parts", "part long", "rows binary")
+        self.next = handle.getValueState("next", "part long, wakes long")
+
+    def _over(self, last: int, timerValues) -> bool:
+        return last + self.gap <= timerValues.getCurrentWatermarkInMs() * 1000
+
+    def _wake(self, last: int) -> int:
+        at = -(-(last + self.gap) // 1000) - 1  # timers go off once the watermark is past them
+        self.handle.registerTimer(at)
+        return at
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        part, wakes = self.next.get() if self.next.exists() else (0, None)
+        new = []
+        for row in rows:
+            self.parts.updateValue((part,), (bytes(row["rows"]),))
+            new.append((row["first"], row["last"], part))
+            part += 1
+        if any(self._over(last, timerValues) for _, last, _ in new):  # late, unless they join what is held
+            fresh = {span[2] for span in new}
+            for last, spans in _joined([*map(tuple, self.spans.get()), *new], self.gap):
+                if self._over(last, timerValues) and fresh.issuperset(span[2] for span in spans):
+                    for span in spans:
+                        self.parts.removeKey((span[2],))
+                        new.remove(span)
+        if new:
+            self.spans.appendList(new)
+            soonest = min(last for _, last, _ in new)
+            if wakes is None or soonest + self.gap < wakes * 1000:
+                wakes = self._wake(soonest)
+        self.next.update((part, wakes))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        left = []
+        for last, spans in _joined(map(tuple, self.spans.get()), self.gap):
+            if not self._over(last, timerValues):
+                left.append((last, spans))
+                continue
+            for _, _, part in spans:
+                yield Row(rows=bytes(self.parts.getValue((part,))[0]))
+                self.parts.removeKey((part,))
+        held = [span for _, spans in left for span in spans]
+        self.spans.put(held) if held else self.spans.clear()
+        part, _ = self.next.get()
+        self.next.update((part, self._wake(min(last for last, _ in left)) if left else None))
+
+    def close(self) -> None:
+        pass
+
+
+def closed_sessions(events: DataFrame, gap: int) -> DataFrame:
+    """Events of a pool (with event_time under a watermark, and seq) once their session is over: the watermark is `gap` seconds past
+    its last event. Events come out as they are, many to a row of state and none in one row with all of its session. Those
+    whose session is over by the watermark of their batch are late, and left out unless they join one that is still held."""
+    us = gap * 1_000_000
+    stretches = events.mapInArrow(_stretches(us), _STRETCHES)
+    return stretches.groupBy("pairAddress").transformWithState(_Sessions(us), "rows binary", "Append", "EventTime").mapInArrow(_unpacked, events.schema)
+
+
 def _state(spark: SparkSession, checkpoint: str, name: str, operator: int) -> DataFrame:
     return spark.read.format("statestore").option("path", checkpoint).option("operatorId", operator).option("stateVarName", name).load()
 
