@@ -376,7 +376,7 @@ def stream_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = broken
         for kind in kinds:
             rows = rows.unionByName(made[kind])
-        rows.select(F.encode("value", "UTF-8").alias("value")).coalesce(1).write.parquet(paths[stream])
+        rows.select(F.encode("value", "UTF-8").alias("value")).write.parquet(paths[stream])
     out = new_folder(spark, "topics")
     read = lambda stream: jobs.read_files(spark, paths[stream], spark.createDataFrame([], "value binary").schema)
     sink = lambda rows, n, topic: sinks.commit(_essence(rows, topic), n, out, topic)
