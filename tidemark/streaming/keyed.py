@@ -6,11 +6,11 @@ adds and what it lets go, and not all that is held. What a running or stopped st
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -290,59 +290,67 @@ def counters(query: StreamingQuery) -> dict[str, int]:
     return {"size": sum(o.get("numRowsTotal", 0) for o in batches[-1]) if batches else 0, "removed": total("numRowsRemoved"), "late": total("numRowsDroppedByWatermark")}
 
 
+#: A round of prices as it is held: its time, its answer and whether it has one.
+_ROUND = np.dtype([("at", "<i8"), ("usd", "<f8"), ("known", "?")])
+#: Rounds in one piece of state, at most.
+_PIECE = 100_000
+
+
+def _greatest(rounds: np.ndarray) -> np.ndarray:
+    """Rounds by time; of those at one time, the greatest answer."""
+    rounds = rounds[np.lexsort((rounds["usd"], rounds["known"], rounds["at"]))]
+    return rounds[np.append(rounds["at"][1:] != rounds["at"][:-1], True)] if len(rounds) else rounds
+
+
 class _Prices(StatefulProcessor):
-    """State of a token: rounds that may still be asked for, open questions, and the answer given last."""
+    """State of a token: rounds that may still be asked for (arrays of many), open questions, and the answer given last."""
 
     def __init__(self, stale: int, remembered: int):
         self.stale, self.remembered = stale, remembered
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.rounds = handle.getListState("rounds", "at long, usd double")
+        self.rounds = handle.getListState("rounds", "rows binary")
         self.asked = handle.getListState("asked", "at long")
         self.answered = handle.getValueState("answered", "at long, usd double")
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        asked, rounds = set(), []
-        for row in rows:
-            if row["question"]:
-                asked.add(row["at"])
-            else:
-                rounds.append((row["at"], row["usd"]))
-        if rounds:
-            self.rounds.appendList(rounds)
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        asked: set[int] = set()
+        for frame in rows:
+            at, question = frame["at"].to_numpy(np.int64), frame["question"].to_numpy(bool)
+            asked.update(at[question].tolist())
+            found = np.zeros(np.count_nonzero(~question), _ROUND)
+            found["at"], found["known"] = at[~question], frame["known"].to_numpy(bool)[~question]
+            found["usd"] = np.where(found["known"], frame["usd"].to_numpy(np.float64)[~question], 0.0)
+            if len(found):
+                self.rounds.appendValue((_greatest(found).tobytes(),))
         if asked:
             self.asked.appendList([(at,) for at in sorted(asked)])
             self.handle.registerTimer(min(asked) * 1000)
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         asked = sorted({at for (at,) in self.asked.get()})
         due = [at for at in asked if at * 1000 <= now]
         if not due:
             return
-        latest: dict[int, float | None] = {}
-        for at, usd in self.rounds.get():
-            latest[at] = usd if latest.get(at) is None or usd is not None and usd > latest[at] else latest[at]  # of rounds at one time, the greater answer
-        times, out = sorted(latest), []
+        rounds = _greatest(np.concatenate([np.zeros(0, _ROUND), *(np.frombuffer(bytes(rows), _ROUND) for (rows,) in self.rounds.get())]))
+        times, out = rounds["at"], []
         last = self.answered.get() if self.answered.exists() else None
-        for at in due:
+        for at, k in zip(due, (np.searchsorted(times, due, "right") - 1).tolist(), strict=True):
             if last is None or at - last[0] >= self.remembered:
-                k = bisect_right(times, at) - 1
-                last = (at, latest[times[k]] if k >= 0 and at - times[k] <= self.stale else None)
-            out.append((at, last[1]))
+                last = (at, float(rounds["usd"][k]) if k >= 0 and rounds["known"][k] and at - int(times[k]) <= self.stale else None)
+            out.append(last[1])
         self.answered.update(last)
         rest = [at for at in asked if at * 1000 > now]
         self.asked.put([(at,) for at in rest]) if rest else self.asked.clear()
         if rest:
             self.handle.registerTimer(rest[0] * 1000)
         # Later questions are for later times: of the rounds up to now they need the last one only.
-        past = bisect_right(times, now // 1000) - 1
-        left = [(t, latest[t]) for t in times[max(past, 0) :]]
-        self.rounds.put(left) if left else self.rounds.clear()
-        for at, usd in out:
-            yield Row(token=key[0], at=at, usd=usd)
+        left = rounds[max(int(np.searchsorted(times, now // 1000, "right")) - 1, 0) :]
+        self.rounds.put([(left[k : k + _PIECE].tobytes(),) for k in range(0, len(left), _PIECE)]) if len(left) else self.rounds.clear()
+        yield pd.DataFrame({"token": pd.Series([key[0]] * len(due), dtype=object), "at": due, "usd": pd.Series(out, dtype=object)})
 
     def close(self) -> None:
         pass
@@ -357,10 +365,10 @@ def price_stream(asked: DataFrame, rounds: DataFrame, stablecoins: list[str] | N
     Repeated questions for a token and time get one answer; those without a time get none. A token keeps the rounds of the
     lateness and one before, and asks at most once a second, which bounds the state of a hot one.
     """
-    asks = asked.select("token", F.col("at").cast("long").alias("at"), F.lit(None).cast("double").alias("usd"), F.lit(True).alias("question"), F.timestamp_seconds("at").alias("time"))
+    asks = asked.select("token", F.col("at").cast("long").alias("at"), F.lit(None).cast("double").alias("usd"), F.lit(False).alias("known"), F.lit(True).alias("question"), F.timestamp_seconds("at").alias("time"))
     usd = F.col("answer").cast("double") / F.pow(F.lit(10.0), "decimals")
-    facts = rounds.select("token", F.col("updatedAt").cast("long").alias("at"), usd.alias("usd"), F.lit(False).alias("question"), F.timestamp_seconds("updatedAt").alias("time"))
+    facts = rounds.select("token", F.col("updatedAt").cast("long").alias("at"), usd.alias("usd"), usd.isNotNull().alias("known"), F.lit(False).alias("question"), F.timestamp_seconds("updatedAt").alias("time"))
     late = lambda df: df.withWatermark("time", f"{lateness} seconds").where("at is not null")
     both = late(asks).unionByName(late(facts))
-    found = both.groupBy("token").transformWithState(_Prices(stale, remembered), "token string, at long, usd double", "Append", "EventTime")
+    found = both.groupBy("token").transformWithStateInPandas(_Prices(stale, remembered), "token string, at long, usd double", "Append", "EventTime")
     return found.withColumn("usd", F.when(F.col("token").isin(*stablecoins), 1.0).otherwise(F.col("usd"))) if stablecoins else found
