@@ -251,6 +251,17 @@ def stream_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("seq long, blockNumber long, address string").parquet(out)
 
 
+def dealt(rows: DataFrame, by: str, path: str, files: int) -> None:
+    """Writes rows to a folder in just so many files, so that a trigger of that many files takes the folder and no more; files that
+    no row falls to are empty."""
+    spark = rows.sparkSession
+    rows.repartition(files, by).write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    written = sum(f.getPath().getName().startswith("part-") for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where))
+    for _ in range(files - written):
+        spark.createDataFrame([], rows.schema).write.mode("append").parquet(path)
+
+
 #: Every fiftieth event comes late, by a seventh of all events; all come in six parts.
 LATE, PARTS = 50, 6
 
@@ -264,11 +275,11 @@ def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
     arrival = F.col("seq") + F.when(F.pmod("seq", F.lit(LATE)) == 0, size // 7).otherwise(0)
     part = F.floor(arrival * PARTS / (size + size // 7)).cast("int")
     path, at, out = new_folder(spark, "arriving"), new_folder(spark, "checkpoint"), new_folder(spark, "stream")
-    windows = None
+    files, windows = max(spark.sparkContext.defaultParallelism, 1), None
     for half in (range(PARTS // 2), range(PARTS // 2, PARTS)):
         for k in half:
-            events.where(part == k).coalesce(1).write.parquet(f"{path}/{k}")
-        windows = jobs.trading_stream(jobs.with_lateness(jobs.read_files(spark, f"{path}/*", events.schema, files_per_trigger=1)))
+            dealt(events.where(part == k), "seq", f"{path}/{k}", files)
+        windows = jobs.trading_stream(jobs.with_lateness(jobs.read_files(spark, f"{path}/*", events.schema, files_per_trigger=files)))
         _finish(jobs.start_append(windows, out, at, availableNow=True))
     return spark.read.schema(windows.schema).parquet(out)
 
