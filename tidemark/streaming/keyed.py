@@ -209,7 +209,7 @@ class _Sessions(StatefulProcessor):
         self.handle = handle
         self.spans = handle.getListState("spans", "first long, last long, part long")
         self.parts = handle.getMapState("parts", "part long", "rows binary")
-        self.next = handle.getValueState("next", "part long, wakes long")
+        self.next = handle.getValueState("next", "part long, wakes long, seen long")
 
     def _over(self, last: int, timerValues) -> bool:
         return last + self.gap <= timerValues.getCurrentWatermarkInMs() * 1000
@@ -220,16 +220,17 @@ class _Sessions(StatefulProcessor):
         return at
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        part, wakes = self.next.get() if self.next.exists() else (0, None)
+        part, wakes, seen = self.next.get() if self.next.exists() else (0, None, 0)
+        late = lambda last: last + self.gap <= seen * 1000  # noqa: E731 by the watermark that the pool was last looked at with
         new = []
         for row in rows:
             self.parts.updateValue((part,), (bytes(row["rows"]),))
             new.append((row["first"], row["last"], part))
             part += 1
-        if any(self._over(last, timerValues) for _, last, _ in new):  # late, unless they join what is held
+        if any(late(last) for _, last, _ in new):  # late, unless they join what is held
             fresh = {span[2] for span in new}
             for last, spans in _joined([*map(tuple, self.spans.get()), *new], self.gap):
-                if self._over(last, timerValues) and fresh.issuperset(span[2] for span in spans):
+                if late(last) and fresh.issuperset(span[2] for span in spans):
                     for span in spans:
                         self.parts.removeKey((span[2],))
                         new.remove(span)
@@ -238,7 +239,7 @@ class _Sessions(StatefulProcessor):
             soonest = min(last for _, last, _ in new)
             if wakes is None or soonest + self.gap < wakes * 1000:
                 wakes = self._wake(soonest)
-        self.next.update((part, wakes))
+        self.next.update((part, wakes, timerValues.getCurrentWatermarkInMs()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
@@ -252,8 +253,8 @@ class _Sessions(StatefulProcessor):
                 self.parts.removeKey((part,))
         held = [span for _, spans in left for span in spans]
         self.spans.put(held) if held else self.spans.clear()
-        part, _ = self.next.get()
-        self.next.update((part, self._wake(min(last for last, _ in left)) if left else None))
+        part = self.next.get()[0]
+        self.next.update((part, self._wake(min(last for last, _ in left)) if left else None, timerValues.getCurrentWatermarkInMs()))
 
     def close(self) -> None:
         pass
@@ -262,7 +263,7 @@ class _Sessions(StatefulProcessor):
 def closed_sessions(events: DataFrame, gap: int) -> DataFrame:
     """Events of a pool (with event_time under a watermark, and seq) once their session is over: the watermark is `gap` seconds past
     its last event. Events come out as they are, many to a row of state and none in one row with all of its session. Those
-    whose session is over by the watermark of their batch are late, and left out unless they join one that is still held."""
+    whose session was over when their pool was last looked at are late, and left out unless they join one that is still held."""
     us = gap * 1_000_000
     stretches = events.mapInArrow(_stretches(us), _STRETCHES)
     return stretches.groupBy("pairAddress").transformWithState(_Sessions(us), "rows binary", "Append", "EventTime").mapInArrow(_unpacked, events.schema)
