@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bound_batches, discard, free, grams, materialize, numbered, read, sliced, utf8, word_hashes
+from tidemark.llm.common import bound_batches, discard, free, grams, joined, materialize, numbered, read, sliced, utf8, word_hashes
 
 SHINGLE, RADIUS, SEED = 3, 3, 42
 SEGMENTS, SEGMENT_BITS = 2, 32
@@ -74,7 +74,7 @@ def close_links(distinct: DataFrame) -> DataFrame:
     places = distinct.select("fp", F.explode(ball(F.col("fp"))).alias("place"))
     # Partial aggregates leave one row of a place for each task, however many fingerprints meet there.
     least = places.groupBy("place").agg(F.min("fp").alias("a"), F.max("fp").alias("other")).where("a < other").select("place", "a")
-    return least.join(places, "place").where("fp > a").select("a", F.col("fp").alias("b")).distinct()
+    return joined(least, places, "place").where("fp > a").select("a", F.col("fp").alias("b")).distinct()
 
 
 def far_links(rooted: DataFrame) -> DataFrame:
@@ -85,16 +85,16 @@ def far_links(rooted: DataFrame) -> DataFrame:
     table = rooted.select("fp", "root", F.explode(F.array(*filed)).alias("place"))
     probes = rooted.select("fp", "root", F.explode(F.array(*near)).alias("place"))
     occupied = table.groupBy("place").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    met = materialize(probes.join(occupied, "place").where((F.col("root") != F.col("low")) | (F.col("root") != F.col("high"))).select("place", "fp", "root"), "met")
+    met = materialize(joined(probes, occupied, "place").where((F.col("root") != F.col("low")) | (F.col("root") != F.col("high"))).select("place", "fp", "root"), "met")
     here = met.select("place").distinct()
-    table = materialize(table.join(here, "place", "left_semi"), "filed")
+    table = materialize(joined(table, here, "place", "left_semi"), "filed")
     counts = table.groupBy("place", "root").agg(F.count("*").alias("n"))
     main = counts.groupBy("place").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
     a = met.select("place", F.col("fp").alias("a"), F.col("root").alias("ra"))
-    b = table.join(main, "place").select("place", F.col("fp").alias("b"), F.col("root").alias("rb"), "main")
+    b = joined(table, main, "place").select("place", F.col("fp").alias("b"), F.col("root").alias("rb"), "main")
     # Strangers meet all members of a place, members of its main component meet strangers only.
-    strangers = a.join(main, "place").where("ra <> main").drop("main").join(b.drop("main"), "place")
-    members = a.join(main, "place").where("ra = main").drop("main").join(b.where("rb <> main").drop("main"), "place")
+    strangers = joined(joined(a, main, "place").where("ra <> main").drop("main"), b.drop("main"), "place")
+    members = joined(joined(a, main, "place").where("ra = main").drop("main"), b.where("rb <> main").drop("main"), "place")
     pairs = strangers.unionByName(members).where((F.col("ra") != F.col("rb")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS))
     out = materialize(pairs.groupBy(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.count("*").alias("n")).select("a", "b"), "far")
     discard(rooted.sparkSession, met, table)
@@ -118,11 +118,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
         before = now
         of = lambda end, name: labels.select(F.col("node").alias(end), F.col("root").alias(name))  # noqa: E731, B023
-        seen = both.join(of("b", "rb"), "b").groupBy("a").agg(F.min("rb").alias("rb")).join(of("a", "ra"), "a")  # the least root next to each node
+        seen = joined(joined(both, of("b", "rb"), "b").groupBy("a").agg(F.min("rb").alias("rb")), of("a", "ra"), "a")  # the least root next to each node
         told = seen.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("rb").alias("root")), F.struct(F.col("ra").alias("node"), F.col("rb").alias("root")))).alias("x")).select("x.*")
         hooked = materialize(told.unionByName(labels).groupBy("node").agg(F.min("root").alias("root")), "hooked")
         up = hooked.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        after = materialize(hooked.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "labels")
+        after = materialize(joined(hooked, up, "root", "left").select("node", F.coalesce("above", "root").alias("root")), "labels")
         discard(spark, labels, hooked)
         labels = after
 
@@ -130,7 +130,7 @@ def components(edges: DataFrame) -> DataFrame:
 def stars(links: DataFrame) -> DataFrame:
     """Fewer links that connect the same: each b goes with the least of its partners, and so do these."""
     least = links.groupBy("b").agg(F.min("a").alias("least"))
-    others = links.join(least, "b").where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))
+    others = joined(links, least, "b").where("a <> least").select(F.col("least").alias("a"), F.col("a").alias("b"))
     return least.select(F.col("least").alias("a"), "b").unionByName(others).distinct()
 
 
@@ -139,11 +139,11 @@ def linked(distinct: DataFrame) -> DataFrame:
     spark = distinct.sparkSession
     close = materialize(close_links(distinct), "close")
     labels = components(stars(close))
-    rooted = materialize(distinct.select("fp").join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = materialize(joined(distinct.select("fp"), labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "rooted")
     discard(spark, close, labels)
     far = far_links(rooted)
     above = components(stars(far)).select(F.col("node").alias("root"), F.col("root").alias("above"))
-    return materialize(rooted.join(above, "root", "left").select("fp", F.coalesce("above", "root").alias("root")), "linked")
+    return materialize(joined(rooted, above, "root", "left").select("fp", F.coalesce("above", "root").alias("root")), "linked")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -158,11 +158,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     prints = materialize(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle), "prints")
     classes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = linked(classes)
-    rooted = classes.join(roots, "fp")
+    rooted = joined(classes, roots, "fp")
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = materialize(rooted.join(named, "root").select("fp", "component_id"), "named")
+    table = materialize(joined(rooted, named, "root").select("fp", "component_id"), "named")
     discard(spark, classes, roots)
-    return prints.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return joined(prints, table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: For whole-document similarity: words of a shingle, and the least share (of 10) of all shingles of two rows that both have.
@@ -220,7 +220,7 @@ def can_be_alike(pairs: DataFrame, prints: DataFrame) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(can, pa.bool_()))
 
     of = lambda end: prints.select(F.col("_row").alias(end), F.col("counters").alias(f"c{end}"), F.col("size").alias(f"n{end}"))
-    return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").mapInArrow(run, "a long, b long")
+    return joined(joined(pairs.select("a", "b"), of("a"), "a"), of("b"), "b").mapInArrow(run, "a long, b long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def verified(pairs: DataFrame, docs: DataFrame, prints: DataFrame) -> DataFrame:
     sets = materialize(some.mapInArrow(cut, "_row long, s array<long>"), "sets")
 
     of = lambda end: sets.select(F.col("_row").alias(end), F.col("s").alias(f"s{end}"))
-    out = materialize(pairs.join(of("a"), "a").join(of("b"), "b").where(alike(F.col("sa"), F.col("sb"))).select("a", "b"), "links")
+    out = materialize(joined(joined(pairs, of("a"), "a"), of("b"), "b").where(alike(F.col("sa"), F.col("sb"))).select("a", "b"), "links")
     discard(docs.sparkSession, sets, pairs)
     return out
 
@@ -280,14 +280,14 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     prints = materialize(docs.select("_row", "text").mapInArrow(run, "_row long, digest binary, size long, counters binary, fp long"), "prints")
     sized = materialize(prints.groupBy("digest").agg(F.min("_row").alias("id"), F.min("size").alias("size"), F.min_by("fp", "_row").alias("fp")).select("id", "size", "fp"), "classes")
     classes = sized.select("id")
-    met = meetings(docs, sized.agg(F.sum("size")).first()[0] or 0).join(classes, "id", "left_semi")
+    met = joined(meetings(docs, sized.agg(F.sum("size")).first()[0] or 0), classes, "id", "left_semi")
     met = materialize(met, "met")
     least = met.groupBy("place").agg(F.min(F.struct("id", "size", "at")).alias("rep"), F.count("*").alias("n")).where("n > 1").select("place", "rep")
-    votes = met.join(least, "place").where((F.col("rep.id") < F.col("id")) & possible("size", "at", "rep.size", "rep.at")).groupBy("id", F.col("rep.id").alias("rep")).agg(F.count("*").alias("n"))
+    votes = joined(met, least, "place").where((F.col("rep.id") < F.col("id")) & possible("size", "at", "rep.size", "rep.at")).groupBy("id", F.col("rep.id").alias("rep")).agg(F.count("*").alias("n"))
     # One comparison for each row to begin with: the least of those that it meets at half as many places as any or more.
     votes = materialize(votes, "votes")
     most = votes.groupBy("id").agg(F.max("n").alias("most"))
-    first = votes.join(most, "id").where("2 * n >= most").groupBy("id").agg(F.min("rep").alias("rep"))
+    first = joined(votes, most, "id").where("2 * n >= most").groupBy("id").agg(F.min("rep").alias("rep"))
     first = first.select(F.col("id").alias("a"), F.col("rep").alias("b"))
     near = verified(first.unionByName(simhash_pairs(sized)).distinct(), docs, prints)
     discard(spark, votes)
@@ -304,9 +304,9 @@ def simhash_pairs(sized: DataFrame) -> DataFrame:
     """Pairs a, b of ids (columns id, fp) whose fingerprints links of 3 or fewer differing bits connect: each id with the least of its component."""
     classes = materialize(sized.select("fp").distinct(), "fingerprints")
     roots = linked(classes)
-    of = sized.select("id", "fp").join(roots, "fp")
+    of = joined(sized.select("id", "fp"), roots, "fp")
     least = of.groupBy("root").agg(F.min("id").alias("b"))
-    out = materialize(of.join(least, "root").where("id > b").select(F.col("id").alias("a"), "b"), "alike")
+    out = materialize(joined(of, least, "root").where("id > b").select(F.col("id").alias("a"), "b"), "alike")
     discard(sized.sparkSession, classes, roots)
     return out
 
@@ -383,24 +383,24 @@ def apart(met: DataFrame, groups: DataFrame) -> tuple[DataFrame, list[DataFrame]
     Of each place, the rows outside its largest group meet all rows of other groups; the rows of that group do not meet
     each other, so a large group of copies brings as many pairs as there are strangers among it.
     """
-    rows = met.join(groups, "id")
+    rows = joined(met, groups, "id")
     different = rows.groupBy("place").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("place")
-    mixed = materialize(rows.join(different, "place"), "mixed")
+    mixed = materialize(joined(rows, different, "place"), "mixed")
     counts = mixed.groupBy("place", "root").agg(F.count("*").alias("n"))
     main = counts.groupBy("place").agg(F.max(F.struct("n", "root"))["root"].alias("main"))
-    rows = mixed.join(main, "place")
+    rows = joined(mixed, main, "place")
     x, y = (rows.select("place", *[F.col(c).alias(f"{c}_{end}") for c in ("id", "size", "at", "root", "main")]) for end in "xy")
     minor = x.where("root_x <> main_x")
     can = possible("size_x", "at_x", "size_y", "at_y")
     once = (F.col("root_y") == F.col("main_y")) | (F.col("id_x") < F.col("id_y"))
-    pairs = minor.join(y, "place").where((F.col("root_x") != F.col("root_y")) & once & can)
+    pairs = joined(minor, y, "place").where((F.col("root_x") != F.col("root_y")) & once & can)
     return pairs.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct(), [mixed]
 
 
 def rooted(classes: DataFrame, near: DataFrame) -> DataFrame:
     """id, root: the least id that links a, b lead to, for every id of classes."""
     labels = components(stars(near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))))
-    out = materialize(classes.join(labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")), "rooted")
+    out = materialize(joined(classes, labels.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("root")), "rooted")
     discard(classes.sparkSession, labels)
     return out
 
