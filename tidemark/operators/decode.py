@@ -55,7 +55,7 @@ def parse_envelopes(raw: DataFrame, value: str = "value") -> DataFrame:
     text = F.col(value).cast("string")
     parsed = F.try_parse_json(F.when(F.is_valid_utf8(text), text))
     judged = _once(_once(parsed, lambda v: _checked(F.col(value), v)), _judged)
-    out = raw.withColumn("_j", judged)
+    out = raw.select("*", F.explode(F.array(judged)).alias("_j"))  # one row of each; a plain column would be worked out anew at each use of a field
     return out.select("*", F.col("_j.type").alias("type"), F.col("_j.error").alias("error"), F.when(F.col("_j.error").isNull(), F.col("_j.body")).alias("body")).drop("_j")
 
 
@@ -149,25 +149,32 @@ def avro_encode(record: dict, schema: T.StructType) -> bytes:
     return bytes(out)
 
 
-def _decode_column(kind: str):
-    schema = schemas.EVENTS[kind]
+def _fields(kinds: list[str]) -> T.StructType:
+    """The columns of all these kinds of events."""
+    return T.StructType(list({f.name: f for k in kinds for f in schemas.EVENTS[k].fields}.values()))
+
+
+def _decoder(kinds: list[str]):
+    fields = _fields(kinds)
 
-    @F.pandas_udf(T.StructType([T.StructField("record", schema), T.StructField("failed", T.StringType())]))
-    def decode(bodies: pd.Series) -> pd.DataFrame:
-        records, failed = [], []
-        for raw in bodies:
-            record = reason = None
+    @F.pandas_udf(T.StructType([*fields.fields, T.StructField("failed", T.StringType())]))
+    def decode(types: pd.Series, bodies: pd.Series) -> pd.DataFrame:
+        columns, failed = {name: [] for name in fields.names}, []
+        for kind, raw in zip(types, bodies, strict=True):
+            record, reason = {}, None
             try:
-                record = None if raw is None else avro_decode(raw, schema)
+                record = {} if raw is None else avro_decode(raw, schemas.EVENTS[kind])
             except (ValueError, IndexError, struct.error):
                 reason = AVRO
             except Exception:  # noqa: BLE001 one message must not end a job
                 reason = UNKNOWN
-            records.append(record)
+            for name, column in columns.items():
+                column.append(record.get(name))
             failed.append(reason)
-        return pd.DataFrame({"record": pd.Series(records, dtype=object), "failed": pd.Series(failed, dtype=object)})
+        return pd.DataFrame({name: pd.Series(column, dtype=object) for name, column in {**columns, "failed": failed}.items()})
 
-    return decode
+    # Else Spark runs it once more for each filter on what it gives.
+    return decode.asNondeterministic()
 
 
 def decoded(raw: DataFrame, stream: str, value: str = "value") -> DataFrame:
@@ -175,12 +182,11 @@ def decoded(raw: DataFrame, stream: str, value: str = "value") -> DataFrame:
     of events, from one pass over them: a message is parsed once, and its body decoded once."""
     routed = route(parse_envelopes(raw, value), stream)
     kinds = ["Swap"] if stream == "trading" else ["Mint", "Burn", "Transfer"]
-    body = lambda kind: F.when((F.col("eventType") == kind) & F.col("error").isNull(), F.col("body"))
-    rows = routed.select(F.col(value).alias("_message"), F.col("error").alias("_error"), "eventType", *[_decode_column(k)(body(k)).alias(f"_{k}") for k in kinds])
-    fields = {f.name: None for k in kinds for f in schemas.EVENTS[k].fields}
-    of = lambda name: F.coalesce(*[F.col(f"_{k}.record.{name}") for k in kinds if name in schemas.EVENTS[k].names])
-    failed = F.coalesce("_error", *[F.col(f"_{k}.failed") for k in kinds])
-    return rows.select("_message", failed.alias("_error"), F.when(failed.isNull(), F.col("eventType")).alias("eventType"), *[of(name).alias(name) for name in fields], F.timestamp_seconds(of("blockTimestamp")).alias("event_time"))
+    body = F.when(F.col("eventType").isin(*kinds) & F.col("error").isNull(), F.col("body"))
+    rows = routed.select(F.col(value).alias("_message"), F.col("error").alias("_error"), "eventType", _decoder(kinds)(F.col("eventType"), body).alias("_record"))
+    of = lambda name: F.col(f"_record.{name}")
+    failed = F.coalesce("_error", of("failed"))
+    return rows.select("_message", failed.alias("_error"), F.when(failed.isNull(), F.col("eventType")).alias("eventType"), *[of(name).alias(name) for name in _fields(kinds).names], F.timestamp_seconds(of("blockTimestamp")).alias("event_time"))
 
 
 def split(decoded_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -212,7 +218,8 @@ def encode_bodies(events: DataFrame, kind: str) -> DataFrame:
             failed.append(reason)
         return pd.DataFrame({"body": pd.Series(bodies, dtype=object), "failed": pd.Series(failed, dtype=object)})
 
-    made = events.where(F.col("eventType") == kind).withColumn("_e", encode(F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])))
+    # Told to be nondeterministic, as it would else run once more for each filter on what it gives.
+    made = events.where(F.col("eventType") == kind).withColumn("_e", encode.asNondeterministic()(F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])))
     return made.withColumns({"body": F.col("_e.body"), "encodeError": F.col("_e.failed")}).drop("_e")
 
 
