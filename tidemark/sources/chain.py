@@ -122,22 +122,29 @@ def arrival(block: Column, log_index: Column) -> Column:
 def enrich(parsed: DataFrame, blocks: DataFrame, receipts: DataFrame, tokens: DataFrame, pairs: DataFrame, price_rounds: DataFrame, stablecoins: list[str] = STABLECOINS) -> DataFrame:
     """Events of parsed logs: block time, gas (swaps), symbols, price and USD volume (swaps). Logs with errors, and those of unknown blocks, are left out."""
     located = parsed.where("error is null").join(blocks, "blockNumber").join(receipts, "transactionHash", "left")
-    return described(located, tokens, pairs, price_rounds, stablecoins)
+    return described(located, named_pools(tokens, pairs), price_rounds, stablecoins)
 
 
-def described(located: DataFrame, tokens: DataFrame, pairs: DataFrame, price_rounds: DataFrame, stablecoins: list[str] = STABLECOINS) -> DataFrame:
-    """Events of parsed logs that have blockTimestamp, gasUsed and effectiveGasPrice: with pools, symbols, prices and volumes."""
+def named_pools(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs with the symbols of their tokens."""
     symbols = symbols_of(tokens)
     of = lambda k: symbols.select(F.col("token").alias(f"token{k}"), F.col("symbol").alias(f"token{k}Symbol"))
-    rows = located.withColumn("pairAddress", F.lower("address")).join(pairs, "pairAddress")
-    rows = rows.join(of(0), "token0", "left").join(of(1), "token1", "left")
+    return pairs.join(of(0), "token0", "left").join(of(1), "token1", "left")
+
+
+def described(located: DataFrame, pools: DataFrame, price_rounds: DataFrame, stablecoins: list[str] = STABLECOINS) -> DataFrame:
+    """Events of parsed logs that have blockTimestamp, gasUsed and effectiveGasPrice: with pools, symbols, prices and volumes."""
+    rows = located.withColumn("pairAddress", F.lower("address")).join(pools, "pairAddress")
     rows = rows.withColumn("seq", arrival(F.col("blockNumber"), F.col("logIndex")))
-    # One price for each token and time, whatever number of logs asks for it.
-    asked = rows.select(F.explode(F.array("token0", "token1")).alias("token"), F.col("blockTimestamp").alias("at")).distinct().withColumn("id", F.lit(0))
+    # One price for each token and time, whatever number of logs asks for it; both prices of a pool's tokens reach its logs by one join.
+    moments = rows.select(F.col("token0").alias("_token0"), F.col("token1").alias("_token1"), F.col("blockTimestamp").alias("_at")).distinct()
+    asked = moments.select(F.explode(F.array("_token0", "_token1")).alias("token"), F.col("_at").alias("at")).distinct().withColumn("id", F.lit(0))
     prices = usd_prices(asked, price_rounds, stablecoins)
     for k in (0, 1):
-        of_token = prices.select(F.col("token").alias(f"token{k}"), F.col("at").alias("blockTimestamp"), F.col("usd").alias(f"_usd{k}"))
-        rows = rows.join(of_token, [f"token{k}", "blockTimestamp"], "left")
+        of_token = prices.select(F.col("token").alias(f"_token{k}"), F.col("at").alias("_at"), F.col("usd").alias(f"_usd{k}"))
+        moments = moments.join(of_token, [f"_token{k}", "_at"], "left")
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in (("token0", "_token0"), ("token1", "_token1"), ("blockTimestamp", "_at"))]
+    rows = rows.join(moments, same[0] & same[1] & same[2], "left")
     amounts = [F.col(c) for c in ("amount0In", "amount1In", "amount0Out", "amount1Out")]
     swap = F.col("eventType") == "Swap"
     price = S.price_from_amounts(*amounts, F.col("decimals0"), F.col("decimals1"))

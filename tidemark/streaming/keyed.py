@@ -35,12 +35,24 @@ _ROCKSDB = {
     "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
 }
 
+#: A join of streams keeps one database for each part, not four, and those of an executor share this memory (in MB).
+_JOINS = {"spark.sql.streaming.join.stateFormatVersion": "3", f"{_PREFIX}rocksdb.boundedMemoryUsage": "true", f"{_PREFIX}rocksdb.maxMemoryUsageMB": "1000"}
+#: Parts that a join of streams keeps its state in, at most, if the cluster has no more cores than a quarter of it; else four for each
+#: core. Each part has databases of its own, with files and memory that do not depend on what they hold.
+JOIN_PARTS = 48
+
+
+def _join_settings(spark: SparkSession) -> dict[str, str]:
+    most = max(JOIN_PARTS, 4 * spark.sparkContext.defaultParallelism)
+    return _JOINS | {"spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), most))}
+
 
 @contextmanager
-def rocksdb(spark: SparkSession):
+def rocksdb(spark: SparkSession, joins: bool = False):
     """Streams that are started inside keep their state in RocksDB, on disk and in pieces; the session is left as it was."""
-    was = {name: spark.conf.get(name, None) for name in _ROCKSDB}
-    for name, value in _ROCKSDB.items():
+    settings = _ROCKSDB | (_join_settings(spark) if joins else {})
+    was = {name: spark.conf.get(name, None) for name in settings}
+    for name, value in settings.items():
         spark.conf.set(name, value)
     try:
         yield
@@ -49,9 +61,9 @@ def rocksdb(spark: SparkSession):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def started(results: DataFrame, writer: DataStreamWriter, checkpoint: str, trigger: dict) -> StreamingQuery:
-    """Starts a stream that keeps its state in RocksDB."""
-    with rocksdb(results.sparkSession):
+def started(results: DataFrame, writer: DataStreamWriter, checkpoint: str, trigger: dict, joins: bool = False) -> StreamingQuery:
+    """Starts a stream that keeps its state in RocksDB; joins: it joins streams with one another."""
+    with rocksdb(results.sparkSession, joins):
         return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 

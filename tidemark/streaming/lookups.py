@@ -23,24 +23,30 @@ from tidemark.streaming.keyed import started
 
 #: What a log that no block came for is called in its error row.
 NO_BLOCK = "unknown block"
+#: Pools sent whole to every executor, at most. Streams do not split the many logs of one pool, as a join by shuffle would need.
+BROADCAST_POOLS = 100_000
 
 
 def located(logs: DataFrame, blocks: DataFrame, receipts: DataFrame, wait: int = 600, lateness: int = 60) -> DataFrame:
     """Parsed logs with blockTimestamp, gasUsed and effectiveGasPrice, each null where no block or receipt came in time.
 
     All three streams have seenAt, the time they were seen. A matched log goes out at once, another when the watermark (of the
-    slowest stream) is `wait` past it. Two left outer joins, one after the other; logs that are no events carry their error
-    and wait like the rest.
+    slowest stream) is `wait` past it. Two left outer joins, one after the other; logs wait as they came, and are parsed when
+    they go out. Those that are no events wait like the rest.
     """
     late = lambda df, name: df.withColumnRenamed("seenAt", name).withWatermark(name, f"{lateness} seconds")
     span = F.expr(f"INTERVAL {wait} SECONDS")
     near = lambda name: F.col(name).between(F.col("seenAt") - span, F.col("seenAt") + span)
     gas = late(receipts.select(F.col("transactionHash").alias("_tx"), "gasUsed", "effectiveGasPrice", "seenAt"), "_gasAt")
     times = late(blocks.select(F.col("blockNumber").alias("_block"), "blockTimestamp", "seenAt"), "_blockAt")
-    rows = chain.parse_logs(late(logs, "seenAt"))
-    rows = rows.join(gas, (F.col("transactionHash") == F.col("_tx")) & near("_gasAt"), "left")
+    rows = late(logs, "seenAt").join(gas, (F.col("transactionHash") == F.col("_tx")) & near("_gasAt"), "left")
     rows = rows.join(times, (F.col("blockNumber") == F.col("_block")) & near("_blockAt"), "left")
-    return rows.drop("_tx", "_gasAt", "_block", "_blockAt")
+    return chain.parse_logs(rows.drop("_tx", "_gasAt", "_block", "_blockAt"))
+
+
+def few(pools: DataFrame) -> DataFrame:
+    """Pools, marked to be sent to every executor if they are few."""
+    return F.broadcast(pools) if pools.limit(BROADCAST_POOLS + 1).count() <= BROADCAST_POOLS else pools
 
 
 def start_events(logs: DataFrame, blocks: DataFrame, receipts: DataFrame, tokens: DataFrame, pairs: DataFrame, rounds: DataFrame, stablecoins: list[str], sink: Callable[[DataFrame, int], None], lost: Callable[[DataFrame, int], None], checkpoint: str, wait: int = 600, lateness: int = 60, **trigger) -> StreamingQuery:
@@ -51,13 +57,13 @@ def start_events(logs: DataFrame, blocks: DataFrame, receipts: DataFrame, tokens
         rows = batch.persist()
         try:
             good = F.col("error").isNull() & F.col("blockTimestamp").isNotNull()
-            sink(chain.described(rows.where(good), tokens, pairs, rounds, stablecoins), n)
+            sink(chain.described(rows.where(good), few(chain.named_pools(tokens, pairs)), rounds, stablecoins), n)
             lost(rows.where(~good).withColumn("error", F.coalesce("error", F.lit(NO_BLOCK))).drop("blockTimestamp", "gasUsed", "effectiveGasPrice"), n)
         finally:
             rows.unpersist()
 
     rows = located(logs, blocks, receipts, wait, lateness)
-    return started(rows, rows.writeStream.outputMode("append").foreachBatch(each), checkpoint, trigger)
+    return started(rows, rows.writeStream.outputMode("append").foreachBatch(each), checkpoint, trigger, joins=True)
 
 
 def event_schema(spark: SparkSession) -> StructType:
@@ -65,7 +71,7 @@ def event_schema(spark: SparkSession) -> StructType:
     none = lambda schema: spark.createDataFrame([], schema)
     located_logs = chain.parse_logs(none(LOGS)).selectExpr("*", "0L AS blockTimestamp", "0L AS gasUsed", "'' AS effectiveGasPrice")
     pools, rounds = none("pairAddress string, token0 string, token1 string, decimals0 int, decimals1 int"), none("token string, updatedAt long, answer string, decimals int")
-    return chain.described(located_logs, none("token string, symbol string"), pools, rounds, []).schema
+    return chain.described(located_logs, chain.named_pools(none("token string, symbol string"), pools), rounds, []).schema
 
 
 #: The topic of logs that are no events, or of blocks that never came.
