@@ -62,7 +62,7 @@ def event_times(events: DataFrame) -> DataFrame:
 
 
 def alert_descriptions(events: DataFrame) -> DataFrame:
-    return sessions.sandwiches(events, GAP).unionByName(sessions.jit_liquidity(events, GAP)).select("alertType", "windowStart", "pairAddress", "blockNumber", "attackerAddress", "description")
+    return sessions.descriptions(events, GAP)
 
 
 def raw_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
