@@ -132,6 +132,12 @@ class Computed(api.Analytics):
     found = cached_property(lambda self: sessions.alerts(self.events, GAP))
     trends = cached_property(lambda self: trading.market_trends(self.events))
 
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """Pools that any table has, without making a table: a swap gives a trading window and any other event a liquidity window;
+        trends and alerts are of pools that have swaps."""
+        return store.tracked_pairs(self.events.where(F.col("event_time").isNotNull() & F.col("eventType").isin("Swap", "Mint", "Burn", "Transfer")))
+
 
 def _tables(spark: SparkSession, sf_dir: str) -> api.Analytics:
     return Computed(exchange_events(spark, sf_dir))
@@ -253,7 +259,7 @@ QUERIES = {
     "leaderboard": lambda s, d: store.leaderboard(_health(s, d)).select("pairAddress", "overallScore", "trend"),
     "analytics_summary": lambda s, d: _tables(s, d).summary(),
     "pair_summaries": lambda s, d: _tables(s, d).pair_summaries(NOW),
-    "tracked_pairs": lambda s, d: (lambda t: store.tracked_pairs(t.trading, t.liquidity, t.found, t.trends))(_tables(s, d)),
+    "tracked_pairs": lambda s, d: _tables(s, d).pairs,
     "retention_view": lambda s, d: store.retained(_tables(s, d).trading, NOW, 168),
     "enriched_swaps": _on_events(enriched_swaps),
     "price_asof": price_asof,
