@@ -170,11 +170,12 @@ def safety_score(found: Column) -> Column:
 
 
 def pool_health(trading: DataFrame, liquidity: DataFrame, found: DataFrame, trends: DataFrame, now: int, pairs: DataFrame | None = None) -> DataFrame:
-    """Scores of the last 24 hours for every pool (or those in pairs), with the latest trend of all time."""
+    """Scores of the last 24 hours for every pool (or those in pairs), with the latest trend of all time. found: alerts, or rows that
+    stand for a number of them (column alerts)."""
     day = lambda t, score="windowStart": t.where(F.col(score).between(now - DAY, now))
     t = day(trading).groupBy("pairAddress").agg(F.count("*").alias("_w"), F.coalesce(F.sum("volumeUSD"), F.lit(0.0)).alias("volumeUSD24h"), F.max("uniqueTraders").alias("_u"))
     lq = day(liquidity).groupBy("pairAddress").agg(F.count("*").alias("_l"))
-    al = day(found, "detectedAt").groupBy("pairAddress").agg(F.count("*").alias("_a"))
+    al = day(found, "detectedAt").groupBy("pairAddress").agg((F.sum("alerts") if "alerts" in found.columns else F.count("*")).alias("_a"))
     tr = trends.groupBy("pairAddress").agg(F.max_by("trend", F.struct("windowStart", "windowId")).alias("_t"))
     base = tracked_pairs(trading, liquidity, found, trends) if pairs is None else pairs.select("pairAddress")
     rows = reduce(lambda a, b: a.join(b, "pairAddress", "left"), [t, lq, al, tr], base)

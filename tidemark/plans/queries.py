@@ -131,6 +131,7 @@ class Computed(api.Analytics):
     liquidity = cached_property(lambda self: liquidity.liquidity_windows(self.events))
     found = cached_property(lambda self: sessions.alerts(self.events, GAP))
     trends = cached_property(lambda self: trading.market_trends(self.events))
+    counted = cached_property(lambda self: sessions.alert_counts(self.events, GAP))
 
     @cached_property
     def pairs(self) -> DataFrame:
@@ -138,6 +139,11 @@ class Computed(api.Analytics):
         trends and alerts are of pools that have swaps."""
         return store.tracked_pairs(self.events.where(F.col("event_time").isNotNull() & F.col("eventType").isin("Swap", "Mint", "Burn", "Transfer")))
 
+    def pool_health(self, now, pair=None) -> DataFrame:
+        """As of the tables, but alerts are counted and not made."""
+        pairs = self.pairs if pair is None else self.pairs.sparkSession.createDataFrame([(pair,)], "pairAddress string")
+        return store.pool_health(self.trading, self.liquidity, self.counted, self.trends, now, pairs)
+
 
 def _tables(spark: SparkSession, sf_dir: str) -> api.Analytics:
     return Computed(exchange_events(spark, sf_dir))
