@@ -204,7 +204,7 @@ def stream_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 def finality_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the gate still holds of each pool after all events have come over several triggers, read from the checkpoint."""
     events, at = in_files(exchange_events(spark, sf_dir), "seq", 5), new_folder(spark, "checkpoint")
-    _finish(jobs.start_append(jobs.finality_gate(events, 64), new_folder(spark, "stream"), at, availableNow=True))
+    _finish(jobs.start_append(jobs.finality_gate(events, 64), new_folder(spark, "stream"), at, few=True, availableNow=True))
     return keyed.pending(spark, at)
 
 
@@ -356,12 +356,12 @@ def _finish(query) -> None:
         raise query.exception()
 
 
-def _appended(plan):
+def _appended(plan, few: bool = False):
     """A stream that is run over all that is there, and the file sink that it wrote."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         results, out = plan(_stream(spark, sf_dir)), new_folder(spark, "stream")
-        _finish(jobs.start_append(results, out, new_folder(spark, "checkpoint"), availableNow=True))
+        _finish(jobs.start_append(results, out, new_folder(spark, "checkpoint"), few=few, availableNow=True))
         return spark.read.schema(results.schema).parquet(out)
 
     return run
@@ -429,7 +429,8 @@ QUERIES = {
     "expired_days": expired_days,
     "stream_trading": _appended(jobs.trading_stream),
     "stream_trends": _appended(jobs.trend_stream),
-    "stream_finality": _appended(lambda e: jobs.finality_gate(e, 64).select("pairAddress", "blockNumber", "seq", "price", "volumeUSD")),
+    # The gate holds what it is given: only the columns that are asked for, and what it looks at.
+    "stream_finality": _appended(lambda e: jobs.finality_gate(e.select("pairAddress", "blockNumber", "seq", "price", "volumeUSD", "eventType"), 64).drop("eventType"), few=True),
     "stream_liquidity": _sunk(lambda e, sink, at: jobs.start_liquidity(e, 60, sink, at, availableNow=True), liquidity.liquidity_windows),
     "stream_alerts": _sunk(lambda e, sink, at: jobs.start_alerts(e, GAP, lambda rows, n: sink(rows.drop("alertId", "description"), n), at, availableNow=True), lambda e: sessions.alerts(e, GAP).drop("alertId", "description")),
     "stream_engine": stream_engine,

@@ -89,9 +89,9 @@ def _start(closed: DataFrame, plan, sink, checkpoint: str, trigger: dict) -> Str
     return started(closed, closed.writeStream.foreachBatch(each), checkpoint, trigger)
 
 
-def start_append(results: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", **trigger) -> StreamingQuery:
-    """Exactly once: the file sink commits each batch by its number, and windowId names each row."""
-    return started(results, results.writeStream.outputMode("append").format(fmt).option("path", path), checkpoint, trigger)
+def start_append(results: DataFrame, path: str, checkpoint: str, fmt: str = "parquet", few: bool = False, **trigger) -> StreamingQuery:
+    """Exactly once: the file sink commits each batch by its number, and windowId names each row. few: as in started()."""
+    return started(results, results.writeStream.outputMode("append").format(fmt).option("path", path), checkpoint, trigger, few=few)
 
 
 def start_fan_out(results: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str, **trigger) -> StreamingQuery:

@@ -42,15 +42,15 @@ _JOINS = {"spark.sql.streaming.join.stateFormatVersion": "3", f"{_PREFIX}rocksdb
 JOIN_PARTS = 48
 
 
-def _join_settings(spark: SparkSession) -> dict[str, str]:
+def _few_parts(spark: SparkSession) -> dict[str, str]:
     most = max(JOIN_PARTS, 4 * spark.sparkContext.defaultParallelism)
-    return _JOINS | {"spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), most))}
+    return {"spark.sql.shuffle.partitions": str(min(int(spark.conf.get("spark.sql.shuffle.partitions")), most))}
 
 
 @contextmanager
-def rocksdb(spark: SparkSession, joins: bool = False):
+def rocksdb(spark: SparkSession, joins: bool = False, few: bool = False):
     """Streams that are started inside keep their state in RocksDB, on disk and in pieces; the session is left as it was."""
-    settings = _ROCKSDB | (_join_settings(spark) if joins else {})
+    settings = _ROCKSDB | (_JOINS if joins else {}) | (_few_parts(spark) if joins or few else {})
     was = {name: spark.conf.get(name, None) for name in settings}
     for name, value in settings.items():
         spark.conf.set(name, value)
@@ -61,14 +61,19 @@ def rocksdb(spark: SparkSession, joins: bool = False):
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
-def started(results: DataFrame, writer: DataStreamWriter, checkpoint: str, trigger: dict, joins: bool = False) -> StreamingQuery:
-    """Starts a stream that keeps its state in RocksDB; joins: it joins streams with one another."""
-    with rocksdb(results.sparkSession, joins):
+def started(results: DataFrame, writer: DataStreamWriter, checkpoint: str, trigger: dict, joins: bool = False, few: bool = False) -> StreamingQuery:
+    """Starts a stream that keeps its state in RocksDB; joins: it joins streams with one another; few: its state has few keys, and is
+    kept in as few parts as that of a join."""
+    with rocksdb(results.sparkSession, joins, few):
         return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-#: What tells of a pool's events of a block, without its columns being looked into.
-_PACKED = "pairAddress string, block long, flush boolean, rows binary, events long"
+#: What tells of a pool's events of a block, without its columns being looked into, and the part of the gate that it goes to.
+_PACKED = "pairAddress string, block long, flush boolean, rows binary, events long, shard int"
+#: Bytes of events that are packed together, about.
+PACK_BYTES = 32 << 20
+#: Parts that the gate deals the blocks of a pool to. Each hears of the pool's latest block with every batch.
+GATE_PARTS = 8
 
 
 def _stream_of(table: pa.Table) -> bytes:
@@ -106,6 +111,37 @@ def _packed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, types, strict=True)], ["pairAddress", "block", "flush", "rows", "events"])
 
 
+def _gathered(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to PACK_BYTES, so that a pool's events of a block make few streams."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= PACK_BYTES:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if size:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _dealt(batches: Iterable[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows with the part that their block goes to. All parts of a pool hear of its latest block, by rows without events, and
+    of a flush."""
+    for batch in batches:
+        pools, blocks, flushes = (batch.column(c).to_pylist() for c in ("pairAddress", "block", "flush"))
+        tips: dict[str | None, int] = {}
+        for pool, block, flush in zip(pools, blocks, flushes, strict=True):
+            if not flush and block != NEVER:
+                tips[pool] = max(block, tips.get(pool, block))
+        kept = [k for k, flush in enumerate(flushes) if not flush]
+        known = batch.take(pa.array(kept, pa.int64()))
+        shards = pa.array([blocks[k] % parts for k in kept], pa.int32())
+        yield pa.RecordBatch.from_arrays([*known.columns, shards], [*known.schema.names, "shard"])
+        told = [(pool, block, False) for pool, block in tips.items()] + [(pool, NEVER, True) for pool, flush in zip(pools, flushes, strict=True) if flush]
+        rows = [(*row, None, 0, shard) for row in told for shard in range(parts)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 6, [*batch.schema, pa.field("shard", pa.int32())], strict=True)], [*batch.schema.names, "shard"])
+
+
 def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for rows in batch.column("rows").to_pylist():
@@ -114,7 +150,7 @@ def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class _Gate(StatefulProcessor):
-    """State of a pool: its latest block; for each block held, how many parts and events it has; the parts, as _packed makes them.
+    """State of a part of a pool: the pool's latest block; for each block held, how many parts and events it has; the parts, as _packed makes them.
     Rows are never looked into here, so a pool with many events costs its one task little for each of them."""
 
     def __init__(self, depth: int):
@@ -139,6 +175,8 @@ class _Gate(StatefulProcessor):
                 continue
             block = row["block"]
             tip = max(tip, -1 if block == NEVER else block)
+            if row["rows"] is None:  # tells of the latest block only
+                continue
             new.setdefault(block, []).append((bytes(row["rows"]), row["events"]))
             waiting += row["events"]
             if waiting >= PART_ROWS:
@@ -160,16 +198,17 @@ class _Gate(StatefulProcessor):
         pass
 
 
-def finality_gate(events: DataFrame, depth: int = 64) -> DataFrame:
+def finality_gate(events: DataFrame, depth: int = 64, parts: int = GATE_PARTS) -> DataFrame:
     """Holds events of a pool until its latest block is `depth` blocks ahead, then lets them go by block. Depth 0 passes all on.
 
-    An event of type FLUSH lets go what is held whatever its depth. Events without a block wait for a flush. Start it inside
-    rocksdb(), or by started(), as the functions of jobs do.
+    An event of type FLUSH lets go what is held whatever its depth. Events without a block wait for a flush. Blocks of a pool are
+    dealt to `parts` keys of state, so that a hot pool does not meet in one task; a stream of very many pools needs no more than 1.
+    The number cannot change while a checkpoint is used. Start it inside rocksdb(), or by started(), as the functions of jobs do.
     """
     if depth == 0:
         return events
-    packed = events.mapInArrow(_packed, _PACKED)
-    return packed.groupBy("pairAddress").transformWithState(_Gate(depth), "rows binary", "Append", "None").mapInArrow(_unpacked, events.schema)
+    packed = events.mapInArrow(lambda batches: _dealt(_packed(_gathered(batches)), parts), _PACKED)
+    return packed.groupBy("pairAddress", "shard").transformWithState(_Gate(depth), "rows binary", "Append", "None").mapInArrow(_unpacked, events.schema)
 
 
 #: Events of a pool without a pause longer than the gap, with the times of the first and last (microseconds).
@@ -287,7 +326,7 @@ def _state(spark: SparkSession, checkpoint: str, name: str, operator: int) -> Da
 
 def pending(spark: SparkSession, checkpoint: str, operator: int = 0) -> DataFrame:
     """pairAddress, tip, pendingBlocks and pendingEvents of each pool that a finality gate has seen, after its last batch."""
-    tips = _state(spark, checkpoint, "tip", operator).select("key.pairAddress", F.col("value.block").alias("tip"))
+    tips = _state(spark, checkpoint, "tip", operator).groupBy("key.pairAddress").agg(F.max("value.block").alias("tip"))
     held = _state(spark, checkpoint, "blocks", operator).groupBy("key.pairAddress").agg(F.count("*").alias("pendingBlocks"), F.sum("user_map_value.events").alias("pendingEvents"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     # A null pool is a pool too.
