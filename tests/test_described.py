@@ -25,7 +25,7 @@ def rows_of(spark):
 def test_descriptions_are_those_of_the_alerts(spark, monkeypatch):
     df = rows_of(spark)
     want = sorted(map(str, sessions.alerts(df, 3).select(*SAID).collect()))
-    monkeypatch.setattr(sessions, "LISTED", 2)
+    monkeypatch.setattr(sessions, "COPIED", 2)
     assert len(want) > 50 and sorted(map(str, sessions.descriptions(df, 3).select(*SAID).collect())) == want
 
 

@@ -17,6 +17,8 @@ DAY = 86_400
 STRETCH = 16
 #: Mints or burns of a provider and block that are joined as one list.
 LISTED = 256
+#: A row that stands for the alerts of so many mints and so many burns is copied at a time.
+COPIED = 64
 
 
 def sessions(events: DataFrame, gap: int, bucket: int = DAY) -> DataFrame:
@@ -182,11 +184,14 @@ def _jit_groups(events: DataFrame, reach: int = 2) -> DataFrame:
     return mints.join(burns, [*key, "attackerAddress", "_to"]).join(around, [*key, "blockNumber", "_to"])
 
 
-def _copies(rows: DataFrame, n: str) -> DataFrame:
-    """Each row n times, without an array of n values."""
-    stretches = rows.withColumn("_k", F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / LISTED).cast("int"))))
-    in_one = F.least(F.lit(LISTED), F.col(n) - F.col("_k") * LISTED).cast("int")
-    return stretches.withColumn("_", F.explode(F.sequence(F.lit(1), in_one))).drop("_", "_k")
+def _copies(rows: DataFrame, a: str, b: str, parts: int) -> DataFrame:
+    """Each row a * b times. Rows are cut into ones of at most COPIED squared copies and dealt out, as Spark holds all copies of a row
+    at once."""
+    cut = lambda n, k: F.least(F.lit(COPIED), F.col(n) - F.col(k) * COPIED)
+    for n, k in ((a, "_a"), (b, "_b")):
+        rows = rows.withColumn(k, F.explode(F.sequence(F.lit(0), F.floor((F.col(n) - 1) / COPIED).cast("int"))))
+    dealt = rows.withColumn("_n", (cut(a, "_a") * cut(b, "_b")).cast("int")).drop("_a", "_b", a, b).repartition(parts)
+    return dealt.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_", "_n")
 
 
 def descriptions(events: DataFrame, gap: int) -> DataFrame:
@@ -195,8 +200,7 @@ def descriptions(events: DataFrame, gap: int) -> DataFrame:
     inside, parts = in_sessions(events, gap), int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     said = lambda kind, rows, text: rows.select(F.lit(kind).alias("alertType"), (F.col("windowStart") * 1000).alias("windowStart"), "pairAddress", "blockNumber", "attackerAddress", text.alias("description"))
     # Texts are made before the rows are dealt out anew, and copied after that.
-    groups = _jit_groups(inside).withColumn("description", _in_and_out()).repartition(parts)
-    copied = _copies(_copies(groups, "_mints"), "_burns")
+    copied = _copies(_jit_groups(inside).withColumn("description", _in_and_out()), "_mints", "_burns", parts)
     others = F.when(F.col("attackerAddress").isNull(), 0).otherwise(F.col("back.known") - F.col("known") - (F.col("back.own") - F.col("own")))
     return said("SANDWICH_ATTACK", _fronts(_runs(inside, counted=True), "known", "own"), _around(others)).unionByName(said("JIT_LIQUIDITY", copied, F.col("description")))
 
